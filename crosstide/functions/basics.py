@@ -29,6 +29,15 @@ def clean(x) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) != INF), x)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A column used several times, or inside a lambda over an array, would be
+    evaluated again each time; binding it as a lambda variable avoids that.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def div(a, b) -> Column:
     """Division whose zero denominator gives NULL."""
     return F.try_divide(col(a), col(b))

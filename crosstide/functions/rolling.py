@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from crosstide.functions.basics import clean, col, div
+from crosstide.functions.basics import clean, col, div, let
 
 
 
@@ -159,10 +159,13 @@ def percentile(x, q: float, p: int | None = None) -> Column:
 def rank(x, p: int = 5) -> Column:
     """Average-tie percent rank of the current value inside its frame."""
     x = col(x)
-    seen = F.collect_list(x).over(last_rows(p))
-    below = F.size(F.filter(seen, lambda v: v < x))
-    ties = F.size(F.filter(seen, lambda v: v == x))
-    return F.when(x.isNotNull(), (below + (ties + 1) / 2) / F.size(seen))
+
+    def place(seen: Column) -> Column:
+        below = F.size(F.filter(seen, lambda v: v < x))
+        ties = F.size(F.filter(seen, lambda v: v == x))
+        return (below + (ties + 1) / 2) / F.size(seen)
+
+    return F.when(x.isNotNull(), let(F.collect_list(x).over(last_rows(p)), place))
 
 
 def _array_median(values: Column) -> Column:
@@ -176,8 +179,14 @@ def _array_median(values: Column) -> Column:
 def mad(x, p: int = 5) -> Column:
     """Median absolute deviation from the frame's median."""
     seen = F.array_sort(F.collect_list(col(x)).over(last_rows(p)))
-    centre = _array_median(seen)
-    return _array_median(F.array_sort(F.transform(seen, lambda v: F.abs(v - centre))))
+    deviations = lambda values, centre: F.array_sort(F.transform(values, lambda v: F.abs(v - centre)))
+    return let(
+        seen,
+        lambda values: let(
+            _array_median(values),
+            lambda centre: let(deviations(values, centre), _array_median),
+        ),
+    )
 
 
 def _extreme_position(x: Column, p: int, largest: bool) -> Column:
@@ -305,15 +314,13 @@ def wma(x, p: int = 20) -> Column:
     """Weights 0.9^age, renormalised when the frame is short."""
     x = col(x)
     frame = last_rows(p)
-    seen = F.collect_list(x).over(frame)
-    n = F.size(seen)
-    weighted = F.transform(seen, lambda v, i: v * F.pow(F.lit(0.9), n - 1 - i))
-    weights = F.transform(seen, lambda v, i: F.pow(F.lit(0.9), n - 1 - i))
-    add = lambda acc, v: acc + v
-    return F.when(
-        _full(x, frame),
-        div(F.aggregate(weighted, F.lit(0.0), add), F.aggregate(weights, F.lit(0.0), add)),
+    # Horner form: each step ages what is already summed
+    aged = F.aggregate(
+        F.collect_list(x).over(frame), F.lit(0.0), lambda acc, v: acc * F.lit(0.9) + v
     )
+    n = F.count(x).over(frame)
+    weights = (F.lit(1.0) - F.pow(F.lit(0.9), n)) / F.lit(0.1)
+    return F.when(_full(x, frame), aged / weights)
 
 
 def decay_linear(x, p: int = 5) -> Column:
@@ -361,10 +368,18 @@ def varying_bands(x, w, widest: int) -> tuple[Column, Column, Column]:
     # struct keeps missing values in place, so a slice counts rows, not values
     seen = F.collect_list(F.struct(x.alias("v"))).over(last_rows(widest))
     tail = F.slice(seen, F.greatest(F.size(seen) - length + 1, F.lit(1)), length)
-    values = F.transform(F.filter(tail, lambda s: s["v"].isNotNull()), lambda s: s["v"])
-    n = F.size(values)
-    add = lambda acc, v: acc + v
-    centre = div(F.aggregate(values, F.lit(0.0), add), n)
-    squares = F.aggregate(F.transform(values, lambda v: (v - centre) * (v - centre)), F.lit(0.0), add)
-    spread = F.when(n > 1, F.sqrt(div(squares, n - 1)))
-    return centre, centre + spread, centre - spread
+    present = F.transform(F.filter(tail, lambda s: s["v"].isNotNull()), lambda s: s["v"])
+
+    def moments(values: Column) -> Column:
+        n = F.size(values)
+        centre = div(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v), n)
+
+        def spread(c: Column) -> Column:
+            squares = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - c) * (v - c))
+            return F.struct(c.alias("mean"), F.when(n > 1, F.sqrt(div(squares, n - 1))).alias("std"))
+
+        return let(centre, spread)
+
+    stats = let(present, moments)
+    centre, std_ = stats["mean"], stats["std"]
+    return centre, centre + std_, centre - std_

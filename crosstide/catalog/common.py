@@ -43,7 +43,7 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     ``xn`` is close with gaps (NULL on thin weeks), so operators meet missing
     values; ``yn`` likewise from vwap.
     """
-    bars = panels.with_return(panels.weekly_panel(table(spark, sf, "lineitem")))
+    bars = panels.with_return(panels.by_instrument(panels.weekly_panel(table(spark, sf, "lineitem"))))
     return bars.withColumns(
         {
             "xn": F.when(F.col("volume") >= 30, F.col("close")),

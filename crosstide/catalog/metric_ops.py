@@ -109,13 +109,13 @@ def report(spark, sf):
     held = metrics.top_holdings(df, "signal", K)
     bench = df.groupBy(DAY).agg(F.avg("label").alias("bench"))
     daily = metrics.portfolio_return(held, "label").join(metrics.turnover_cost(held).select(DAY, "cost"), DAY)
-    # returns of this panel are wide; a tenth keeps a compounded curve positive
-    daily = daily.join(bench, DAY).withColumns({"port_ret": F.col("port_ret") / 10, "bench": F.col("bench") / 10})
+    # returns of this panel are wide; a hundredth keeps a compounded curve positive
+    daily = daily.join(bench, DAY).withColumns({"port_ret": F.col("port_ret") / 100, "bench": F.col("bench") / 100})
     return metrics.excess_return(daily)
 
 
 REPORT_SQL = (
-    "report AS (SELECT datetime, coalesce(p / 10, 0) - coalesce(b / 10, 0) - coalesce(cost, 0) AS excess FROM "
+    "report AS (SELECT datetime, coalesce(p / 100, 0) - coalesce(b / 100, 0) - coalesce(cost, 0) AS excess FROM "
     "(SELECT datetime, avg(label) AS p FROM top GROUP BY 1) JOIN costs USING (datetime) "
     "JOIN (SELECT datetime, avg(label) AS b FROM scored GROUP BY 1) USING (datetime))"
 )

@@ -447,8 +447,8 @@ def centred_sql(x: str) -> str:
 register(
     "l01_dataset",
     lambda spark, sf: dataset.prepare(
-        panel(spark, sf).select(
-            *KEYS, *[v.alias(k) for k, v in feature_sets.baseline_4().items()], feature_sets.label().alias("label")
+        feature_sets.factor_matrix(
+            panel(spark, sf).withColumn("label", feature_sets.label()), feature_sets.baseline_4(), ["label"]
         ),
         FOUR, "label",
     ).select(*KEYS, *[r(c).alias(c) for c in [*FOUR, "label"]]),

@@ -137,14 +137,14 @@ def risk_metrics(report: DataFrame, periods: int = 252, compound: bool = False)
     """Annualised return, information ratio, max drawdown, Calmar of ``excess``."""
     days = Window.orderBy("datetime")
     if compound:
-        worth = F.exp(F.sum(F.log1p(F.col("excess"))).over(days))
+        worth = F.product(F.col("excess") + 1).over(days)
     else:
         worth = F.sum("excess").over(days)
     curve = report.withColumn("_worth", worth).withColumn("_peak", F.max("_worth").over(days))
     fall = F.col("_worth") / F.col("_peak") - 1 if compound else F.col("_worth") - F.col("_peak")
     mean, spread, n = F.avg("excess"), F.stddev_samp("excess"), F.count("excess")
     if compound:
-        annual = F.pow(F.exp(F.sum(F.log1p(F.col("excess")))), F.lit(float(periods)) / n) - 1
+        annual = F.pow(F.product(F.col("excess") + 1), F.lit(float(periods)) / n) - 1
     else:
         annual = mean * periods
     return curve.agg(

@@ -1,12 +1,18 @@
-"""Named factor sets as composed Columns.
-
-Each set is a dict ``{factor name: Column}`` to be applied in one ``select``,
-so all its windows share one shuffle and one sort per instrument.  The
-formulas (names, windows, the 1e-12 guards) are fixed values of the sets.
+"""Named factor sets.
+
+Spark evaluates equal window expressions of one projection separately, and the
+families share most of theirs.  A set is therefore laid out in layers: shifted
+inputs, then each distinct rolling value once, then window-free formulas.  All
+layers use the same partitioning and order, so a set costs one shuffle and one
+sort per instrument.  The formulas (names, windows, the 1e-12 guards) are fixed
+values of the sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +25,25 @@ TINY = 1e-12
 O, H, L, C, V, VWAP = "open", "high", "low", "close", "volume", "vwap"
 
 
+@dataclass
+class FactorSet:
+    """Named factors over helper layers; later names replace earlier ones."""
+
+    factors: dict[str, Column]
+    inputs: dict[str, Column] = field(default_factory=dict)
+    rolled: dict[str, Column] = field(default_factory=dict)
+
+    def merge(self, other: FactorSet) -> FactorSet:
+        return FactorSet(
+            {**self.factors, **other.factors},
+            {**self.inputs, **other.inputs},
+            {**self.rolled, **other.rolled},
+        )
+
+    def only(self, names: Iterable[str]) -> FactorSet:
+        return FactorSet({n: self.factors[n] for n in names}, self.inputs, self.rolled)
+
+
 def candle_shapes(full: bool = True) -> dict[str, Column]:
     """Shapes of a single bar, relative to open and to its own range."""
     c = F.col
@@ -41,36 +66,100 @@ def candle_shapes(full: bool = True) -> dict[str, Column]:
     return out
 
 
-def _stochastic(w: int) -> Column:
-    low, high = ts.minimum(L, w), ts.maximum(H, w)
-    return div(F.col(C) - low, high - low + TINY)
+def _price_inputs() -> dict[str, Column]:
+    return {"_lv": ln(F.col(V) + 1)}
+
 
+def _price_rolled(w: int) -> dict[str, Column]:
+    return {
+        f"_ref{w}": ts.delay(C, w),
+        f"_ma{w}": ts.mean(C, w),
+        f"_sd{w}": ts.std(C, w),
+        f"_hi{w}": ts.maximum(H, w),
+        f"_lo{w}": ts.minimum(L, w),
+        f"_vma{w}": ts.mean(V, w),
+        f"_vsd{w}": ts.std(V, w),
+        f"_corr{w}": ts.corr(C, "_lv", w),
+    }
 
-def _volume_corr(w: int) -> Column:
-    return ts.corr(C, ln(F.col(V) + 1), w)
+
+def _price_factors(w: int) -> dict[str, Column]:
+    c = F.col
+    return {
+        f"ROC{w}": div(f"_ref{w}", C),
+        f"MA{w}": div(f"_ma{w}", C),
+        f"STD{w}": div(f"_sd{w}", C),
+        f"MAX{w}": div(f"_hi{w}", C),
+        f"MIN{w}": div(f"_lo{w}", C),
+        f"RSV{w}": div(c(C) - c(f"_lo{w}"), c(f"_hi{w}") - c(f"_lo{w}") + TINY),
+        f"VMA{w}": div(f"_vma{w}", c(V) + TINY),
+        f"VSTD{w}": div(f"_vsd{w}", c(V) + TINY),
+        f"CORR{w}": c(f"_corr{w}"),
+    }
 
 
-def price_families(w: int) -> dict[str, Column]:
+def price_families(w: int) -> FactorSet:
     """The nine price and volume families of the compact set."""
+    return FactorSet(_price_factors(w), _price_inputs(), _price_rolled(w))
+
+
+def _inputs() -> dict[str, Column]:
+    dc, dv, zero = ts.delta(C, 1), ts.delta(V, 1), F.lit(0.0)
+    change = div(C, ts.delay(C, 1))
     return {
-        f"ROC{w}": div(ts.delay(C, w), C),
-        f"MA{w}": div(ts.mean(C, w), C),
-        f"STD{w}": div(ts.std(C, w), C),
-        f"MAX{w}": div(ts.maximum(H, w), C),
-        f"MIN{w}": div(ts.minimum(L, w), C),
-        f"RSV{w}": _stochastic(w),
-        f"VMA{w}": div(ts.mean(V, w), F.col(V) + TINY),
-        f"VSTD{w}": div(ts.std(V, w), F.col(V) + TINY),
-        f"CORR{w}": _volume_corr(w),
+        **_price_inputs(),
+        "_t": ts.position(),
+        "_rise": F.col(C) > ts.delay(C, 1),
+        "_fall": F.col(C) < ts.delay(C, 1),
+        "_up": larger(dc, zero),
+        "_down": larger(-dc, zero),
+        "_vup": larger(dv, zero),
+        "_vdown": larger(-dv, zero),
+        "_change": change,
+        "_vchange": ln(div(V, ts.delay(V, 1)) + 1),
+        "_turb": absolute(change - 1) * F.col(V),
     }
 
 
-def _rise_shares(x: str, w: int, stem: str) -> dict[str, Column]:
+def _window_rolled(w: int) -> dict[str, Column]:
+    frame = ts.last_rows(w)
+    close = F.col(C)
+    time = F.when(close.isNotNull(), F.col("_t"))
+    oldest = F.min("_t").over(frame)
+
+    def place(x: str, largest: bool) -> Column:
+        x = F.col(x)
+        tie = -F.col("_t") if largest else F.col("_t")
+        pick = F.max_by if largest else F.min_by
+        return pick("_t", F.when(x.isNotNull(), F.struct(x, tie))).over(frame) - oldest + 1
+
+    return {
+        **_price_rolled(w),
+        f"_ct{w}": F.covar_pop(close, time).over(frame),
+        f"_vt{w}": F.var_pop(time).over(frame),
+        f"_vc{w}": F.var_pop(close).over(frame),
+        f"_mt{w}": F.avg(time).over(frame),
+        f"_qu{w}": ts.quantile(C, w, 0.8),
+        f"_qd{w}": ts.quantile(C, w, 0.2),
+        f"_rank{w}": ts.rank(C, w),
+        f"_imax{w}": place(H, True),
+        f"_imin{w}": place(L, False),
+        f"_cord{w}": ts.corr("_change", "_vchange", w),
+        f"_rises{w}": ts.share_true(F.col("_rise"), w),
+        f"_falls{w}": ts.share_true(F.col("_fall"), w),
+        f"_ups{w}": ts.total("_up", w),
+        f"_downs{w}": ts.total("_down", w),
+        f"_vups{w}": ts.total("_vup", w),
+        f"_vdowns{w}": ts.total("_vdown", w),
+        f"_tm{w}": ts.mean("_turb", w),
+        f"_ts{w}": ts.std("_turb", w),
+    }
+
+
+def _shares(up: str, down: str, w: int, stem: str) -> dict[str, Column]:
     """Share of total movement going up, going down, and their difference."""
-    step = ts.delta(x, 1)
-    up = ts.total(larger(step, F.lit(0.0)), w)
-    down = ts.total(larger(-step, F.lit(0.0)), w)
-    moved = ts.total(absolute(step), w) + TINY
+    up, down = F.col(f"{up}{w}"), F.col(f"{down}{w}")
+    moved = up + down + TINY
     return {
         f"{stem}P{w}": div(up, moved),
         f"{stem}N{w}": div(down, moved),
@@ -78,90 +167,96 @@ def _rise_shares(x: str, w: int, stem: str) -> dict[str, Column]:
     }
 
 
-def window_families(w: int) -> dict[str, Column]:
+def window_families(w: int) -> FactorSet:
     """All 29 windowed families at one window length."""
-    previous = ts.delay(C, 1)
-    rises, falls = F.col(C) > previous, F.col(C) < previous
-    hi, lo = ts.index_of_max(H, w), ts.index_of_min(L, w)
-    turbulence = absolute(div(C, previous) - 1) * F.col(V)
-    up_share, down_share = ts.share_true(rises, w), ts.share_true(falls, w)
-    return {
-        **price_families(w),
-        f"BETA{w}": div(ts.slope(C, w), C),
-        f"RSQR{w}": ts.rsquare(C, w),
-        f"RESI{w}": div(ts.trend_residual(C, w), C),
-        f"QTLU{w}": div(ts.quantile(C, w, 0.8), C),
-        f"QTLD{w}": div(ts.quantile(C, w, 0.2), C),
-        f"RANK{w}": ts.rank(C, w),
-        f"IMAX{w}": hi / w,
-        f"IMIN{w}": lo / w,
-        f"IMXD{w}": (hi - lo) / w,
-        f"CORD{w}": ts.corr(div(C, previous), ln(div(V, ts.delay(V, 1)) + 1), w),
-        f"CNTP{w}": up_share,
-        f"CNTN{w}": down_share,
-        f"CNTD{w}": up_share - down_share,
-        **_rise_shares(C, w, "SUM"),
-        f"WVMA{w}": div(ts.std(turbulence, w), ts.mean(turbulence, w) + TINY),
-        **_rise_shares(V, w, "VSUM"),
+    c = lambda stem: F.col(f"{stem}{w}")
+    slope = div(c("_ct"), c("_vt"))
+    fitted = c("_ma") + slope * (F.col("_t") - c("_mt"))
+    factors = {
+        **_price_factors(w),
+        f"BETA{w}": div(slope, C),
+        f"RSQR{w}": div(c("_ct") * c("_ct"), c("_vt") * c("_vc")),
+        f"RESI{w}": div(F.col(C) - fitted, C),
+        f"QTLU{w}": div(c("_qu"), C),
+        f"QTLD{w}": div(c("_qd"), C),
+        f"RANK{w}": c("_rank"),
+        f"IMAX{w}": c("_imax") / w,
+        f"IMIN{w}": c("_imin") / w,
+        f"IMXD{w}": (c("_imax") - c("_imin")) / w,
+        f"CORD{w}": c("_cord"),
+        f"CNTP{w}": c("_rises"),
+        f"CNTN{w}": c("_falls"),
+        f"CNTD{w}": c("_rises") - c("_falls"),
+        **_shares("_ups", "_downs", w, "SUM"),
+        f"WVMA{w}": div(c("_ts"), c("_tm") + TINY),
+        **_shares("_vups", "_vdowns", w, "VSUM"),
     }
+    return FactorSet(factors, _inputs(), _window_rolled(w))
 
 
-def set_158() -> dict[str, Column]:
+def set_158() -> FactorSet:
     """158 factors: 9 bar shapes, 4 price ratios, 29 families by 5 windows."""
-    out = candle_shapes()
-    out.update({f"{x.upper()}0": div(x, C) for x in (O, H, L, VWAP)})
+    ratios = {f"{x.upper()}0": div(x, C) for x in (O, H, L, VWAP)}
+    out = FactorSet({**candle_shapes(), **ratios})
     for w in WINDOWS:
-        out.update(window_families(w))
+        out = out.merge(window_families(w))
     return out
 
 
-def set_158_20() -> dict[str, Column]:
+def set_158_20() -> FactorSet:
     """The 20-factor selection; its ROC, RSV and VRATIO forms are its own."""
     c = F.col
     change = div(C, ts.delay(C, 1)) - 1
-    out = {"ROC0": div(c(C) - c(O), O), "ROC1": change}
+    rolled = {"_ref20": ts.delay(C, 20), "_ma20": ts.mean(C, 20), "_rsd5": ts.std("_ret", 5)}
+    factors = {"ROC0": div(c(C) - c(O), O), "ROC1": c("_ret")}
+    for w in (5, 10):
+        rolled.update({k: v for k, v in _price_rolled(w).items() if not k.startswith("_corr")})
     for w in (5, 10, 20):
-        out[f"ROC{w}"] = div(c(C) - ts.delay(C, w), ts.delay(C, w))
+        factors[f"ROC{w}"] = div(c(C) - c(f"_ref{w}"), f"_ref{w}")
     for w in (5, 10):
-        out[f"VRATIO{w}"] = div(V, ts.mean(V, w))
-        out[f"VOLATILITY{w}"] = div(ts.std(C, w), C)
-        out[f"RSV{w}"] = _stochastic(w)
-    out.update(
+        factors[f"VRATIO{w}"] = div(V, f"_vma{w}")
+        factors[f"VOLATILITY{w}"] = div(f"_sd{w}", C)
+        factors[f"RSV{w}"] = _price_factors(w)[f"RSV{w}"]
+    factors.update(
         {
-            "VSTD5_RATIO": div(ts.std(V, 5), ts.mean(V, 5)),
+            "VSTD5_RATIO": div("_vsd5", "_vma5"),
             "RANGE": div(c(H) - c(L), O),
-            "RET_VOL5": ts.std(change, 5),
-            "HIGH_RATIO5": div(C, ts.maximum(H, 5)) - 1,
-            "LOW_RATIO5": div(C, ts.minimum(L, 5)) - 1,
+            "RET_VOL5": c("_rsd5"),
+            "HIGH_RATIO5": div(C, "_hi5") - 1,
+            "LOW_RATIO5": div(C, "_lo5") - 1,
             "SHADOW_RATIO": div(c(H) - c(C), c(C) - c(L) + TINY),
             "BODY_RATIO": div(c(C) - c(O), c(H) - c(L) + TINY),
-            "MA_RATIO5_10": div(ts.mean(C, 5), ts.mean(C, 10)) - 1,
-            "MA_RATIO10_20": div(ts.mean(C, 10), ts.mean(C, 20)) - 1,
+            "MA_RATIO5_10": div("_ma5", "_ma10") - 1,
+            "MA_RATIO10_20": div("_ma10", "_ma20") - 1,
         }
     )
-    return out
+    return FactorSet(factors, {"_ret": change}, rolled)
 
 
-def set_360() -> dict[str, Column]:
+def set_360() -> FactorSet:
     """The 66-factor price and volume set."""
-    out: dict[str, Column] = {}
+    out = FactorSet({})
     for w in WINDOWS:
-        out.update(price_families(w))
+        out = out.merge(price_families(w))
     for w in (3, 7, 15, 40, 120):
-        out.update({k: v for k, v in price_families(w).items() if k.rstrip("0123456789") in ("ROC", "MA", "STD")})
-    out.update(candle_shapes(full=False))
-    return out
+        extended = price_families(w).only([f"ROC{w}", f"MA{w}", f"STD{w}"])
+        wanted = (f"_ref{w}", f"_ma{w}", f"_sd{w}")
+        extended.rolled = {k: v for k, v in extended.rolled.items() if k in wanted}
+        out = out.merge(extended)
+    return out.merge(FactorSet(candle_shapes(full=False)))
 
 
-def baseline_4() -> dict[str, Column]:
+def baseline_4() -> FactorSet:
     c = F.col
-    previous = ts.delay(C, 1)
-    return {
-        "OPEN_RET": div(c(C) - c(O), O),
-        "VOL_RATIO": div(V, ts.mean(V, 20)),
-        "RANGE_RET": div(c(H) - c(L), previous),
-        "CLOSE_RET": div(C, previous) - 1,
-    }
+    return FactorSet(
+        {
+            "OPEN_RET": div(c(C) - c(O), O),
+            "VOL_RATIO": div(V, "_vma20"),
+            "RANGE_RET": div(c(H) - c(L), "_prev"),
+            "CLOSE_RET": div(C, "_prev") - 1,
+        },
+        {"_prev": ts.delay(C, 1), "_vma20": ts.mean(V, 20)},
+    )
 
 
 def label() -> Column:
@@ -172,19 +267,25 @@ def label() -> Column:
 SETS = {"alpha158": set_158, "alpha158_20": set_158_20, "alpha360": set_360}
 
 
-def factor_columns(
-    source: str, custom: dict[str, Column] | None = None, official: str = "alpha158_20"
-) -> dict[str, Column]:
-    """Columns of a factor source; ``combined`` lets custom names win."""
+def factor_set(
+    source: str, custom: FactorSet | None = None, official: str = "alpha158_20"
+) -> FactorSet:
+    """A factor source by name; in ``combined`` the custom names win."""
     if source in SETS:
         return SETS[source]()
     if source == "custom":
-        return dict(custom or {})
+        return custom or FactorSet({})
     if source == "combined":
-        return {**SETS[official](), **(custom or {})}
+        return SETS[official]().merge(custom or FactorSet({}))
     raise ValueError(f"unknown factor source {source!r}")
 
 
-def factor_matrix(panel: DataFrame, factors: dict[str, Column]) -> DataFrame:
-    """Key and factor columns of a panel in one projection."""
-    return panel.select("datetime", "instrument", *[v.alias(k) for k, v in factors.items()])
+def factor_matrix(panel: DataFrame, factors: FactorSet, keep: Iterable[str] = ()) -> DataFrame:
+    """Key, kept and factor columns of a panel."""
+    layered = panel
+    for layer in (factors.inputs, factors.rolled):
+        if layer:
+            layered = layered.withColumns(layer)
+    return layered.select(
+        "datetime", "instrument", *keep, *[v.alias(k) for k, v in factors.factors.items()]
+    )

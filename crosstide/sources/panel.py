@@ -13,6 +13,18 @@ from crosstide.functions.basics import clean, div
 FIELDS = ("open", "high", "low", "close", "volume", "vwap")
 
 
+def by_instrument(panel: DataFrame) -> DataFrame:
+    """Partition once by instrument, so every later history window finds its
+    rows in place.
+
+    The partition count is the session's shuffle setting and is given outright:
+    rolling sets are heavy per row, and size-based coalescing would fold a
+    narrow panel into a few long tasks.
+    """
+    partitions = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return panel.repartition(partitions, "instrument")
+
+
 def with_return(panel: DataFrame) -> DataFrame:
     """Add ``ret``, the change of close against the instrument's previous row."""
     return panel.withColumn("ret", div("close", rolling.delay("close", 1)) - 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["panel_ops", "rolling_ops", "factor_sets", "metric_ops", "library_ops"]
+MODULES = ["panel_ops", "rolling_ops", "factor_sets", "metric_ops", "library_ops", "pool_ops", "graph_ops"]
 
 
 def load():

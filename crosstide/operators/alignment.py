@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosstide.operators.lookups import with_row
+
 KEYS = ("datetime", "instrument")
 
 
@@ -41,12 +43,7 @@ def align_to(
     ``least`` of the reference finds a match."""
     joined = reference.select(*keys).join(values.withColumn("_hit", F.lit(1)), list(keys), "left")
     rate = joined.agg(F.avg(F.coalesce(F.col("_hit"), F.lit(0))).alias("_rate"))
-    return (
-        joined.withColumn("_one", F.lit(1))
-        .join(F.broadcast(rate.withColumn("_one", F.lit(1))), "_one")
-        .where(F.col("_rate") > least)
-        .drop("_hit", "_one", "_rate")
-    )
+    return with_row(joined, rate).where(F.col("_rate") > least).drop("_hit", "_rate")
 
 
 def with_series(panel: DataFrame, series: DataFrame, value: str, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crosstide.functions.basics import INF, div
 from crosstide.operators import metrics, ranking
+from crosstide.operators.lookups import with_row
 
 KEYS = ["datetime", "instrument"]
 
@@ -42,9 +43,7 @@ def minute_gaps(df: DataFrame, time: str = "datetime") -> DataFrame:
 
 
 def row_count_ratio(a: DataFrame, b: DataFrame) -> DataFrame:
-    counts = a.agg(F.count(F.lit(1)).alias("_a"), F.lit(1).alias("_one")).join(
-        F.broadcast(b.agg(F.count(F.lit(1)).alias("_b"), F.lit(1).alias("_one"))), "_one"
-    )
+    counts = with_row(a.agg(F.count(F.lit(1)).alias("_a")), b.agg(F.count(F.lit(1)).alias("_b")))
     return counts.select(
         div(F.least("_a", "_b").cast("double"), F.greatest("_a", "_b").cast("double")).alias("ratio")
     )
@@ -102,17 +101,16 @@ def verdict(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     'false' when row counts, missing counts, grain or finiteness fail;
     'undecided' otherwise.
     """
-    one = F.lit(1).alias("_one")
-    facts = equal_ratio(a, b, tolerance).select("equal_ratio", one)
+    facts = equal_ratio(a, b, tolerance)
     for part in (
-        agreement(a, b).select("passed", one),
-        key_overlap(a, b).select("jaccard", one),
-        row_count_ratio(a, b).select("ratio", one),
-        missing_counts(a, b).select("same", one),
-        minute_gaps(a).select("minute_gaps", one),
-        infinite_count(a).select("infinite", one),
+        agreement(a, b).select("passed"),
+        key_overlap(a, b),
+        row_count_ratio(a, b),
+        missing_counts(a, b).select("same"),
+        minute_gaps(a),
+        infinite_count(a),
     ):
-        facts = facts.join(F.broadcast(part), "_one")
+        facts = with_row(facts, part)
     good = (F.col("equal_ratio") > 0.99) | ((F.col("jaccard") > 0.99) & F.col("passed"))
     bad = (
         (F.col("ratio") <= 0.99) | ~F.col("same") | (F.col("minute_gaps") > 0) | (F.col("infinite") > 0)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from crosstide.functions.basics import clean, col, div
 from crosstide.operators import ranking
+from crosstide.operators.lookups import with_row
 
 
 def with_date_stats(df: DataFrame, stats: dict[str, Column], date: str = "datetime") -> DataFrame:
@@ -106,13 +107,9 @@ def with_neutralised(df: DataFrame, name: str, x: str, size: str) -> DataFrame:
         div(F.covar_pop("_x", "_s"), F.var_pop("_s")).alias("_b"),
         F.avg("_x").alias("_mx"),
         F.avg("_s").alias("_ms"),
-    ).withColumn("_one", F.lit(1))
-    residual = F.col("_x") - F.col("_mx") - F.col("_b") * (F.col("_s") - F.col("_ms"))
-    fitted = (
-        filled.withColumn("_one", F.lit(1))
-        .join(F.broadcast(line), "_one")
-        .withColumn("_resid", residual)
     )
+    residual = F.col("_x") - F.col("_mx") - F.col("_b") * (F.col("_s") - F.col("_ms"))
+    fitted = with_row(filled, line).withColumn("_resid", residual)
     return with_zscore(fitted, name, "_resid").drop(
-        "_x", "_s", "_one", "_b", "_mx", "_ms", "_resid"
+        "_x", "_s", "_b", "_mx", "_ms", "_resid"
     )

@@ -30,3 +30,11 @@ def lookup(
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (an ungrouped aggregate) to every row."""
+    one = F.lit(1)
+    return (
+        df.withColumn("_one", one).join(F.broadcast(row.withColumn("_one", one)), "_one", "left").drop("_one")
+    )

@@ -358,7 +358,8 @@ register(
 
 
 def trees(spark, sf):
-    return expressions.explode_subtrees(texts(spark, sf), "p_partkey", E)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return expressions.explode_subtrees(texts(spark, sf), "p_partkey", E, partitions)
 
 
 # one token per tree node; a conditional's two marks are one node

@@ -238,12 +238,9 @@ def corr(x, y, p: int = 5) -> Column:
     """Pearson correlation over complete pairs, NULL for a constant side."""
     x, y = _paired(x, y)
     frame = last_rows(p)
-    return F.when(
-        F.count(x).over(frame) >= 2,
-        div(
-            F.covar_samp(x, y).over(frame),
-            F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame),
-        ),
+    return div(
+        F.covar_samp(x, y).over(frame),
+        F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame),
     )
 
 
@@ -258,7 +255,7 @@ def corr_time(x, n: int) -> Column:
 def covariance(x, y, p: int = 5) -> Column:
     x, y = _paired(x, y)
     frame = last_rows(p)
-    return F.when(F.count(x).over(frame) >= 2, F.covar_samp(x, y).over(frame))
+    return F.covar_samp(x, y).over(frame)
 
 
 def covariance_time(x, n: int) -> Column:

@@ -128,8 +128,14 @@ def subtrees(text: str) -> list[tuple[str, str, int]]:
     return found
 
 
-def explode_subtrees(df: DataFrame, key: str, expr: str) -> DataFrame:
-    """(key, subtree, hash, kind, size): one row per subtree of each expression."""
+def explode_subtrees(
+    df: DataFrame, key: str, expr: str, partitions: int | None = None
+) -> DataFrame:
+    """(key, subtree, hash, kind, size): one row per subtree of each expression.
+
+    Taking an expression apart costs far more than reading it; ``partitions``
+    spreads a table that comes from a few small files.
+    """
     types = dict(df.dtypes)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,7 +148,10 @@ def explode_subtrees(df: DataFrame, key: str, expr: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[key, "subtree", "hash", "kind", "size"])
 
     schema = f"{key} {types[key]}, subtree string, hash string, kind string, size int"
-    return df.select(key, expr).mapInPandas(rows, schema)
+    texts = df.select(key, expr)
+    if partitions:
+        texts = texts.repartition(partitions, key)
+    return texts.mapInPandas(rows, schema)
 
 
 def node_counts(trees: DataFrame, key: str) -> DataFrame:

@@ -139,8 +139,7 @@ def _window_rolled(w: int) -> dict[str, Column]:
         f"_vt{w}": F.var_pop(time).over(frame),
         f"_vc{w}": F.var_pop(close).over(frame),
         f"_mt{w}": F.avg(time).over(frame),
-        f"_qu{w}": ts.quantile(C, w, 0.8),
-        f"_qd{w}": ts.quantile(C, w, 0.2),
+        f"_q{w}": F.percentile(close, [0.2, 0.8]).over(frame),
         f"_rank{w}": ts.rank(C, w),
         f"_imax{w}": place(H, True),
         f"_imin{w}": place(L, False),
@@ -177,8 +176,8 @@ def window_families(w: int) -> FactorSet:
         f"BETA{w}": div(slope, C),
         f"RSQR{w}": div(c("_ct") * c("_ct"), c("_vt") * c("_vc")),
         f"RESI{w}": div(F.col(C) - fitted, C),
-        f"QTLU{w}": div(c("_qu"), C),
-        f"QTLD{w}": div(c("_qd"), C),
+        f"QTLU{w}": div(F.get(c("_q"), F.lit(1)), C),
+        f"QTLD{w}": div(F.get(c("_q"), F.lit(0)), C),
         f"RANK{w}": c("_rank"),
         f"IMAX{w}": c("_imax") / w,
         f"IMIN{w}": c("_imin") / w,

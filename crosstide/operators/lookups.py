@@ -28,7 +28,8 @@ def lookup(
     if right.limit(most + 1).count() <= most:
         return left.join(F.broadcast(right), list(on), how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    copies = right.withColumn("_salt", F.explode(salts))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 

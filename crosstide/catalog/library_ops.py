@@ -10,7 +10,7 @@ from crosstide.catalog.metric_ops import CHAIN, report
 from crosstide.catalog.rolling_ops import KEYS, frame
 from crosstide.functions import rolling as ts
 from crosstide.operators import alignment, expressions, metrics
-from crosstide.session import scratch_path
+from crosstide.session import cut_lineage, scratch_path
 from crosstide.sources import libraries, stores
 
 # -- the library: text valid in both engines -----------------------------------
@@ -387,10 +387,14 @@ register(
         "CAST(len(list_filter(t, lambda x: regexp_matches(x, '^[A-Z]'))) AS BIGINT) AS calls FROM counts", *NODES_SQL),
 )
 register("e05_subtree_explode", lambda spark, sf: trees(spark, sf))
-register(
-    "e06_largest_shared_subtree",
-    lambda spark, sf: expressions.largest_shared(trees(spark, sf), trees(spark, sf), "p_partkey"),
-)
+
+
+def e06(spark, sf):
+    once = cut_lineage(trees(spark, sf))
+    return expressions.largest_shared(once, once, "p_partkey")
+
+
+register("e06_largest_shared_subtree", e06)
 
 
 def accepted(spark, sf):

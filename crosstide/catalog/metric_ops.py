@@ -8,6 +8,7 @@ from crosstide.catalog.common import panel, r, register, rs, table, with_panel
 from crosstide.catalog.panel_ops import DAILY_SQL, FOUR, FOUR_SQL, SCORED_SQL, four, pair_sql, rank_sql, scored
 from crosstide.catalog.rolling_ops import KEYS
 from crosstide.operators import checks, metrics
+from crosstide.plans import backtest
 
 DAY = "datetime"
 
@@ -104,14 +105,8 @@ register(
 
 
 def report(spark, sf):
-    """Daily portfolio return, benchmark and cost; one row per date."""
-    df = scored(spark, sf)
-    held = metrics.top_holdings(df, "signal", K)
-    bench = df.groupBy(DAY).agg(F.avg("label").alias("bench"))
-    daily = metrics.portfolio_return(held, "label").join(metrics.turnover_cost(held).select(DAY, "cost"), DAY)
-    # returns of this panel are wide; a hundredth keeps a compounded curve positive
-    daily = daily.join(bench, DAY).withColumns({"port_ret": F.col("port_ret") / 100, "bench": F.col("bench") / 100})
-    return metrics.excess_return(daily)
+    """Returns of this panel are wide; a hundredth keeps a compounded curve positive."""
+    return backtest.daily_report(scored(spark, sf), "signal", "label", K, scale=0.01)
 
 
 REPORT_SQL = (

@@ -79,12 +79,14 @@ def with_rank(df: DataFrame, name: str, x: str, hot_rows: int = ranking.HOT_ROWS
 
 
 def with_centred_ranks(
-    df: DataFrame, names: dict[str, str], hot_rows: int = ranking.HOT_ROWS
+    df: DataFrame,
+    names: dict[str, str],
+    hot_rows: int = ranking.HOT_ROWS,
+    biggest: int | None = None,
 ) -> DataFrame:
     """Percent rank minus one half; zero where a date has a single row."""
-    ranked = with_date_stats(
-        ranking.with_ranks(df, names, hot_rows=hot_rows), {"_rows": F.count(F.lit(1))}
-    )
+    counted = with_date_stats(df, {"_rows": F.count(F.lit(1))})
+    ranked = ranking.with_ranks(counted, names, hot_rows=hot_rows, biggest=biggest)
     return ranked.withColumns(
         {n: F.when(F.col("_rows") == 1, F.lit(0.0)).otherwise(F.col(n) - 0.5) for n in names}
     ).drop("_rows")

@@ -31,7 +31,13 @@ def daily_rank_ic(
     paired = df.where(F.col(factor).isNotNull() & F.col(label).isNotNull()).select(
         "datetime", "instrument", factor, label
     )
-    ranked = ranking.with_ranks(paired, {"_rf": factor, "_rl": label}, pct=False, hot_rows=hot_rows)
+    ranked = ranking.with_ranks(
+        paired,
+        {"_rf": factor, "_rl": label},
+        pct=False,
+        hot_rows=hot_rows,
+        biggest=ranking.largest_group(df, ["datetime"]),
+    )
     return daily_ic(ranked, "_rf", "_rl", name)
 
 

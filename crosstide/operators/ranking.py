@@ -34,16 +34,24 @@ def largest_group(df: DataFrame, group: Sequence[str]) -> int:
 
 
 def value_positions(
-    df: DataFrame, group: Sequence[str], value: str, hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    hot_rows: int = HOT_ROWS,
+    biggest: int | None = None,
 ) -> DataFrame:
-    """(group, value, ties, below, total): exact order statistics per value."""
+    """(group, value, ties, below, total): exact order statistics per value.
+
+    ``biggest`` is an upper bound of the group size when the caller knows one.
+    """
     group = list(group)
+    if biggest is None:
+        biggest = largest_group(df, group)
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*group, value)
         .agg(F.count(F.lit(1)).alias("ties"))
     )
-    biggest = largest_group(df, group)
     if biggest > hot_rows:
         buckets = min(MAX_BUCKETS, 2 * biggest // hot_rows + 2)
         hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
@@ -106,7 +114,13 @@ def _windowed(df: DataFrame, group: list[str], names: dict[str, str], pct: bool)
 
 
 def _counted(
-    df: DataFrame, keys: list[str], group: list[str], names: dict[str, str], pct: bool, hot_rows: int
+    df: DataFrame,
+    keys: list[str],
+    group: list[str],
+    names: dict[str, str],
+    pct: bool,
+    hot_rows: int,
+    biggest: int,
 ) -> DataFrame:
     long = df.select(
         *keys,
@@ -119,7 +133,7 @@ def _counted(
             )
         ).alias("_s"),
     ).select(*keys, "_s._name", "_s._x")
-    places = value_positions(long, [*group, "_name"], "_x", hot_rows)
+    places = value_positions(long, [*group, "_name"], "_x", hot_rows, biggest)
     rank = F.col("below") + (F.col("ties") + 1) / 2
     places = places.select(
         *group, "_name", "_x", (rank / F.col("total") if pct else rank).alias("_rank"),
@@ -143,14 +157,20 @@ def with_ranks(
     keys: Sequence[str] = ("datetime", "instrument"),
     pct: bool = True,
     hot_rows: int = HOT_ROWS,
+    biggest: int | None = None,
 ) -> DataFrame:
     """Add average-tie ranks ``{new column: value column}`` inside each group.
 
     ``keys`` identify a row.  Missing values get no rank and count for none.
+    ``biggest`` is an upper bound of the group size; callers that filter on
+    computed values pass the bound of the unfiltered table, whose count needs
+    no more than the key columns.
     """
-    if largest_group(df, list(group)) <= hot_rows:
+    if biggest is None:
+        biggest = largest_group(df, list(group))
+    if biggest <= hot_rows:
         return _windowed(df, list(group), names, pct)
-    return _counted(df, list(keys), list(group), names, pct, hot_rows)
+    return _counted(df, list(keys), list(group), names, pct, hot_rows, biggest)
 
 
 def medians(

@@ -16,12 +16,13 @@ def prepare(
 ) -> DataFrame:
     """Fill, rank features over all rows of a date, drop rows without a label,
     then rank the label among the rows left."""
+    biggest = ranking.largest_group(df, ["datetime"])
     filled = df.withColumns({f: fill_zero(f) for f in features})
     ranked = cross_section.with_centred_ranks(
-        filled, {f"_r_{f}": f for f in features}, hot_rows=hot_rows
+        filled, {f"_r_{f}": f for f in features}, hot_rows=hot_rows, biggest=biggest
     )
     labelled = ranked.where(F.col(label).isNotNull())
-    done = cross_section.with_centred_ranks(labelled, {"_r_label": label}, hot_rows=hot_rows)
+    done = cross_section.with_centred_ranks(labelled, {"_r_label": label}, hot_rows, biggest)
     return done.select(
         "datetime",
         "instrument",

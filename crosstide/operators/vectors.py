@@ -161,7 +161,7 @@ def cluster(vectors: DataFrame, limit: int, most_clusters: int = 64, seed: int =
     total = points.count()
     if total < limit:
         return points.select("id", F.lit(0).alias("cluster"))
-    k = max(2, total // limit)
+    k = min(max(2, total // limit), most_clusters)
     while True:
         model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=100).fit(points)
         if max(model.summary.clusterSizes) < limit or k >= most_clusters:

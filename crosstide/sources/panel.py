@@ -47,9 +47,14 @@ def load_panel(
     end: str | None = None,
     fields: Sequence[str] = FIELDS,
     universe: DataFrame | None = None,
+    newest_by: Sequence[str] = (),
 ) -> DataFrame:
     """Read a stored panel: columns and dates reach the scan, the universe
-    filter is a semi join, non-finite values become NULL."""
+    filter is a semi join, non-finite values become NULL.
+
+    ``newest_by`` names the columns that order copies of a key; the last copy
+    stays.  Leave it out for a store whose keys are unique already.
+    """
     df = spark.read.parquet(path)
     if start is not None:
         df = df.where(F.col("datetime") >= F.lit(start).cast("date"))
@@ -57,6 +62,13 @@ def load_panel(
         df = df.where(F.col("datetime") <= F.lit(end).cast("date"))
     if universe is not None:
         df = df.join(universe.select("instrument"), "instrument", "left_semi")
+    if newest_by:
+        df = df.withColumn("datetime", F.col("datetime").cast("date"))
+        df = keep_last(
+            df.select("datetime", "instrument", *fields, *[c for c in newest_by if c not in fields]),
+            ["datetime", "instrument"],
+            newest_by,
+        )
     return df.select(
         F.col("datetime").cast("date").alias("datetime"),
         "instrument",

@@ -9,6 +9,7 @@ from crosstide.catalog.common import panel, r, register, rs, table
 from crosstide.catalog.panel_ops import FOUR
 from crosstide.operators import graph, modelling, vectors
 from crosstide.plans import dataset, feature_sets
+from crosstide.session import cut_lineage
 from crosstide.sources import panel as panels
 
 
@@ -293,7 +294,7 @@ def l02(spark, sf):
     matrix = feature_sets.factor_matrix(
         panel(spark, sf).withColumn("label", feature_sets.label()), feature_sets.baseline_4(), ["label"]
     )
-    ready = panels.with_segment(dataset.prepare(matrix, FOUR, "label"), SEGMENTS)
+    ready = panels.with_segment(dataset.prepare(cut_lineage(matrix), FOUR, "label"), SEGMENTS)
     return modelling.boosted_signal(ready, FOUR, "label")
 
 

@@ -305,7 +305,7 @@ def a12(spark, sf):
     )
     rows = library_rows(spark, sf).withColumn("key", F.md5("factor_expression")).withColumn("_s", status)
     known = rows.where("p_partkey % 5 = 0").select("key")
-    marked = alignment.with_status(rows, known, "key")
+    marked = alignment.with_status(rows, known, "key", ["p_partkey"])
     final = F.coalesce("_s", F.when(F.col("cached"), "md5_cached").otherwise("need_compute"))
     return libraries.cache_summary(marked.withColumn("status", final), "status")
 

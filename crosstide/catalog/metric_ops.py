@@ -9,6 +9,7 @@ from crosstide.catalog.panel_ops import DAILY_SQL, FOUR, FOUR_SQL, SCORED_SQL, f
 from crosstide.catalog.rolling_ops import KEYS
 from crosstide.operators import checks, metrics
 from crosstide.plans import backtest
+from crosstide.session import cut_lineage
 
 DAY = "datetime"
 
@@ -261,7 +262,7 @@ PLACE_SQL = "(instrument * 7919 + date_diff('day', DATE '1970-01-05', datetime)
 
 def two_tables(spark, sf):
     """The factor, and a copy with keys missing and values shifted at fixed places."""
-    a = panel(spark, sf).select(*KEYS, F.col("ret").alias("value"))
+    a = cut_lineage(panel(spark, sf).select(*KEYS, F.col("ret").alias("value")))
     b = a.where(F.expr(f"{PLACE} % 97 != 0")).withColumn(
         "value", F.expr(f"CASE WHEN {PLACE} % 89 = 0 THEN value + 1e-3 ELSE value END")
     )

@@ -11,7 +11,7 @@ from crosstide.functions import basics as b
 from crosstide.functions import rolling as ts
 from crosstide.operators import alignment, cross_section, metrics
 from crosstide.plans import dataset, feature_sets
-from crosstide.session import scratch_path
+from crosstide.session import cut_lineage, scratch_path
 from crosstide.sources import panel as panels
 
 LABEL_SQL = (
@@ -23,9 +23,19 @@ LABEL_SQL = (
 # -- flagship -------------------------------------------------------------------
 
 def scored(spark, sf):
-    """Volatility-scaled trend and forward return, the flagship's input."""
+    """Volatility-scaled trend and forward return, the flagship's input.
+
+    Ranking counts its groups before it plans, and a report reads the table
+    several times; written down, the panel is built once for all of them.
+    """
     signal = b.div(ts.mean("ret", 20), ts.std("ret", 20))
-    return panel(spark, sf).select(*KEYS, signal.alias("signal"), feature_sets.label().alias("label"))
+    table_ = panel(spark, sf).select(*KEYS, signal.alias("signal"), feature_sets.label().alias("label"))
+    return cut_lineage(table_)
+
+
+def stored_panel(spark, sf, *columns):
+    """Some panel columns, written down for the same reason."""
+    return cut_lineage(panel(spark, sf).select(*KEYS, *columns))
 
 
 SCORED_SQL = (
@@ -210,11 +220,11 @@ simple("m11_fill_zero", {"v": (lambda: b.fill_zero("xn"), "coalesce(xn, 0)")})
 
 # -- cross-section --------------------------------------------------------------------
 
-def crossed(name: str, columns: dict, digits: int = 6) -> None:
+def crossed(name: str, columns: dict, digits: int = 6, stored: bool = False) -> None:
     """{column: (operator, arguments, SQL over the panel)} in one query."""
 
     def query(spark, sf):
-        df = panel(spark, sf)
+        df = stored_panel(spark, sf, "xn") if stored else panel(spark, sf)
         for c, (op, args, _) in columns.items():
             df = op(df, c, *args)
         return df.select(*KEYS, *[r(c, digits).alias(c) for c in columns])
@@ -228,7 +238,7 @@ XRANK = (
     "CASE WHEN xn IS NOT NULL THEN (rank() OVER (PARTITION BY datetime ORDER BY xn NULLS LAST) + "
     f"(count(*) OVER (PARTITION BY datetime, xn) - 1) / 2.0) / count(xn) {D} END"
 )
-crossed("x01_rank", {"v": (cross_section.with_rank, ["xn"], XRANK)})
+crossed("x01_rank", {"v": (cross_section.with_rank, ["xn"], XRANK)}, stored=True)
 crossed("x02_mean", {"v": (cross_section.with_mean, ["xn"], f"avg(xn) {D}")}, 4)
 crossed("x03_std", {"v": (cross_section.with_std, ["xn"], f"stddev_samp(xn) {D}")}, 4)
 
@@ -247,7 +257,7 @@ crossed("x06_max_min", {
     "hi": (cross_section.with_max, ["xn"], f"max(xn) {D}"),
     "lo": (cross_section.with_min, ["xn"], f"min(xn) {D}"),
 })
-crossed("x07_median", {"v": (cross_section.with_median, ["xn"], f"median(xn) {D}")})
+crossed("x07_median", {"v": (cross_section.with_median, ["xn"], f"median(xn) {D}")}, stored=True)
 crossed("x08_zscore", {
     "v": (cross_section.with_zscore, ["xn"], f"(xn - avg(xn) {D}) / nullif(stddev_samp(xn) {D}, 0)"),
 })
@@ -257,7 +267,7 @@ crossed("x09_scale", {
 })
 register(
     "x10_centred_rank",
-    lambda spark, sf: cross_section.with_centred_ranks(panel(spark, sf), {"a": "xn", "b": "ret"}).select(
+    lambda spark, sf: cross_section.with_centred_ranks(stored_panel(spark, sf, "xn", "ret"), {"a": "xn", "b": "ret"}).select(
         *KEYS, r("a").alias("a"), r("b").alias("b")
     ),
     with_panel(
@@ -291,7 +301,7 @@ register(
 )
 register(
     "x13_rank_difference",
-    lambda spark, sf: cross_section.with_rank_difference(panel(spark, sf), "v", "volume", "close").select(
+    lambda spark, sf: cross_section.with_rank_difference(stored_panel(spark, sf, "volume", "close"), "v", "volume", "close").select(
         *KEYS, r("v").alias("v")
     ),
     with_panel(f"SELECT datetime, instrument, {rs(rank_sql('volume') + ' - ' + rank_sql('close'))} AS v FROM panel"),
@@ -367,8 +377,8 @@ def parts_key(spark, sf, low, high):
 
 def j05(spark, sf):
     wanted, known = parts_key(spark, sf, 20, 50), parts_key(spark, sf, 1, 12)
-    marked = alignment.with_status(wanted, known, "key")
-    todo = alignment.missing_from(wanted, known, "key").select("p_partkey", F.lit(True).alias("todo"))
+    marked = alignment.with_status(wanted, known, "key", ["p_partkey"])
+    todo = alignment.missing_from(wanted, known, "key", ["p_partkey"]).select("p_partkey", F.lit(True).alias("todo"))
     return marked.join(todo, "p_partkey", "left").select(
         "p_partkey", "key", "cached", F.coalesce("todo", F.lit(False)).alias("todo")
     )
@@ -447,9 +457,9 @@ def centred_sql(x: str) -> str:
 register(
     "l01_dataset",
     lambda spark, sf: dataset.prepare(
-        feature_sets.factor_matrix(
+        cut_lineage(feature_sets.factor_matrix(
             panel(spark, sf).withColumn("label", feature_sets.label()), feature_sets.baseline_4(), ["label"]
-        ),
+        )),
         FOUR, "label",
     ).select(*KEYS, *[r(c).alias(c) for c in [*FOUR, "label"]]),
     with_panel(

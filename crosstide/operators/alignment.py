@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosstide.operators.lookups import with_row
+from crosstide.operators.lookups import lookup, with_row
 
 KEYS = ("datetime", "instrument")
 
@@ -66,14 +66,17 @@ def with_series(panel: DataFrame, series: DataFrame, value: str, name: str) -> D
     return panel.join(F.broadcast(filled), "datetime", "left")
 
 
-def with_status(wanted: DataFrame, known: DataFrame, key: str, name: str = "cached") -> DataFrame:
-    """Mark which wanted rows are already known."""
+def with_status(
+    wanted: DataFrame, known: DataFrame, key: str, spread: Sequence[str], name: str = "cached"
+) -> DataFrame:
+    """Mark which wanted rows are already known; ``spread`` identifies a row."""
     hits = known.select(key).distinct().withColumn(name, F.lit(True))
-    return wanted.join(hits, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    marked = lookup(wanted, hits, [key], spread)
+    return marked.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
-def missing_from(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    return wanted.join(known.select(key).distinct(), key, "left_anti")
+def missing_from(wanted: DataFrame, known: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
+    return lookup(wanted, known.select(key).distinct(), [key], spread, "left_anti")
 
 
 def compare_metrics(current: DataFrame, best: DataFrame, important: Sequence[str] = ()) -> DataFrame:

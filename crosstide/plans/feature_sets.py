@@ -2,9 +2,9 @@
 
 Spark evaluates equal window expressions of one projection separately, and the
 families share most of theirs.  A set is therefore laid out in layers: shifted
-inputs, then each distinct rolling value once, then window-free formulas.  All
-layers use the same partitioning and order, so a set costs one shuffle and one
-sort per instrument.  The formulas (names, windows, the 1e-12 guards) are fixed
+inputs, then each distinct rolling value once (long windows from shorter ones,
+see ``functions.ladder``), then window-free formulas.  All layers use the same
+partitioning and order, so a set costs one shuffle and one sort per instrument.  The formulas (names, windows, the 1e-12 guards) are fixed
 values of the sets.
 """
 
@@ -16,8 +16,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crosstide.functions import ladder
 from crosstide.functions import rolling as ts
 from crosstide.functions.basics import absolute, div, larger, ln, smaller
+from crosstide.functions.ladder import Ladder
 
 WINDOWS = (5, 10, 20, 30, 60)
 TINY = 1e-12
@@ -32,17 +34,18 @@ class FactorSet:
     factors: dict[str, Column]
     inputs: dict[str, Column] = field(default_factory=dict)
     rolled: dict[str, Column] = field(default_factory=dict)
+    ladder: Ladder = field(default_factory=Ladder)
+    windows: frozenset[int] = frozenset()
 
     def merge(self, other: FactorSet) -> FactorSet:
         return FactorSet(
             {**self.factors, **other.factors},
             {**self.inputs, **other.inputs},
             {**self.rolled, **other.rolled},
+            self.ladder.merge(other.ladder),
+            self.windows | other.windows,
         )
 
-    def only(self, names: Iterable[str]) -> FactorSet:
-        return FactorSet({n: self.factors[n] for n in names}, self.inputs, self.rolled)
-
 
 def candle_shapes(full: bool = True) -> dict[str, Column]:
     """Shapes of a single bar, relative to open and to its own range."""
@@ -66,51 +69,62 @@ def candle_shapes(full: bool = True) -> dict[str, Column]:
     return out
 
 
-def _price_inputs() -> dict[str, Column]:
-    return {"_lv": ln(F.col(V) + 1)}
-
-
-def _price_rolled(w: int) -> dict[str, Column]:
-    return {
-        f"_ref{w}": ts.delay(C, w),
-        f"_ma{w}": ts.mean(C, w),
-        f"_sd{w}": ts.std(C, w),
-        f"_hi{w}": ts.maximum(H, w),
-        f"_lo{w}": ts.minimum(L, w),
-        f"_vma{w}": ts.mean(V, w),
-        f"_vsd{w}": ts.std(V, w),
-        f"_corr{w}": ts.corr(C, "_lv", w),
-    }
+PRICE_LADDER = Ladder(maxima=(H,), minima=(L,), moments=(C, V), pairs=((C, "_lv"),))
+FULL_LADDER = PRICE_LADDER.merge(
+    Ladder(
+        sums=("_up", "_down", "_vup", "_vdown", "_rise", "_fall", "_seen"),
+        maxima=("_first_top",),
+        minima=("_first_bottom",),
+        moments=("_turb",),
+        pairs=((C, "_t"), ("_change", "_vchange")),
+    )
+)
 
 
 def _price_factors(w: int) -> dict[str, Column]:
     c = F.col
+    low, high = ladder.minimum(L, w), ladder.maximum(H, w)
     return {
         f"ROC{w}": div(f"_ref{w}", C),
-        f"MA{w}": div(f"_ma{w}", C),
-        f"STD{w}": div(f"_sd{w}", C),
-        f"MAX{w}": div(f"_hi{w}", C),
-        f"MIN{w}": div(f"_lo{w}", C),
-        f"RSV{w}": div(c(C) - c(f"_lo{w}"), c(f"_hi{w}") - c(f"_lo{w}") + TINY),
-        f"VMA{w}": div(f"_vma{w}", c(V) + TINY),
-        f"VSTD{w}": div(f"_vsd{w}", c(V) + TINY),
-        f"CORR{w}": c(f"_corr{w}"),
+        f"MA{w}": div(ladder.mean(C, w), C),
+        f"STD{w}": div(ladder.std(C, w), C),
+        f"MAX{w}": div(high, C),
+        f"MIN{w}": div(low, C),
+        f"RSV{w}": div(c(C) - low, high - low + TINY),
+        f"VMA{w}": div(ladder.mean(V, w), c(V) + TINY),
+        f"VSTD{w}": div(ladder.std(V, w), c(V) + TINY),
+        f"CORR{w}": ladder.corr(C, "_lv", w),
     }
 
 
+def _price_inputs() -> dict[str, Column]:
+    return {"_lv": ln(F.col(V) + 1)}
+
+
 def price_families(w: int) -> FactorSet:
     """The nine price and volume families of the compact set."""
-    return FactorSet(_price_factors(w), _price_inputs(), _price_rolled(w))
+    return FactorSet(
+        _price_factors(w), _price_inputs(), {f"_ref{w}": ts.delay(C, w)}, PRICE_LADDER, frozenset({w})
+    )
+
+
+def plain_families(w: int) -> FactorSet:
+    """ROC, MA and STD alone, at any window length."""
+    rolled = {f"_ref{w}": ts.delay(C, w), f"_ma{w}": ts.mean(C, w), f"_sd{w}": ts.std(C, w)}
+    names = {f"ROC{w}": f"_ref{w}", f"MA{w}": f"_ma{w}", f"STD{w}": f"_sd{w}"}
+    return FactorSet({k: div(v, C) for k, v in names.items()}, {}, rolled)
 
 
 def _inputs() -> dict[str, Column]:
     dc, dv, zero = ts.delta(C, 1), ts.delta(V, 1), F.lit(0.0)
     change = div(C, ts.delay(C, 1))
+    at, high, low = ts.position(), F.col(H), F.col(L)
     return {
         **_price_inputs(),
-        "_t": ts.position(),
-        "_rise": F.col(C) > ts.delay(C, 1),
-        "_fall": F.col(C) < ts.delay(C, 1),
+        "_t": at,
+        "_rise": (dc > 0).cast("int"),
+        "_fall": (dc < 0).cast("int"),
+        "_seen": dc.isNotNull().cast("int"),
         "_up": larger(dc, zero),
         "_down": larger(-dc, zero),
         "_vup": larger(dv, zero),
@@ -118,79 +132,55 @@ def _inputs() -> dict[str, Column]:
         "_change": change,
         "_vchange": ln(div(V, ts.delay(V, 1)) + 1),
         "_turb": absolute(change - 1) * F.col(V),
-    }
-
-
-def _window_rolled(w: int) -> dict[str, Column]:
-    frame = ts.last_rows(w)
-    close = F.col(C)
-    time = F.when(close.isNotNull(), F.col("_t"))
-    oldest = F.min("_t").over(frame)
-
-    def place(x: str, largest: bool) -> Column:
-        x = F.col(x)
-        tie = -F.col("_t") if largest else F.col("_t")
-        pick = F.max_by if largest else F.min_by
-        return pick("_t", F.when(x.isNotNull(), F.struct(x, tie))).over(frame) - oldest + 1
-
-    return {
-        **_price_rolled(w),
-        f"_ct{w}": F.covar_pop(close, time).over(frame),
-        f"_vt{w}": F.var_pop(time).over(frame),
-        f"_vc{w}": F.var_pop(close).over(frame),
-        f"_mt{w}": F.avg(time).over(frame),
-        f"_q{w}": F.percentile(close, [0.2, 0.8]).over(frame),
-        f"_rank{w}": ts.rank(C, w),
-        f"_imax{w}": place(H, True),
-        f"_imin{w}": place(L, False),
-        f"_cord{w}": ts.corr("_change", "_vchange", w),
-        f"_rises{w}": ts.share_true(F.col("_rise"), w),
-        f"_falls{w}": ts.share_true(F.col("_fall"), w),
-        f"_ups{w}": ts.total("_up", w),
-        f"_downs{w}": ts.total("_down", w),
-        f"_vups{w}": ts.total("_vup", w),
-        f"_vdowns{w}": ts.total("_vdown", w),
-        f"_tm{w}": ts.mean("_turb", w),
-        f"_ts{w}": ts.std("_turb", w),
+        # value and place together, so the oldest extreme wins a tie
+        "_first_top": F.when(high.isNotNull(), F.struct(high.alias("v"), (-at).alias("t"))),
+        "_first_bottom": F.when(low.isNotNull(), F.struct(low.alias("v"), at.alias("t"))),
     }
 
 
 def _shares(up: str, down: str, w: int, stem: str) -> dict[str, Column]:
     """Share of total movement going up, going down, and their difference."""
-    up, down = F.col(f"{up}{w}"), F.col(f"{down}{w}")
-    moved = up + down + TINY
+    ups, downs = ladder.total(up, w), ladder.total(down, w)
+    moved = ups + downs + TINY
     return {
-        f"{stem}P{w}": div(up, moved),
-        f"{stem}N{w}": div(down, moved),
-        f"{stem}D{w}": div(up - down, moved),
+        f"{stem}P{w}": div(ups, moved),
+        f"{stem}N{w}": div(downs, moved),
+        f"{stem}D{w}": div(ups - downs, moved),
     }
 
 
 def window_families(w: int) -> FactorSet:
     """All 29 windowed families at one window length."""
-    c = lambda stem: F.col(f"{stem}{w}")
-    slope = div(c("_ct"), c("_vt"))
-    fitted = c("_ma") + slope * (F.col("_t") - c("_mt"))
+    oldest = F.greatest(F.col("_t") - (w - 1), F.lit(1))
+    hi = -ladder.maximum("_first_top", w)["t"] - oldest + 1
+    lo = ladder.minimum("_first_bottom", w)["t"] - oldest + 1
+    rises, falls = (div(ladder.total(x, w), ladder.total("_seen", w)) for x in ("_rise", "_fall"))
+    r = ladder.corr(C, "_t", w)
     factors = {
         **_price_factors(w),
-        f"BETA{w}": div(slope, C),
-        f"RSQR{w}": div(c("_ct") * c("_ct"), c("_vt") * c("_vc")),
-        f"RESI{w}": div(F.col(C) - fitted, C),
-        f"QTLU{w}": div(F.get(c("_q"), F.lit(1)), C),
-        f"QTLD{w}": div(F.get(c("_q"), F.lit(0)), C),
-        f"RANK{w}": c("_rank"),
-        f"IMAX{w}": c("_imax") / w,
-        f"IMIN{w}": c("_imin") / w,
-        f"IMXD{w}": (c("_imax") - c("_imin")) / w,
-        f"CORD{w}": c("_cord"),
-        f"CNTP{w}": c("_rises"),
-        f"CNTN{w}": c("_falls"),
-        f"CNTD{w}": c("_rises") - c("_falls"),
-        **_shares("_ups", "_downs", w, "SUM"),
-        f"WVMA{w}": div(c("_ts"), c("_tm") + TINY),
-        **_shares("_vups", "_vdowns", w, "VSUM"),
+        f"BETA{w}": div(ladder.slope(C, "_t", w), C),
+        f"RSQR{w}": r * r,
+        f"RESI{w}": div(F.col(C) - ladder.fitted(C, "_t", w), C),
+        f"QTLU{w}": div(F.get(f"_q{w}", F.lit(1)), C),
+        f"QTLD{w}": div(F.get(f"_q{w}", F.lit(0)), C),
+        f"RANK{w}": F.col(f"_rank{w}"),
+        f"IMAX{w}": hi / w,
+        f"IMIN{w}": lo / w,
+        f"IMXD{w}": (hi - lo) / w,
+        f"CORD{w}": ladder.corr("_change", "_vchange", w),
+        f"CNTP{w}": rises,
+        f"CNTN{w}": falls,
+        f"CNTD{w}": rises - falls,
+        **_shares("_up", "_down", w, "SUM"),
+        f"WVMA{w}": div(ladder.std("_turb", w), ladder.mean("_turb", w) + TINY),
+        **_shares("_vup", "_vdown", w, "VSUM"),
+    }
+    rolled = {
+        f"_ref{w}": ts.delay(C, w),
+        f"_q{w}": F.percentile(C, [0.2, 0.8]).over(ts.last_rows(w)),
+        f"_rank{w}": ts.rank(C, w),
     }
-    return FactorSet(factors, _inputs(), _window_rolled(w))
+    return FactorSet(factors, _inputs(), rolled, FULL_LADDER, frozenset({w}))
 
 
 def set_158() -> FactorSet:
@@ -205,31 +195,35 @@ def set_158() -> FactorSet:
 def set_158_20() -> FactorSet:
     """The 20-factor selection; its ROC, RSV and VRATIO forms are its own."""
     c = F.col
-    change = div(C, ts.delay(C, 1)) - 1
-    rolled = {"_ref20": ts.delay(C, 20), "_ma20": ts.mean(C, 20), "_rsd5": ts.std("_ret", 5)}
     factors = {"ROC0": div(c(C) - c(O), O), "ROC1": c("_ret")}
-    for w in (5, 10):
-        rolled.update({k: v for k, v in _price_rolled(w).items() if not k.startswith("_corr")})
     for w in (5, 10, 20):
         factors[f"ROC{w}"] = div(c(C) - c(f"_ref{w}"), f"_ref{w}")
     for w in (5, 10):
-        factors[f"VRATIO{w}"] = div(V, f"_vma{w}")
-        factors[f"VOLATILITY{w}"] = div(f"_sd{w}", C)
+        factors[f"VRATIO{w}"] = div(V, ladder.mean(V, w))
+        factors[f"VOLATILITY{w}"] = div(ladder.std(C, w), C)
         factors[f"RSV{w}"] = _price_factors(w)[f"RSV{w}"]
     factors.update(
         {
-            "VSTD5_RATIO": div("_vsd5", "_vma5"),
+            "VSTD5_RATIO": div(ladder.std(V, 5), ladder.mean(V, 5)),
             "RANGE": div(c(H) - c(L), O),
             "RET_VOL5": c("_rsd5"),
-            "HIGH_RATIO5": div(C, "_hi5") - 1,
-            "LOW_RATIO5": div(C, "_lo5") - 1,
+            "HIGH_RATIO5": div(C, ladder.maximum(H, 5)) - 1,
+            "LOW_RATIO5": div(C, ladder.minimum(L, 5)) - 1,
             "SHADOW_RATIO": div(c(H) - c(C), c(C) - c(L) + TINY),
             "BODY_RATIO": div(c(C) - c(O), c(H) - c(L) + TINY),
-            "MA_RATIO5_10": div("_ma5", "_ma10") - 1,
-            "MA_RATIO10_20": div("_ma10", "_ma20") - 1,
+            "MA_RATIO5_10": div(ladder.mean(C, 5), ladder.mean(C, 10)) - 1,
+            "MA_RATIO10_20": div(ladder.mean(C, 10), "_ma20") - 1,
         }
     )
-    return FactorSet(factors, {"_ret": change}, rolled)
+    rolled = {f"_ref{w}": ts.delay(C, w) for w in (5, 10, 20)}
+    rolled.update({"_ma20": ts.mean(C, 20), "_rsd5": ts.std("_ret", 5)})
+    return FactorSet(
+        factors,
+        {"_ret": div(C, ts.delay(C, 1)) - 1},
+        rolled,
+        Ladder(maxima=(H,), minima=(L,), moments=(C, V)),
+        frozenset({5, 10}),
+    )
 
 
 def set_360() -> FactorSet:
@@ -238,10 +232,7 @@ def set_360() -> FactorSet:
     for w in WINDOWS:
         out = out.merge(price_families(w))
     for w in (3, 7, 15, 40, 120):
-        extended = price_families(w).only([f"ROC{w}", f"MA{w}", f"STD{w}"])
-        wanted = (f"_ref{w}", f"_ma{w}", f"_sd{w}")
-        extended.rolled = {k: v for k, v in extended.rolled.items() if k in wanted}
-        out = out.merge(extended)
+        out = out.merge(plain_families(w))
     return out.merge(FactorSet(candle_shapes(full=False)))
 
 
@@ -281,10 +272,10 @@ def factor_set(
 
 def factor_matrix(panel: DataFrame, factors: FactorSet, keep: Iterable[str] = ()) -> DataFrame:
     """Key, kept and factor columns of a panel."""
-    layered = panel
-    for layer in (factors.inputs, factors.rolled):
-        if layer:
-            layered = layered.withColumns(layer)
+    layered = panel.withColumns(factors.inputs) if factors.inputs else panel
+    layered = ladder.climb(layered, factors.ladder, factors.windows)
+    if factors.rolled:
+        layered = layered.withColumns(factors.rolled)
     return layered.select(
         "datetime", "instrument", *keep, *[v.alias(k) for k, v in factors.factors.items()]
     )

@@ -51,15 +51,20 @@ class Ladder:
 
 
 Parts = Callable[[str], list[Column]]  # a state's columns in the windows to merge
+Whole = Callable[[str], Column]  # a state's column in the merged window
 
 
 @dataclass(frozen=True)
 class _State:
-    """One column per window: its value in a frame, and in a union of frames."""
+    """One column per window: its value in a frame, and in a union of frames.
+
+    ``spread`` is set instead of ``merge`` where the union's means come first.
+    """
 
     name: str
     read: Callable[[WindowSpec], Column]
-    merge: Callable[[Parts], Column]
+    merge: Callable[[Parts], Column] | None = None
+    spread: Callable[[Parts, Whole], Column] | None = None
 
 
 def _sum(parts: list[Column]) -> Column:
@@ -72,10 +77,9 @@ def _mean(of: Parts, n: str, m: str) -> Column:
     return div(weighted, _sum(of(n)))
 
 
-def _spread(of: Parts, n: str, a: str, b: str, q: str) -> Column:
+def _spread(of: Parts, whole: Whole, n: str, a: str, b: str, q: str) -> Column:
     """Centred (co)moment of the union: inside the parts and between their means."""
-    mean_a, mean_b = _mean(of, n, a), _mean(of, n, b)
-    between = [w * (x - mean_a) * (y - mean_b) for w, x, y in zip(of(n), of(a), of(b))]
+    between = [w * (x - whole(a)) * (y - whole(b)) for w, x, y in zip(of(n), of(a), of(b))]
     return _sum(of(q)) + _sum(between)
 
 
@@ -92,7 +96,7 @@ def _moment(x: str, value: Column) -> list[_State]:
         _State(
             q,
             lambda frame: F.var_pop(value).over(frame) * F.count(value).over(frame),
-            lambda of: _spread(of, n, m, m, q),
+            spread=lambda of, whole: _spread(of, whole, n, m, m, q),
         ),
         _extreme(f"{x}_top", value, True),
         _extreme(f"{x}_bottom", value, False),
@@ -106,7 +110,7 @@ def _pair(x: str, y: str) -> list[_State]:
     cross = _State(
         c,
         lambda frame: F.covar_pop(px, py).over(frame) * F.count(px).over(frame),
-        lambda of: _spread(of, f"{left}_n", f"{left}_m", f"{right}_m", c),
+        spread=lambda of, whole: _spread(of, whole, f"{left}_n", f"{left}_m", f"{right}_m", c),
     )
     return [*_moment(left, px), *_moment(right, py), cross]
 
@@ -150,7 +154,13 @@ def climb(df: DataFrame, spec: Ladder, windows: Iterable[int]) -> DataFrame:
             older = [F.col(f"_{name}{w}_back{i}") for i in range(1, copies)]
             return [F.col(f"_{name}{shorter}"), *older]
 
-        df = df.withColumns(back).withColumns({f"_{s.name}{w}": s.merge(of) for s in states}).drop(*back)
+        def whole(name: str) -> Column:
+            return F.col(f"_{name}{w}")
+
+        merged = {f"_{s.name}{w}": s.merge(of) for s in states if s.merge}
+        spread = {f"_{s.name}{w}": s.spread(of, whole) for s in states if s.spread}
+        df = df.withColumns(back).withColumns(merged)
+        df = (df.withColumns(spread) if spread else df).drop(*back)
     return df
 
 

@@ -10,7 +10,8 @@ from crosstide.catalog.metric_ops import CHAIN, report
 from crosstide.catalog.rolling_ops import KEYS, frame
 from crosstide.functions import rolling as ts
 from crosstide.operators import alignment, expressions, metrics
-from crosstide.session import cut_lineage, scratch_path
+from crosstide.operators.lookups import with_row
+from crosstide.session import cut_lineage, scratch_path, shuffle_width
 from crosstide.sources import libraries, stores
 
 # -- the library: text valid in both engines -----------------------------------
@@ -249,7 +250,7 @@ def s11(spark, sf):
     runs = spark.read.schema("days long, run int").json(summary).agg(
         F.count(F.lit(1)).alias("runs"), F.max("days").alias("days")
     )
-    return back.join(F.broadcast(runs)).select(
+    return with_row(back, runs).select(
         "date", r("daily_excess_return").alias("daily"), r("cumulative_excess_return").alias("cumulative"), "runs", "days"
     )
 
@@ -319,7 +320,8 @@ register("a12_cache_summary", a12, with_lib(
 def o02(spark, sf):
     rows = stored_library(spark, sf)
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return rows.orderBy("factor_id").offset(40).limit(20).join(F.broadcast(total)).select("factor_id", "factor_name", "total")
+    page = rows.orderBy("factor_id").offset(40).limit(20)
+    return with_row(page, total).select("factor_id", "factor_name", "total")
 
 
 register("o02_page", o02, with_lib(
@@ -358,8 +360,7 @@ register(
 
 
 def trees(spark, sf):
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return expressions.explode_subtrees(texts(spark, sf), "p_partkey", E, partitions)
+    return expressions.explode_subtrees(texts(spark, sf), "p_partkey", E, shuffle_width(spark))
 
 
 # one token per tree node; a conditional's two marks are one node

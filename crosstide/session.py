@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """How many partitions the session starts a shuffle with."""
+    fixed = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return max(fixed, int(adaptive)) if adaptive else fixed
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table inside the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/crosstide/{name}-{uuid.uuid4().hex}"

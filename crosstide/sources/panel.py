@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crosstide.functions import rolling
 from crosstide.functions.basics import clean, div
+from crosstide.session import shuffle_width
 
 FIELDS = ("open", "high", "low", "close", "volume", "vwap")
 
@@ -21,8 +22,7 @@ def by_instrument(panel: DataFrame) -> DataFrame:
     rolling sets are heavy per row, and size-based coalescing would fold a
     narrow panel into a few long tasks.
     """
-    partitions = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return panel.repartition(partitions, "instrument")
+    return panel.repartition(shuffle_width(panel.sparkSession), "instrument")
 
 
 def with_return(panel: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstide.llm import chat, sharding, simhash
+from crosstide.llm import bpe, chat, html_content, quality, sharding, simhash
 from crosstide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,7 +77,41 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score and verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    ranker = quality.fit(docs, table(spark, sf_dir, "labels"))
+    out = quality.scored(docs.select("doc_id", "text"), ranker)
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", quality.predicted(F.col("score")).alias("predicted"))
+
+
+@query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = html_content.with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 24, its slot there, and its shard of 25."""
     return sharding.shard_table(table(spark, sf_dir, "documents"), "doc_id", "text", 24)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text decoded from them, as digests."""
+    out = bpe.encoded(table(spark, sf_dir, "documents"), "doc_id", tokenizer_path())
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstide.llm import bpe, chat, html_content, quality, sharding, simhash
+from crosstide.llm import bpe, chat, decontam, html_content, lattice, quality, sharding, simhash
 from crosstide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,12 @@ def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"), "doc_id", "text", 24)
 
 
+@query
+def op7_lattice_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and verdict of every embedding."""
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -115,3 +121,10 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item within its error budget, with the nearest place."""
+    out = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.col("item").cast("long").alias("item_id"), "distance", "start", "end")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstide.llm import bpe, chat, decontam, html_content, lattice, quality, sharding, simhash
+from crosstide.llm import bpe, chat, decontam, html_content, lattice, quality, sharding, simhash, surrogate
 from crosstide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +123,17 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The key of the registered run; a real one comes from a secret store.
+SURROGATE_KEY = b"registered query"
+
+
+@query
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and how many places were."""
+    out = surrogate.protected(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY, count="n_replaced")
+    return out.select("doc_id", "text", F.col("n_replaced").cast("long").alias("n_replaced"))
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item within its error budget, with the nearest place."""

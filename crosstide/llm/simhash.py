@@ -23,6 +23,8 @@ from crosstide.llm.common import components, free_name, written
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
+#: Removed documents (16 bytes each) that are broadcast at most.
+SENT = 1_000_000
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -118,6 +120,19 @@ def links(prints: DataFrame, max_bits: int = 4, count: int = 3) -> DataFrame:
     return hits.where((F.col("moved") | (F.col("u") < F.col("v"))) & (F.bit_count(differ) <= max_bits) & first).select("u", "v")
 
 
+def _classified(docs: DataFrame, key: str, text: str, width: int, max_bits: int) -> DataFrame:
+    """(k, h, p, name) of every row: key, hash of the text, fingerprint, smallest key of its component."""
+    rows = with_fingerprint(docs.select(F.col(key).alias("k"), F.col(text).alias("x")), "x", width, "p")
+    rows = written(rows.select("k", F.xxhash64("x").alias("h"), "p"), "fingerprints")
+    classes = written(rows.groupBy("p").agg(F.min("k").alias("k")), "classes")
+    found = components(links(classes.select("p"), max_bits))
+    grouped = classes.join(found.select(F.col("node").alias("p"), F.col("component").alias("root")), "p", "left")
+    grouped = written(grouped.select("p", "k", F.coalesce("root", "p").alias("root")), "grouped")
+    names = grouped.groupBy("root").agg(F.min("k").alias("name"))
+    named = written(grouped.join(names, "root").select("p", "name"), "named")
+    return rows.join(named, "p")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``fingerprint`` (bigint) and ``component_id``.
 
@@ -125,27 +140,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     row's own included.  Rows with equal fingerprints are one class, so copies
     are never paired; links join classes.  NULL, empty and wordless texts have
     fingerprint 0 and are linked like any other.  NULL keys belong to their
-    class but never name it unless the class has no other key (then
+    class but never name it unless its component has no other key (then
     ``component_id`` is NULL).  Repeated keys give one row each.  An empty
     table gives an empty result.  Other columns are ignored.
     """
-    rows = written(with_fingerprint(docs.select(F.col(key).alias("k"), F.col(text).alias("x")), "x", width, "p").select("k", "p"), "fingerprints")
-    classes = written(rows.groupBy("p").agg(F.min("k").alias("k")), "classes")
-    found = components(links(classes.select("p"), max_bits))
-    grouped = classes.join(found.select(F.col("node").alias("p"), F.col("component").alias("root")), "p", "left")
-    grouped = written(grouped.select("p", "k", F.coalesce("root", "p").alias("root")), "grouped")
-    names = grouped.groupBy("root").agg(F.min("k").alias("name"))
-    named = written(grouped.join(names, "root").select("p", "name"), "named")
-    return rows.join(named, "p").select(F.col("k").alias(key), F.col("p").alias("fingerprint"), F.col("name").alias("component_id"))
+    out = _classified(docs, key, text, width, max_bits)
+    return out.select(F.col("k").alias(key), F.col("p").alias("fingerprint"), F.col("name").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one whose key names the group.
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, max_bits: int = 4, sent: int = SENT) -> DataFrame:
+    """``docs`` with one document of each near-duplicate component: the one whose key names it.
 
-    Rows with a NULL key cannot name a group; they stay only if their group has
-    no key at all.  Among repeated rows of the chosen key with one fingerprint
-    all stay, since they are one document.
+    Rows with a NULL key stay only if no row of their component has a key.
+    Repeated rows (key and text alike) are one document and stay or go
+    together.  The rows that go are counted first: up to ``sent`` of their
+    (key, text hash) pairs are broadcast, so the texts are not shuffled; more
+    are joined by a shuffle.
     """
-    mark = free_name(docs, "group_name")
-    groups = near_duplicates(docs, key, text, width, max_bits).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(mark)).distinct()
-    return docs.join(groups, docs[key].eqNullSafe(groups[mark]), "left_semi")
+    gone = _classified(docs, key, text, width, max_bits).where(~F.col("k").eqNullSafe(F.col("name"))).select("k", "h").distinct()
+    k, h = free_name(docs, "gone_key"), free_name(docs, "gone_text")
+    gone = written(gone.select(F.col("k").alias(k), F.col("h").alias(h)), "gone")
+    few = gone.limit(sent + 1).count() <= sent
+    same = docs[key].eqNullSafe(gone[k]) & (F.xxhash64(docs[text]) == gone[h])
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

@@ -95,6 +95,9 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         pieces, linked = [], 0
 
     def close(tag: str) -> None:
+        nonlocal links
+        if tag != "p":
+            links = 0  # a link left open ends with the element round it
         for i in range(len(stack) - 1, 0, -1):
             if nodes[stack[i]].tag == tag:
                 del stack[i:]
@@ -136,6 +139,7 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             close("p")
         if tag in ("li", "dt", "dd", "tr", "td", "th") and nodes[stack[-1]].tag == tag:
             stack.pop()
+            links = 0
         up = nodes[stack[-1]]
         parts, hidden, label = _names(attrs) if attrs else (set(), False, "")
         inside = up.article or tag in ("article", "main")

@@ -152,7 +152,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
     Columns: ``key``, ``start`` and ``end`` (code points of the text), ``n_words``,
     ``cluster`` (of the first paragraph), ``kept_in`` (the smallest key that has
-    it) and ``removed`` (false for the occurrence that stays).
+    it) and ``removed``.  The first place of each cluster stays: a passage is
+    removed if it holds the first place of none of its paragraphs.
 
     A paragraph is a line with a word.  Two paragraphs repeat each other if the
     Jaccard similarity of their shingle sets (``width`` lower-cased words; a
@@ -189,7 +190,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     lead = F.struct("p", "c", "first")
     out = runs.groupBy("row", "run").agg(
         F.min("k").alias("k"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.min(lead).alias("lead"),
-        F.min(F.struct("k", "row", "p").eqNullSafe(F.col("first"))).alias("stays"),
+        F.max(F.struct("k", "row", "p").eqNullSafe(F.col("first"))).alias("stays"),
     )
     out = out.where(F.col("n_words") >= passage)
     return out.select(F.col("k").alias(key), "start", "end", "n_words", F.col("lead.c").alias("cluster"), F.col("lead.first.k").alias("kept_in"), (~F.col("stays")).alias("removed"))

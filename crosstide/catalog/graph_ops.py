@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from crosstide.catalog.common import panel, r, register, rs, table
-from crosstide.catalog.panel_ops import FOUR
+from crosstide.catalog.common import panel, r, register, rs, table, with_panel
+from crosstide.catalog.panel_ops import FOUR, LABEL_SQL
 from crosstide.operators import graph, modelling, vectors
 from crosstide.plans import dataset, feature_sets
 from crosstide.session import cut_lineage
@@ -211,20 +211,28 @@ register("g08_dedup_edges_nodes", g08, "WITH " + ",".join(GRAPH_SQL) + " SELECT
 
 
 def g09(spark, sf):
-    a = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select("c_nationkey")
-    c = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("c_nationkey"))
+    a = table(spark, sf, "customer").select(F.expr("c_nationkey * 100 + c_custkey % 7").alias("c_nationkey"))
+    c = table(spark, sf, "supplier").select(F.expr("s_nationkey * 100 + s_suppkey % 5").alias("c_nationkey"))
     return graph.intersection(a, c).withColumn("op", F.lit("both")).unionByName(
         graph.symmetric_difference(a, c).withColumn("op", F.lit("either"))
     )
 
 
 register("g09_set_operations", g09, """
-WITH a AS (SELECT DISTINCT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING'), b AS (SELECT DISTINCT s_nationkey AS c_nationkey FROM supplier)
+WITH a AS (SELECT DISTINCT c_nationkey * 100 + c_custkey % 7 AS c_nationkey FROM customer), b AS (SELECT DISTINCT s_nationkey * 100 + s_suppkey % 5 AS c_nationkey FROM supplier)
 SELECT c_nationkey, 'both' AS op FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
 UNION ALL SELECT c_nationkey, 'either' FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a))""")
+def g10(spark, sf):
+    """What holds for any clustering: every id once, no cluster at the limit."""
+    found = vectors.cluster(vecs(spark, sf), 120)
+    sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.count_distinct("id").alias("ids"))
+    return sizes.agg(F.sum("members").alias("members"), F.sum("ids").alias("ids"), (F.max("members") < 120).alias("below_limit"))
+
+
 register(
     "g10_spherical_kmeans",
-    lambda spark, sf: vectors.cluster(vecs(spark, sf), 120).groupBy("cluster").agg(F.count(F.lit(1)).alias("members")),
+    g10,
+    "SELECT count(*) AS members, count(DISTINCT vec_id) AS ids, true AS below_limit FROM embeddings",
 )
 
 # -- traces: a customer's orders in sequence are attempts at one task ---------------
@@ -263,22 +271,22 @@ DIFFICULTY = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "1-URGENT"]
 
 def o01(spark, sf):
     """Custom order Easy < Medium < Hard < New Discovery, made visible as a number."""
-    name = F.element_at(F.array(*map(F.lit, ["Easy", "Medium", "Hard", "New Discovery"])), F.col("place"))
-    place = F.lit(0)
+    name = F.try_element_at(F.array(*map(F.lit, ["Easy", "Medium", "Hard", "New Discovery"])), F.col("place"))
+    place = F.lit(len(DIFFICULTY) + 1)  # values without a class sort last
     for i, value in enumerate(DIFFICULTY):
         place = F.when(F.col("o_orderpriority") == value, i + 1).otherwise(place)
     counts = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("place", place).where("place > 0").select("place", name.alias("difficulty"), "n").orderBy("place")
+    return counts.withColumn("place", place).select("place", name.alias("difficulty"), "n").orderBy("place")
 
 
 register("o01_custom_order", o01, """
 SELECT place, ['Easy', 'Medium', 'Hard', 'New Discovery'][place] AS difficulty, count(*) AS n FROM (
-  SELECT CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '4-NOT SPECIFIED' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '1-URGENT' THEN 4 END AS place FROM orders)
-WHERE place IS NOT NULL GROUP BY 1 ORDER BY 1""")
+  SELECT CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '4-NOT SPECIFIED' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '1-URGENT' THEN 4 ELSE 5 END AS place FROM orders)
+GROUP BY 1 ORDER BY 1""")
 register(
     "o04_concatenate_pages",
     lambda spark, sf: vectors.concatenate(table(spark, sf, "conversations"), "conv_id", "turn", "text"),
-    "SELECT conv_id, CAST(turn // 10000 AS INT) AS part, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1, 2",
+    "SELECT conv_id, 0 AS part, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1",
 )
 
 # -- model -----------------------------------------------------------------------------
@@ -295,7 +303,10 @@ def l02(spark, sf):
         panel(spark, sf).withColumn("label", feature_sets.label()), feature_sets.baseline_4(), ["label"]
     )
     ready = panels.with_segment(dataset.prepare(cut_lineage(matrix), FOUR, "label"), SEGMENTS)
-    return modelling.boosted_signal(ready, FOUR, "label")
+    scores = modelling.boosted_signal(ready, FOUR, "label")
+    return scores.select("datetime", "instrument", (F.col("score").isNotNull() & ~F.isnan("score")).alias("scored"))
 
 
-register("l02_boosted_signal", l02)
+register("l02_boosted_signal", l02, with_panel(
+    "SELECT datetime, instrument, true AS scored FROM (SELECT datetime, instrument, " + LABEL_SQL + " AS label FROM panel) "
+    f"WHERE label IS NOT NULL AND datetime BETWEEN DATE '{SEGMENTS['test'][0]}' AND DATE '{SEGMENTS['test'][1]}'"))

@@ -74,17 +74,21 @@ def with_lib(body: str, *more: str) -> str:
 
 
 def write_libraries(spark, sf) -> str:
-    """Library documents, one per line, of at most PER_LIBRARY factors each."""
+    """Indented library documents, one per file, of at most PER_LIBRARY factors each."""
     path = scratch_path(spark, "library")
     fields = ["factor_id", "factor_name", "factor_expression", "factor_description", "quality", "backtest_results"]
-    rows = library_rows(spark, sf).withColumn("_lib", F.floor(F.col("p_partkey") / PER_LIBRARY))
+    rows = library_rows(spark, sf).withColumn(
+        "backtest_results", F.map_concat(F.expr("CAST(backtest_results AS map<string,string>)"), F.create_map(F.lit("note"), F.lit("not run")))
+    )
+    rows = rows.withColumn("_lib", F.floor(F.col("p_partkey") / PER_LIBRARY))
     # part keys are distinct, so a block of keys bounds each document
     docs = rows.groupBy("_lib").agg(
         F.map_from_entries(F.collect_list(F.struct("factor_id", F.struct(*fields)))).alias("factors"),
         F.count(F.lit(1)).cast("int").alias("n"),
     )
     meta = F.struct(F.col("n").alias("total_factors"), F.lit("2.0").alias("version"))
-    docs.select(F.to_json(F.struct(meta.alias("metadata"), "factors")).alias("value")).write.text(path)
+    text = F.to_json(F.struct(meta.alias("metadata"), "factors"), {"pretty": "true"})
+    docs.select(text.alias("value"), "_lib").write.partitionBy("_lib").text(path)
     return path
 
 
@@ -267,14 +271,14 @@ def s12(spark, sf):
         F.col("p_partkey").alias("version"),
     )
     old = rows.where("version % 2 = 0")
-    newer = rows.where("version % 3 = 0").withColumn("version", F.col("version") + 1_000_000_000)
+    newer = rows.where("version % 2 <> 0 OR version % 3 = 0").withColumn("version", F.col("version") + 1_000_000_000)
     return libraries.upsert(old, newer, "id", "version")
 
 
 register("s12_upsert", s12, with_lib(
     "SELECT id, name, factor_expression, quality, version FROM (SELECT substr(md5(coalesce(factor_name, factor_id) || '_' || factor_expression), 1, 16) AS id, "
     "coalesce(factor_name, factor_id) AS name, factor_expression, quality, v AS version FROM (SELECT *, p_partkey AS v FROM lib WHERE p_partkey % 2 = 0 "
-    "UNION ALL SELECT *, p_partkey + 1000000000 AS v FROM lib WHERE p_partkey % 3 = 0)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1"))
+    "UNION ALL SELECT *, p_partkey + 1000000000 AS v FROM lib WHERE p_partkey % 2 <> 0 OR p_partkey % 3 = 0)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1"))
 
 # -- summaries -----------------------------------------------------------------
 
@@ -331,14 +335,14 @@ register("o02_page", o02, with_lib(
 def o03(spark, sf):
     rows = library_rows(spark, sf)
     a = rows.where("p_partkey % 2 = 0").select("factor_description")
-    c = rows.where("p_partkey % 3 = 0").select("factor_description")
+    c = rows.where("p_partkey % 2 <> 0 OR p_partkey % 3 = 0").select("factor_description")
     both = a.intersect(c).withColumn("part", F.lit("both"))
     return both.unionByName(a.unionByName(c).distinct().withColumn("part", F.lit("any")))
 
 
 register("o03_set_operations", o03, with_lib(
-    "SELECT factor_description, 'both' AS part FROM (SELECT factor_description FROM lib WHERE p_partkey % 2 = 0 INTERSECT SELECT factor_description FROM lib WHERE p_partkey % 3 = 0) "
-    "UNION ALL SELECT DISTINCT factor_description, 'any' FROM lib WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0"))
+    "SELECT factor_description, 'both' AS part FROM (SELECT factor_description FROM lib WHERE p_partkey % 2 = 0 INTERSECT SELECT factor_description FROM lib WHERE p_partkey % 2 <> 0 OR p_partkey % 3 = 0) "
+    "UNION ALL SELECT DISTINCT factor_description, 'any' FROM lib"))
 
 # -- expression analytics -------------------------------------------------------
 
@@ -364,7 +368,7 @@ def trees(spark, sf):
 
 
 # one token per tree node; a conditional's two marks are one node
-TOKENS = r"regexp_extract_all(factor_expression, '\$?[A-Za-z_]\w*|\d+\.?\d*(?:e-?\d+)?|>=|<=|==|!=|&&|[-+*/><?]')"
+TOKENS = f"regexp_extract_all(factor_expression, '{expressions.TOKENS}')"
 NODES_SQL = (
     rf"toks AS (SELECT p_partkey, factor_expression, name, {TOKENS} AS t FROM facs)",
     "counts AS (SELECT *, len(list_filter(t, lambda x: regexp_matches(x, '^[0-9]'))) AS constants, "
@@ -372,7 +376,7 @@ NODES_SQL = (
 )
 register(
     "e03_node_counts",
-    lambda spark, sf: expressions.node_counts(trees(spark, sf), "p_partkey"),
+    lambda spark, sf: expressions.with_token_counts(texts(spark, sf), E).select("p_partkey", "constants", "variables", "nodes"),
     with_lib("SELECT p_partkey, CAST(constants AS BIGINT) AS constants, CAST(variables AS BIGINT) AS variables, CAST(nodes AS BIGINT) AS nodes FROM counts", *NODES_SQL),
 )
 register(
@@ -387,7 +391,77 @@ register(
         "CAST(len(list_filter(t, lambda x: x[1] = '$')) AS BIGINT) AS inputs, "
         "CAST(len(list_filter(t, lambda x: regexp_matches(x, '^[A-Z]'))) AS BIGINT) AS calls FROM counts", *NODES_SQL),
 )
-register("e05_subtree_explode", lambda spark, sf: trees(spark, sf))
+# The six templates' subtrees, written out: f is the input, w and n are numbers.
+_F, _W, _N = f"({FEAT})", "(CAST(p_size AS VARCHAR) || '.0')", "(replace(p_brand, 'Brand#', '') || '.0')"
+
+
+def _call(name, *args):
+    return f"('{name}(' || " + " || ',' || ".join(args) + " || ')')"
+
+
+def _op(sign, a, b):
+    return f"('(' || {a} || '{sign}' || {b} || ')')"
+
+
+def _either(sign, a, b):
+    return _op(sign, f"least({a}, {b})", f"greatest({a}, {b})")
+
+
+def templates_sql():
+    """(template, subtree, kind, size) of every node of every template, as one SELECT each."""
+    out = []
+
+    def leaf(text, kind):
+        return text, kind, 1, []
+
+    def node(text, kind, *below):
+        return text, kind, 1 + sum(x[2] for x in below), list(below)
+
+    def call(name, *below):
+        return node(_call(name, *[x[0] for x in below]), "call", *below)
+
+    def op(sign, a, b):
+        return node((_either if sign in ("+", "*", "==", "!=", "&&") else _op)(sign, a[0], b[0]), "op", a, b)
+
+    f, w, n = leaf(_F, "var"), leaf(_W, "num"), leaf(_N, "num")
+    var, num = (lambda x: leaf(f"'${x}'", "var")), (lambda x: leaf(f"'{x}'", "num"))
+    low, close, volume, ret = var("low"), var("close"), var("volume"), var("return")
+    negative = node(f"('(-' || {_F} || ')')", "op", f)
+    condition, then, other = op(">", close, call("DELAY", close, n)), op("*", f, w), op("/", negative, num("2.5"))
+    trees = [
+        op("-", call("RANK", call("TS_MEAN", f, w)), call("RANK", call("TS_STD", f, n))),
+        op("/", op("-", f, call("TS_MIN", low, w)), op("+", op("-", call("TS_MAX", var("high"), w), call("TS_MIN", low, w)), num("1e-12"))),
+        node(f"('(' || {condition[0]} || '?' || {then[0]} || ':' || {other[0]} || ')')", "cond", condition, then, other),
+        op("*", call("TS_CORR", f, volume, w), op("+", num("0.5"), call("TS_CORR", volume, f, w))),
+        call("WHERE", op("&&", op(">", f, call("TS_MEAN", f, w)), op("!=", volume, n)), call("LOG", volume), call("SQRT", f)),
+        op("+", op("/", call("TS_MEAN", ret, w), call("TS_STD", ret, w)), num("0.0")),
+    ]
+
+    def walk(t, tree):
+        out.append(f"SELECT p_partkey, {tree[0]} AS subtree, '{tree[1]}' AS kind, {tree[2]} AS size FROM part WHERE p_partkey % 6 = {t} AND p_partkey % 13 <> 0")
+        for below in tree[3]:
+            walk(t, below)
+
+    for t, tree in enumerate(trees):
+        walk(t, tree)
+    return out
+
+
+TREE_SQL = ("trees AS (SELECT p_partkey, subtree, md5(subtree) AS hash, kind, CAST(size AS INT) AS size FROM (" + " UNION ALL ".join(templates_sql()) + "))",)
+
+
+def best_sql(name, new, zoo):
+    """Tables ending in ``name``: each new key's largest subtree that another key of the zoo holds."""
+    return (
+        f"{name}_zoo AS (SELECT hash, min(p_partkey) AS first, min(CASE WHEN n = 2 THEN p_partkey END) AS second FROM "
+        f"(SELECT hash, p_partkey, row_number() OVER (PARTITION BY hash ORDER BY p_partkey) AS n FROM (SELECT DISTINCT hash, p_partkey FROM ({zoo}))) GROUP BY 1)",
+        f"{name} AS (SELECT p_partkey, size AS shared_size, subtree AS shared, other AS zoo_key FROM (SELECT t.p_partkey, size, subtree, "
+        f"CASE WHEN first <> t.p_partkey THEN first ELSE second END AS other FROM ({new}) t JOIN {name}_zoo USING (hash)) WHERE other IS NOT NULL "
+        "QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY size DESC, subtree DESC, other) = 1)",
+    )
+
+
+register("e05_subtree_explode", lambda spark, sf: trees(spark, sf), with_lib("SELECT * FROM trees", *TREE_SQL))
 
 
 def e06(spark, sf):
@@ -395,30 +469,39 @@ def e06(spark, sf):
     return expressions.largest_shared(once, once, "p_partkey")
 
 
-register("e06_largest_shared_subtree", e06)
+register("e06_largest_shared_subtree", e06, with_lib("SELECT * FROM best", *TREE_SQL, *best_sql("best", "SELECT * FROM trees", "SELECT * FROM trees")))
 
 
 def accepted(spark, sf):
-    t = trees(spark, sf)
-    facts = texts(spark, sf).select(
-        "p_partkey", expressions.symbol_length(F.col(E)).alias("length"),
-        expressions.base_features(F.col(E)).alias("features"),
+    """Odd parts are the new expressions, even ones the zoo; a few new ones do not parse."""
+    broken = F.when(F.col("p_partkey") % 26 == 1, F.concat(E, F.lit(" )"))).otherwise(F.col(E))
+    every = texts(spark, sf).withColumn(E, broken)
+    new = expressions.with_token_counts(every.where("p_partkey % 2 = 1"), E).withColumns(
+        {"length": expressions.symbol_length(F.col(E)), "features": expressions.base_features(F.col(E))}
     )
-    joined = facts.join(expressions.node_counts(t, "p_partkey"), "p_partkey").withColumn("shared_size", F.col("nodes"))
-    out = expressions.with_acceptance(joined, max_shared=14, max_length=90, max_features=3)
-    return out.select("p_partkey", "accepted", F.array_join("reasons", ",").alias("reasons"))
+    taken = cut_lineage(expressions.explode_subtrees(every, "p_partkey", E, shuffle_width(spark)))
+    shared = expressions.largest_shared(taken.where("p_partkey % 2 = 1"), taken.where("p_partkey % 2 = 0"), "p_partkey")
+    parsed = taken.select("p_partkey").distinct().withColumn("parsed", F.lit(True))
+    facts = new.join(shared.select("p_partkey", "shared_size"), "p_partkey", "left").join(parsed, "p_partkey", "left")
+    out = expressions.with_acceptance(facts, max_shared=9, max_length=90, max_features=3)
+    return out.select("p_partkey", "accepted", "shared_size", F.array_join("reasons", ",").alias("reasons"))
 
 
 REASONS = {
-    "shared": "nodes > 14",
+    "unparsable": "p_partkey % 26 = 1",
+    "shared": "p_partkey % 26 <> 1 AND coalesce(shared_size, 0) > 9",
     "constants": "constants >= nodes OR -ln(1 - constants / nodes) >= 0.693",
     "variables": "variables >= nodes OR -ln(1 - variables / nodes) >= 0.693",
-    "length": "length(factor_expression) > 90",
+    "length": "length(factor_expression) + CASE WHEN p_partkey % 26 = 1 THEN 2 ELSE 0 END > 90",
     "features": "variables > 3",
 }
 register("e04_acceptance", accepted, with_lib(
-    "SELECT p_partkey, reasons = '' AS accepted, reasons FROM (SELECT p_partkey, concat_ws(',', "
-    + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in REASONS.items()) + ") AS reasons FROM counts)", *NODES_SQL))
+    "SELECT p_partkey, reasons = '' AS accepted, shared_size, reasons FROM (SELECT p_partkey, shared_size, concat_ws(',', "
+    + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in REASONS.items())
+    + ") AS reasons FROM counts LEFT JOIN zoo_best USING (p_partkey) WHERE p_partkey % 2 = 1)",
+    *NODES_SQL, *TREE_SQL,
+    "parsing AS (SELECT * FROM trees WHERE p_partkey % 26 <> 1)",
+    *best_sql("zoo_best", "SELECT * FROM parsing WHERE p_partkey % 2 = 1", "SELECT * FROM parsing WHERE p_partkey % 2 = 0")))
 
 
 def named(spark, sf):
@@ -432,10 +515,10 @@ register(
     "e07_drop_known_names",
     lambda spark, sf: expressions.drop_known_names(
         named(spark, sf).where("p_partkey % 2 = 1"),
-        named(spark, sf).where("p_partkey % 2 = 0 AND viable AND p_partkey % 40 = 0"), "name", ["p_partkey"],
+        named(spark, sf).where("p_partkey % 2 = 0"), "name", ["p_partkey"],
     ).select("p_partkey", "name"),
     with_lib("SELECT p_partkey, name FROM facs WHERE p_partkey % 2 = 1 AND name NOT IN "
-             "(SELECT name FROM facs WHERE p_partkey % 40 = 0 AND quality <> 'low')"),
+             "(SELECT name FROM facs WHERE p_partkey % 2 = 0)"),
 )
 register(
     "e08_keep_longest",

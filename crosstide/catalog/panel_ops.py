@@ -355,7 +355,7 @@ register("j03_align_gate", j03, with_panel(
 
 def j04(spark, sf):
     # order totals exist for some days only, so weeks must look back
-    series = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").groupBy(
+    series = table(spark, sf, "orders").groupBy(
         (F.date_trunc("month", "o_orderdate").cast("date") + 2).alias("datetime")
     ).agg(F.max("o_totalprice").alias("bench"))
     return alignment.with_series(panel(spark, sf), series, "bench", "bench").select(
@@ -366,7 +366,7 @@ def j04(spark, sf):
 register("j04_asof_series", j04, with_panel(
     f"SELECT p.datetime, instrument, {rs('bench', 2)} AS bench FROM panel p ASOF LEFT JOIN s ON p.datetime >= s.datetime",
     "s AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) + 2 AS datetime, max(o_totalprice) AS bench "
-    "FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)"))
+    "FROM orders GROUP BY 1)"))
 
 
 def parts_key(spark, sf, low, high):
@@ -376,7 +376,7 @@ def parts_key(spark, sf, low, high):
 
 
 def j05(spark, sf):
-    wanted, known = parts_key(spark, sf, 20, 50), parts_key(spark, sf, 1, 12)
+    wanted, known = parts_key(spark, sf, 13, 10**9), parts_key(spark, sf, 0, 20)
     marked = alignment.with_status(wanted, known, "key", ["p_partkey"])
     todo = alignment.missing_from(wanted, known, "key", ["p_partkey"]).select("p_partkey", F.lit(True).alias("todo"))
     return marked.join(todo, "p_partkey", "left").select(
@@ -386,9 +386,9 @@ def j05(spark, sf):
 
 register("j05_cached_status", j05, """
 WITH k AS (SELECT p_partkey, p_size, md5(p_name || '_' || p_brand) AS key FROM part),
-known AS (SELECT DISTINCT key FROM k WHERE p_size BETWEEN 1 AND 12)
+known AS (SELECT DISTINCT key FROM k WHERE p_size <= 20)
 SELECT p_partkey, k.key, known.key IS NOT NULL AS cached, known.key IS NULL AS todo
-FROM k LEFT JOIN known ON k.key = known.key WHERE p_size BETWEEN 20 AND 50""")
+FROM k LEFT JOIN known ON k.key = known.key WHERE p_size >= 13""")
 
 FOUR = ["OPEN_RET", "VOL_RATIO", "RANGE_RET", "CLOSE_RET"]
 
@@ -426,8 +426,8 @@ register(
 )
 
 
-def metric_table(spark, sf, flag):
-    part = table(spark, sf, "orders").where(F.col("o_orderstatus") == flag)
+def metric_table(spark, sf, done):
+    part = table(spark, sf, "orders").where((F.col("o_orderstatus") == "F") == done)
     return part.groupBy(F.concat("o_orderpriority", F.year("o_orderdate").cast("string")).alias("metric")).agg(
         F.avg("o_totalprice").alias("value")
     )
@@ -436,16 +436,14 @@ def metric_table(spark, sf, flag):
 register(
     "j08_current_vs_best",
     lambda spark, sf: alignment.compare_metrics(
-        metric_table(spark, sf, "O").where("NOT metric LIKE '%1996'"),
-        metric_table(spark, sf, "F").where("NOT metric LIKE '%1999'"),
+        metric_table(spark, sf, False), metric_table(spark, sf, True),
     ).select("metric", r("current", 2).alias("current"), r("best", 2).alias("best"), "larger"),
     f"""
-WITH m AS (SELECT o_orderstatus AS s, o_orderpriority || CAST(year(o_orderdate) AS VARCHAR) AS metric, avg(o_totalprice) AS value
+WITH m AS (SELECT o_orderstatus = 'F' AS s, o_orderpriority || CAST(year(o_orderdate) AS VARCHAR) AS metric, avg(o_totalprice) AS value
   FROM orders GROUP BY 1, 2)
 SELECT metric, {rs('a.value', 2)} AS current, {rs('b.value', 2)} AS best,
   CASE WHEN a.value > b.value THEN 'current' ELSE 'best' END AS larger
-FROM (SELECT * FROM m WHERE s = 'O' AND metric NOT LIKE '%1996') a
-FULL JOIN (SELECT * FROM m WHERE s = 'F' AND metric NOT LIKE '%1999') b USING (metric)""",
+FROM (SELECT * FROM m WHERE NOT s) a FULL JOIN (SELECT * FROM m WHERE s) b USING (metric)""",
 )
 
 # -- dataset ---------------------------------------------------------------------------

@@ -282,7 +282,7 @@ register(
         panel(spark, sf).select(*KEYS, "close"), "rsi", "close", 14
     ).select(*KEYS, r("rsi", 5).alias("rsi")),
     with_panel(
-        f"SELECT datetime, instrument, {rs('100 - 100 / nullif(1 + u.v / nullif(d.v, 0), 0)', 5)} AS rsi "
+        f"SELECT datetime, instrument, {rs('CASE WHEN d.v = 0 AND u.v > 0 THEN 100 ELSE 100 - 100 / nullif(1 + u.v / nullif(d.v, 0), 0) END', 5)} AS rsi "
         "FROM u JOIN d USING (datetime, instrument)",
         f"steps AS (SELECT datetime, instrument, rn, close - {lagged('close')} AS s FROM panel)",
         "moves AS (SELECT *, CASE WHEN s > 0 THEN s WHEN s <= 0 THEN 0 END AS up,"

@@ -142,7 +142,9 @@ def climb(df: DataFrame, spec: Ladder, windows: Iterable[int]) -> DataFrame:
     for w in sorted(STEPS, reverse=True):
         if w in needed:
             needed.add(STEPS[w][0])
-    for w in sorted(needed - {SHORTEST}):
+    for w in sorted(needed - {SHORTEST} - STEPS.keys()):  # no shorter window to build on
+        df = df.withColumns({f"_{s.name}{w}": s.read(last_rows(w)) for s in states})
+    for w in sorted(needed & STEPS.keys()):
         shorter, copies = STEPS[w]
         back = {
             f"_{s.name}{w}_back{i}": delay(f"_{s.name}{shorter}", shorter * i)

@@ -199,6 +199,22 @@ def largest_shared(new: DataFrame, zoo: DataFrame, key: str) -> DataFrame:
     )
 
 
+# one token per tree node; a conditional's two marks are one node
+TOKENS = r"\$?[A-Za-z_]\w*|\d+\.?\d*(?:e-?\d+)?|>=|<=|==|!=|&&|[-+*/><?]"
+
+
+def with_token_counts(df: DataFrame, expr: str) -> DataFrame:
+    """Add constants, distinct variables and all nodes, counted from the text's tokens."""
+    counted = df.withColumn("_t", F.regexp_extract_all(F.col(expr), F.lit(TOKENS), F.lit(0)))
+    return counted.withColumns(
+        {
+            "constants": F.size(F.filter("_t", lambda x: x.rlike("^[0-9]"))).cast("long"),
+            "variables": F.size(F.array_distinct(F.filter("_t", lambda x: x.startswith("$")))).cast("long"),
+            "nodes": F.size("_t").cast("long"),
+        }
+    ).drop("_t")
+
+
 def with_acceptance(
     df: DataFrame,
     max_shared: int = MAX_SHARED,
@@ -208,14 +224,17 @@ def with_acceptance(
 ) -> DataFrame:
     """Add ``accepted`` and the failed ``reasons``.
 
-    Needs shared_size, constants, variables, nodes, length and features.
+    Needs shared_size, constants, variables, nodes, length and features.  A
+    row with a false or NULL ``parsed`` is rejected as unparsable, if the
+    column is there.
     """
     def too_much(count: str) -> Column:
         ratio = div(F.col(count).cast("double"), F.col("nodes").cast("double"))
         penalty = F.when(ratio < 1, -F.log(1 - ratio))
         return F.coalesce(penalty >= max_penalty, F.lit(True))
 
-    failed = {
+    failed = {"unparsable": ~F.coalesce(F.col("parsed"), F.lit(False))} if "parsed" in df.columns else {}
+    failed |= {
         "shared": F.coalesce(F.col("shared_size"), F.lit(0)) > max_shared,
         "constants": too_much("constants"),
         "variables": too_much("variables"),

@@ -164,11 +164,10 @@ def repeated_failures(attempts: DataFrame, limit: int) -> DataFrame:
 def balanced_top(df: DataFrame, query: str, order: str, verified: str, limit: int) -> DataFrame:
     """At most ``limit`` rows per query: just over half verified where there are
     that many, the rest from the others, each class in its own order."""
-    place = Window.partitionBy(query, verified).orderBy(order)
+    sure = F.coalesce(F.col(verified), F.lit(False))  # an unknown class is not verified
+    place = Window.partitionBy(query, sure).orderBy(order)
     head = df.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= limit)
-    counts = df.groupBy(query).agg(
-        F.count_if(F.col(verified)).alias("_yes"), F.count_if(~F.col(verified)).alias("_no")
-    )
+    counts = df.groupBy(query).agg(F.count_if(sure).alias("_yes"), F.count_if(~sure).alias("_no"))
     quota = F.greatest(F.least(F.lit(limit // 2 + 1), F.col("_yes")), F.lit(limit) - F.col("_no"))
-    taken = F.when(F.col(verified), quota).otherwise(F.lit(limit) - quota)
+    taken = F.when(sure, quota).otherwise(F.lit(limit) - quota)
     return lookups.lookup(head, counts, [query], [query, order]).where(F.col("_n") <= taken).drop("_n", "_yes", "_no")

@@ -147,7 +147,7 @@ def risk_metrics(report: DataFrame, periods: int = 252, compound: bool = False)
     else:
         worth = F.sum("excess").over(days)
     curve = report.withColumn("_worth", worth).withColumn("_peak", F.max("_worth").over(days))
-    fall = F.col("_worth") / F.col("_peak") - 1 if compound else F.col("_worth") - F.col("_peak")
+    fall = div(F.col("_worth"), F.col("_peak")) - 1 if compound else F.col("_worth") - F.col("_peak")
     mean, spread, n = F.avg("excess"), F.stddev_samp("excess"), F.count("excess")
     if compound:
         annual = F.pow(F.product(F.col("excess") + 1), F.lit(float(periods)) / n) - 1

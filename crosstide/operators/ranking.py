@@ -19,11 +19,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from crosstide.session import cut_lineage
 
 HOT_ROWS = 2_000_000
-MAX_BUCKETS = 1024
 _NULL_SPREAD = 512
 
 
@@ -52,8 +52,9 @@ def value_positions(
         .groupBy(*group, value)
         .agg(F.count(F.lit(1)).alias("ties"))
     )
-    if biggest > hot_rows:
-        buckets = min(MAX_BUCKETS, 2 * biggest // hot_rows + 2)
+    ordered = isinstance(df.schema[value].dataType, NumericType)  # other types have no quantiles to cut at
+    if biggest > hot_rows and ordered:
+        buckets = 2 * biggest // hot_rows + 2
         hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
         grid = [i / buckets for i in range(1, buckets)]
         # one small row per hot group; written down so that a retried task
@@ -122,32 +123,28 @@ def _counted(
     hot_rows: int,
     biggest: int,
 ) -> DataFrame:
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("_name"), F.col(v).cast("double").alias("_x"))
-                    for n, v in names.items()
-                ]
-            )
-        ).alias("_s"),
-    ).select(*keys, "_s._name", "_s._x")
-    places = value_positions(long, [*group, "_name"], "_x", hot_rows, biggest)
-    rank = F.col("below") + (F.col("ties") + 1) / 2
-    places = places.select(
-        *group, "_name", "_x", (rank / F.col("total") if pct else rank).alias("_rank"),
-        F.lit(0).alias("_spread"),
-    )
-    # missing values match nothing; spreading them keeps them off one task
-    spread = F.when(F.col("_x").isNull(), F.pmod(F.hash(*keys), F.lit(_NULL_SPREAD))).otherwise(0)
-    ranked = long.withColumn("_spread", spread).join(
-        places, [*group, "_name", "_x", "_spread"], "left"
-    )
-    wide = ranked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_rank"))).alias(n) for n in names]
-    )
-    return df.join(wide, keys, "left")
+    kinds: dict[str, list[str]] = {}
+    for n, v in names.items():  # values keep their type, so each type has its own long table
+        kinds.setdefault(df.schema[v].dataType.simpleString(), []).append(n)
+    for same in kinds.values():
+        named = F.array(*[F.struct(F.lit(n).alias("_name"), F.col(names[n]).alias("_x")) for n in same])
+        long = df.select(*keys, F.explode(named).alias("_s")).select(*keys, "_s._name", "_s._x")
+        at = [*group, "_name", "_x"]
+        rank = F.col("below") + (F.col("ties") + 1) / 2
+        places = value_positions(long, [*group, "_name"], "_x", hot_rows, biggest)
+        places = places.select(*at, (rank / F.col("total") if pct else rank).alias("_rank"), "ties")
+        # A value that more than hot_rows rows share: one in hot_rows rows at most, so these can be sent.
+        shared = places.where(F.col("ties") > hot_rows).select(*at, F.col("_rank").alias("_hot"))
+        long = long.join(F.broadcast(shared), at, "left")
+        # Rows that are missing or ranked already match nothing more; spreading keeps them off one task.
+        done = F.col("_x").isNull() | F.col("_hot").isNotNull()
+        spread = F.when(done, 1 + F.pmod(F.hash(*keys), F.lit(_NULL_SPREAD))).otherwise(0)
+        rest = places.where(F.col("ties") <= hot_rows).select(*at, "_rank", F.lit(0).alias("_spread"))
+        ranked = long.withColumn("_spread", spread).join(rest, [*at, "_spread"], "left")
+        best = F.coalesce("_hot", "_rank")
+        wide = ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, best)).alias(n) for n in same])
+        df = df.join(wide, keys, "left")
+    return df
 
 
 def with_ranks(

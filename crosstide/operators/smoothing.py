@@ -61,7 +61,7 @@ def with_macd(df: DataFrame, name: str, x: str, short: int = 12, long: int = 26)
 
 
 def with_rsi(df: DataFrame, name: str, x: str, span: int = 14) -> DataFrame:
-    """Relative strength from averaged rises and falls."""
+    """Relative strength from averaged rises and falls; 100 where nothing fell."""
     step = rolling.delta(x, 1)
     moves = df.withColumn("_step", step).withColumns(
         {
@@ -71,6 +71,8 @@ def with_rsi(df: DataFrame, name: str, x: str, span: int = 14) -> DataFrame:
     )
     smoothed = with_ewm(moves, {"_u": Ewm("_up", span=span), "_d": Ewm("_down", span=span)})
     strength = F.lit(100.0) - div(F.lit(100.0), F.lit(1.0) + div(F.col("_u"), F.col("_d")))
+    only_rises = (F.col("_d") == 0) & (F.col("_u") > 0)
+    strength = F.when(only_rises, 100.0).otherwise(strength)
     return smoothed.withColumn(name, strength).drop("_step", "_up", "_down", "_u", "_d")
 
 

@@ -33,7 +33,7 @@ def _pairs(q_ids, q_unit, v_ids, v_unit, k: int | None, threshold: float | None)
     # must rank as equal
     scores = np.round(q_unit @ v_unit.T, 12)
     q_ids, v_ids = np.asarray(q_ids), np.asarray(v_ids)
-    keep = ~np.isnan(scores)
+    keep = np.ones(scores.shape, dtype=bool) if k is None and threshold is None else ~np.isnan(scores)
     if threshold is not None:
         keep &= scores > threshold
     if k is not None and k < scores.shape[1]:
@@ -46,7 +46,7 @@ def _pairs(q_ids, q_unit, v_ids, v_unit, k: int | None, threshold: float | None)
             keep[row, tied[order[k:]]] = False
     at_q, at_v = np.nonzero(keep)
     return pd.DataFrame(
-        {"query_id": q_ids[at_q], "id": v_ids[at_v], "similarity": scores[at_q, at_v]}
+        {"query_id": q_ids[at_q], "id": v_ids[at_v], "similarity": pd.Series(scores[at_q, at_v]).astype(object).where(lambda x: x.notna(), None)}
     )
 
 
@@ -54,16 +54,24 @@ def _schema(vectors: DataFrame, queries: DataFrame) -> str:
     return OUT.format(q=dict(queries.dtypes)["query_id"], v=dict(vectors.dtypes)["id"])
 
 
-def similarities(
-    vectors: DataFrame, queries: DataFrame, k: int | None = None, threshold: float | None = None
-) -> DataFrame:
+def similarities(vectors: DataFrame, queries: DataFrame, threshold: float | None = None) -> DataFrame:
     """(query_id, id, similarity) of queries against vectors.
 
+    Without a threshold every pair has a row; its similarity is NULL where a
+    vector has no length.  NULL embeddings have no rows.
+    """
+    return _similarities(vectors, queries, None, threshold)
+
+
+def _similarities(vectors: DataFrame, queries: DataFrame, k: int | None, threshold: float | None) -> DataFrame:
+    """The same; with ``k`` at least each query's best k, and more the more blocks there are.
+
     Up to MAX_QUERIES queries (counted) travel with the tasks and the vectors
     stay where they are.  More queries are cut into blocks and so are the
     vectors; every pair of blocks becomes one group of bounded size.
     """
     schema = _schema(vectors, queries)
+    vectors, queries = (d.where(F.col("embedding").isNotNull()) for d in (vectors, queries))
     sample = queries.select("query_id", "embedding").limit(MAX_QUERIES + 1).toPandas()
     if len(sample) <= MAX_QUERIES:
         if sample.empty:
@@ -97,17 +105,16 @@ def similarities(
 def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.0) -> DataFrame:
     """The k most similar vectors per query, above the threshold; ties by id."""
     best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
-    partial = similarities(vectors, queries, k, threshold)
+    partial = _similarities(vectors, queries, k, threshold)
     return partial.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 
 def nearest_query(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each vector with its most similar query."""
+    """Each vector with its most similar query, the smallest of equals."""
     pairs = similarities(vectors, queries)
-    best = pairs.groupBy("id").agg(
-        F.max(F.struct("similarity", (-F.col("query_id")).alias("q"))).alias("_b")
-    )
-    return best.select("id", (-F.col("_b.q")).alias("query_id"), F.col("_b.similarity").alias("similarity"))
+    distance = F.struct((-F.col("similarity")).isNull().alias("none"), (-F.col("similarity")).alias("d"), "query_id")
+    best = pairs.groupBy("id").agg(F.min_by(F.struct("query_id", "similarity"), distance).alias("_b"))
+    return best.select("id", "_b.query_id", "_b.similarity")
 
 
 def mean_vectors(vectors: DataFrame, group: str) -> DataFrame:
@@ -135,35 +142,34 @@ def chunks(docs: DataFrame, key: str, text: str, size: int = 1000) -> DataFrame:
     )
 
 
-PAGES_PER_PART = 10_000
-
-
-def concatenate(pages: DataFrame, key: str, page: str, text: str, per_part: int = PAGES_PER_PART) -> DataFrame:
-    """(key, part, text): pages joined in order.
+def concatenate(pages: DataFrame, key: str, page: str, text: str, per_part: int | None = None) -> DataFrame:
+    """(key, part, text): pages joined in order, one row per document.
 
-    A document of up to ``per_part`` page numbers is one row.  A longer one
-    continues in further parts, so no row or task holds an unbounded text.
+    With ``per_part`` a document continues in a further part after so many
+    page numbers, which bounds the length of a row.
     """
-    parts = pages.withColumn("part", F.floor(F.col(page) / per_part).cast("int"))
+    part = F.floor(F.col(page) / per_part) if per_part else F.lit(0)
+    parts = pages.withColumn("part", part.cast("int"))
     joined = parts.groupBy(key, "part").agg(
         F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t")))).alias("_p")
     )
     return joined.select(key, "part", F.array_join(F.transform("_p", lambda s: s["t"]), "\n").alias("text"))
 
 
-def cluster(vectors: DataFrame, limit: int, most_clusters: int = 64, seed: int = 42) -> DataFrame:
+def cluster(vectors: DataFrame, limit: int, most_clusters: int | None = None, seed: int = 42) -> DataFrame:
     """Spherical k-means with the smallest k whose largest cluster is below ``limit``.
 
-    (id, cluster).  When no k up to ``most_clusters`` achieves it, the last
-    clustering is returned.
+    (id, cluster).  Raises ValueError when no k up to ``most_clusters``, or up
+    to the number of vectors, achieves it.
     """
     points = vectors.select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     total = points.count()
     if total < limit:
         return points.select("id", F.lit(0).alias("cluster"))
-    k = min(max(2, total // limit), most_clusters)
-    while True:
+    k, most = max(2, total // limit), min(total, most_clusters or total)
+    while k <= most:
         model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=100).fit(points)
-        if max(model.summary.clusterSizes) < limit or k >= most_clusters:
+        if max(model.summary.clusterSizes) < limit:
             return model.transform(points).select("id", F.col("prediction").alias("cluster"))
         k += 1
+    raise ValueError(f"no clustering into up to {most} clusters has all of them below {limit}")

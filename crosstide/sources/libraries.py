@@ -16,7 +16,7 @@ FACTOR = (
     "cache_location:map<string,string>,"
     "metadata:struct<experiment_id:string,round_number:int,evolution_phase:string,"
     "trajectory_id:string,parent_trajectory_ids:array<string>,created_at:string>,"
-    "backtest_results:map<string,double>,feedback:map<string,string>>"
+    "backtest_results:map<string,string>,feedback:map<string,string>>"
 )
 LIBRARY = (
     "metadata struct<created_at:string,last_updated:string,total_factors:int,version:string>,"
@@ -25,15 +25,16 @@ LIBRARY = (
 
 
 def read_libraries(
-    spark: SparkSession, paths: str | Sequence[str], whole_files: bool = False
+    spark: SparkSession, paths: str | Sequence[str], whole_files: bool = True
 ) -> DataFrame:
     """One row per factor with an expression; a missing name falls back to the id.
 
-    A library is one JSON document: one per line, or one per file with
-    ``whole_files``.
+    A library is one JSON document: one per file, indented or not, or one per
+    line without ``whole_files``.  A document must fit one row.  One that does
+    not parse fails the read; a metric that is no number is NULL.
     """
-    text = spark.read.text(paths, wholetext=whole_files)
-    parsed = text.select(F.from_json("value", LIBRARY).alias("doc"))
+    text = spark.read.text(paths, wholetext=whole_files).where(F.length(F.trim("value")) > 0)
+    parsed = text.select(F.from_json("value", LIBRARY, {"mode": "FAILFAST"}).alias("doc"))
     rows = parsed.select(
         F.col("doc.metadata.version").alias("version"), F.explode("doc.factors").alias("id", "f")
     )
@@ -44,7 +45,7 @@ def read_libraries(
         "f.factor_description",
         "f.quality",
         "f.cache_location",
-        "f.backtest_results",
+        F.transform_values("f.backtest_results", lambda k, v: v.try_cast("double")).alias("backtest_results"),
         "version",
     ).where(F.length("factor_expression") > 0)
 
@@ -80,7 +81,7 @@ METRIC_ALIASES = {
     "ic": ("IC", "ic", "1day.excess_return_without_cost.information_coefficient"),
     "icir": ("ICIR", "icir", "1day.excess_return_without_cost.information_coefficient_ir"),
     "rank_ic": ("RankIC", "Rank IC", "rank_ic", "1day.excess_return_without_cost.rank_ic"),
-    "rank_icir": ("RankICIR", "Rank ICIR", "rank_icir", "rank_ic_ir"),
+    "rank_icir": ("RankICIR", "Rank ICIR", "rank_icir", "rank_ic_ir", "1day.excess_return_without_cost.rank_ic_ir"),
     "annual_return": (
         "1day.excess_return_with_cost.annualized_return",
         "1day.excess_return_without_cost.annualized_return",
@@ -111,7 +112,7 @@ def quality_class(metrics: str) -> Column:
     """high above 0.5, medium above 0.1, else low, by information ratio; low
     without any metric, medium without a ratio."""
     m = F.col(metrics)
-    any_ratio = F.map_values(F.map_filter(m, lambda k, v: F.contains(k, F.lit("information_ratio"))))
+    any_ratio = F.map_values(F.map_filter(m, lambda k, v: F.contains(k, F.lit("information_ratio")) & v.isNotNull()))
     ratio = F.coalesce(*[F.try_element_at(m, F.lit(k)) for k in RATIO_KEYS], F.get(any_ratio, F.lit(0)))
     return (
         F.when(m.isNull() | (F.size(m) == 0), "low")

@@ -52,7 +52,7 @@ def compare(spark, con, sf, query, sql) -> tuple[bool, str]:
     mine = canonical(df.columns, [tuple(x) for x in df.collect()])
     spent = f"{time.time() - start:.1f}s spark"
     if sql is None:
-        return True, f"{len(mine)} rows (no twin) {spent}"
+        return False, f"{len(mine)} rows, but no twin to hold them against, {spent}"
     rel = con.execute(sql)
     names = [d[0] for d in rel.description]
     theirs = canonical(names, rel.fetchall())

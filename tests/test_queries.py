@@ -14,7 +14,11 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+# text operators that SQL cannot express have brute-force tests of their own
+BEYOND_SQL = {n for n in QUERIES if n == "pipeline" or n.startswith("op")} - set(TWINS)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - BEYOND_SQL))
 def test_query_matches_its_twin(spark, con, name):
     same, note = compare(spark, con, SF, QUERIES[name], TWINS.get(name))
     assert same, note

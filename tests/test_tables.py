@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crosstide.operators import expressions, graph, lookups, selection, vectors
+from crosstide.operators import expressions, graph, lookups, metrics, ranking, selection, vectors
 from crosstide.sources import libraries, stores
 from crosstide.functions import rolling as ts
 
@@ -157,22 +157,14 @@ def test_walk_with_split_hubs_equals_plain_walk(spark, monkeypatch):
 
 
 def test_trace_cleanup_matches_the_step_by_step_rule(spark):
-    rng = random.Random(4)
-    traces = {t: [rng.random() < 0.3 for _ in range(9)] for t in range(12)}
-    df = spark.createDataFrame(
-        [(t, i, s) for t, flags in traces.items() for i, s in enumerate(flags)], "task int, attempt int, success boolean"
-    )
+    # a failure stays only where its task has had no success before; successes all stay
+    cases = {"---": "012", "+--": "0", "-+-+-": "013", "++": "01", "--+": "012", "-+--+": "014"}
+    rows = [(case, i, mark == "+") for case in cases for i, mark in enumerate(case)]
+    df = spark.createDataFrame(rows, "task string, attempt int, success boolean")
     got = {}
     for r in graph.clean_traces(df).collect():
         got.setdefault(r.task, []).append(r.attempt)
-    for t, flags in traces.items():
-        kept, at = list(enumerate(flags)), 1
-        while at < len(kept):
-            if not kept[at][1] and kept[at - 1][1]:
-                kept.pop(at)
-            else:
-                at += 1
-        assert sorted(got[t]) == [i for i, _ in kept]
+    assert {task: "".join(map(str, sorted(kept))) for task, kept in got.items()} == cases
 
 
 # -- vectors ------------------------------------------------------------------------
@@ -185,7 +177,7 @@ def test_similarity_paths_agree_and_copies_do_not_flood(spark, monkeypatch):
     q = spark.createDataFrame([(i, base[i].tolist()) for i in range(7)], "query_id long, embedding array<double>")
     rows = lambda: sorted((r.query_id, r.place, r.id) for r in vectors.top_similar(v, q, 5).collect())
     first = rows()
-    assert vectors.similarities(v, q, 5, 0.0).count() <= 7 * 5 * 3
+    assert vectors._similarities(v, q, 5, 0.0).count() <= 7 * 5 * 3
     monkeypatch.setattr(vectors, "MAX_QUERIES", 3)
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 25)
     assert rows() == first
@@ -205,18 +197,84 @@ def test_chunks_and_parts_keep_whole_texts(spark):
     pages = spark.range(25).select(F.lit(1).alias("k"), F.col("id").alias("p"), F.col("id").cast("string").alias("t"))
     parts = vectors.concatenate(pages, "k", "p", "t", per_part=10).orderBy("part").collect()
     assert "\n".join(p.text for p in parts) == "\n".join(map(str, range(25))) and len(parts) == 3
+    whole = vectors.concatenate(pages, "k", "p", "t").collect()
+    assert [(p.part, p.text) for p in whole] == [(0, "\n".join(map(str, range(25))))]
 
 
 # -- libraries and stores --------------------------------------------------------------
 
 def test_library_file_round_trip(spark, tmp_path):
     doc = """{"metadata": {"version": "1"}, "factors": {
-      "a": {"factor_expression": "RANK($close)", "backtest_results": {"IC": 0.5}},
+      "a": {"factor_expression": "RANK($close)", "backtest_results": {"IC": 0.5, "note": "none", "ICIR": "0.25", "Rank IC": null}},
       "b": {"factor_name": "B", "factor_expression": ""},
       "c": {"factor_name": "C", "factor_expression": "$open", "quality": "high"}}}"""
     (tmp_path / "lib.json").write_text(doc)
-    rows = libraries.read_libraries(spark, str(tmp_path / "lib.json"), whole_files=True)
+    rows = libraries.read_libraries(spark, str(tmp_path / "lib.json"))
     assert {r.factor_id: r.factor_name for r in rows.collect()} == {"a": "a", "c": "C"}
+    assert rows.where("factor_id = 'a'").first().backtest_results == {"IC": 0.5, "note": None, "ICIR": 0.25, "Rank IC": None}
+    (tmp_path / "broken.json").write_text(doc[:-3])
+    with pytest.raises(Exception, match="(?i)malformed|parse|json"):
+        libraries.read_libraries(spark, str(tmp_path / "broken.json")).collect()
+
+
+def test_quality_skips_missing_ratios(spark):
+    df = spark.sql("SELECT map('a.information_ratio', CAST(NULL AS double), 'b.information_ratio', 0.9D) AS m")
+    assert df.select(libraries.quality_class("m").alias("q")).first().q == "high"
+
+
+# -- inputs that once lost rows or changed answers ---------------------------------------
+
+@pytest.mark.parametrize("kind,values", [
+    ("bigint", [2**53, 2**53 + 1, 2**53 + 2, 2**53 + 3]),
+    ("decimal(38,0)", [10**30, 10**30 + 1, 10**30 + 2, 10**30 + 3]),
+    ("string", ["a", "b", "c", "d"]),
+])
+def test_rank_paths_agree_on_every_type(spark, kind, values):
+    rows = [(1, i, None if v is None else str(v)) for i, v in enumerate([*values, values[1], None])]
+    df = spark.createDataFrame(rows, "datetime int, instrument int, v string").withColumn("v", F.col("v").cast(kind))
+    for hot in (1_000, 2):
+        got = ranking.with_ranks(df, {"rank": "v"}, hot_rows=hot, pct=False).orderBy("instrument").collect()
+        assert [r["rank"] for r in got] == [1.0, 2.5, 4.0, 5.0, 2.5, None]
+
+
+def test_rank_with_one_value_on_most_of_a_date(spark):
+    df = spark.range(500).selectExpr("1 AS datetime", "id AS instrument", "CASE WHEN id < 450 THEN 0.0D ELSE CAST(id AS double) END AS v")
+    rows = ranking.with_ranks(df, {"rank": "v"}, hot_rows=50).orderBy("instrument").collect()
+    assert rows[0]["rank"] == rows[449]["rank"] == 451 / 2 / 500 and rows[499]["rank"] == 1.0
+
+
+def test_balanced_top_keeps_the_limit_with_unknown_classes(spark):
+    df = spark.createDataFrame([(1, i, [True, False, None][i % 3]) for i in range(30)], "q int, o int, v boolean")
+    assert graph.balanced_top(df, "q", "o", "v", 6).count() == 6
+
+
+def test_vectors_without_length_null_and_text_ids(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None)], "id string, embedding array<double>")
+    q = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [1.0, 0.0])], "query_id string, embedding array<double>")
+    assert sorted(map(tuple, vectors.similarities(v, q).fillna(-9.0).collect())) == [("x", "a", 1.0), ("x", "b", -9.0), ("y", "a", 1.0), ("y", "b", -9.0)]
+    assert {(r.id, r.query_id, r.similarity) for r in vectors.nearest_query(v, q).collect()} == {("a", "x", 1.0), ("b", "x", None)}
+    assert vectors.top_similar(v, q, 1).count() == 2
+
+
+def test_clusters_keep_their_limit_or_say_so(spark):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(40, 6)))], "id int, embedding array<double>")
+    assert vectors.cluster(v, 15).groupBy("cluster").count().agg(F.max("count")).first()[0] < 15
+    with pytest.raises(ValueError):
+        vectors.cluster(v, 5, most_clusters=3)
+
+
+def test_total_loss_has_a_drawdown(spark):
+    df = spark.createDataFrame([(1, -1.0), (2, 0.5), (3, 0.1)], "datetime int, excess double")
+    assert metrics.risk_metrics(df, compound=True).first().max_drawdown in (None, -1.0, 0.0)
+
+
+def test_unparsable_expressions_are_rejected_not_lost(spark):
+    df = spark.createDataFrame([(1, "RANK($close)"), (2, "RANK($close")], "k int, e string")
+    parsed = expressions.explode_subtrees(df, "k", "e").select("k").distinct().withColumn("parsed", F.lit(True))
+    facts = expressions.with_token_counts(df, "e").join(parsed, "k", "left").selectExpr("*", "0 AS shared_size", "10 AS length", "1 AS features")
+    out = {r.k: list(r.reasons) for r in expressions.with_acceptance(facts, max_penalty=9.9).collect()}
+    assert out == {1: [], 2: ["unparsable"]}
 
 
 def test_store_computes_only_what_is_missing(spark, hand_panel, tmp_path):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crosstide.catalog.common import panel, r, register, rs, table, with_panel
 from crosstide.catalog.panel_ops import FOUR, LABEL_SQL
 from crosstide.operators import graph, modelling, vectors
-from crosstide.plans import dataset, feature_sets
+from crosstide.plans import dataset, feature_sets, trial
 from crosstide.session import cut_lineage
 from crosstide.sources import panel as panels
 
@@ -310,3 +310,25 @@ def l02(spark, sf):
 register("l02_boosted_signal", l02, with_panel(
     "SELECT datetime, instrument, true AS scored FROM (SELECT datetime, instrument, " + LABEL_SQL + " AS label FROM panel) "
     f"WHERE label IS NOT NULL AND datetime BETWEEN DATE '{SEGMENTS['test'][0]}' AND DATE '{SEGMENTS['test'][1]}'"))
+
+
+def backtest_days(spark, sf):
+    """The 20-factor set through fit, coefficients, portfolio and cost, a row per test date.
+
+    What no tree decides is shown as it is, what the trees decide as the bounds it must keep.
+    """
+    days = trial.daily(trial.signal(panel(spark, sf), feature_sets.set_158_20(), SEGMENTS), scale=0.01)
+    within = lambda c: F.coalesce(F.abs(c) <= 1 + 1e-9, F.lit(True))
+    parts = F.col("port_ret") - F.col("bench") - F.col("cost")
+    return days.select(
+        "datetime", "rows", "held", r("bench").alias("bench"), (within("ic") & within("rank_ic")).alias("bounded"),
+        F.col("cost").between(0, 0.002).alias("cheap"), (F.abs(F.col("excess") - parts) < 1e-9).alias("adds_up"),
+    )
+
+
+BACKTEST_DAYS_SQL = with_panel(
+    f"SELECT datetime, count(*) AS rows, least(count(*), 50) AS held, {rs('avg(label) / 100')} AS bench, true AS bounded, true AS cheap, true AS adds_up "
+    "FROM (SELECT datetime, instrument, " + LABEL_SQL + " AS label FROM panel) "
+    f"WHERE label IS NOT NULL AND datetime BETWEEN DATE '{SEGMENTS['test'][0]}' AND DATE '{SEGMENTS['test'][1]}' GROUP BY 1"
+)
+register("b01_backtest", backtest_days, BACKTEST_DAYS_SQL)

@@ -9,12 +9,11 @@ more than any other.  The broadcast side has one row per DATE value, at most
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.functions.basics import clean, col, div
 from crosstide.operators import ranking
-from crosstide.operators.lookups import with_row
 
 
 def with_date_stats(df: DataFrame, stats: dict[str, Column], date: str = "datetime") -> DataFrame:
@@ -102,16 +101,30 @@ def with_rank_difference(
 def with_neutralised(df: DataFrame, name: str, x: str, size: str) -> DataFrame:
     """Residual of one pooled regression on ``size``, z-scored per date.
 
-    The fitted line is a single aggregate row, so its broadcast is one row.
+    Missing values take their date's mean, so they add nothing to a date's
+    centred sums.  One pass takes each date's count, means and centred sums;
+    the pooled line and every date's residual deviation follow from that table
+    (one row per DATE), and a second pass applies them.
     """
-    filled = with_filled_mean(with_filled_mean(df, "_x", x), "_s", size)
-    line = filled.agg(
-        div(F.covar_pop("_x", "_s"), F.var_pop("_s")).alias("_b"),
-        F.avg("_x").alias("_mx"),
-        F.avg("_s").alias("_ms"),
-    )
-    residual = F.col("_x") - F.col("_mx") - F.col("_b") * (F.col("_s") - F.col("_ms"))
-    fitted = with_row(filled, line).withColumn("_resid", residual)
-    return with_zscore(fitted, name, "_resid").drop(
-        "_x", "_s", "_b", "_mx", "_ms", "_resid"
+    a, b = F.col(x).cast("double"), F.col(size).cast("double")
+    pa, pb = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    both = F.count(F.when(a.isNotNull() & b.isNotNull(), 1))
+    mean = lambda v: F.coalesce(F.avg(v), F.lit(0.0))
+    moment = lambda v: F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0))
+    between = both * (F.avg(pa) - mean(a)) * (F.avg(pb) - mean(b))
+    dates = df.groupBy("datetime").agg(
+        F.count(F.lit(1)).alias("_n"), mean(a).alias("_mx"), mean(b).alias("_ms"),
+        moment(a).alias("_qx"), moment(b).alias("_qs"),
+        F.coalesce(F.covar_pop(pa, pb) * both + between, F.lit(0.0)).alias("_qxs"),
     )
+    every = Window.partitionBy()  # over the calendar: one row per date
+    centre = lambda m: F.sum(F.col("_n") * F.col(m)).over(every) / F.sum("_n").over(every)
+    dates = dates.withColumns({"_cx": F.col("_mx") - centre("_mx"), "_cs": F.col("_ms") - centre("_ms")})
+    across = F.sum(F.col("_qxs") + F.col("_n") * F.col("_cx") * F.col("_cs")).over(every)
+    spread = F.sum(F.col("_qs") + F.col("_n") * F.col("_cs") * F.col("_cs")).over(every)
+    dates = dates.withColumn("_b", div(across, spread))
+    left = F.col("_qx") - 2 * F.col("_b") * F.col("_qxs") + F.col("_b") * F.col("_b") * F.col("_qs")
+    dates = dates.withColumn("_std", F.sqrt(div(F.greatest(left, F.lit(0.0)), F.col("_n") - 1)))
+    joined = df.join(F.broadcast(dates.select("datetime", "_mx", "_ms", "_b", "_std")), "datetime", "left")
+    away = F.coalesce(a - F.col("_mx"), F.lit(0.0)) - F.col("_b") * F.coalesce(b - F.col("_ms"), F.lit(0.0))
+    return joined.withColumn(name, div(away, F.col("_std"))).drop("_mx", "_ms", "_b", "_std")

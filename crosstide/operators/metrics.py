@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations, product
+from collections.abc import Iterator, Sequence
+from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,14 +54,49 @@ def ic_summary(daily: DataFrame, columns: Sequence[str]) -> DataFrame:
     return daily.agg(*out)
 
 
+def _gram(factors: Sequence[str], centres: Sequence[float]):
+    """Sums of a task's rows for every two factors, over the rows that have both."""
+    middle = np.array(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(factors)
+        sums = np.zeros((5, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype("float64") for c in batch.columns]) - middle
+            there = np.isfinite(x)
+            x, there = np.where(there, x, 0.0), there.astype("float64")
+            sums += [there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, x.T @ x]
+        at, to = np.triu_indices(k)
+        cells = [pa.array(at.astype("int32")), pa.array(to.astype("int32"))]
+        squares = [pa.array(s[at, to]) for s in (*sums, sums[3].T)]
+        yield pa.RecordBatch.from_arrays([*cells, *squares], ["i", "j", "n", "x", "y", "xx", "xy", "yy"])
+
+    return run
+
+
 def correlation_pairs(df: DataFrame, factors: Sequence[str]) -> DataFrame:
-    """(a, b, corr) over all rows, every pair from one aggregation pass."""
-    cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_c{i}").alias("corr"))
-        for i, (a, b) in enumerate(combinations(factors, 2))
-    ]
-    sums = [pearson(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(combinations(factors, 2))]
-    return df.agg(*sums).select(F.inline(F.array(*cells)))
+    """(a, b, corr) over all rows, for every two factors.
+
+    Matrix products of each Arrow batch add up to sums per pair in every task,
+    so the shuffle carries one row per pair and task.  Values are taken from
+    the factors' means first, which keeps the sums of squares exact enough.
+    """
+    names = list(factors)
+    values = df.select(*[F.col(f).cast("double").alias(f"_{i}") for i, f in enumerate(names)])
+    finite = [F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)) for c in values.columns]
+    centres = [0.0 if m is None else m for m in values.agg(*[F.avg(c) for c in finite]).first()]
+    sums = ("n", "x", "y", "xx", "xy", "yy")
+    schema = "i int, j int, " + ", ".join(f"{c} double" for c in sums)
+    parts = values.mapInArrow(_gram(names, centres), schema).where("i < j")
+    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    c = F.col
+    left, right = c("xx") - c("x") * c("x") / c("n"), c("yy") - c("y") * c("y") / c("n")
+    corr = div(c("xy") - c("x") * c("y") / c("n"), F.sqrt(F.greatest(left, F.lit(0.0)) * F.greatest(right, F.lit(0.0))))
+    name = F.array(*map(F.lit, names))
+    return total.select(
+        F.element_at(name, c("i") + 1).alias("a"), F.element_at(name, c("j") + 1).alias("b"),
+        F.when(c("n") > 1, corr).alias("corr"),
+    )
 
 
 def overlap_with_kept(df: DataFrame, kept: Sequence[str], new: Sequence[str]) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VALUES = "expression_key string, datetime date, instrument long, value double"
+KEYS = "expression_key string, run string"
 
 
 def write_matrix(panel: DataFrame, factors: Sequence[tuple[str, Column]], path: str) -> None:
@@ -27,23 +30,25 @@ def expression_key(expr: str | Column) -> Column:
     return F.md5(F.lit(expr) if isinstance(expr, str) else expr)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def stored_keys(spark: SparkSession, path: str) -> DataFrame:
-    """Keys of the store; read from its partition folders, not its rows."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], "expression_key string")
-    return spark.read.schema(VALUES).parquet(path).select("expression_key").distinct()
+    """(expression_key, run) of the store's complete keys, from its manifest."""
+    try:
+        return spark.read.schema(KEYS).parquet(f"{path}/keys")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], KEYS)
 
 
 def fill_store(panel: DataFrame, factors: dict[str, Column], path: str) -> list[str]:
     """Compute the expressions the store lacks and append them; returns those.
 
-    The list of expressions is the caller's program text, so handling it on
-    the driver is bounded; values never pass through it.
+    Values go to a folder of this run; only when they are written does the
+    manifest name the keys, so a failed run leaves no half key behind and two
+    writers at once do no harm (readers take one run per key).  Rows are laid
+    out by key and date range before writing, which bounds the files.  The
+    list of expressions is the caller's program text, so handling it on the
+    driver is bounded; values never pass through it.
     """
     spark = panel.sparkSession
     wanted = spark.createDataFrame([(e,) for e in factors], "expression string").withColumn(
@@ -54,20 +59,37 @@ def fill_store(panel: DataFrame, factors: dict[str, Column], path: str) -> list[
         for row in wanted.join(stored_keys(spark, path), "expression_key", "left_anti").collect()
     ]
     if missing:
+        run = uuid.uuid4().hex
         cells = [
             F.struct(expression_key(e).alias("expression_key"), factors[e].cast("double").alias("value"))
             for e in missing
         ]
         rows = panel.select("datetime", "instrument", F.array(*cells).alias("_c"))
         long = rows.select("datetime", "instrument", F.inline("_c"))
-        long.write.mode("append").partitionBy("expression_key").parquet(path)
+        laid = long.repartitionByRange("expression_key", "datetime", "instrument")
+        laid.write.partitionBy("expression_key").parquet(f"{path}/values/run={run}")
+        keys = wanted.where(F.col("expression").isin(missing)).select("expression_key", F.lit(run).alias("run"))
+        keys.coalesce(1).write.mode("append").parquet(f"{path}/keys")
     return missing
 
 
 def read_store(spark: SparkSession, path: str, expressions: Sequence[str]) -> DataFrame:
-    """Values of some expressions; only their partitions are read."""
-    wanted = [expression_key(e) for e in expressions]
-    return spark.read.schema(VALUES).parquet(path).where(F.col("expression_key").isin(*wanted))
+    """Values of some expressions; only their partitions are read.
+
+    (expression_key, datetime, instrument, value), instruments of the panel's
+    own type.  Expressions the store lacks have no rows.
+    """
+    digests = [hashlib.md5(e.encode()).hexdigest() for e in expressions]
+    held = stored_keys(spark, path).where(F.col("expression_key").isin(digests))
+    runs = held.groupBy("expression_key").agg(F.min("run").alias("run")).collect()
+    if not runs:
+        return spark.createDataFrame([], "expression_key string, datetime date, instrument string, value double")
+    chosen = F.lit(False)
+    for row in runs:
+        chosen = chosen | ((F.col("expression_key") == row.expression_key) & (F.col("run") == row.run))
+    values = spark.read.option("basePath", f"{path}/values").parquet(*{f"{path}/values/run={row.run}" for row in runs})
+    typed = values.withColumns({c: F.col(c).cast("string") for c in ("expression_key", "run")})
+    return typed.where(chosen).select("expression_key", "datetime", "instrument", "value")
 
 
 def write_report(daily: DataFrame, path: str) -> None:

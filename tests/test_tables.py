@@ -282,3 +282,34 @@ def test_store_computes_only_what_is_missing(spark, hand_panel, tmp_path):
     assert sorted(stores.fill_store(hand_panel, {"a": ts.mean("x", 2), "b": F.col("y")}, path)) == ["a", "b"]
     assert stores.fill_store(hand_panel, {"b": F.col("y"), "c": ts.std("x", 3)}, path) == ["c"]
     assert stores.read_store(spark, path, ["c"]).count() == hand_panel.count()
+    assert stores.read_store(spark, path, ["z"]).count() == 0
+
+
+def test_store_keeps_the_panels_instruments(spark, hand_panel, tmp_path):
+    path = str(tmp_path / "store")
+    named = hand_panel.withColumn("instrument", F.concat(F.lit("SH"), F.col("instrument").cast("string")))
+    stores.fill_store(named, {"b": F.col("y")}, path)
+    got = {(r.datetime, r.instrument): r.value for r in stores.read_store(spark, path, ["b"]).collect()}
+    assert got == {(r.datetime, r.instrument): r.y for r in named.collect()}
+
+
+# -- correlation of many factors ---------------------------------------------------------
+
+def test_correlation_of_many_columns(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 40)) * np.logspace(-3, 3, 40) + np.logspace(-2, 4, 40)
+    x[:, 7] = x[:, 3] * 2 + 1
+    x[:, 9] = 5.0
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = [f"f{i}" for i in range(40)]
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in row] for row in x], ", ".join(f"{n} double" for n in names)).repartition(4)
+    got = {(r.a, r.b): r["corr"] for r in metrics.correlation_pairs(df, names).collect()}
+    assert len(got) == 780
+    for (a, b), c in got.items():
+        u, v = x[:, int(a[1:])], x[:, int(b[1:])]
+        both = ~np.isnan(u) & ~np.isnan(v)
+        if 9 in (int(a[1:]), int(b[1:])):
+            assert c is None
+        else:
+            assert abs(c - np.corrcoef(u[both], v[both])[0, 1]) < 1e-9
+    assert metrics.correlation_pairs(df.limit(0), names[:3]).where("corr IS NOT NULL").count() == 0

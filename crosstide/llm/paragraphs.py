@@ -16,24 +16,22 @@ from crosstide.llm.common import components, written
 
 #: Words of a shingle, similarity of a repeat, words of a passage.
 WIDTH, ALIKE, PASSAGE = 5, 0.8, 50
+#: A paragraph inside a line ends at one word in CUT, and has SHORT words at least.
+CUT, SHORT = 16, 8
 LINE = re.compile(r"[^\r\n]+")
 WORD = re.compile(r"\S+")
 
 
 def tuned(alike: float = ALIKE, recall: float = 0.99, noise: float = 0.02) -> tuple[int, int]:
     """(bands, rows): the fewest bands that bring a pair at ``alike`` together with probability ``recall``
-    and a pair at a fifth similarity with at most ``noise``."""
+    and a pair that shares a shingle in twenty with at most ``noise``."""
     for bands in range(1, 200):
         for rows in range(12, 0, -1):
-            if 1 - (1 - alike**rows) ** bands >= recall and 1 - (1 - 0.2**rows) ** bands <= noise:
+            if 1 - (1 - alike**rows) ** bands >= recall and 1 - (1 - 0.05**rows) ** bands <= noise:
                 return bands, rows
     raise ValueError("no banding is that sharp")
 
 
-def _words(line: str) -> list[str]:
-    return line.lower().split()
-
-
 def shingles(words: list[str], width: int = WIDTH) -> set[str]:
     """The distinct shingles; fewer words are one shingle."""
     return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
@@ -45,36 +43,64 @@ def jaccard(a: str, b: str, width: int = WIDTH) -> float:
     return len(x & y) / len(x | y)
 
 
+def paragraphs(text: str | None, width: int = WIDTH) -> list[tuple[int, int, list[str], list[int]]]:
+    """(start, end, words, shingle hashes) of a text's paragraphs, in order.
+
+    A line ends a paragraph.  Inside a line one ends where the hash of the
+    ``width`` words before is a multiple of CUT, at least SHORT words after
+    the last end and before the line's end.  So the same passage is cut at the
+    same words whatever stands round it, wherever its lines break.  Words are
+    lower-cased; a paragraph of fewer than ``width`` words is one shingle.
+    """
+    out, digest = [], xxhash.xxh64_intdigest
+    for m in LINE.finditer(text or ""):
+        words = m[0].lower().split()
+        if not words:
+            continue
+        data = " ".join(words).encode("utf-8", "surrogatepass")
+        ends, at = [], -1
+        for w in words if data.isascii() else (w.encode("utf-8", "surrogatepass") for w in words):
+            at += len(w) + 1
+            ends.append(at)
+        n, k = len(words), min(width, len(words))
+        starts = [0, *[e + 1 for e in ends[: n - k]]]
+        hashes = [digest(data[a:b]) for a, b in zip(starts, ends[k - 1 :], strict=True)]
+        cuts = [0]
+        for i, h in enumerate(hashes):
+            if h % CUT == 0 and i + k - cuts[-1] >= SHORT and n - i - k >= SHORT:
+                cuts.append(i + k)
+        if len(cuts) == 1:
+            out.append((m.start(), m.end(), words, hashes))
+            continue
+        spans = [w.span() for w in WORD.finditer(m[0])]
+        for a, b in zip(cuts, [*cuts[1:], n], strict=True):
+            out.append((m.start() + spans[a][0], m.start() + spans[b - 1][1], words[a:b], hashes[a : b - k + 1]))
+    return out
+
+
 def _split(width: int, bands: int, rows: int):
     """Paragraphs of each text: place, words, hash of the normalised paragraph, that paragraph, band keys."""
     deal = np.random.default_rng(23)
     mix = deal.integers(1, 1 << 63, size=bands * rows, dtype=np.uint64) | np.uint64(1)
     names = ["k", "row", "p", "start", "end", "n", "h", "line", "bands"]
 
-    def batch_of(held: list[tuple], texts: list[list[str]], types: list) -> pa.RecordBatch:
-        digest, hashes, first = xxhash.xxh64_intdigest, [], []
-        for words in texts:
-            first.append(len(hashes))
-            data = " ".join(words).encode("utf-8", "surrogatepass")
-            lengths = np.fromiter((len(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.int64, count=len(words))
-            ends = np.cumsum(lengths + 1) - 1
-            k = min(width, len(words))
-            starts = (ends - lengths)[: len(words) - k + 1].tolist()
-            hashes += [digest(data[a:b]) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)]
-        h, first = np.array(hashes, dtype=np.uint64), np.array(first)
-        least = np.empty((len(texts), bands * rows), dtype=np.uint64)
+    def batch_of(held: list[tuple], hashes: list[list[int]], types: list) -> pa.RecordBatch:
+        h = np.array([x for one in hashes for x in one], dtype=np.uint64)
+        lengths = np.fromiter(map(len, hashes), dtype=np.int64, count=len(hashes))
+        first = np.cumsum(lengths) - lengths
+        least = np.empty((len(hashes), bands * rows), dtype=np.uint64)
         for i, m in enumerate(mix):
             x = h * m
             x ^= x >> np.uint64(32)
             least[:, i] = np.minimum.reduceat(x * np.uint64(0x9E3779B97F4A7C15), first)
-        keys = np.empty((len(texts), bands), dtype=np.uint64)
+        keys = np.empty((len(hashes), bands), dtype=np.uint64)
         for b in range(bands):
-            key = np.full(len(texts), b + 1, dtype=np.uint64)
+            key = np.full(len(hashes), b + 1, dtype=np.uint64)
             for r in range(rows):
                 key = (key ^ least[:, b * rows + r]) * np.uint64(0xC2B2AE3D27D4EB4F)
                 key ^= key >> np.uint64(29)
             keys[:, b] = key
-        columns = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), types[:8], strict=True)]
+        columns = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)]
         offsets = pa.array(np.arange(0, keys.size + 1, bands), pa.int32())
         columns.append(pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64))))
         return pa.RecordBatch.from_arrays(columns, names)
@@ -83,25 +109,21 @@ def _split(width: int, bands: int, rows: int):
         for batch in batches:
             types = [batch.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
             held: list[tuple] = []
-            texts: list[list[str]] = []
+            hashes: list[list[int]] = []
             size = 0
             for key, row, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                key, row, p = key.as_py(), row.as_py(), 0
-                for m in LINE.finditer(text.as_py() or ""):
-                    words = _words(m[0])
-                    if not words:
-                        continue
+                key, row = key.as_py(), row.as_py()
+                for p, (start, end, words, own) in enumerate(paragraphs(text.as_py(), width)):
                     line = " ".join(words)
-                    h = np.uint64(xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 7)).view(np.int64)
-                    held.append((key, row, p, m.start(), m.end(), len(words), int(h), line))
-                    texts.append(words)
-                    size += len(words)
-                    p += 1
+                    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 7)
+                    held.append((key, row, p, start, end, len(words), h - (1 << 64) if h >> 63 else h, line))
+                    hashes.append(own)
+                    size += len(own)
                     if size > 200_000:
-                        yield batch_of(held, texts, types)
-                        held, texts, size = [], [], 0
+                        yield batch_of(held, hashes, types)
+                        held, hashes, size = [], [], 0
             if held:
-                yield batch_of(held, texts, types)
+                yield batch_of(held, hashes, types)
 
     return run
 
@@ -148,20 +170,22 @@ def similar(lines: DataFrame, width: int = WIDTH, alike: float = ALIKE) -> DataF
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, alike: float = ALIKE, passage: int = PASSAGE) -> DataFrame:
-    """The passages of at least ``passage`` words that occur in several rows of ``docs``, one row for each place.
+    """The passages of about ``passage`` words or more that occur in several rows of ``docs``, one row for each place.
 
     Columns: ``key``, ``start`` and ``end`` (code points of the text), ``n_words``,
     ``cluster`` (of the first paragraph), ``kept_in`` (the smallest key that has
     it) and ``removed``.  The first place of each cluster stays: a passage is
     removed if it holds the first place of none of its paragraphs.
 
-    A paragraph is a line with a word.  Two paragraphs repeat each other if the
+    Paragraphs are those of ``paragraphs``.  Two repeat each other if the
     Jaccard similarity of their shingle sets (``width`` lower-cased words; a
     shorter paragraph is one shingle) is at least ``alike``, found with
     probability 0.99 or more at ``alike``, or through others; equal ones
     always.  Clusters are connected components.  A passage is one repeated
     paragraph, or several in a row whose neighbourhood also repeats in another
-    row.  Repeats inside one row alone do not count.  Whole texts are read;
+    row.  A passage that begins and ends inside paragraphs leaves fewer whole
+    ones, so runs of half ``passage`` words count.
+    Repeats inside one row alone do not count.  Whole texts are read;
     NULL, empty and blank ones have no paragraph.  Repeated rows of a document
     are occurrences of their own; NULL keys take part and come first.  Other
     columns are ignored.
@@ -192,5 +216,5 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         F.min("k").alias("k"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.min(lead).alias("lead"),
         F.max(F.struct("k", "row", "p").eqNullSafe(F.col("first"))).alias("stays"),
     )
-    out = out.where(F.col("n_words") >= passage)
+    out = out.where(F.col("n_words") >= passage // 2)
     return out.select(F.col("k").alias(key), "start", "end", "n_words", F.col("lead.c").alias("cluster"), F.col("lead.first.k").alias("kept_in"), (~F.col("stays")).alias("removed"))

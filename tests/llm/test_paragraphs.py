@@ -97,7 +97,7 @@ def test_empty_table(spark):
 
 def test_a_large_group_of_near_copies_is_one_cluster(spark):
     whole = lambda words: len(paragraphs.paragraphs(" ".join(words))) == 1
-    base = next(b for i in range(1_000) if whole(b := [f"w{i}x{j}" for j in range(30)]))
+    base = [f"w1x{j}" for j in range(30)]
     texts = [(i, " ".join([f"n{i}", *base[1:]] if i % 2 else [*base[:-1], f"n{i}"])) for i in range(250)]
     assert all(whole(t.split()) for _, t in texts)
     out = paragraphs.repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(6)).collect()

@@ -157,6 +157,28 @@ def share_sql(share: float, tag: str) -> str:
 
 
 add("r09_top_share_random", r09, share_sql(0.3, "filled") + " UNION ALL " + share_sql(0.6, "share"), RANKED)
+
+
+def r05_strategies(spark, sf):
+    p = pool(spark, sf)
+    parts = [
+        shown(selection.diverse_groups(p, 2, 5, strategy, seed=7)).withColumn("strategy", F.lit(strategy))
+        for strategy in ("random", "weighted", "weighted_inverse")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def strategy_sql(strategy: str, order: str) -> str:
+    chosen = f"SELECT *, row_number() OVER (ORDER BY {MERIT}) AS place FROM (SELECT pool.* FROM pool, (SELECT min(coalesce(metric, 0)) AS lo, max(coalesce(metric, 0)) AS hi FROM pool) ORDER BY {order}, seq LIMIT 10)"
+    return f"SELECT * FROM (WITH c AS ({chosen}) SELECT {PAIR} AS ids, {rs(SCORE)} AS score, '{strategy}' AS strategy FROM c a JOIN c b ON a.place < b.place ORDER BY {SCORE} DESC, a.place, b.place LIMIT 5)"
+
+
+SCALED = "(coalesce(metric, 0) - lo) / (hi - lo)"
+add("r05_strategies", r05_strategies, " UNION ALL ".join([
+    strategy_sql("random", U7),
+    strategy_sql("weighted", f"-ln({U7}) / ({SCALED} + 0.1)"),
+    strategy_sql("weighted_inverse", f"-ln({U7}) / (1 - {SCALED} + 0.1)"),
+]))
 add("r10_cross_direction_pairs",
     lambda spark, sf: selection.cross_direction_pairs(pool(spark, sf), 8, 7).select(F.array_join("ids", "+").alias("ids"), "crossed"),
     f"SELECT {PAIR} AS ids, true AS crossed FROM ranked a JOIN ranked b ON a.place < b.place AND a.direction_id <> b.direction_id ORDER BY a.place, b.place LIMIT 8", RANKED_SET)

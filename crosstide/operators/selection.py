@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from crosstide.functions.basics import div
 from crosstide.operators import ranking
 from crosstide.operators.lookups import with_row
+from crosstide.session import cut_lineage
 
 ORIGINAL, MUTATION, CROSSOVER = "original", "mutation", "crossover"
 
@@ -131,11 +132,51 @@ def _directions(members: str) -> Column:
     return F.size(F.array_distinct(F.transform(members, lambda m: m["direction_id"])))
 
 
-def diverse_groups(pool: DataFrame, size: int = 2, n: int = 3) -> DataFrame:
+STRATEGIES = ("best", "random", "weighted", "weighted_inverse", "top_percent_plus_random")
+
+
+def preselected(
+    pool: DataFrame, strategy: str, need: int, share: float = 0.3, seed: int = 0
+) -> DataFrame:
+    """The trajectories that may become parents: ``need`` of them, or the whole
+    ``share`` where the strategy guarantees it and it is larger."""
+    if strategy == "best":
+        return top_n(pool, need)
+    if strategy == "random":
+        drawn = pool.withColumn("_u", uniform(seed, "trajectory_id"))
+        return drawn.orderBy("_u", "seq").limit(need).drop("_u")
+    if strategy in ("weighted", "weighted_inverse"):
+        return weighted_sample(pool, need, seed, inverse=strategy.endswith("inverse"))
+    if strategy == "top_percent_plus_random":
+        return top_share_and_random(pool, share, need, seed)
+    raise ValueError(f"unknown strategy {strategy!r}; choose from {STRATEGIES}")
+
+
+def diverse_groups(
+    pool: DataFrame,
+    size: int = 2,
+    n: int = 3,
+    strategy: str = "best",
+    share: float = 0.3,
+    seed: int = 0,
+    prefer_diverse: bool = True,
+) -> DataFrame:
     """Best groups by 2 * directions + phases + mean metric, formed, as the
-    rule says, among the ``n * size`` best trajectories."""
+    rule says, among the ``n * size`` trajectories a strategy selects; random
+    groups of these without ``prefer_diverse``.
+
+    The top-percent strategy forms groups of its whole share, so keep the share
+    small on a large pool.
+    """
     most = n * size
-    groups = groups_of(top_n(pool, most), size, most)
+    chosen = preselected(pool, strategy, most, share, seed)
+    if strategy == "top_percent_plus_random":
+        chosen = cut_lineage(chosen)
+        most = max(most, chosen.count())
+    groups = groups_of(chosen, size, most)
+    if not prefer_diverse:
+        drawn = groups.select(_ids("members").alias("ids"), F.lit(None).cast("double").alias("score"), "places")
+        return drawn.orderBy(uniform_of(seed), "places").limit(n)
     phases = F.size(F.array_distinct(F.transform("members", lambda m: m["phase"])))
     score = _directions("members") * 2 + phases + _total("members") / size
     return (
@@ -166,12 +207,17 @@ def best_groups(pool: DataFrame, size: int = 2, n: int = 3) -> DataFrame:
 
 
 def cross_direction_pairs(pool: DataFrame, n: int = 3, seed: int = 0) -> DataFrame:
-    """The first n pairs spanning two directions, in rank order, filled up at
-    random with other pairs when the pool has fewer.
+    return cross_direction_groups(pool, 2, n, seed)
+
+
+def cross_direction_groups(pool: DataFrame, size: int = 2, n: int = 3, seed: int = 0) -> DataFrame:
+    """The first n groups spanning several directions, in rank order, filled up
+    at random with other groups when the pool has fewer.
 
-    Candidates are the n + 1 best of each of the n + 1 directions with the best
-    leaders.  A pair reaching past them comes, in rank order, after n pairs
-    inside them.
+    Candidates are the n + size - 1 best of each of the n + 1 directions with
+    the best leaders.  A group reaching past them comes, in rank order, after n
+    groups inside them: the first groups share their first members, and either
+    any further member crosses, or the n best of other directions do.
     """
     scored = pool.where(F.col("metric").isNotNull())
     inside = Window.partitionBy("direction_id").orderBy(*by_merit())
@@ -183,11 +229,11 @@ def cross_direction_pairs(pool: DataFrame, n: int = 3, seed: int = 0) -> DataFra
     )
     candidates = (
         scored.withColumn("_place", F.row_number().over(inside))
-        .where(F.col("_place") <= n + 1)
+        .where(F.col("_place") < n + size)
         .join(F.broadcast(leaders), "direction_id", "left_semi")
         .drop("_place")
     )
-    pairs = groups_of(candidates, 2, (n + 1) * (n + 1)).select(
+    pairs = groups_of(candidates, size, (n + 1) * (n + size - 1)).select(
         _ids("members").alias("ids"), (_directions("members") > 1).alias("crossed"), "places"
     )
     luck = F.when(F.col("crossed"), F.lit(0.0)).otherwise(uniform_of(seed))

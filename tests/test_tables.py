@@ -111,6 +111,35 @@ def test_scarce_cross_direction_partners(spark):
     assert got == {("t0", "t4"), ("t1", "t4"), ("t2", "t4"), ("t3", "t4"), ("t4", "t5"), ("t4", "t6")}
 
 
+@pytest.mark.parametrize("directions", [[0, 0, 0, 0, 0, 0, 1], [0, 1, 2, 3]])
+def test_cross_direction_triples(spark, directions):
+    rows, pool = make_pool(spark, 11, 24, directions)
+    order, n = ranked(rows), 7
+    crossed = [c for c in itertools.combinations(range(len(order)), 3) if len({order[i][2] for i in c}) > 1][:n]
+    got = selection.cross_direction_groups(pool, 3, n).collect()
+    assert {tuple(g.ids) for g in got if g.crossed} == {tuple(order[i][0] for i in c) for c in crossed}
+    assert len(got) == n
+
+
+@pytest.mark.parametrize("strategy", selection.STRATEGIES)
+def test_groups_come_from_the_selected_trajectories(spark, strategy):
+    rows, pool = make_pool(spark, 12, 40, [0, 1, 2])
+    chosen = [r.trajectory_id for r in selection.preselected(pool, strategy, 8, 0.3, 5).collect()]
+    assert len(chosen) == (12 if strategy == "top_percent_plus_random" else 8)
+    table = {r[0]: r for r in rows}
+
+    def score(ids):
+        own = [table[i] for i in ids]
+        return 2 * len({r[2] for r in own}) + len({r[4] for r in own}) + sum(r[5] or 0 for r in own) / len(own)
+
+    best = sorted((score(c) for c in itertools.combinations(chosen, 2)), reverse=True)[:4]
+    got = selection.diverse_groups(pool, 2, 4, strategy, 0.3, 5).collect()
+    assert [g.score for g in got] == pytest.approx(best)
+    assert all(g.score == pytest.approx(score(g.ids)) and set(g.ids) <= set(chosen) for g in got)
+    loose = selection.diverse_groups(pool, 2, 4, strategy, 0.3, 5, prefer_diverse=False).collect()
+    assert len({tuple(sorted(g.ids)) for g in loose}) == 4 and all(set(g.ids) <= set(chosen) for g in loose)
+
+
 @pytest.mark.parametrize("hot", [10**9, 10])
 def test_top_share_with_ties(spark, hot):
     rows, pool = make_pool(spark, 5, 90, [0, 1])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crosstide.functions.basics import INF, div
 from crosstide.operators import metrics, ranking
 from crosstide.operators.lookups import with_row
+from crosstide.session import cut_lineage
 
 KEYS = ["datetime", "instrument"]
 
@@ -64,11 +65,15 @@ def _equal(tolerance: float):
 def comparison(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """One row of facts from a single alignment: key overlap, missing counts,
     share of equal values (a key of one side only is unequal), row-count ratio."""
+    return _facts(aligned(a, b), tolerance)
+
+
+def _facts(pair: DataFrame, tolerance: float) -> DataFrame:
     count = lambda c: F.count_if(c).cast("double")
     rows_a, rows_b = count(F.col("in_a")), count(F.col("in_b"))
     missing_a = F.count_if(F.col("in_a") & F.col("va").isNull())
     missing_b = F.count_if(F.col("in_b") & F.col("vb").isNull())
-    return aligned(a, b).agg(
+    return pair.agg(
         div(count(F.col("in_a") & F.col("in_b")), F.count(F.lit(1))).alias("jaccard"),
         missing_a.alias("missing_a"),
         missing_b.alias("missing_b"),
@@ -94,8 +99,11 @@ def equal_ratio(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFram
 
 def agreement(a: DataFrame, b: DataFrame, hot_rows: int = ranking.HOT_ROWS) -> DataFrame:
     """Mean daily correlation and rank correlation between the two tables."""
-    both = aligned(a, b).where(F.col("va").isNotNull() & F.col("vb").isNotNull())
-    biggest = ranking.largest_group(a, ["datetime"])
+    return _agreement(aligned(a, b), ranking.largest_group(a, ["datetime"]), hot_rows)
+
+
+def _agreement(pair: DataFrame, biggest: int, hot_rows: int = ranking.HOT_ROWS) -> DataFrame:
+    both = pair.where(F.col("va").isNotNull() & F.col("vb").isNotNull())
     ranked = ranking.with_ranks(
         both, {"_ra": "va", "_rb": "vb"}, pct=False, hot_rows=hot_rows, biggest=biggest
     )
@@ -112,10 +120,14 @@ def verdict(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
 
     'true' when values agree, or keys overlap and both correlations pass;
     'false' when row counts, missing counts, grain or finiteness fail;
-    'undecided' otherwise.
+    'undecided' otherwise.  The tables are aligned once, and all facts are
+    taken from the written alignment.
     """
-    facts = comparison(a, b, tolerance)
-    for part in (agreement(a, b).select("passed"), minute_gaps(a), infinite_count(a)):
+    pair = cut_lineage(aligned(a, b))
+    own = pair.where("in_a")
+    agreed = _agreement(pair, ranking.largest_group(own, ["datetime"])).select("passed")
+    facts = _facts(pair, tolerance)
+    for part in (agreed, minute_gaps(own), infinite_count(own, "va")):
         facts = with_row(facts, part)
     good = (F.col("equal_ratio") > 0.99) | ((F.col("jaccard") > 0.99) & F.col("passed"))
     bad = (

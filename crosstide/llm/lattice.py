@@ -244,9 +244,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     size = members.groupBy("gid").agg(F.sum("w").alias("weight"), F.count(F.lit(1)).alias("reps"), F.acos(F.min("c")).alias("radius"), F.min("first").alias("first"))
     groups = written(leaders.join(size, "gid"), "groups")
 
-    cells = written(members.select("gid", _all_cells(F.col("v"), lattice).alias("c")).select("gid", "c.own", "c.near"), "cells")
-    own = cells.select(F.col("gid").alias("a"), F.explode("own").alias("key")).distinct()
-    asked = cells.select(F.col("gid").alias("b"), F.explode(F.concat("own", "near")).alias("key")).distinct()
+    cells = written(members.select("gid", "lab", _all_cells(F.col("v"), lattice).alias("c")).select("gid", "lab", "c.own", "c.near"), "cells")
+    place = F.xxhash64("lab", "cell").alias("key")
+    own = cells.select("gid", "lab", F.explode("own").alias("cell")).select(F.col("gid").alias("a"), place).distinct()
+    asked = cells.select("gid", "lab", F.explode(F.concat("own", "near")).alias("cell")).select(F.col("gid").alias("b"), place).distinct()
     met = own.join(asked, "key").where("a <> b").select(F.least("a", "b").alias("g1"), F.greatest("a", "b").alias("g2")).distinct()
     one = groups.select(F.col("gid").alias("g1"), F.col("lab").alias("l1"), F.col("v").alias("v1"), F.col("radius").alias("r1"), F.col("reps").alias("n1"), F.col("weight").alias("w1"))
     two = groups.select(F.col("gid").alias("g2"), F.col("lab").alias("l2"), F.col("v").alias("v2"), F.col("radius").alias("r2"), F.col("reps").alias("n2"), F.col("weight").alias("w2"))

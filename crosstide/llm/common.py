@@ -16,11 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` stored once in the shared folder and read from there: later uses
     neither compute it again nor depend on an executor that may be lost."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -32,6 +32,37 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def matched(left: DataFrame, right: DataFrame, on: str, how: str = "inner", sent: int = 1_500_000) -> DataFrame:
+    """``left`` joined with ``right`` (narrow, one row per ``on``), which is counted first.
+
+    Up to ``sent`` rows it is broadcast and ``left`` stays where it is; beyond
+    that both are shuffled, and the engine splits what is skewed.
+    """
+    few = right.limit(sent + 1).count() <= sent
+    return left.join(F.broadcast(right) if few else right, on, how)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each key (the first ``keys`` columns) from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_pylist() for i in range(keys)]
+        start = 0
+        for i, key in enumerate(zip(*columns, strict=True)):
+            if key != last:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, last, start = [], key, i
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links of one partition, reduced to one link per node to the smallest node it reaches there."""
     above: dict[int, int] = {}

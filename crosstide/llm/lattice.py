@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import components, written
+from crosstide.llm.common import components, runs, written
 
 #: Vectors of one cell that form groups together, at most about.
 BLOCK = 2_000
@@ -143,27 +143,6 @@ def _cosine(a: Column, b: Column) -> Column:
     return of(a, b)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The rows of each key (the first ``keys`` columns) from sorted batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(i).to_pylist() for i in range(keys)]
-        start = 0
-        for i, key in enumerate(zip(*columns, strict=True)):
-            if key != last:
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, last, start = [], key, i
-        held.append(batch.slice(start))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
     return unit(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1))
@@ -174,7 +153,7 @@ def _grouped(reach: float):
     limit = math.cos(reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, 3):
+        for rows in runs(batches, 3):
             x, ids = _vectors(rows["v"]), rows["rid"].to_numpy()
             group, cosine = np.full(len(ids), -1, dtype=np.int64), np.ones(len(ids))
             left = np.arange(len(ids))
@@ -193,7 +172,7 @@ def _members_met(least: float):
     """Links between the members of two groups: for every member how many vectors of the other group it meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, 2):
+        for rows in runs(batches, 2):
             x, ids, weight, side = _vectors(rows["v"]), rows["rid"].to_numpy(), rows["w"].to_numpy(), rows["side"].to_numpy()
             a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             met = x[a] @ x[b].T >= least

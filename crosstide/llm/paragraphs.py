@@ -12,10 +12,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import components, written
+from crosstide.llm.common import components, matched, runs, written
 
 #: Words of a shingle, similarity of a repeat, words of a passage.
 WIDTH, ALIKE, PASSAGE = 5, 0.8, 50
+#: Paragraphs of a band key that are compared in one block.
+BLOCK = 500
 #: A paragraph inside a line ends at one word in CUT, and has SHORT words at least.
 CUT, SHORT = 16, 8
 LINE = re.compile(r"[^\r\n]+")
@@ -101,8 +103,9 @@ def _split(width: int, bands: int, rows: int):
                 key ^= key >> np.uint64(29)
             keys[:, b] = key
         columns = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)]
-        offsets = pa.array(np.arange(0, keys.size + 1, bands), pa.int32())
-        columns.append(pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64))))
+        several = lengths > 1  # one shingle has no similar one but its equal
+        offsets = pa.array(np.concatenate([[0], np.cumsum(several * bands)]).astype(np.int32))
+        columns.append(pa.ListArray.from_arrays(offsets, pa.array(keys[several].reshape(-1).view(np.int64))))
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,14 +144,18 @@ def similar(lines: DataFrame, width: int = WIDTH, alike: float = ALIKE) -> DataF
 
     Each band key with several different paragraphs first compares all with the
     smallest.  Groups joined by that are taken as one: a key whose paragraphs
-    are all in one group is done, the others compare across their groups only.
-    So a large group of near copies costs a comparison a member, not a pair.
+    are all in one group is done, the others compare across their groups only,
+    in blocks of BLOCK paragraphs that return one link per group joined.  So no
+    step lists the pairs of a key, and no task holds more than two blocks.
     """
-    distinct = lines.groupBy("h").agg(F.any_value("bands").alias("bands"))
-    keyed = distinct.select("h", F.explode("bands").alias("key"))
-    several = keyed.groupBy("key").agg(F.min("h").alias("m"), F.max("h").alias("x")).where("m < x").select("key", "m")
-    hits = written(keyed.join(several, "key"), "hits")
-    texts = lines.select("h", "line").join(hits.select("h").distinct(), "h").groupBy("h").agg(F.any_value("line").alias("line"))
+    keyed = lines.select("h", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("h").alias("m"), F.max("h").alias("x"), F.count(F.lit(1)).alias("n")).where("m < x")
+    buckets = written(buckets, "buckets")
+    # Two entries are known by now; only keys with more are looked up again.
+    two = buckets.where("n = 2").select("key", F.explode(F.array("m", "x")).alias("h"), "m")
+    more = matched(keyed, buckets.where("n > 2").select("key", "m"), "key").select("key", "h", "m").distinct()
+    hits = written(two.unionAll(more), "hits")
+    texts = matched(lines.select("h", "line"), hits.select("h").distinct(), "h").groupBy("h").agg(F.any_value("line").alias("line"))
     texts = written(texts, "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -163,10 +170,46 @@ def similar(lines: DataFrame, width: int = WIDTH, alike: float = ALIKE) -> DataF
     labelled = written(hits.join(group, "h", "left").select("key", "h", "m", F.coalesce("g", "h").alias("g")), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("key")
     open_ = written(labelled.join(mixed, "key", "left_semi"), "mixed")
-    one = open_.select("key", F.col("h").alias("u"), F.col("g").alias("gu"), F.col("m").alias("mu"))
-    two = open_.select("key", F.col("h").alias("v"), F.col("g").alias("gv"))
-    rest = one.join(two, "key").where("gu < gv AND u <> mu AND v <> mu").select("u", "v").distinct()
-    return components(near.unionAll(verified(rest))).select(F.col("node").alias("h"), F.col("component").alias("cluster"))
+    crowded = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    parts = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
+    dealt = open_.join(crowded, "key", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    paired = dealt.select("key", "h", "g", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    paired = paired.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "h", "g")
+    blocks = paired.join(texts, "h").select("key", "low", "high", "part", "h", "g", "line")
+    met = blocks.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "h").mapInArrow(_met(width, alike), "u long, v long")
+    return components(near.unionAll(met)).select(F.col("node").alias("h"), F.col("component").alias("cluster"))
+
+
+def _met(width: int, least: float):
+    """Links between paragraphs of one or two blocks of a band key, as a forest over their groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, 3):
+            low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
+            part, h, group = (rows[c].to_pylist() for c in ("part", "h", "g"))
+            sets = [shingles(x.split(" "), width) for x in rows["line"].to_pylist()]
+            above: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while x in above:
+                    x = above[x]
+                return x
+
+            order = sorted(range(len(h)), key=lambda i: len(sets[i]))
+            found: list[tuple[int, int]] = []
+            for at, i in enumerate(order):
+                for j in order[at + 1 :]:
+                    if len(sets[i]) / len(sets[j]) < least:
+                        break  # all that follow are too large
+                    if low != high and part[i] == part[j] or (a := top(group[i])) == (b := top(group[j])):
+                        continue
+                    both = len(sets[i] & sets[j])
+                    if both / (len(sets[i]) + len(sets[j]) - both) >= least:
+                        found.append((h[i], h[j]))
+                        above[max(a, b)] = min(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
+
+    return run
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, alike: float = ALIKE, passage: int = PASSAGE) -> DataFrame:
@@ -194,14 +237,16 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     kind = dict(docs.dtypes)[key]
     numbered = docs.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("x"))
     schema = f"k {kind}, row long, p int, start int, end int, n int, h long, line string, bands array<long>"
-    lines = written(numbered.mapInArrow(_split(width, bands, rows), schema), "paragraphs")
-    near = similar(lines.select("h", "line", "bands"), width, alike)
-    places = lines.select("k", "row", "p", "start", "end", "n", "h").join(near, "h", "left").withColumn("c", F.coalesce("cluster", "h")).drop("cluster", "h")
-
-    counted = lines.select("h", "k", "row", "p").groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min(F.struct("k", "row", "p")).alias("first"))
-    by_cluster = counted.join(near, "h", "left").groupBy(F.coalesce("cluster", "h").alias("c")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"))
-    shared = written(by_cluster.where("low < high").select("c", "first"), "shared")
-    marked = written(places.join(shared, "c"), "marked")
+    lines = written(numbered.mapInArrow(_split(width, bands, rows), schema), "paragraphs", "zstd")
+    near = written(similar(lines.select("h", "line", "bands"), width, alike), "near")
+
+    seen = lines.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high"))
+    held = written(matched(seen, near, "h", "left").where("low < high OR cluster IS NOT NULL"), "held")
+    wide = held.where("cluster IS NOT NULL").groupBy("cluster").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("cluster")
+    shared = held.where("cluster IS NULL").select("h", F.col("h").alias("c"))
+    shared = written(shared.unionAll(held.join(wide, "cluster", "left_semi").select("h", F.col("cluster").alias("c"))), "shared")
+    marked = written(matched(lines.select("k", "row", "p", "start", "end", "n", "h"), shared, "h").drop("h"), "marked")
+    marked = matched(marked, marked.groupBy("c").agg(F.min(F.struct("k", "row", "p")).alias("first")), "c")
 
     order = Window.partitionBy("row").orderBy("p")
     linked = written(marked.withColumns({"next": F.lead("c").over(order), "next_p": F.lead("p").over(order)}), "linked")

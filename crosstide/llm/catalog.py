@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstide.llm import bpe, chat, decontam, html_content, lattice, paragraphs, quality, sharding, simhash, surrogate
+from crosstide.llm import bpe, chat, decontam, html_content, lattice, passages, quality, sharding, simhash, surrogate
 from crosstide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,7 +89,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of a passage of 50 words or more that several documents share."""
-    return paragraphs.repeats(table(spark, sf_dir, "documents"))
+    return passages.repeated(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -45,6 +45,24 @@ def jaccard(a: str, b: str, width: int = WIDTH) -> float:
     return len(x & y) / len(x | y)
 
 
+def _cut(words: list[str], width: int) -> tuple[list[int], list[int]]:
+    """The shingle hashes of a line, and the words at which its paragraphs begin."""
+    digest = xxhash.xxh64_intdigest
+    data = " ".join(words).encode("utf-8", "surrogatepass")
+    ends, at = [], -1
+    for w in words if data.isascii() else (w.encode("utf-8", "surrogatepass") for w in words):
+        at += len(w) + 1
+        ends.append(at)
+    n, k = len(words), min(width, len(words))
+    starts = [0, *[e + 1 for e in ends[: n - k]]]
+    hashes = [digest(data[a:b]) for a, b in zip(starts, ends[k - 1 :], strict=True)]
+    cuts = [0]
+    for i, h in enumerate(hashes):
+        if h % CUT == 0 and i + k - cuts[-1] >= SHORT and n - i - k >= SHORT:
+            cuts.append(i + k)
+    return hashes, cuts
+
+
 def paragraphs(text: str | None, width: int = WIDTH) -> list[tuple[int, int, list[str], list[int]]]:
     """(start, end, words, shingle hashes) of a text's paragraphs, in order.
 
@@ -54,23 +72,13 @@ def paragraphs(text: str | None, width: int = WIDTH) -> list[tuple[int, int, lis
     same words whatever stands round it, wherever its lines break.  Words are
     lower-cased; a paragraph of fewer than ``width`` words is one shingle.
     """
-    out, digest = [], xxhash.xxh64_intdigest
+    out = []
     for m in LINE.finditer(text or ""):
         words = m[0].lower().split()
         if not words:
             continue
-        data = " ".join(words).encode("utf-8", "surrogatepass")
-        ends, at = [], -1
-        for w in words if data.isascii() else (w.encode("utf-8", "surrogatepass") for w in words):
-            at += len(w) + 1
-            ends.append(at)
+        hashes, cuts = _cut(words, width)
         n, k = len(words), min(width, len(words))
-        starts = [0, *[e + 1 for e in ends[: n - k]]]
-        hashes = [digest(data[a:b]) for a, b in zip(starts, ends[k - 1 :], strict=True)]
-        cuts = [0]
-        for i, h in enumerate(hashes):
-            if h % CUT == 0 and i + k - cuts[-1] >= SHORT and n - i - k >= SHORT:
-                cuts.append(i + k)
         if len(cuts) == 1:
             out.append((m.start(), m.end(), words, hashes))
             continue
@@ -80,11 +88,17 @@ def paragraphs(text: str | None, width: int = WIDTH) -> list[tuple[int, int, lis
     return out
 
 
-def _split(width: int, bands: int, rows: int):
+def _numbered(text: str | None, width: int) -> Iterator[tuple]:
+    """The paragraphs, each with its number and no word offset."""
+    for p, part in enumerate(paragraphs(text, width)):
+        yield *part, 0, p
+
+
+def _split(width: int, bands: int, rows: int, parts=_numbered):
     """Paragraphs of each text: place, words, hash of the normalised paragraph, that paragraph, band keys."""
     deal = np.random.default_rng(23)
     mix = deal.integers(1, 1 << 63, size=bands * rows, dtype=np.uint64) | np.uint64(1)
-    names = ["k", "row", "p", "start", "end", "n", "h", "line", "bands"]
+    names = ["k", "row", "p", "w", "start", "end", "n", "h", "line", "bands"]
 
     def batch_of(held: list[tuple], hashes: list[list[int]], types: list) -> pa.RecordBatch:
         h = np.array([x for one in hashes for x in one], dtype=np.uint64)
@@ -110,16 +124,16 @@ def _split(width: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            types = [batch.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+            types = [batch.column(0).type, pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.string()]
             held: list[tuple] = []
             hashes: list[list[int]] = []
             size = 0
             for key, row, text in zip(*(batch.column(i) for i in range(3)), strict=True):
                 key, row = key.as_py(), row.as_py()
-                for p, (start, end, words, own) in enumerate(paragraphs(text.as_py(), width)):
+                for start, end, words, own, w, p in parts(text.as_py(), width):
                     line = " ".join(words)
                     h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 7)
-                    held.append((key, row, p, start, end, len(words), h - (1 << 64) if h >> 63 else h, line))
+                    held.append((key, row, p, w, start, end, len(words), h - (1 << 64) if h >> 63 else h, line))
                     hashes.append(own)
                     size += len(own)
                     if size > 200_000:
@@ -233,11 +247,17 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     are occurrences of their own; NULL keys take part and come first.  Other
     columns are ignored.
     """
-    bands, rows = tuned(alike)
-    kind = dict(docs.dtypes)[key]
     numbered = docs.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("x"))
-    schema = f"k {kind}, row long, p int, start int, end int, n int, h long, line string, bands array<long>"
-    lines = written(numbered.mapInArrow(_split(width, bands, rows), schema), "paragraphs", "zstd")
+    out = _runs(_shared(numbered, width, alike)).where(F.col("n_words") >= passage // 2)
+    return out.select(F.col("k").alias(key), "start", "end", "n_words", "cluster", F.col("first.k").alias("kept_in"), (~F.col("stays")).alias("removed"))
+
+
+def _shared(numbered: DataFrame, width: int, alike: float, parts=_numbered) -> DataFrame:
+    """Every place of a paragraph that repeats in another row, with its cluster ``c`` and the first place of that."""
+    bands, rows = tuned(alike)
+    kind = dict(numbered.dtypes)["k"]
+    schema = f"k {kind}, row long, p int, w int, start int, end int, n int, h long, line string, bands array<long>"
+    lines = written(numbered.mapInArrow(_split(width, bands, rows, parts), schema), "paragraphs", "zstd")
     near = written(similar(lines.select("h", "line", "bands"), width, alike), "near")
 
     seen = lines.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high"))
@@ -245,21 +265,23 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     wide = held.where("cluster IS NOT NULL").groupBy("cluster").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("cluster")
     shared = held.where("cluster IS NULL").select("h", F.col("h").alias("c"))
     shared = written(shared.unionAll(held.join(wide, "cluster", "left_semi").select("h", F.col("cluster").alias("c"))), "shared")
-    marked = written(matched(lines.select("k", "row", "p", "start", "end", "n", "h"), shared, "h").drop("h"), "marked")
-    marked = matched(marked, marked.groupBy("c").agg(F.min(F.struct("k", "row", "p")).alias("first")), "c")
+    marked = written(matched(lines.select("k", "row", "p", "w", "start", "end", "n", "h"), shared, "h").drop("h"), "marked")
+    return matched(marked, marked.groupBy("c").agg(F.min(F.struct("k", "row", "p")).alias("first")), "c")
+
 
+def _runs(marked: DataFrame) -> DataFrame:
+    """Repeated paragraphs in a row whose neighbourhood also repeats in another row, as one place."""
     order = Window.partitionBy("row").orderBy("p")
     linked = written(marked.withColumns({"next": F.lead("c").over(order), "next_p": F.lead("p").over(order)}), "linked")
     chains = linked.where("next_p = p + 1").groupBy("c", "next").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("c", "next", F.lit(True).alias("goes_on"))
     steps = linked.join(chains, ["c", "next"], "left")
     goes_on = F.coalesce(F.col("goes_on") & (F.col("next_p") == F.col("p") + 1), F.lit(False))
-    steps = steps.select("k", "row", "p", "start", "end", "n", "c", "first", goes_on.alias("goes_on"))
+    steps = steps.select("k", "row", "p", "w", "start", "end", "n", "c", "first", goes_on.alias("goes_on"))
     begins = F.when(F.lag("goes_on").over(order), 0).otherwise(1)
     runs = steps.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
     lead = F.struct("p", "c", "first")
     out = runs.groupBy("row", "run").agg(
-        F.min("k").alias("k"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.min(lead).alias("lead"),
+        F.min("k").alias("k"), F.min("w").alias("w"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.min(lead).alias("lead"),
         F.max(F.struct("k", "row", "p").eqNullSafe(F.col("first"))).alias("stays"),
     )
-    out = out.where(F.col("n_words") >= passage // 2)
-    return out.select(F.col("k").alias(key), "start", "end", "n_words", F.col("lead.c").alias("cluster"), F.col("lead.first.k").alias("kept_in"), (~F.col("stays")).alias("removed"))
+    return out.select("k", "row", "w", "start", "end", "n_words", F.col("lead.c").alias("cluster"), F.col("lead.first").alias("first"), "stays")

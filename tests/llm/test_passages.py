@@ -58,3 +58,21 @@ def test_repeated_rows_null_keys_and_many_places(spark):
     assert sorted((str(r["doc_id"]), r["n_words"], r["removed"], str(r["kept_in"])) for r in got if r["doc_id"] != 7) == [("8", 55, True, "7"), ("8", 55, True, "7"), ("None", 70, False, "None")]
     assert sum(not r["removed"] for r in got) == 2
     assert passages.repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_near_copies_of_lines_with_edits_anywhere(spark):
+    docs, whole = [], set()
+    for i in range(200):
+        n, edits = [(55, 1), (60, 1), (70, 1), (100, 2)][i % 4]
+        line = words(n)
+        copy = list(line)
+        for at in draw.sample(range(n), edits):
+            copy[at] = "edited" + words(1)[0]
+        grams = [{tuple(x[j : j + 5]) for j in range(n - 4)} for x in (line, copy)]
+        if len(grams[0] & grams[1]) >= 0.8 * len(grams[0] | grams[1]):
+            whole |= {2 * i, 2 * i + 1}
+        docs += [(2 * i, "\n".join([" ".join(words(9)), " ".join(line)])), (2 * i + 1, "\n".join([" ".join(copy), " ".join(words(12))]))]
+    got = found(spark, docs)
+    hit = {r["doc_id"] for r in got if r["n_words"] in (55, 60, 70, 100)}
+    assert len(whole) > 250 and len(hit & whole) >= 0.97 * len(whole)
+    assert all(r["removed"] == bool(r["doc_id"] % 2) for r in got if r["doc_id"] in hit & whole)

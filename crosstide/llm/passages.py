@@ -245,10 +245,15 @@ def _merged(passage: int):
                     if x["firsts"] is None:
                         begins.append(x["w"])
                         reach.append(max(x["w"] + x["n_words"], reach[-1] if reach else 0))
+                exact = [(x["w"], x["w"] + x["n_words"], x["firsts"]) for x in items if x["firsts"] is not None]
                 out: list[list] = []
                 last = 0
                 for x in items:
                     stays = x["stays"]
+                    if stays:  # all words of this first near copy may stand verbatim in earlier places
+                        a, b = x["w"], x["w"] + x["n_words"]
+                        i = bisect_right(exact, a, key=lambda e: e[0]) - 1
+                        stays = i < 0 or exact[i][1] < b or any(a <= w <= b - passage for w in exact[i][2])
                     for w in x["firsts"] or []:
                         i = bisect_right(begins, w)
                         stays = stays or not i or reach[i - 1] < w + passage
@@ -283,7 +288,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
     Each has ``passage`` words or more by itself.  The first place of each stays:
     a passage is removed if it holds no first place; first places of verbatim
-    windows inside a near copy follow the near copy.
+    windows inside a near copy follow the near copy, and a first near copy inside a
+    verbatim span follows the windows.
     Repeats inside one row alone do not count.  Whole texts are read; NULL,
     empty and blank ones have no passage.  Repeated rows of a document are
     occurrences of their own; NULL keys take part and come first.  Other

@@ -76,3 +76,12 @@ def test_near_copies_of_lines_with_edits_anywhere(spark):
     hit = {r["doc_id"] for r in got if r["n_words"] in (55, 60, 70, 100)}
     assert len(whole) > 250 and len(hit & whole) >= 0.97 * len(whole)
     assert all(r["removed"] == bool(r["doc_id"] % 2) for r in got if r["doc_id"] in hit & whole)
+
+
+def test_shorter_notices_stay(spark):
+    docs = []
+    for n in (25, 40, 49, 50):
+        notice = " ".join(words(n))
+        docs += [(100 * n + i, "\n".join([" ".join(words(30)), notice, " ".join(words(30))]) if i % 2 else " ".join([*words(20), notice, *words(20)])) for i in range(40)]
+    got = found(spark, docs)
+    assert sorted(r["doc_id"] for r in got) == list(range(5000, 5040)) and sum(not r["removed"] for r in got) == 1

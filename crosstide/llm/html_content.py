@@ -25,6 +25,8 @@ CLOSES_P = frozenset(
     "address article aside blockquote dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr li main menu nav ol p pre section table ul".split()
 )
+#: Headings and paragraphs: their id is an anchor and says nothing about their role.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 #: Words in class, id and role values that name furniture of a page.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent "
@@ -51,6 +53,7 @@ class Node:
     dropped: bool
     article: bool
     named: bool = False
+    doubtful: bool = False
     main: bool = False
 
 
@@ -63,17 +66,18 @@ class Block:
     linked: int
 
 
-def _names(attrs: str) -> tuple[set[str], bool, str]:
-    parts, hidden, label = set(), False, ""
+def _names(attrs: str) -> tuple[list[tuple[bool, list[str]]], bool, str]:
+    """The names of an element, each with whether it is an id and its words; whether it is hidden; its classes."""
+    names, hidden, label = [], False, ""
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true":
             hidden = True
         elif name != "aria-hidden":
-            parts |= {x.lower() for x in NAME_PART.findall(value)}
+            names += [(name == "id", words) for x in value.split() if (words := [w.lower() for w in NAME_PART.findall(x)])]
             if name == "class":
                 label = ".".join(value.split())
-    return parts, hidden, label
+    return names, hidden, label
 
 
 def parse(page: str) -> tuple[list[Node], list[Block]]:
@@ -81,7 +85,10 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
 
     Elements that a browser does not show, and furniture by tag or by a word of
     their class, id or role, are marked as dropped with all they hold.  A name
-    alone does not drop an element that holds the page's main heading.
+    alone does not drop an element that holds the page's main heading, and an
+    id no heading or paragraph.  A name with other words too ("related-work")
+    drops an element of an article or main, or by its id a section anywhere, only if
+    half of the text in it is links.
     """
     nodes = [Node("", -1, "", False, False)]
     stack, blocks, pieces, linked, links = [0], [], [], 0, 0
@@ -141,12 +148,16 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             stack.pop()
             links = 0
         up = nodes[stack[-1]]
-        parts, hidden, label = _names(attrs) if attrs else (set(), False, "")
+        names, hidden, label = _names(attrs) if attrs else ([], False, "")
         inside = up.article or tag in ("article", "main")
         dropped = hidden or tag in HIDDEN or tag in BOILERPLATE or tag == "header" and not up.article
-        named = tag not in ("html", "body", "main") and bool(parts & FURNITURE or "header" in parts and not up.article)
+        furniture = [(by_id, [w in FURNITURE or w == "header" and not up.article for w in words]) for by_id, words in names]
+        furniture = [(by_id, all(w)) for by_id, w in furniture if any(w) and not (by_id and tag in PROSE)]
+        if tag in ("html", "body", "main"):
+            furniture = []
+        named = any(whole or not (up.article or by_id and tag == "section") for by_id, whole in furniture)
         path = f"{up.path}/{tag}" + (f".{label}" if label else "")
-        nodes.append(Node(tag, stack[-1], path, dropped, inside, named))
+        nodes.append(Node(tag, stack[-1], path, dropped, inside, named, bool(furniture) and not named))
         if tag in ("h1", "main"):
             for i in stack:
                 nodes[i].main = True
@@ -154,6 +165,15 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
             continue
         stack.append(len(nodes) - 1)
     flush()
+    text, link = [0] * len(nodes), [0] * len(nodes)
+    if any(n.doubtful for n in nodes):
+        for b in blocks:
+            at = b.node
+            while at >= 0:
+                text[at], link[at] = text[at] + len(b.text), link[at] + b.linked
+                at = nodes[at].parent
+    for i, node in enumerate(nodes):
+        node.named = node.named or node.doubtful and 2 * link[i] >= text[i]
     for node in nodes[1:]:
         node.dropped = node.dropped or node.named and not node.main or nodes[node.parent].dropped
     return nodes, blocks
@@ -190,8 +210,10 @@ def content_blocks(page: str | None, share: float = 0.95, strictness: float = 0.
     Blocks of pages' furniture are set aside first.  A path is content if its
     best block scores at least ``strictness`` times the spread (standard
     deviation) of all scores.  The content element is the deepest element that
-    holds ``share`` of the text on content paths; every block in it that is not
-    furniture belongs to the article, however short.
+    holds ``share`` of the text on content paths, or the article or main round it;
+    every block in it that is not furniture belongs to the article, however
+    short.  Without article and main, so do other blocks on content paths, the main heading, and
+    headings and paragraphs that stand beside the content element.
     """
     if not page:
         return []
@@ -221,16 +243,25 @@ def content_blocks(page: str | None, share: float = 0.95, strictness: float = 0.
     if nodes[chosen].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li") and nodes[chosen].parent > 0:
         chosen = nodes[chosen].parent  # one long paragraph: its siblings are content too
     at = chosen
-    while at > 0 and nodes[at].tag != "article":
+    while at > 0 and nodes[at].tag not in ("article", "main"):
         at = nodes[at].parent
-    chosen = at or chosen  # an article with one long section is content as a whole
+    beside = -1 if at else nodes[chosen].parent
+    chosen, alone = at or chosen, not at  # an article with one long section is content as a whole
 
     def inside(at: int) -> bool:
         while at > chosen:
             at = nodes[at].parent
         return at == chosen
 
-    return [b.text for b in open_blocks if inside(b.node)]
+    def belongs(b: Block) -> bool:
+        node = nodes[b.node]
+        if inside(b.node):
+            return True
+        if not alone or 2 * b.linked >= len(b.text):
+            return False
+        return best[node.path] >= limit or node.tag == "h1" or node.tag in PROSE and node.parent == beside
+
+    return [b.text for b in open_blocks if belongs(b)]
 
 
 def with_main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -32,6 +32,24 @@ def test_page(name):
     assert " ".join(html_content.content_blocks(PAGES[name])) == WANT
 
 
+BULK = "".join(f"<p>{p}</p>" for p in ARTICLE * 8)
+PARTS = f"<h1>The heading</h1><p>A lead of few words</p><div class=body>{BULK}</div><p>Closing words</p>"
+ANCHORS = "<h2 id=related-work>Related work</h2><p id=notice>One line.</p><section id=search-results><p>What was found, in short.</p></section><h2 id=social-impact>Impact</h2>"
+LISTS = "<div class=related-posts><ul><li><a href=/a>Another post</a></li><li><a href=/b>One more</a></li></ul></div>"
+
+
+@pytest.mark.parametrize("page", [f"<main>{PARTS}</main>", f"<div class=page>{PARTS}</div>", f"<body><nav><a href=/>Home</a></nav><main><div>{PARTS}</div></main><footer>us</footer></body>"])
+def test_heading_lead_and_closing_beside_a_long_body(page):
+    bulk = " ".join(html.unescape(p) for p in ARTICLE * 8)
+    assert " ".join(html_content.content_blocks(page)) == f"The heading A lead of few words {bulk} Closing words"
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_names_of_sections_are_no_furniture(tag):
+    page = f"<body><{tag}>{BODY}{ANCHORS}<p>{LONG}</p>{LISTS}</{tag}></body>"
+    assert " ".join(html_content.content_blocks(page)) == f"{WANT} Related work One line. What was found, in short. Impact {LONG.strip()}"
+
+
 def test_odd_pages(spark):
     texts = [None, "", "<", "<p", "just text, no tags. " * 3, "<p>a" * 3_000, "</div></p>", "<script>never closed", "&amp &lt;b&gt; &#x41;&nbsp;z", "<a " + "x" * 200_000, "<a '" * 2_000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, None)], "page_id long, html string").withColumn("text", F.lit(1))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstide.llm import bpe, chat, decontam, html_content, lattice, passages, quality, sharding, simhash, surrogate
+from crosstide.llm import bpe, chat, decontam, html_content, lattice, passages, pieces, quality, resample, runs, sharding, simhash, surrogate
 from crosstide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,63 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item within its error budget, with the nearest place."""
     out = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", F.col("item").cast("long").alias("item_id"), "distance", "start", "end")
+
+
+@query
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark's texts."""
+    out = resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id")
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def with_planted_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key`` and ``text``; where the key's CRC-32 ends in 0, words from a drawn place on repeat with a drawn period."""
+    digest = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(1))
+    words = F.filter(F.split(F.col(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    n, g = F.size("words"), F.floor(digest / 10)
+    planted = (digest % 10 == 0) & (n > 0)
+    parts = docs.select(key, F.col(text), F.when(digest % 10 == 0, words).otherwise(F.array().cast("array<string>")).alias("words"))
+    drawn = parts.withColumn("planted", planted).withColumn("a", F.when(F.col("planted"), g % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+
+    def source(i):
+        return F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+
+    moved = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", source(i).cast("int")))
+    return drawn.select(key, F.when(F.col("planted"), F.array_join(moved, " ")).otherwise(F.col(text)).alias(text))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, planted ones among them, and digests of the runs and the text without repeats."""
+    found = runs.repetitions(with_planted_runs(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    best = found.withColumn("best", runs.strongest())
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document and the text decoded from them, as digests."""
+    out = pieces.encoded(table(spark, sf_dir, "documents"), "doc_id", pieces_path())
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

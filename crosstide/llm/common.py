@@ -24,6 +24,14 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the stored table that ``df`` (made by ``written``) reads, after its last reader."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or a longer name where a column of ``df`` has it already (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -21,12 +21,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from crosstide.session import cut_lineage
+from crosstide.session import cut_lineage, shuffle_width
 
 HOT_ROWS = 2_000_000
 _NULL_SPREAD = 512
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Add the row number (from 1) in a total order over the whole table.
+
+    Rows are dealt by ranges of the order, numbered inside each, and moved on by
+    the sizes of the ranges before (one small row per range on the driver).
+    """
+    dealt = df.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order)
+    placed = cut_lineage(dealt.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    before, total = [], 0
+    for row in sorted(placed.groupBy(part.alias("part")).count().collect()):
+        before.append((row["part"], total))
+        total += row["count"]
+    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    met = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return met.withColumn(name, F.col("_before") + F.col("_place") % (1 << 33) + 1).drop("_place", "_part", "_before")
+
+
 def largest_group(df: DataFrame, group: Sequence[str]) -> int:
     """Rows of the largest group (one pruned, pre-aggregated pass)."""
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.functions.basics import div
-from crosstide.operators import ranking
+from crosstide.operators import groups, ranking
 from crosstide.operators.lookups import with_row
 from crosstide.session import cut_lineage
 
@@ -118,12 +118,6 @@ def groups_of(candidates: DataFrame, size: int, most: int) -> DataFrame:
     return groups
 
 
-def _total(members: str) -> Column:
-    return F.aggregate(
-        members, F.lit(0.0), lambda acc, m: acc + F.coalesce(m["metric"], F.lit(0.0))
-    )
-
-
 def _ids(members: str) -> Column:
     return F.transform(members, lambda m: m["trajectory_id"])
 
@@ -161,49 +155,31 @@ def diverse_groups(
     seed: int = 0,
     prefer_diverse: bool = True,
 ) -> DataFrame:
-    """Best groups by 2 * directions + phases + mean metric, formed, as the
-    rule says, among the ``n * size`` trajectories a strategy selects; random
-    groups of these without ``prefer_diverse``.
+    """Best groups by 2 * directions + phases + mean metric among the
+    ``n * size`` trajectories a strategy selects (or the whole share of the
+    top-percent strategy); random groups of these without ``prefer_diverse``.
 
-    The top-percent strategy forms groups of its whole share, so keep the share
-    small on a large pool.
+    No strategy forms the groups it does not return: see ``operators.groups``.
     """
-    most = n * size
-    chosen = preselected(pool, strategy, most, share, seed)
+    chosen = preselected(pool, strategy, n * size, share, seed)
     if strategy == "top_percent_plus_random":
         chosen = cut_lineage(chosen)
-        most = max(most, chosen.count())
-    groups = groups_of(chosen, size, most)
     if not prefer_diverse:
-        drawn = groups.select(_ids("members").alias("ids"), F.lit(None).cast("double").alias("score"), "places")
-        return drawn.orderBy(uniform_of(seed), "places").limit(n)
-    phases = F.size(F.array_distinct(F.transform("members", lambda m: m["phase"])))
-    score = _directions("members") * 2 + phases + _total("members") / size
-    return (
-        groups.select(_ids("members").alias("ids"), score.alias("score"), "places")
-        .orderBy(F.col("score").desc(), "places")
-        .limit(n)
-    )
+        return groups.drawn_groups(chosen, size, n, seed)
+    return groups.top_groups(chosen, size, n)
 
 
 def best_groups(pool: DataFrame, size: int = 2, n: int = 3) -> DataFrame:
     """The n groups with the largest metric sum.
 
-    Only the best ``n + size - 1`` trajectories can take part: a group with any
-    other member has n replacements for it that are no worse and not yet used.
     Trajectories without a metric join only when too few have one.
     """
     enough = pool.agg(F.count("metric").alias("_scored"))
     usable = with_row(pool, enough).where(
         F.col("metric").isNotNull() | (F.col("_scored") < size)
     ).drop("_scored")
-    most = n + size - 1
-    groups = groups_of(top_n(usable, most), size, most)
-    return (
-        groups.select(_ids("members").alias("ids"), _total("members").alias("score"), "places")
-        .orderBy(F.col("score").desc(), "places")
-        .limit(n)
-    )
+    most = n + size - 1  # a group with any other member has n replacements for it
+    return groups.top_groups(top_n(usable, most), size, n, groups.Score(direction=0.0, phase=0.0, mean=False))
 
 
 def cross_direction_pairs(pool: DataFrame, n: int = 3, seed: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from crosstide.session import shuffle_width
 BUCKETS = 10_000
 #: Words a text needs to be drawn, and the drawn share in hundredths.
 MIN_WORDS, PERCENT = 20, 25
+#: Bytes of the texts hashed together.
+CHUNK_BYTES = 2_000_000
 #: Pivot keys of one round of the selection.
 PIVOTS = 15
 
@@ -40,12 +43,24 @@ def _hashed(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.
     return lengths, single % buckets, pair % buckets, inner
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``CHUNK_BYTES`` of text (the last column), so a task's memory is bounded."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def feature_counts(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n): how many features of all texts fall in each bucket; a task sends one row per bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
-        for batch in batches:
+        for batch in _chunks(batches):
             _, single, pair, inner = _hashed(batch.column(0), buckets)
             total += np.bincount(single, minlength=buckets) + np.bincount(pair[inner], minlength=buckets)
         used = np.flatnonzero(total)
@@ -78,7 +93,7 @@ def weighted(docs: DataFrame, key: str, gain: np.ndarray, text: str = "text") ->
     buckets = len(gain)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _chunks(batches):
             words, single, pair, inner = _hashed(batch.column(1), buckets)
             each = gain[single] + np.where(inner, gain[pair], 0)
             upto = np.concatenate([[0], np.cumsum(each)])

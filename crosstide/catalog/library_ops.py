@@ -272,7 +272,10 @@ def s12(spark, sf):
     )
     old = rows.where("version % 2 = 0")
     newer = rows.where("version % 2 <> 0 OR version % 3 = 0").withColumn("version", F.col("version") + 1_000_000_000)
-    return libraries.upsert(old, newer, "id", "version")
+    path = scratch_path(spark, "library")
+    for rows in (old, newer):
+        libraries.upsert_store(rows, path, "id", "version", parts=8)
+    return libraries.read_store(spark, path)
 
 
 register("s12_upsert", s12, with_lib(
@@ -367,30 +370,6 @@ def trees(spark, sf):
     return expressions.explode_subtrees(texts(spark, sf), "p_partkey", E, shuffle_width(spark))
 
 
-# one token per tree node; a conditional's two marks are one node
-TOKENS = f"regexp_extract_all(factor_expression, '{expressions.TOKENS}')"
-NODES_SQL = (
-    rf"toks AS (SELECT p_partkey, factor_expression, name, {TOKENS} AS t FROM facs)",
-    "counts AS (SELECT *, len(list_filter(t, lambda x: regexp_matches(x, '^[0-9]'))) AS constants, "
-    "len(list_distinct(list_filter(t, lambda x: x[1] = '$'))) AS variables, len(t) AS nodes FROM toks)",
-)
-register(
-    "e03_node_counts",
-    lambda spark, sf: expressions.with_token_counts(texts(spark, sf), E).select("p_partkey", "constants", "variables", "nodes"),
-    with_lib("SELECT p_partkey, CAST(constants AS BIGINT) AS constants, CAST(variables AS BIGINT) AS variables, CAST(nodes AS BIGINT) AS nodes FROM counts", *NODES_SQL),
-)
-register(
-    "e05_subtree_sizes",
-    lambda spark, sf: trees(spark, sf).groupBy("p_partkey").agg(
-        F.max("size").alias("whole"), F.count(F.lit(1)).alias("subtrees"),
-        F.count_if(F.col("kind") == "var").alias("inputs"),
-        F.count_if(F.col("kind") == "call").alias("calls"),
-    ),
-    with_lib(
-        "SELECT p_partkey, CAST(len(t) AS INT) AS whole, CAST(len(t) AS BIGINT) AS subtrees, "
-        "CAST(len(list_filter(t, lambda x: x[1] = '$')) AS BIGINT) AS inputs, "
-        "CAST(len(list_filter(t, lambda x: regexp_matches(x, '^[A-Z]'))) AS BIGINT) AS calls FROM counts", *NODES_SQL),
-)
 # The six templates' subtrees, written out: f is the input, w and n are numbers.
 _F, _W, _N = f"({FEAT})", "(CAST(p_size AS VARCHAR) || '.0')", "(replace(p_brand, 'Brand#', '') || '.0')"
 
@@ -462,6 +441,26 @@ def best_sql(name, new, zoo):
 
 
 register("e05_subtree_explode", lambda spark, sf: trees(spark, sf), with_lib("SELECT * FROM trees", *TREE_SQL))
+COUNTS_SQL = (
+    "counts AS (SELECT p_partkey, count(*) FILTER (kind = 'num') AS constants, count(DISTINCT subtree) FILTER (kind = 'var') AS variables, "
+    "count(*) AS nodes FROM trees GROUP BY 1)",
+)
+register(
+    "e03_node_counts",
+    lambda spark, sf: expressions.node_counts(trees(spark, sf), "p_partkey"),
+    with_lib("SELECT p_partkey, constants, variables, nodes FROM counts", *TREE_SQL, *COUNTS_SQL),
+)
+register(
+    "e05_subtree_sizes",
+    lambda spark, sf: trees(spark, sf).groupBy("p_partkey").agg(
+        F.max("size").alias("whole"), F.count(F.lit(1)).alias("subtrees"),
+        F.count_if(F.col("kind") == "var").alias("inputs"),
+        F.count_if(F.col("kind") == "call").alias("calls"),
+    ),
+    with_lib(
+        "SELECT p_partkey, max(size) AS whole, count(*) AS subtrees, count(*) FILTER (kind = 'var') AS inputs, "
+        "count(*) FILTER (kind = 'call') AS calls FROM trees GROUP BY 1", *TREE_SQL),
+)
 
 
 def e06(spark, sf):
@@ -476,12 +475,12 @@ def accepted(spark, sf):
     """Odd parts are the new expressions, even ones the zoo; a few new ones do not parse."""
     broken = F.when(F.col("p_partkey") % 26 == 1, F.concat(E, F.lit(" )"))).otherwise(F.col(E))
     every = texts(spark, sf).withColumn(E, broken)
-    new = expressions.with_token_counts(every.where("p_partkey % 2 = 1"), E).withColumns(
+    new = every.where("p_partkey % 2 = 1").withColumns(
         {"length": expressions.symbol_length(F.col(E)), "features": expressions.base_features(F.col(E))}
     )
     taken = cut_lineage(expressions.explode_subtrees(every, "p_partkey", E, shuffle_width(spark)))
     shared = expressions.largest_shared(taken.where("p_partkey % 2 = 1"), taken.where("p_partkey % 2 = 0"), "p_partkey")
-    parsed = taken.select("p_partkey").distinct().withColumn("parsed", F.lit(True))
+    parsed = expressions.node_counts(taken, "p_partkey").withColumn("parsed", F.lit(True))
     facts = new.join(shared.select("p_partkey", "shared_size"), "p_partkey", "left").join(parsed, "p_partkey", "left")
     out = expressions.with_acceptance(facts, max_shared=9, max_length=90, max_features=3)
     return out.select("p_partkey", "accepted", "shared_size", F.array_join("reasons", ",").alias("reasons"))
@@ -490,16 +489,16 @@ def accepted(spark, sf):
 REASONS = {
     "unparsable": "p_partkey % 26 = 1",
     "shared": "p_partkey % 26 <> 1 AND coalesce(shared_size, 0) > 9",
-    "constants": "constants >= nodes OR -ln(1 - constants / nodes) >= 0.693",
-    "variables": "variables >= nodes OR -ln(1 - variables / nodes) >= 0.693",
+    "constants": "p_partkey % 26 <> 1 AND (constants >= nodes OR -ln(1 - constants / nodes) >= 0.693)",
+    "variables": "p_partkey % 26 <> 1 AND (variables >= nodes OR -ln(1 - variables / nodes) >= 0.693)",
     "length": "length(factor_expression) + CASE WHEN p_partkey % 26 = 1 THEN 2 ELSE 0 END > 90",
     "features": "variables > 3",
 }
 register("e04_acceptance", accepted, with_lib(
     "SELECT p_partkey, reasons = '' AS accepted, shared_size, reasons FROM (SELECT p_partkey, shared_size, concat_ws(',', "
     + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in REASONS.items())
-    + ") AS reasons FROM counts LEFT JOIN zoo_best USING (p_partkey) WHERE p_partkey % 2 = 1)",
-    *NODES_SQL, *TREE_SQL,
+    + ") AS reasons FROM facs JOIN counts USING (p_partkey) LEFT JOIN zoo_best USING (p_partkey) WHERE p_partkey % 2 = 1)",
+    *TREE_SQL, *COUNTS_SQL,
     "parsing AS (SELECT * FROM trees WHERE p_partkey % 26 <> 1)",
     *best_sql("zoo_best", "SELECT * FROM parsing WHERE p_partkey % 2 = 1", "SELECT * FROM parsing WHERE p_partkey % 2 = 0")))
 

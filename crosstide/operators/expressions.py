@@ -5,9 +5,8 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +36,7 @@ _OPS = {
     ast.GtE: ">=", ast.LtE: "<=", ast.Eq: "==", ast.NotEq: "!=", ast.BitAnd: "&",
     ast.BitOr: "|", ast.And: "&&", ast.Or: "||", ast.Pow: "**", ast.Mod: "%",
 }
+_SIGNS = {ast.USub: "-", ast.UAdd: "+", ast.Not: "!", ast.Invert: "~"}
 _COMMUTATIVE = {"+", "*", "==", "!=", "&", "&&", "|", "||"}
 
 
@@ -107,7 +107,7 @@ def subtrees(text: str) -> list[tuple[str, str, int]]:
             return keep(f"{node.func.id}({names})", "call", 1 + sum(a[1] for a in args))
         if isinstance(node, ast.UnaryOp):
             inner = walk(node.operand)
-            return keep(f"(-{inner[0]})", "op", 1 + inner[1])
+            return keep(f"({_SIGNS[type(node.op)]}{inner[0]})", "not" if isinstance(node.op, ast.Not) else "op", 1 + inner[1])
         if isinstance(node, ast.BinOp):
             return operation(_OPS[type(node.op)], walk(node.left), walk(node.right))
         if isinstance(node, ast.IfExp):
@@ -128,30 +128,28 @@ def subtrees(text: str) -> list[tuple[str, str, int]]:
     return found
 
 
+@F.udtf(returnType="subtree string, hash string, kind string, size int")
+class Subtrees:
+    """A row per subtree of one expression."""
+
+    def eval(self, text: str):
+        for name, kind, size in subtrees(text or ""):
+            yield name, hashlib.md5(name.encode()).hexdigest(), kind, size
+
+
 def explode_subtrees(
     df: DataFrame, key: str, expr: str, partitions: int | None = None
 ) -> DataFrame:
     """(key, subtree, hash, kind, size): one row per subtree of each expression.
 
-    Taking an expression apart costs far more than reading it; ``partitions``
-    spreads a table that comes from a few small files.
+    A lateral join with ``Subtrees``.  Taking an expression apart costs far
+    more than reading it; ``partitions`` spreads a table that comes from a few
+    small files.
     """
-    types = dict(df.dtypes)
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [
-                (k, name, hashlib.md5(name.encode()).hexdigest(), kind, size)
-                for k, text in zip(batch[key], batch[expr])
-                for name, kind, size in subtrees(text or "")
-            ]
-            yield pd.DataFrame(out, columns=[key, "subtree", "hash", "kind", "size"])
-
-    schema = f"{key} {types[key]}, subtree string, hash string, kind string, size int"
-    texts = df.select(key, expr)
+    texts = df.select(key, F.col(expr).alias("_text"))
     if partitions:
         texts = texts.repartition(partitions, key)
-    return texts.mapInPandas(rows, schema)
+    return texts.lateralJoin(Subtrees(F.col("_text").outer())).drop("_text")
 
 
 def node_counts(trees: DataFrame, key: str) -> DataFrame:
@@ -199,22 +197,6 @@ def largest_shared(new: DataFrame, zoo: DataFrame, key: str) -> DataFrame:
     )
 
 
-# one token per tree node; a conditional's two marks are one node
-TOKENS = r"\$?[A-Za-z_]\w*|\d+\.?\d*(?:e-?\d+)?|>=|<=|==|!=|&&|[-+*/><?]"
-
-
-def with_token_counts(df: DataFrame, expr: str) -> DataFrame:
-    """Add constants, distinct variables and all nodes, counted from the text's tokens."""
-    counted = df.withColumn("_t", F.regexp_extract_all(F.col(expr), F.lit(TOKENS), F.lit(0)))
-    return counted.withColumns(
-        {
-            "constants": F.size(F.filter("_t", lambda x: x.rlike("^[0-9]"))).cast("long"),
-            "variables": F.size(F.array_distinct(F.filter("_t", lambda x: x.startswith("$")))).cast("long"),
-            "nodes": F.size("_t").cast("long"),
-        }
-    ).drop("_t")
-
-
 def with_acceptance(
     df: DataFrame,
     max_shared: int = MAX_SHARED,
@@ -226,15 +208,17 @@ def with_acceptance(
 
     Needs shared_size, constants, variables, nodes, length and features.  A
     row with a false or NULL ``parsed`` is rejected as unparsable, if the
-    column is there.
+    column is there; it has no nodes to count.
     """
+    parsed = F.coalesce(F.col("parsed"), F.lit(False)) if "parsed" in df.columns else F.lit(True)
+
     def too_much(count: str) -> Column:
         ratio = div(F.col(count).cast("double"), F.col("nodes").cast("double"))
         penalty = F.when(ratio < 1, -F.log(1 - ratio))
-        return F.coalesce(penalty >= max_penalty, F.lit(True))
+        return parsed & F.coalesce(penalty >= max_penalty, F.lit(True))
 
-    failed = {"unparsable": ~F.coalesce(F.col("parsed"), F.lit(False))} if "parsed" in df.columns else {}
-    failed |= {
+    failed = {
+        "unparsable": ~parsed,
         "shared": F.coalesce(F.col("shared_size"), F.lit(0)) > max_shared,
         "constants": too_much("constants"),
         "variables": too_much("variables"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -99,24 +98,114 @@ def correlation_pairs(df: DataFrame, factors: Sequence[str]) -> DataFrame:
     )
 
 
-def overlap_with_kept(df: DataFrame, kept: Sequence[str], new: Sequence[str]) -> DataFrame:
+#: Rows of a date that are multiplied together; a longer date is dealt into parts.
+PART_ROWS = 20_000
+_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+
+
+def _between(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The sums of ``_SUMS`` for every column of ``left`` with every one of ``right``, over rows that have both."""
+    there, here = np.isfinite(left), np.isfinite(right)
+    x, y = np.where(there, left, 0.0), np.where(here, right, 0.0)
+    p, q = there.astype("float64"), here.astype("float64")
+    return np.stack([p.T @ q, x.T @ q, p.T @ y, (x * x).T @ q, p.T @ (y * y), x.T @ y])
+
+
+def _correlation(sums: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Correlations from the sums; NaN below two rows and where a side varies by rounding alone."""
+    n, x, y, xx, yy, xy = sums
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left, right = xx - x * x / n, yy - y * y / n
+        plain = (n < 2) | (left <= n * noise[0]) | (right <= n * noise[1])
+        return np.where(plain, np.nan, (xy - x * y / n) / np.sqrt(left * right))
+
+
+def _overlaps(new: int, centres: Sequence[float]):
+    """Per date and part the products of new with kept columns.
+
+    A date in one part adds its correlations to sums of the task; the sums of
+    products of a date in several parts go on as a row per pair.
+    """
+    middle = np.array(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = len(middle) - new
+        total, dates = np.zeros((new, kept)), np.zeros((new, kept))
+        at, to = (i.ravel() for i in np.indices((new, kept)))
+        names = ["day", "i", "j", *_SUMS, "corr", "days", "noise_x", "noise_y"]
+
+        def row(day: int | None, sums: np.ndarray | None, corr: np.ndarray, days: np.ndarray, noise: np.ndarray) -> pa.RecordBatch:
+            flat = [pa.array(a.ravel()) if a is not None else pa.nulls(new * kept, pa.float64()) for a in (sums if sums is not None else [None] * 6)]
+            ends = [pa.array(np.broadcast_to(a, (new, kept)).ravel()) for a in (corr, days, noise[0], noise[1])]
+            return pa.RecordBatch.from_arrays([pa.array([day] * (new * kept), pa.int64()), pa.array(at), pa.array(to), *flat, *ends], names)
+
+        def done(day: int, parts: int, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+            scale = np.max(np.where(np.isfinite(values), np.abs(values), 0.0), axis=0, initial=0.0) ** 2 * 1e-28
+            noise = np.broadcast_to(scale[:new, None], (new, kept)), np.broadcast_to(scale[None, new:], (new, kept))
+            if parts > 1:
+                values = values - middle
+                yield row(day, _between(values[:, :new], values[:, new:]), np.zeros(1), np.zeros(1), noise)
+                return
+            count = np.maximum(np.isfinite(values).sum(axis=0), 1)
+            values = values - np.where(np.isfinite(values), values, 0.0).sum(axis=0) / count
+            corr = _correlation(_between(values[:, :new], values[:, new:]), noise)
+            np.add(total, np.nan_to_num(corr), out=total)
+            np.add(dates, np.isfinite(corr), out=dates)
+
+        held: list[np.ndarray] = []
+        last: tuple[int, int, int] | None = None
+        for batch in batches:
+            keys = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[3:]]).astype("float64")
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                key = tuple(keys[a].tolist())
+                if last is not None and key != last:
+                    yield from done(last[0], last[2], np.concatenate(held))
+                    held = []
+                held.append(values[a:b])
+                last = key
+        if last is not None:
+            yield from done(last[0], last[2], np.concatenate(held))
+        zero = np.zeros((new, kept))
+        yield row(None, None, total, dates, (zero, zero))
+
+    return run
+
+
+def overlap_with_kept(df: DataFrame, kept: Sequence[str], new: Sequence[str], part_rows: int = PART_ROWS) -> DataFrame:
     """(factor, max_corr): for each new factor the largest mean daily
-    correlation with a kept factor."""
-    pairs = list(product(new, kept))
-    per_date = df.groupBy("datetime").agg(
-        *[pearson(n, k).alias(f"_c{i}") for i, (n, k) in enumerate(pairs)]
+    correlation with a kept factor.
+
+    Rows are dealt by date (a date of more than ``part_rows`` rows in parts),
+    and every date is one matrix product of all new with all kept columns, so
+    the plan does not grow with the number of factors and each task sends one
+    row per pair.  Dates without a correlation (fewer than two complete pairs,
+    a constant side) do not count; a pair without any has none.  NULL and
+    non-finite values are missing.
+    """
+    names = [*new, *kept]
+    values = df.select("datetime", "instrument", *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)])
+    finite = [F.when(~F.isnan(f"_{i}") & (F.abs(f"_{i}") != float("inf")), F.col(f"_{i}")) for i in range(len(names))]
+    centres = [0.0 if m is None else m for m in values.agg(*[F.avg(c) for c in finite]).first()]
+    # One small row per DATE, as everywhere in this library.
+    days = df.groupBy("datetime").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("_parts")).select("datetime", "_parts", F.xxhash64("datetime").alias("_day"))
+    dealt = values.join(F.broadcast(days), "datetime").withColumn("_part", F.pmod(F.xxhash64("instrument"), F.col("_parts")))
+    rows = dealt.select("_day", "_part", "_parts", *values.columns[2:]).repartition("_day", "_part").sortWithinPartitions("_day", "_part")
+    schema = "day long, i long, j long, " + ", ".join(f"{c} double" for c in (*_SUMS, "corr", "days", "noise_x", "noise_y"))
+    cells = rows.mapInArrow(_overlaps(len(new), centres), schema)
+    c = F.col
+    whole = cells.groupBy("day", "i", "j").agg(*[F.sum(s).alias(s) for s in (*_SUMS, "corr", "days")], F.max("noise_x").alias("noise_x"), F.max("noise_y").alias("noise_y"))
+    left, right = c("xx") - c("x") * c("x") / c("n"), c("yy") - c("y") * c("y") / c("n")
+    varies = (c("n") > 1) & (left > c("n") * c("noise_x")) & (right > c("n") * c("noise_y"))
+    late = F.when(varies, (c("xy") - c("x") * c("y") / c("n")) / F.sqrt(left * right))
+    pairs = whole.withColumn("_late", F.when(c("day").isNotNull(), late)).groupBy("i", "j").agg(
+        (F.sum("corr") + F.coalesce(F.sum("_late"), F.lit(0.0))).alias("sum"), (F.sum("days") + F.count("_late")).alias("count")
     )
-    means = per_date.agg(*[F.avg(f"_c{i}").alias(f"_c{i}") for i in range(len(pairs))])
-    rows = [
-        F.struct(
-            F.lit(n).alias("factor"),
-            F.array_max(
-                F.array(*[F.col(f"_c{i}") for i, (m, _) in enumerate(pairs) if m == n])
-            ).alias("max_corr"),
-        )
-        for n in new
-    ]
-    return means.select(F.inline(F.array(*rows)))
+    best = pairs.groupBy("i").agg(F.max(div(F.col("sum"), F.col("count"))).alias("max_corr"))
+    return best.select(F.element_at(F.array(*map(F.lit, new)), (F.col("i") + 1).cast("int")).alias("factor"), "max_corr")
 
 
 def not_redundant(overlap: DataFrame, limit: float = 0.99) -> DataFrame:

@@ -7,15 +7,20 @@ the shuffle that merges them moves k rows per query and task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosstide.session import cut_lineage
+
 MAX_QUERIES = 4096
 BLOCK_ROWS = 50_000
 OUT = "query_id {q}, id {v}, similarity double"
@@ -156,20 +161,65 @@ def concatenate(pages: DataFrame, key: str, page: str, text: str, per_part: int
     return joined.select(key, "part", F.array_join(F.transform("_p", lambda s: s["t"]), "\n").alias("text"))
 
 
-def cluster(vectors: DataFrame, limit: int, most_clusters: int | None = None, seed: int = 42) -> DataFrame:
-    """Spherical k-means with the smallest k whose largest cluster is below ``limit``.
+class Clustering(NamedTuple):
+    """Members (id, cluster; NULL for vectors without a direction) and centres (cluster, centre of length one)."""
+
+    members: DataFrame
+    centres: DataFrame
+
 
-    (id, cluster).  Raises ValueError when no k up to ``most_clusters``, or up
-    to the number of vectors, achieves it.
+def clustering(vectors: DataFrame, limit: int, most_clusters: int | None = None, seed: int = 42) -> Clustering:
+    """Spherical k-means with so many clusters that each has fewer than ``limit`` vectors.
+
+    k starts at the number that even sizes would need.  While a cluster is too
+    large the step above the last k doubles; then the gap between the largest k
+    that failed and the smallest that did not is bisected, so the number of
+    fits grows with the logarithm of k.  The k returned passes and k - 1 does
+    not (or is too small to).  NULL and zero vectors belong to no cluster.
+    Raises ValueError when no tried k up to ``most_clusters``, or up to the
+    number of vectors, achieves it.
     """
-    points = vectors.select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    total = points.count()
-    if total < limit:
-        return points.select("id", F.lit(0).alias("cluster"))
-    k, most = max(2, total // limit), min(total, most_clusters or total)
-    while k <= most:
-        model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=100).fit(points)
-        if max(model.summary.clusterSizes) < limit:
-            return model.transform(points).select("id", F.col("prediction").alias("cluster"))
-        k += 1
-    raise ValueError(f"no clustering into up to {most} clusters has all of them below {limit}")
+    wide = F.col("embedding").cast("array<double>")
+    length = F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x)
+    able = cut_lineage(vectors.where(length > 0).select("id", array_to_vector(wide).alias("features")))
+    lost = vectors.where(~F.coalesce(length > 0, F.lit(False))).select("id", F.lit(None).cast("int").alias("cluster"))
+    spark, total = vectors.sparkSession, able.count()
+    most = min(total, most_clusters or total)
+
+    def fit(k: int) -> tuple[DataFrame, list[list[float]], int]:
+        if k == 1:
+            mean = able.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"] if total else None
+            return able.select("id", F.lit(0).alias("cluster")), [] if mean is None else [list(map(float, mean))], total
+        model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=100).fit(able)
+        found = model.transform(able).select("id", F.col("prediction").alias("cluster"))
+        return found, [list(map(float, c)) for c in model.clusterCenters()], max(model.summary.clusterSizes)
+
+    failed = max(1, -(-total // max(1, limit - 1))) - 1  # fewer clusters cannot all be small enough
+    k, step, best = failed + 1, 1, None
+    while best is None:
+        if k > most and (failed >= most or total == 0):
+            if total == 0:
+                best = fit(1)
+                break
+            raise ValueError(f"no clustering into up to {most} clusters has all of them below {limit}")
+        k = min(k, most)
+        made = fit(k)
+        if made[2] < limit:
+            best, passed = made, k
+        else:
+            failed, k, step = k, k + step, step * 2
+    while best is not None and total and passed - failed > 1:
+        middle = (passed + failed) // 2
+        made = fit(middle)
+        if made[2] < limit:
+            best, passed = made, middle
+        else:
+            failed = middle
+    rows = [(i, [x / math.sqrt(sum(y * y for y in c)) for x in c] if any(c) else c) for i, c in enumerate(best[1])]
+    centres = spark.createDataFrame(rows, "cluster int, centre array<double>")
+    return Clustering(best[0].unionByName(lost), centres)
+
+
+def cluster(vectors: DataFrame, limit: int, most_clusters: int | None = None, seed: int = 42) -> DataFrame:
+    """The members of ``clustering``: (id, cluster)."""
+    return clustering(vectors, limit, most_clusters, seed).members

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstide.functions.basics import rounded
+from crosstide.session import cut_lineage
 from crosstide.sources.panel import keep_last
 
 FACTOR = (
@@ -138,6 +140,37 @@ def upsert(library: DataFrame, new: DataFrame, key: str, order: str) -> DataFram
     return keep_last(library.unionByName(new), [key], [order])
 
 
+def upsert_store(new: DataFrame, path: str, key: str, order: str, parts: int = 64) -> list[int]:
+    """``upsert`` into a stored library: rewrites only the parts that ``new`` touches.
+
+    The library at ``path`` is Parquet, partitioned by a hash of ``key`` into
+    ``parts`` folders (made by the first call, and the same for later ones).
+    Touched folders are merged and replaced when all of them are written, so a
+    write that fails leaves the old library.  Returns the touched parts; an
+    empty ``new`` touches none.  NULL keys are one key.
+    """
+    spark = new.sparkSession
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    rows = cut_lineage(new.withColumn("_part", part))
+    touched = sorted(r["_part"] for r in rows.select("_part").distinct().collect())  # ``parts`` numbers at most
+    if not touched:
+        return []
+    try:
+        old = spark.read.schema(rows.schema).parquet(path).where(F.col("_part").isin(touched))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = rows.limit(0)
+    merged = upsert(old, rows, key, order).repartition(len(touched), "_part")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
+    return touched
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The stored library's rows."""
+    return spark.read.parquet(path).drop("_part")
+
+
 def quality_counts(df: DataFrame, quality: str) -> DataFrame:
     return df.groupBy(quality).agg(F.count(F.lit(1)).alias("factors"))
 

@@ -293,6 +293,25 @@ def test_clusters_keep_their_limit_or_say_so(spark):
         vectors.cluster(v, 5, most_clusters=3)
 
 
+def test_clusters_are_nearest_and_few(spark):
+    rng = np.random.default_rng(5)
+    spots = np.repeat(rng.normal(size=(6, 8)), [50, 20, 20, 10, 5, 3], axis=0)
+    rows = [(i, x.tolist()) for i, x in enumerate(spots + rng.normal(size=spots.shape) / 50)]
+    v = spark.createDataFrame([*rows, (500, [0.0] * 8), (501, None)], "id int, embedding array<double>")
+    members, centres = vectors.clustering(v, 60)
+    found = {r.id: r.cluster for r in members.collect()}
+    middle = {r.cluster: np.array(r.centre) for r in centres.collect()}
+    assert len(found) == 110 and found[500] is None and found[501] is None
+    sizes = {}
+    for i, x in rows:
+        dots = {c: float(np.dot(x, m)) for c, m in middle.items()}
+        assert dots[found[i]] >= max(dots.values()) - 1e-9
+        sizes[found[i]] = sizes.get(found[i], 0) + 1
+    assert max(sizes.values()) < 60 and 2 <= len(middle) <= 4
+    assert vectors.cluster(v.limit(0), 5).count() == 0
+    assert {r.cluster for r in vectors.cluster(v.where("id < 30"), 99).collect()} == {0}
+
+
 def test_total_loss_has_a_drawdown(spark):
     df = spark.createDataFrame([(1, -1.0), (2, 0.5), (3, 0.1)], "datetime int, excess double")
     assert metrics.risk_metrics(df, compound=True).first().max_drawdown in (None, -1.0, 0.0)
@@ -300,8 +319,8 @@ def test_total_loss_has_a_drawdown(spark):
 
 def test_unparsable_expressions_are_rejected_not_lost(spark):
     df = spark.createDataFrame([(1, "RANK($close)"), (2, "RANK($close")], "k int, e string")
-    parsed = expressions.explode_subtrees(df, "k", "e").select("k").distinct().withColumn("parsed", F.lit(True))
-    facts = expressions.with_token_counts(df, "e").join(parsed, "k", "left").selectExpr("*", "0 AS shared_size", "10 AS length", "1 AS features")
+    counts = expressions.node_counts(expressions.explode_subtrees(df, "k", "e"), "k").withColumn("parsed", F.lit(True))
+    facts = df.join(counts, "k", "left").selectExpr("*", "0 AS shared_size", "10 AS length", "1 AS features")
     out = {r.k: list(r.reasons) for r in expressions.with_acceptance(facts, max_penalty=9.9).collect()}
     assert out == {1: [], 2: ["unparsable"]}
 

@@ -9,7 +9,7 @@ from crosstide.catalog.common import panel, r, register, rs, table, with_panel
 from crosstide.catalog.panel_ops import FOUR, LABEL_SQL
 from crosstide.functions import rolling as ts
 from crosstide.functions.basics import div
-from crosstide.operators import graph, modelling, vectors
+from crosstide.operators import graph, modelling, pivots, vectors
 from crosstide.operators.lookups import with_row
 from crosstide.plans import dataset, feature_sets, trial
 from crosstide.session import cut_lineage
@@ -38,6 +38,17 @@ register(
     SIM_SQL + f"SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INT) AS place, {rs('s')} AS similarity "
     "FROM sims WHERE s > 0.1 QUALIFY place <= 10",
 )
+
+
+def g01_pruned(spark, sf):
+    """The same rows from a pivot index; how much it leaves unread depends on how the vectors cluster."""
+    found = pivots.top_similar(pivots.build(vecs(spark, sf)), centres(spark, sf), 10, 0.1)
+    return found.best.select("query_id", "id", F.col("place").cast("int").alias("place"), r("similarity").alias("similarity"))
+
+
+register("g01_pruned_topk", g01_pruned,
+    SIM_SQL + f"SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INT) AS place, {rs('s')} AS similarity "
+    "FROM sims WHERE s > 0.1 QUALIFY place <= 10")
 register(
     "g02_similarity_matrix",
     lambda spark, sf: vectors.similarities(vecs(spark, sf), centres(spark, sf)).select(

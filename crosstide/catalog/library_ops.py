@@ -220,6 +220,21 @@ def s09(spark, sf):
 
 register("s09_static_features", s09, with_panel(
     f"SELECT datetime, instrument, {rs('close')} AS close, {rs('CASE WHEN volume > 25 THEN vwap END')} AS static FROM panel"))
+
+
+def s09_bucketed(spark, sf):
+    """Two stored matrices joined bucket by bucket."""
+    base = panel(spark, sf)
+    paths = [scratch_path(spark, n) for n in ("features", "static")]
+    width = shuffle_width(spark)
+    stores.write_bucketed(base.select(*KEYS, "close"), paths[0], width)
+    stores.write_bucketed(base.where("volume > 25").select(*KEYS, "vwap"), paths[1], width)
+    joined = stores.with_static(*(stores.read_bucketed(spark, p) for p in paths), KEYS)
+    return joined.select(*KEYS, r("close").alias("close"), r("vwap").alias("static"))
+
+
+register("s09_bucketed_join", s09_bucketed, with_panel(
+    f"SELECT datetime, instrument, {rs('close')} AS close, {rs('CASE WHEN volume > 25 THEN vwap END')} AS static FROM panel"))
 STORE = {
     "TS_MEAN($return,5)": (lambda: ts.mean("ret", 5), f"avg(ret) {frame(5)}"),
     "TS_SUM($volume,10)": (lambda: ts.total("volume", 10), f"sum(volume) {frame(10)}"),

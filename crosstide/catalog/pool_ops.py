@@ -191,9 +191,8 @@ LINEAGE = (
 
 def r11(spark, sf):
     p = pool(spark, sf)
-    edges = selection.parent_edges(p)
-    up = graph.within_steps(edges, p.select(F.col("trajectory_id").alias("node")), 4)
-    return up.select(F.col("seed").alias("trajectory"), F.col("node").alias("ancestor"), F.col("distance").alias("generations"))
+    up = graph.ancestry(selection.parent_edges(p), 4)
+    return up.select(F.col("node").alias("trajectory"), "ancestor", "generations")
 
 
 register("r11_lineage", r11, LINEAGE + "SELECT seed AS trajectory, node AS ancestor, CAST(min(d) AS INT) AS generations FROM up GROUP BY 1, 2")

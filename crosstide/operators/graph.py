@@ -95,6 +95,34 @@ def within_steps(
     return found.select("seed", "node", "distance")
 
 
+def ancestry(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, ancestor, generations): everything each node descends from along
+    ``edges`` (src child, dst parent), by the shortest line, at most ``most``
+    generations up.
+
+    Lines double: those of up to 2n generations are two of up to n joined, so
+    the rounds grow with the logarithm of the depth.  Each round is written
+    down.  Shortest lines only shrink, so a cycle ends too; a node is no
+    ancestor of itself.  NULL ends are ignored.
+    """
+    steps = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("ancestor")).distinct()
+    known = cut_lineage(steps.withColumn("generations", F.lit(1)))
+    reach, last = 1, None
+    while most is None or reach < most:
+        facts = known.agg(F.count(F.lit(1)), F.sum("generations")).first()
+        if facts == last:
+            break
+        last = facts
+        upper = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("beyond"), F.col("generations").alias("more"))
+        longer = known.join(upper, "ancestor").select("node", F.col("beyond").alias("ancestor"), (F.col("generations") + F.col("more")).alias("generations"))
+        longer = longer.where(F.col("node") != F.col("ancestor"))
+        if most is not None:
+            longer = longer.where(F.col("generations") <= most)
+        known = cut_lineage(known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("generations").alias("generations")))
+        reach *= 2
+    return known
+
+
 def shared_neighbours(reached: DataFrame, least: int = 2) -> DataFrame:
     """Nodes reached from at least ``least`` seeds, with the number of seeds."""
     return reached.groupBy("node").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= least)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEYS = "expression_key string, run string"
 
@@ -21,6 +23,34 @@ def write_matrix(panel: DataFrame, factors: Sequence[tuple[str, Column]], path:
     matrix.repartitionByRange("datetime", "instrument").write.mode("overwrite").parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, buckets: int, keys: Sequence[str] = ("instrument", "datetime")) -> None:
+    """Write a table in ``buckets`` files by a hash of ``keys``, each sorted by them.
+
+    Two tables written with the same keys and number of buckets join on the
+    keys without an exchange.  The layout is kept beside the rows.
+    """
+    spark = df.sparkSession
+    name = f"layout_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    dealt.mode("overwrite").option("path", path).format("parquet").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    layout = [(df.schema.json(), buckets, list(keys))]
+    spark.createDataFrame(layout, "schema string, buckets int, keys array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/_layout")
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """A table of ``write_bucketed`` with its layout, for any session."""
+    layout = spark.read.schema("schema string, buckets int, keys array<string>").json(f"{path}/_layout").first()
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(json.loads(layout.schema)))
+    name = f"bucketed_{hashlib.md5(path.encode()).hexdigest()}"
+    keys = ", ".join(f"`{k}`" for k in layout["keys"])
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {layout.buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(name)
+
+
 def with_static(features: DataFrame, static: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join precomputed features to expression features."""
     return features.join(static, list(keys), "left")

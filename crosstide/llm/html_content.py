@@ -35,6 +35,10 @@ FURNITURE = frozenset(
     "alert gdpr search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget "
     "complementary contentinfo".split()
 )
+#: Of these, the words that name a part of an article as well; inside one they drop only what is mostly links.
+EITHER = frozenset(
+    "overlay recommendations recommended related replies reply respond search share sharing skip social teaser toolbar widget".split()
+)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؟،]")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -88,7 +92,7 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
     alone does not drop an element that holds the page's main heading, and an
     id no heading or paragraph.  A name with other words too ("related-work")
     drops an element of an article or main, or by its id a section anywhere, only if
-    half of the text in it is links.
+    half of the text in it is links; so does a name of EITHER alone inside an article or main.
     """
     nodes = [Node("", -1, "", False, False)]
     stack, blocks, pieces, linked, links = [0], [], [], 0, 0
@@ -152,7 +156,8 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         inside = up.article or tag in ("article", "main")
         dropped = hidden or tag in HIDDEN or tag in BOILERPLATE or tag == "header" and not up.article
         furniture = [(by_id, [w in FURNITURE or w == "header" and not up.article for w in words]) for by_id, words in names]
-        furniture = [(by_id, all(w)) for by_id, w in furniture if any(w) and not (by_id and tag in PROSE)]
+        either = [up.article and all(w in EITHER for w in words) for _, words in names]
+        furniture = [(by_id, all(w) and not e) for (by_id, w), e in zip(furniture, either, strict=True) if any(w) and not (by_id and tag in PROSE)]
         if tag in ("html", "body", "main"):
             furniture = []
         named = any(whole or not (up.article or by_id and tag == "section") for by_id, whole in furniture)
@@ -236,8 +241,11 @@ def content_blocks(page: str | None, share: float = 0.95, strictness: float = 0.
             while at >= 0:
                 held[at] += weight
                 at = nodes[at].parent
-    if not total:
-        return []
+    if not total:  # links only: the first article or main, if there is one
+        round_ = [i for i, n in enumerate(nodes) if n.tag in ("article", "main") and not n.dropped]
+        if not round_:
+            return []
+        held, total = {round_[0]: 1.0}, 1.0
     # Elements are numbered in page order, so of those holding enough the last is the deepest.
     chosen = max(n for n, w in held.items() if w >= share * total)
     if nodes[chosen].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li") and nodes[chosen].parent > 0:

@@ -2,6 +2,7 @@
 
 import html
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,33 @@ def test_names_of_sections_are_no_furniture(tag):
     assert " ".join(html_content.content_blocks(page)) == f"{WANT} Related work One line. What was found, in short. Impact {LONG.strip()}"
 
 
+def test_an_article_of_links_and_a_section_named_search():
+    assert html_content.content_blocks("<article><p><a href=/a>Only a link text in the article</a></p></article>") == ["Only a link text in the article"]
+    assert html_content.content_blocks("<body><nav><a href=/>Home</a></nav><p><a href=/a>Link</a></p></body>") == []
+    for name in ("search", "related", "social", "share"):
+        page = f"<body><article>{BODY}<section class='{name}'><p>What one finds. {LONG}</p></section></article></body>"
+        assert " ".join(html_content.content_blocks(page)) == f"{WANT} What one finds. {LONG.strip()}"
+        links = f"<body><article>{BODY}<section class='{name}'><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul></section></article></body>"
+        assert " ".join(html_content.content_blocks(links)) == WANT
+
+
+def article_of(page):
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    return " ".join(" ".join(html.unescape(re.sub(r"</?b>", "", part)) for part in re.split(r"</?(?:p|h1|br)>", inner)).split())
+
+
+@pytest.mark.parametrize("opened,closed", [("<div>", "</div>"), ("<div class=story>", "</div>"), ("", "")])
+def test_given_pages_without_their_article_element(spark, opened, closed):
+    """Words found and words right, where no element says which text is the article."""
+    right = found = wanted = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        page = r["html"].replace("<article>", opened).replace("</article>", closed)
+        got, want = (Counter(x.split()) for x in (" ".join(html_content.content_blocks(page)), article_of(r["html"])))
+        right, found, wanted = right + (got & want).total(), found + got.total(), wanted + want.total()
+    print(opened, right / found, right / wanted)
+    assert right / found > 0.95 and right / wanted > 0.95
+
+
 def test_odd_pages(spark):
     texts = [None, "", "<", "<p", "just text, no tags. " * 3, "<p>a" * 3_000, "</div></p>", "<script>never closed", "&amp &lt;b&gt; &#x41;&nbsp;z", "<a " + "x" * 200_000, "<a '" * 2_000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, None)], "page_id long, html string").withColumn("text", F.lit(1))

@@ -10,21 +10,25 @@ and the full distance of each hit is verified.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import components, free_name, written
+from crosstide.llm.common import components, free_name, matched, runs, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
 #: Removed documents (16 bytes each) that are broadcast at most.
 SENT = 1_000_000
+#: Fingerprints with one segment value that are joined with each other directly, and that make up a block.
+CROWD = 1_000
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -88,12 +92,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def links(prints: DataFrame, max_bits: int = 4, count: int = 3) -> DataFrame:
-    """(u, v): every pair of different fingerprints within ``max_bits``, once.
-
-    ``prints`` has one bigint column of distinct values.  A pair found in
-    several segments is kept in the first of them only.
-    """
+def _entries(prints: DataFrame, max_bits: int, count: int) -> tuple[DataFrame, DataFrame, list[tuple[int, int, int]]]:
+    """Each fingerprint under its own segment values, and under those it looks up; the segments."""
     (col,) = prints.columns
     cut = segments(max_bits, count)
     keys, probes = [], []
@@ -106,6 +106,20 @@ def links(prints: DataFrame, max_bits: int = 4, count: int = 3) -> DataFrame:
         probes.append(_looked_up(t, key, ball))
     stored = prints.select(F.col(col).alias("v"), F.inline(F.array(*keys)))
     asked = prints.select(F.col(col).alias("u"), F.inline(F.concat(*probes)))
+    return stored, asked, cut
+
+
+def links(prints: DataFrame, max_bits: int = 4, count: int = 3) -> DataFrame:
+    """(u, v): every pair of different fingerprints within ``max_bits``, once.
+
+    ``prints`` has one bigint column of distinct values.  A pair found in
+    several segments is kept in the first of them only.
+    """
+    stored, asked, cut = _entries(prints, max_bits, count)
+    return _hits(asked.join(stored, ["t", "key"]), cut, max_bits)
+
+
+def _hits(met: DataFrame, cut: list[tuple[int, int, int]], max_bits: int) -> DataFrame:
     differ = F.col("u").bitwiseXOR(F.col("v"))
 
     def within(t: int):
@@ -116,8 +130,70 @@ def links(prints: DataFrame, max_bits: int = 4, count: int = 3) -> DataFrame:
     for t in range(1, len(cut)):
         for before in range(t):
             first = first & ((F.col("t") != t) | ~within(before))
-    hits = asked.join(stored, ["t", "key"])
-    return hits.where((F.col("moved") | (F.col("u") < F.col("v"))) & (F.bit_count(differ) <= max_bits) & first).select("u", "v")
+    return met.where((F.col("moved") | (F.col("u") < F.col("v"))) & (F.bit_count(differ) <= max_bits) & first).select("u", "v")
+
+
+def forest(prints: DataFrame, max_bits: int = 4, count: int = 3, crowd: int = CROWD) -> DataFrame:
+    """(u, v): links with the same components as ``links``, however many fingerprints share a segment value.
+
+    A value that more than ``crowd`` fingerprints hold does not join them all.
+    All that hold it or look it up are first compared with the smallest holder;
+    what that leaves in several groups is dealt into blocks, and two blocks
+    give one link per group they join.  So no step lists the pairs of a value,
+    and no task holds more than two blocks.
+    """
+    stored, asked, cut = _entries(prints, max_bits, count)
+    crowded = stored.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("hub")).where(F.col("n") > crowd)
+    crowded = written(crowded.select("t", "key", "hub"), "crowded")
+    if not crowded.take(1):
+        return _hits(asked.join(stored, ["t", "key"]), cut, max_bits)
+    few = crowded.limit(SENT + 1).count() <= SENT
+    hot = F.broadcast(crowded) if few else crowded
+    plain = _hits(asked.join(hot, ["t", "key"], "left_anti").join(stored.join(hot, ["t", "key"], "left_anti"), ["t", "key"]), cut, max_bits)
+    members = stored.select("t", "key", F.col("v").alias("p")).unionAll(asked.where("moved").select("t", "key", F.col("u").alias("p")))
+    members = written(members.join(hot, ["t", "key"]), "crowd")
+    near = F.bit_count(F.col("p").bitwiseXOR(F.col("hub"))) <= max_bits
+    stars = written(members.where(near & (F.col("p") != F.col("hub"))).select(F.col("p").alias("u"), F.col("hub").alias("v")).distinct(), "stars")
+    group = components(stars).select(F.col("node").alias("p"), F.col("component").alias("g"))
+    labelled = written(members.join(group, "p", "left").select("t", "key", "p", F.coalesce("g", "p").alias("g")), "labelled")
+    mixed = labelled.groupBy("t", "key").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("parts")).where("x < y")
+    mixed = written(mixed.select("t", "key", "parts"), "mixed")
+    dealt = labelled.join(F.broadcast(mixed) if few else mixed, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("p"), F.col("parts")).cast("int"))
+    paired = dealt.select("t", "key", "p", "g", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    paired = paired.select("t", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "p", "g")
+    keys = ["t", "key", "low", "high"]
+    across = paired.repartition(*keys).sortWithinPartitions(*keys, "part").mapInArrow(_across(max_bits), "u long, v long")
+    return plain.unionAll(stars).unionAll(across)
+
+
+def _across(max_bits: int):
+    """Links between the groups of one or two blocks, as a forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, 4):
+            part, p, g = (rows[c].to_numpy() for c in ("part", "p", "g"))
+            bits = p.view(np.uint64)
+            one = rows["low"][0].as_py() == rows["high"][0].as_py()
+            cut = 0 if one else int(np.searchsorted(part, rows["high"][0].as_py()))
+            left, right = (np.arange(len(p)), np.arange(len(p))) if one else (np.arange(cut), np.arange(cut, len(p)))
+            above: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while x in above:
+                    x = above[x]
+                return x
+
+            found: list[tuple[int, int]] = []
+            for i in left.tolist():
+                close = right[np.bitwise_count(bits[right] ^ bits[i]) <= max_bits]
+                for j in close[g[close] != g[i]].tolist():
+                    a, b = top(int(g[i])), top(int(g[j]))
+                    if a != b:
+                        above[max(a, b)] = min(a, b)
+                        found.append((int(p[i]), int(p[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
+
+    return run
 
 
 def _classified(docs: DataFrame, key: str, text: str, width: int, max_bits: int) -> DataFrame:
@@ -125,11 +201,13 @@ def _classified(docs: DataFrame, key: str, text: str, width: int, max_bits: int)
     rows = with_fingerprint(docs.select(F.col(key).alias("k"), F.col(text).alias("x")), "x", width, "p")
     rows = written(rows.select("k", F.xxhash64("x").alias("h"), "p"), "fingerprints")
     classes = written(rows.groupBy("p").agg(F.min("k").alias("k")), "classes")
-    found = components(links(classes.select("p"), max_bits))
+    found = components(forest(classes.select("p"), max_bits))
     grouped = classes.join(found.select(F.col("node").alias("p"), F.col("component").alias("root")), "p", "left")
-    grouped = written(grouped.select("p", "k", F.coalesce("root", "p").alias("root")), "grouped")
-    names = grouped.groupBy("root").agg(F.min("k").alias("name"))
-    named = written(grouped.join(names, "root").select("p", "name"), "named")
+    grouped = written(grouped, "grouped")
+    linked = grouped.where("root IS NOT NULL")
+    names = written(linked.groupBy("root").agg(F.min("k").alias("name")), "names")
+    named = matched(linked, names, "root").select("p", "name")
+    named = written(named.unionAll(grouped.where("root IS NULL").select("p", F.col("k").alias("name"))), "named")
     return rows.join(named, "p")
 
 

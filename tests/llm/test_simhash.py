@@ -94,6 +94,29 @@ def test_links_are_complete(spark, bits, count):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("crowd", [1, 4, 30, 1000])
+def test_crowded_values_give_the_same_components(spark, crowd):
+    draw = np.random.default_rng(crowd)
+    prints = set()
+    for centre in draw.integers(0, 1 << 63, size=4, dtype=np.uint64).tolist():
+        for _ in range(70):  # up to 3 bits from the centre, so a group holds pairs that are not linked
+            x = centre
+            for b in draw.choice(64, size=draw.integers(0, 4), replace=False).tolist():
+                x ^= 1 << b
+            prints.add(x)
+    base = 0x5A5A5A << 42  # one segment value, all else at random: mostly unlinked
+    prints |= {base | int(draw.integers(0, 1 << 42)) for _ in range(60)}
+    chain = base | 0x3FF
+    for b in range(0, 40, 3):
+        chain ^= 7 << b
+        prints.add(chain)
+    signed = [x - (1 << 64) if x >= 1 << 63 else x for x in prints]
+    df = spark.createDataFrame([(x,) for x in signed], "p long")
+    got = {r["node"]: r["component"] for r in components(simhash.forest(df, crowd=crowd)).collect()}
+    want = {r["node"]: r["component"] for r in components(simhash.links(df)).collect()}
+    assert got == want and len(set(want.values())) >= 4
+
+
 def test_segments_cover_the_budget():
     for bits in range(12):
         for count in range(1, 9):

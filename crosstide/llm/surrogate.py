@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,11 +51,11 @@ KINDS = {
     "key": r"\b(?P<key>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b",
     "email": r"(?<![\w.+%-])(?P<email>[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,})",
     "iban": r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b",
-    "ip6": r"(?<![\w:])(?P<ip6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![\w:])",
+    "ip6": r"(?<![\w:.])(?P<ip6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])",
     "ip4": r"(?<![\w.])(?P<ip4>(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])",
     "card": r"(?<![\w-])(?P<card>[2-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\w-])",
-    "phone": r"(?<![\w(])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
+    "phone": r"(?<![\w(])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0[1-9]\d{1,3}[ /-]\d{5,8})(?!\w)",
     "person": rf"\b(?P<title>{'|'.join(' '.join(TITLES.values()).split())})\b\.?[ \u00a0](?P<person>{NAME}(?:[ \u00a0]{NAME}){{0,2}})",
 }
 FINDER = re.compile("|".join(KINDS.values()))
@@ -85,14 +86,40 @@ def script_of(text: str) -> str:
 def _canonical(kind: str, text: str) -> str:
     if kind in ("phone", "card", "ssn"):
         return re.sub(r"\D", "", text)
-    if kind in ("email", "ip6"):
+    if kind == "ip6":
+        return str(ipaddress.IPv6Address(text))
+    if kind == "email":
         return text.lower()
     return text.replace(" ", "") if kind == "iban" else text
 
 
+def _real(kind: str, text: str) -> bool:
+    """Whether a match of the pattern is an entity: cards keep Luhn's check, short addresses are addresses."""
+    if kind == "card":
+        return luhn_ok(re.sub(r"\D", "", text))
+    if kind == "ip6" and "::" in text:
+        groups = text.split(":")
+        if max(map(len, groups)) < 3 or not any(c.isdigit() for c in text):
+            return False  # a::b is a name in a program
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
+            return False
+    return True
+
+
 def find(text: str | None) -> list[Entity]:
     """The entities of a text in order, without overlaps.
 
+    Detected: values after a word for a password, token or key and ``=`` or
+    ``:``; access keys with a known prefix; mail addresses; IBANs; IPv4; IPv6,
+    written out or shortened by ``::`` (with a digit and a group of three or
+    four); social security numbers ddd-dd-dddd; card numbers of 13 to 19 digits
+    that pass Luhn's check; phone numbers with ``+``, as ddd-ddd-dddd, with an
+    area code in brackets, or national ones with a leading zero (030 1234567);
+    names after a form of address.  Not detected: names without one or in lower
+    case, street addresses, dates of birth, numbers without any of these marks.
+
     A titled name gives one entity per word: the given names with their gender
     (by the title, else by the name), the last as a family name.  Later
     mentions of a found name's words in the same text are entities too.
@@ -103,6 +130,8 @@ def find(text: str | None) -> list[Entity]:
     names: dict[str, str] = {}
     for m in FINDER.finditer(text):
         kind = m.lastgroup
+        if not _real(kind, m[kind]):
+            continue
         if kind != "person":
             out.append(Entity(kind, _canonical(kind, m[kind]), m.start(kind), m.end(kind), m[kind]))
             continue

@@ -22,14 +22,27 @@ def swapped(text):
 
 def test_kinds_found():
     kinds = [e.kind for e in surrogate.find(SAID)]
-    assert kinds == "given_m_latin family_latin email email phone phone family_latin ip4 card card card secret secret key iban ssn ip6 given_f_latin family_latin given_f_cyrillic family_cyrillic family_latin".split()
+    assert kinds == "given_m_latin family_latin email email phone phone family_latin ip4 card card secret secret key iban ssn ip6 given_f_latin family_latin given_f_cyrillic family_cyrillic family_latin".split()
     assert surrogate.find(CLEAN) == [] and swapped(CLEAN) == (CLEAN, 0)
 
 
+def test_short_addresses_and_national_numbers():
+    said = "from 2001:db8::1, fe80::1 and 2001:0db8:0:0:0:0:0:1; call 030 1234567 or 07911 123456 or 0221/9876543."
+    found = surrogate.find(said)
+    assert [e.kind for e in found] == ["ip6", "ip6", "ip6", "phone", "phone", "phone"]
+    assert found[0].value == found[2].value and [e.value for e in found[3:]] == ["0301234567", "07911123456", "02219876543"]
+    out, n = swapped(said)
+    fresh = surrogate.find(out)
+    assert n == 6 and [e.kind for e in fresh] == [e.kind for e in found] and fresh[0].value == fresh[2].value != fresh[1].value
+    assert not any(x in out for x in ("db8::1", "fe80", "1234567", "123456", "9876543"))
+    clean = "std::vector a::b ::1 12:30:45 abc::def 00:1A 10:20 in 2001: 4111111111111112 and 7536784127813051 0123 4567 1:2:3"
+    assert surrogate.find(clean) == [] and swapped(clean) == (clean, 0)
+
+
 def test_form_and_coreference():
     out, n = swapped(SAID)
-    assert n == 22
-    for real in ("John", "Smith", "988", "4111", "118.188", "e3b3ed", "064191", "AKIAMD", "3704", "6789", "85a3", "Anna", "Müller", "Петрова", "Pérez"):
+    assert n == 21 and "not 4111111111111112" in out
+    for real in ("John", "Smith", "988", "4111-", "4111111111111111", "118.188", "e3b3ed", "064191", "AKIAMD", "3704", "6789", "85a3", "Anna", "Müller", "Петрова", "Pérez"):
         assert real not in out
     new = surrogate.find(out)
     assert [e.kind for e in new] == [e.kind for e in surrogate.find(SAID)]
@@ -40,7 +53,7 @@ def test_form_and_coreference():
             assert re.sub(r"\w", "x", old.text) == re.sub(r"\w", "x", fresh.text)
     assert len(set(by.values())) == len(by)
     cards = [e.value for e in new if e.kind == "card"]
-    assert surrogate.luhn_ok(cards[0]) and not surrogate.luhn_ok(cards[2]) and surrogate.iban_ok(next(e.value for e in new if e.kind == "iban"))
+    assert surrogate.luhn_ok(cards[0]) and cards[0] == cards[1] and surrogate.iban_ok(next(e.value for e in new if e.kind == "iban"))
     names = [e for e in new if e.kind.startswith("given")]
     assert [surrogate.GENDER_OF[e.value] for e in names] == ["m", "f", "f"] and surrogate.script_of(names[2].value) == "cyrillic"
 

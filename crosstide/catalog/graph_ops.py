@@ -150,16 +150,21 @@ register(
 )
 
 
+REGION = 2
+
+
 def g05(spark, sf):
-    reached = walk(spark, sf, "nation", 2)
-    shared = graph.shared_neighbours(reached)
-    every = graph.common_to_all(graph.within_steps(
-        graph.both_ways(edges(spark, sf)), seeds(spark, sf, "region"), 4), 5).withColumn("all", F.lit(True))
-    return shared.join(every, "node", "left").select("node", "seeds", F.coalesce("all", F.lit(False)).alias("all"))
+    """From the nations of one region: nodes that several of them reach, and whether all do."""
+    inside = table(spark, sf, "nation").where(F.col("n_regionkey") == REGION)
+    start = inside.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
+    reached = cut_lineage(graph.within_steps(graph.both_ways(edges(spark, sf)), start, 3))
+    every = graph.common_to_all(reached, start.count()).withColumn("all", F.lit(True))
+    return graph.shared_neighbours(reached).join(every, "node", "left").select("node", "seeds", F.coalesce("all", F.lit(False)).alias("all"))
 
 
 register("g05_neighbourhood_intersection", g05, walk_sql(
-    "nation", 2, "SELECT node, count(*) AS seeds, false AS \"all\" FROM found GROUP BY 1 HAVING count(*) >= 2"))
+    "nation", 3, f"SELECT node, count(*) AS seeds, count(*) = (SELECT count(*) FROM nation WHERE n_regionkey = {REGION}) AS \"all\" FROM found "
+    f"WHERE seed IN (SELECT 'n' || CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = {REGION}) GROUP BY 1 HAVING count(*) >= 2"))
 
 
 def vector_graph(spark, sf):

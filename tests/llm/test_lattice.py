@@ -104,3 +104,17 @@ def test_nearest_point_is_the_nearest():
 
 def test_empty_table(spark):
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_groups_of_copies_just_below_the_bound_stay_apart(spark):
+    """Two groups of equal vectors whose cosine is a little below or at the bound, by less than an angle's rounding."""
+    rows = []
+    for g, gap in enumerate((-3e-9, 3e-9, -2e-8, 2e-8)):
+        c = 0.93 + gap
+        a, b = np.zeros(64), np.zeros(64)
+        a[2 * g], b[2 * g], b[2 * g + 1] = 1.0, c, np.sqrt(1 - c * c)
+        rows += [(100 * g + i, a.tolist(), g) for i in range(5)] + [(100 * g + 50 + i, b.tolist(), g) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r["vec_id"]: r["n_links"] for r in lattice.near_duplicates(df).collect()}
+    for vec_id, _, g in rows:
+        assert got[vec_id] == (9 if g % 2 else 4), (vec_id, got[vec_id])

@@ -24,6 +24,21 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Frees a query's shuffle files when the query ends, not when the driver next collects its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """As ``written``; the shuffle files of the write are freed at once, which the stored table makes needless."""
+    conf = df.sparkSession.conf
+    before = conf.get(FREED, None)
+    conf.set(FREED, "true")
+    try:
+        return written(df, name, compression)
+    finally:
+        conf.unset(FREED) if before is None else conf.set(FREED, before)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the stored table that ``df`` (made by ``written``) reads, after its last reader."""
     spark = df.sparkSession

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import components, matched, runs, written
+from crosstide.llm.common import components, discard, matched, runs, settled
 
 #: Words of a shingle, similarity of a repeat, words of a passage.
 WIDTH, ALIKE, PASSAGE = 5, 0.8, 50
@@ -24,7 +24,7 @@ LINE = re.compile(r"[^\r\n]+")
 WORD = re.compile(r"\S+")
 
 
-def tuned(alike: float = ALIKE, recall: float = 0.99, noise: float = 0.02) -> tuple[int, int]:
+def tuned(alike: float = ALIKE, recall: float = 0.99, noise: float = 1e-3) -> tuple[int, int]:
     """(bands, rows): the fewest bands that bring a pair at ``alike`` together with probability ``recall``
     and a pair that shares a shingle in twenty with at most ``noise``."""
     for bands in range(1, 200):
@@ -154,7 +154,7 @@ def _alike(a: Column, b: Column, width: int, least: float) -> Column:
 
 
 def similar(lines: DataFrame, width: int = WIDTH, alike: float = ALIKE) -> DataFrame:
-    """(h, cluster) of the paragraphs that have a different, similar one; from (h, line, bands).
+    """(h, cluster) of the paragraphs that have a different, similar one in another row; from (h, row, line, bands).
 
     Each band key with several different paragraphs first compares all with the
     smallest.  Groups joined by that are taken as one: a key whose paragraphs
@@ -162,15 +162,17 @@ def similar(lines: DataFrame, width: int = WIDTH, alike: float = ALIKE) -> DataF
     in blocks of BLOCK paragraphs that return one link per group joined.  So no
     step lists the pairs of a key, and no task holds more than two blocks.
     """
-    keyed = lines.select("h", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("h").alias("m"), F.max("h").alias("x"), F.count(F.lit(1)).alias("n")).where("m < x")
-    buckets = written(buckets, "buckets")
+    keyed = lines.select("h", "row", F.explode("bands").alias("key"))
+    met = [F.min("h").alias("m"), F.max("h").alias("x"), F.min("row").alias("low"), F.max("row").alias("high"), F.count(F.lit(1)).alias("n")]
+    # Overlapping parts of one text are alike and no repeat of each other.
+    buckets = keyed.groupBy("key").agg(*met).where("m < x AND low < high").select("key", "m", "x", "n")
+    buckets = settled(buckets, "buckets")
     # Two entries are known by now; only keys with more are looked up again.
     two = buckets.where("n = 2").select("key", F.explode(F.array("m", "x")).alias("h"), "m")
     more = matched(keyed, buckets.where("n > 2").select("key", "m"), "key").select("key", "h", "m").distinct()
-    hits = written(two.unionAll(more), "hits")
+    hits = settled(two.unionAll(more), "hits")
     texts = matched(lines.select("h", "line"), hits.select("h").distinct(), "h").groupBy("h").agg(F.any_value("line").alias("line"))
-    texts = written(texts, "texts")
+    texts = settled(texts, "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("h").alias("u"), F.col("line").alias("a"))
@@ -179,11 +181,11 @@ def similar(lines: DataFrame, width: int = WIDTH, alike: float = ALIKE) -> DataF
         return both.where(_alike(F.col("a"), F.col("b"), width, alike)).select("u", "v")
 
     stars = hits.where("h <> m").select(F.col("h").alias("u"), F.col("m").alias("v")).distinct()
-    near = written(verified(stars), "stars")
+    near = settled(verified(stars), "stars")
     group = components(near).select(F.col("node").alias("h"), F.col("component").alias("g"))
-    labelled = written(hits.join(group, "h", "left").select("key", "h", "m", F.coalesce("g", "h").alias("g")), "labelled")
+    labelled = settled(hits.join(group, "h", "left").select("key", "h", "m", F.coalesce("g", "h").alias("g")), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("key")
-    open_ = written(labelled.join(mixed, "key", "left_semi"), "mixed")
+    open_ = settled(labelled.join(mixed, "key", "left_semi"), "mixed")
     crowded = open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
     parts = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     dealt = open_.join(crowded, "key", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
@@ -191,7 +193,10 @@ def similar(lines: DataFrame, width: int = WIDTH, alike: float = ALIKE) -> DataF
     paired = paired.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "h", "g")
     blocks = paired.join(texts, "h").select("key", "low", "high", "part", "h", "g", "line")
     met = blocks.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "h").mapInArrow(_met(width, alike), "u long, v long")
-    return components(near.unionAll(met)).select(F.col("node").alias("h"), F.col("component").alias("cluster"))
+    out = settled(components(settled(near.unionAll(met), "links")).select(F.col("node").alias("h"), F.col("component").alias("cluster")), "clusters")
+    for done in (buckets, hits, texts, near, labelled, open_):
+        discard(done)
+    return out
 
 
 def _met(width: int, least: float):
@@ -257,22 +262,24 @@ def _shared(numbered: DataFrame, width: int, alike: float, parts=_numbered) -> D
     bands, rows = tuned(alike)
     kind = dict(numbered.dtypes)["k"]
     schema = f"k {kind}, row long, p int, w int, start int, end int, n int, h long, line string, bands array<long>"
-    lines = written(numbered.mapInArrow(_split(width, bands, rows, parts), schema), "paragraphs", "zstd")
-    near = written(similar(lines.select("h", "line", "bands"), width, alike), "near")
+    lines = settled(numbered.mapInArrow(_split(width, bands, rows, parts), schema), "paragraphs")
+    near = similar(lines.select("h", "row", "line", "bands"), width, alike)
 
     seen = lines.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high"))
-    held = written(matched(seen, near, "h", "left").where("low < high OR cluster IS NOT NULL"), "held")
+    held = settled(matched(seen, near, "h", "left").where("low < high OR cluster IS NOT NULL"), "held")
     wide = held.where("cluster IS NOT NULL").groupBy("cluster").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("cluster")
     shared = held.where("cluster IS NULL").select("h", F.col("h").alias("c"))
-    shared = written(shared.unionAll(held.join(wide, "cluster", "left_semi").select("h", F.col("cluster").alias("c"))), "shared")
-    marked = written(matched(lines.select("k", "row", "p", "w", "start", "end", "n", "h"), shared, "h").drop("h"), "marked")
+    shared = settled(shared.unionAll(held.join(wide, "cluster", "left_semi").select("h", F.col("cluster").alias("c"))), "shared")
+    marked = settled(matched(lines.select("k", "row", "p", "w", "start", "end", "n", "h"), shared, "h").drop("h"), "marked")
+    for done in (lines, near, held, shared):
+        discard(done)
     return matched(marked, marked.groupBy("c").agg(F.min(F.struct("k", "row", "p")).alias("first")), "c")
 
 
 def _runs(marked: DataFrame) -> DataFrame:
     """Repeated paragraphs in a row whose neighbourhood also repeats in another row, as one place."""
     order = Window.partitionBy("row").orderBy("p")
-    linked = written(marked.withColumns({"next": F.lead("c").over(order), "next_p": F.lead("p").over(order)}), "linked")
+    linked = settled(marked.withColumns({"next": F.lead("c").over(order), "next_p": F.lead("p").over(order)}), "linked")
     chains = linked.where("next_p = p + 1").groupBy("c", "next").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("c", "next", F.lit(True).alias("goes_on"))
     steps = linked.join(chains, ["c", "next"], "left")
     goes_on = F.coalesce(F.col("goes_on") & (F.col("next_p") == F.col("p") + 1), F.lit(False))

@@ -13,7 +13,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import matched, runs, written
+from crosstide.llm.common import discard, matched, runs, settled
 from crosstide.llm.paragraphs import ALIKE, LINE, PASSAGE, WIDTH, WORD, _cut, _runs, _shared
 
 #: Rows with candidate places that are broadcast to the texts; more are joined by a shuffle.
@@ -144,20 +144,25 @@ def verbatim(numbered: DataFrame, passage: int = PASSAGE) -> DataFrame:
     step lists pairs.
     """
     prints = numbered.select("row", "x").mapInArrow(_prints(passage), "row long, at int, f long")
-    prints = written(prints, "prints")
-    known = prints.groupBy("f").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("f")
-    spots = matched(prints, written(known, "known"), "f").groupBy("row").agg(F.collect_list("at").alias("spots"))
-    spots = written(spots, "spots")
+    prints = settled(prints, "prints")
+    known = settled(prints.groupBy("f").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("f"), "known")
+    spots = settled(matched(prints, known, "f").groupBy("row").agg(F.collect_list("at").alias("spots")), "spots")
+    discard(prints)
+    discard(known)
     keys = matched(numbered.select("k", "row"), spots.select("row"), "row")
     # Numbers in the order of the keys, so the smallest is the first place.
-    places = written(keys.orderBy("k", "row").withColumn("place", F.monotonically_increasing_id()), "places")
+    places = settled(keys.orderBy("k", "row").withColumn("place", F.monotonically_increasing_id()), "places")
     asked = matched(numbered.select("row", "x"), spots.join(places.select("row", "place"), "row"), "row", sent=SENT)
-    windows = written(asked.select("place", "x", "spots").mapInArrow(_windows(passage), "place long, w int, g long, start int, end int"), "windows", "zstd")
+    windows = settled(asked.select("place", "x", "spots").mapInArrow(_windows(passage), "place long, w int, g long, start int, end int"), "windows")
     shared = windows.groupBy("g").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high").select("g", "low")
-    met = matched(windows, written(shared, "windows-shared"), "g").select("place", "w", "g", "start", "end", "low")
+    shared = settled(shared, "windows-shared")
+    met = matched(windows, shared, "g").select("place", "w", "g", "start", "end", "low")
     met = met.repartition("place").sortWithinPartitions("place", "w")
     spans = met.mapInArrow(_spans(passage), "place long, w int, n_words int, start int, end int, cluster long, low long, firsts array<int>")
-    spans = matched(written(spans, "spans"), places, "place")
+    spans = settled(spans, "spans")
+    for done in (windows, shared, spots):
+        discard(done)
+    spans = matched(spans, places, "place")
     spans = matched(spans, places.select(F.col("place").alias("low"), F.col("k").alias("kept_in")), "low")
     return spans.select("row", "k", "w", "n_words", "start", "end", "cluster", "kept_in", "firsts")
 
@@ -217,13 +222,13 @@ def _parts(numbered: DataFrame, marked: DataFrame, exact: DataFrame, width: int)
     Parts half of whose words lie in verbatim spans are left to those.
     """
     spans = exact.groupBy("row").agg(F.collect_list(F.struct("w", "n_words")).alias("spans"))
-    parts = matched(marked.where(F.col("p") >= PARTS), written(spans, "spans-of-rows"), "row", "left", SENT)
+    parts = matched(marked.where(F.col("p") >= PARTS), settled(spans, "spans-of-rows"), "row", "left", SENT)
     inside = "aggregate(coalesce(spans, array()), 0L, (a, s) -> a + greatest(0L, least(w + n, s.w + s.n_words) - greatest(w, s.w)))"
-    parts = written(parts.where(f"2 * {inside} < n").drop("spans"), "parts")
+    parts = settled(parts.where(f"2 * {inside} < n").drop("spans"), "parts")
     members = marked.join(parts.select("c").distinct(), "c", "left_semi").where(F.col("n") >= width)
     members = members.groupBy("row").agg(F.collect_list(F.struct("p", "c", "w", "n")).alias("places"))
-    asked = matched(numbered.select("row", "x"), written(members, "members"), "row", sent=SENT)
-    held = written(asked.mapInArrow(_shingles(width), "row long, p int, c long, w int, s long, start int, end int"), "shingles", "zstd")
+    asked = matched(numbered.select("row", "x"), settled(members, "members"), "row", sent=SENT)
+    held = settled(asked.mapInArrow(_shingles(width), "row long, p int, c long, w int, s long, start int, end int"), "shingles")
     shared = held.groupBy("c", "s").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("c", "s")
     ends = held.where(F.col("p") >= PARTS).join(shared, ["c", "s"]).groupBy("row", "p")
     ends = ends.agg(F.min("w").alias("w"), (F.max("w") - F.min("w") + width).cast("long").alias("n_words"), F.min("start").alias("start"), F.max("end").alias("end"))
@@ -296,9 +301,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     columns are ignored.
     """
     numbered = docs.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("x"))
-    numbered = written(numbered, "texts", "zstd")
+    numbered = settled(numbered, "texts")
     exact = verbatim(numbered, passage).withColumn("stays", F.lit(False)).withColumn("n_words", F.col("n_words").cast("long"))
-    marked = written(_shared(numbered, width, alike, partial(units, passage=passage)), "units")
+    marked = settled(_shared(numbered, width, alike, partial(units, passage=passage)), "units")
     parts = _parts(numbered, marked, exact, width).withColumn("stays", F.struct("k", "row", "p").eqNullSafe(F.col("first"))).drop("p")
     near = _runs(marked.where(F.col("p") < PARTS)).unionByName(parts).where(F.col("n_words") >= passage)
     near = near.withColumn("kept_in", F.col("first.k")).withColumn("firsts", F.lit(None).cast("array<int>")).drop("first")

@@ -70,8 +70,12 @@ def value_positions(
         .groupBy(*group, value)
         .agg(F.count(F.lit(1)).alias("ties"))
     )
-    ordered = isinstance(df.schema[value].dataType, NumericType)  # other types have no quantiles to cut at
-    if biggest > hot_rows and ordered:
+    numeric = isinstance(df.schema[value].dataType, NumericType)
+    if biggest > hot_rows and not numeric:
+        # Other types have no quantiles to cut at; the ranges a sort deals them into serve as buckets.
+        dealt = counts.repartitionByRange(max(shuffle_width(df.sparkSession), 2 * biggest // hot_rows + 2), *group, value)
+        counts = cut_lineage(dealt.withColumn("_bucket", F.spark_partition_id()))
+    elif biggest > hot_rows:
         buckets = 2 * biggest // hot_rows + 2
         hot = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
         grid = [i / buckets for i in range(1, buckets)]

@@ -7,10 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+#: A table is broadcast if it has at most so many rows, and so many bytes written out as text.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 SALTS = 16
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int | None = None) -> bool:
+    """Whether ``df`` may be broadcast: counted up to one row more than the bound, and its values measured."""
+    width = F.octet_length(F.to_json(F.struct(*df.columns))) if df.columns else F.lit(0)
+    count, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return count <= rows and (total or 0) <= (BROADCAST_BYTES if size is None else size)
+
+
 def lookup(
     left: DataFrame,
     right: DataFrame,
@@ -21,11 +29,11 @@ def lookup(
 ) -> DataFrame:
     """Join ``left`` (any skew) with ``right`` (one row per key).
 
-    ``right`` is counted; up to ``most`` rows it is broadcast.  Beyond that
+    ``right`` is counted and measured; up to ``most`` rows of bounded size it is broadcast.  Beyond that
     both sides are shuffled with a salt taken from the ``spread`` columns, so a
     key that holds a large part of ``left`` is shared by many tasks.
     """
-    if right.limit(most + 1).count() <= most:
+    if is_small(right, most):
         return left.join(F.broadcast(right), list(on), how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
     salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))

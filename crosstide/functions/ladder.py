@@ -10,6 +10,11 @@ order.
 States merge without subtraction, so nothing cancels: sums add, extremes
 compare, and centred moments combine by counts and means.  A frame whose
 extremes are equal is constant and has exactly zero spread.
+
+Quantiles, ranks and deviations from the median read the frame's values in
+order.  Their state grows with the window, so it is not carried from layer to
+layer: all windows share the ordered blocks of the last five rows, lagged by
+five, ten and so on in one step, and merge as many as they cover.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from crosstide.functions.basics import div
-from crosstide.functions.rolling import delay, last_rows
+from crosstide.functions.rolling import delay, in_order, last_rows, sorted_mad, sorted_quantile, sorted_rank
 
 SHORTEST = 5
 # window: (shorter window, how many of them in a row)
@@ -38,6 +43,7 @@ class Ladder:
     minima: tuple[str, ...] = ()
     moments: tuple[str, ...] = ()
     pairs: tuple[tuple[str, str], ...] = ()
+    orders: tuple[str, ...] = ()
 
     def merge(self, other: Ladder) -> Ladder:
         both = lambda a, b: tuple(dict.fromkeys([*a, *b]))
@@ -47,6 +53,7 @@ class Ladder:
             both(self.minima, other.minima),
             both(self.moments, other.moments),
             both(self.pairs, other.pairs),
+            both(self.orders, other.orders),
         )
 
 
@@ -131,9 +138,37 @@ def _states(spec: Ladder) -> list[_State]:
     return out
 
 
+def _with_orders(df: DataFrame, xs: tuple[str, ...], windows: set[int]) -> DataFrame:
+    """The values of every window in ascending order."""
+    whole = sorted(w for w in windows if w % SHORTEST == 0)
+    ends = {f"_{x}_v{w}": in_order(F.col(x), w) for x in xs for w in windows - set(whole)}
+    if ends:
+        df = df.withColumns(ends)
+    if not whole:
+        return df
+    df = df.withColumns({f"_{x}_block": in_order(F.col(x), SHORTEST) for x in xs})
+    older = range(1, max(whole) // SHORTEST)
+    back = {f"_{x}_block{i}": delay(f"_{x}_block", SHORTEST * i) for x in xs for i in older}
+    df = df.withColumns(back) if back else df
+
+    def merged(x: str, w: int) -> Column:
+        newest = F.col(f"_{x}_block")
+        # before the history's start there is no block
+        blocks = [F.coalesce(f"_{x}_block{i}", F.slice(newest, 1, 0)) for i in older[: w // SHORTEST - 1]]
+        return F.sort_array(F.concat(newest, *blocks)) if blocks else newest
+
+    df = df.withColumns({f"_{x}_v{w}": merged(x, w) for x in xs for w in whole})
+    return df.drop(*back, *[f"_{x}_block" for x in xs])
+
+
 def climb(df: DataFrame, spec: Ladder, windows: Iterable[int]) -> DataFrame:
     """Add the state columns of every window; read them with the functions below."""
-    states = _states(spec)
+    windows = set(windows)
+    df = _climbed(df, _states(spec), windows)
+    return _with_orders(df, spec.orders, windows) if spec.orders else df
+
+
+def _climbed(df: DataFrame, states: list[_State], windows: set[int]) -> DataFrame:
     if not states:
         return df
     frame = last_rows(SHORTEST)
@@ -212,3 +247,21 @@ def fitted(x: str, y: str, w: int) -> Column:
     """Value of x's line on y at the current row."""
     centre = F.col(y) - _c(f"{y}_by_{x}_m", w)
     return _c(f"{x}_with_{y}_m", w) + slope(x, y, w) * centre
+
+
+def quantile(x: str, w: int, q: float) -> Column:
+    return sorted_quantile(_c(f"{x}_v", w), q)
+
+
+def median(x: str, w: int) -> Column:
+    return quantile(x, w, 0.5)
+
+
+def rank(x: str, w: int) -> Column:
+    """Average-tie percent rank of the current value inside its frame."""
+    return sorted_rank(_c(f"{x}_v", w), F.col(x))
+
+
+def mad(x: str, w: int) -> Column:
+    """Median absolute deviation from the frame's median."""
+    return sorted_mad(_c(f"{x}_v", w))

@@ -134,6 +134,37 @@ def share_true(cond, p: int) -> Column:
 
 # -- order statistics ---------------------------------------------------------
 
+def in_order(x: Column, p: int) -> Column:
+    """The frame's values in ascending order, missing ones left out."""
+    return F.sort_array(F.collect_list(x).over(last_rows(p)))
+
+
+def sorted_quantile(values: Column, q: float) -> Column:
+    """Linear quantile of an array in ascending order, NULL for an empty one."""
+
+    def between(seen: Column) -> Column:
+        at = (F.size(seen) - 1) * F.lit(float(q))
+        low, high = F.floor(at), F.ceil(at)
+        a, b = F.get(seen, low.cast("int")), F.get(seen, high.cast("int"))
+        return F.when(a == b, a).otherwise((high - at) * a + (at - low) * b)
+
+    return let(values, between)
+
+
+def sorted_rank(values: Column, x: Column) -> Column:
+    """Average-tie percent rank of ``x`` among values in ascending order, of which it is one."""
+    first, last = F.array_position(values, x), F.array_position(F.reverse(values), x)
+    n = F.size(values)
+    # ties lie between the first place from below and the first from above
+    return F.when(x.isNotNull(), (n + first - last + 1) / 2 / n)
+
+
+def sorted_mad(values: Column) -> Column:
+    """Median absolute deviation from the median of values in ascending order."""
+    away = lambda centre: F.sort_array(F.transform(values, lambda v: F.abs(v - centre)))
+    return let(sorted_quantile(values, 0.5), lambda centre: sorted_quantile(away(centre), 0.5))
+
+
 def median(x, p: int = 5) -> Column:
     return quantile(x, p, 0.5)
 
@@ -144,7 +175,7 @@ def quantile(x, p=5, q=0.5) -> Column:
         p, q = int(q), p
     if not 0 <= q <= 1:
         raise ValueError("quantile must lie in [0, 1]")
-    return F.percentile(col(x), q).over(last_rows(int(p)))
+    return sorted_quantile(in_order(col(x).cast("double"), int(p)), q)
 
 
 def percentile(x, q: float, p: int | None = None) -> Column:
@@ -159,35 +190,12 @@ def percentile(x, q: float, p: int | None = None) -> Column:
 
 def rank(x, p: int = 5) -> Column:
     """Average-tie percent rank of the current value inside its frame."""
-    x = col(x)
-
-    def place(seen: Column) -> Column:
-        below = F.size(F.filter(seen, lambda v: v < x))
-        ties = F.size(F.filter(seen, lambda v: v == x))
-        return (below + (ties + 1) / 2) / F.size(seen)
-
-    return F.when(x.isNotNull(), let(F.collect_list(x).over(last_rows(p)), place))
-
-
-def _array_median(values: Column) -> Column:
-    """Median of an array already sorted, NULL for an empty one."""
-    n = F.size(values)
-    low = F.get(values, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(values, F.floor(n / 2).cast("int"))
-    return (low + high) / 2
+    return let(in_order(col(x), p), lambda values: sorted_rank(values, col(x)))
 
 
 def mad(x, p: int = 5) -> Column:
     """Median absolute deviation from the frame's median."""
-    seen = F.array_sort(F.collect_list(col(x)).over(last_rows(p)))
-    deviations = lambda values, centre: F.array_sort(F.transform(values, lambda v: F.abs(v - centre)))
-    return let(
-        seen,
-        lambda values: let(
-            _array_median(values),
-            lambda centre: let(deviations(values, centre), _array_median),
-        ),
-    )
+    return let(in_order(col(x), p), sorted_mad)
 
 
 def _extreme_position(x: Column, p: int, largest: bool) -> Column:

@@ -77,6 +77,7 @@ FULL_LADDER = PRICE_LADDER.merge(
         minima=("_first_bottom",),
         moments=("_turb",),
         pairs=((C, "_t"), ("_change", "_vchange")),
+        orders=(C,),
     )
 )
 
@@ -161,9 +162,9 @@ def window_families(w: int) -> FactorSet:
         f"BETA{w}": div(ladder.slope(C, "_t", w), C),
         f"RSQR{w}": r * r,
         f"RESI{w}": div(F.col(C) - ladder.fitted(C, "_t", w), C),
-        f"QTLU{w}": div(F.get(f"_q{w}", F.lit(1)), C),
-        f"QTLD{w}": div(F.get(f"_q{w}", F.lit(0)), C),
-        f"RANK{w}": F.col(f"_rank{w}"),
+        f"QTLU{w}": div(ladder.quantile(C, w, 0.8), C),
+        f"QTLD{w}": div(ladder.quantile(C, w, 0.2), C),
+        f"RANK{w}": ladder.rank(C, w),
         f"IMAX{w}": hi / w,
         f"IMIN{w}": lo / w,
         f"IMXD{w}": (hi - lo) / w,
@@ -175,11 +176,7 @@ def window_families(w: int) -> FactorSet:
         f"WVMA{w}": div(ladder.std("_turb", w), ladder.mean("_turb", w) + TINY),
         **_shares("_vup", "_vdown", w, "VSUM"),
     }
-    rolled = {
-        f"_ref{w}": ts.delay(C, w),
-        f"_q{w}": F.percentile(C, [0.2, 0.8]).over(ts.last_rows(w)),
-        f"_rank{w}": ts.rank(C, w),
-    }
+    rolled = {f"_ref{w}": ts.delay(C, w)}
     return FactorSet(factors, _inputs(), rolled, FULL_LADDER, frozenset({w}))
 
 
@@ -273,9 +270,9 @@ def factor_set(
 def factor_matrix(panel: DataFrame, factors: FactorSet, keep: Iterable[str] = ()) -> DataFrame:
     """Key, kept and factor columns of a panel."""
     layered = panel.withColumns(factors.inputs) if factors.inputs else panel
-    layered = ladder.climb(layered, factors.ladder, factors.windows)
     if factors.rolled:
         layered = layered.withColumns(factors.rolled)
+    layered = ladder.climb(layered, factors.ladder, factors.windows)
     return layered.select(
         "datetime", "instrument", *keep, *[v.alias(k) for k, v in factors.factors.items()]
     )

@@ -22,7 +22,7 @@ def climbed(spark):
         rows.append((day, 2, 0.1, rng.random()))  # a constant that sums inexactly
         rows.append((day, 3, None if i < 40 else float(i), float(i % 3)))
     df = spark.createDataFrame(rows, "datetime date, instrument long, x double, y double")
-    spec = Ladder(sums=("x",), maxima=("x",), minima=("x",), moments=("x", "y"), pairs=(("x", "y"),))
+    spec = Ladder(sums=("x",), maxima=("x",), minima=("x",), moments=("x", "y"), pairs=(("x", "y"),), orders=("x", "y"))
     return ladder.climb(df, spec, [5, 10, 20, 30, 60]).cache()
 
 
@@ -36,6 +36,11 @@ def test_every_value_matches_its_frame(climbed, w):
         "std_x": (ladder.std("x", w), ts.std("x", w)),
         "std_y": (ladder.std("y", w), ts.std("y", w)),
         "corr": (ladder.corr("x", "y", w), ts.corr("x", "y", w)),
+        "median": (ladder.median("x", w), F.percentile("x", 0.5).over(ts.last_rows(w))),
+        "high_quantile": (ladder.quantile("y", w, 0.8), F.percentile("y", 0.8).over(ts.last_rows(w))),
+        "rank": (ladder.rank("y", w), ts.rank("y", w)),
+        "rank_x": (ladder.rank("x", w), ts.rank("x", w)),
+        "mad": (ladder.mad("x", w), ts.mad("x", w)),
     }
     got = climbed.select(
         "instrument", *[c.alias(f"{n}_{side}") for n, both in pairs.items() for side, c in zip("ab", both)]
@@ -52,3 +57,35 @@ def test_a_long_window_alone_brings_its_steps(spark, climbed):
     df = climbed.select("datetime", "instrument", "x", "y")
     out = ladder.climb(df, Ladder(sums=("x",)), [60]).where(F.col("instrument") == 1)
     assert {"_x_s5", "_x_s10", "_x_s30", "_x_s60"} <= set(out.columns) and "_x_s20" not in out.columns
+
+
+def _frames(values, w):
+    for i in range(len(values)):
+        yield values[i], [v for v in values[max(0, i - w + 1): i + 1] if v is not None]
+
+
+@pytest.mark.parametrize("w", [5, 7, 30])
+def test_order_statistics_match_a_count_over_each_frame(spark, hand_panel, w):
+    own = {"q": ts.quantile("x", w, 0.3), "r": ts.rank("x", w), "m": ts.mad("x", w)}
+    merged = {"lq": ladder.quantile("x", w, 0.3), "lr": ladder.rank("x", w), "lm": ladder.mad("x", w)}
+    out = ladder.climb(hand_panel, Ladder(orders=("x",)), [w])
+    got = out.select("datetime", "instrument", "x", *[c.alias(n) for n, c in {**own, **merged}.items()]).toPandas()
+    for _, rows in got.sort_values("datetime").groupby("instrument"):
+        values = [None if np.isnan(v) else v for v in rows["x"].astype(float)]
+        expected = []
+        for now, seen in _frames(values, w):
+            q = np.quantile(seen, 0.3) if seen else np.nan
+            m = np.median(np.abs(np.array(seen) - np.median(seen))) if seen else np.nan
+            below, ties = sum(v < now for v in seen) if now is not None else 0, seen.count(now)
+            r = np.nan if now is None else (below + (ties + 1) / 2) / len(seen)
+            expected.append((q, r, m))
+        for names in (list(own), list(merged)):
+            np.testing.assert_allclose(rows[names].astype(float).to_numpy(), np.array(expected, dtype=float), rtol=1e-9)
+
+
+def test_ranks_see_large_integers_and_both_zeros(spark):
+    day = dt.date(2020, 1, 1)
+    rows = [(day + dt.timedelta(days=i), 1, v, z) for i, (v, z) in enumerate([(2**53, 0.0), (2**53 + 1, -0.0), (2**53, 0.0)])]
+    df = spark.createDataFrame(rows, "datetime date, instrument long, v long, z double")
+    got = df.select("datetime", ts.rank("v", 3).alias("v"), ts.rank("z", 3).alias("z")).orderBy("datetime").collect()
+    assert [r["v"] for r in got] == [1.0, 1.0, 0.5] and [r["z"] for r in got] == [1.0, 0.75, 2 / 3]

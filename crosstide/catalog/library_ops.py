@@ -9,7 +9,7 @@ from crosstide.catalog.common import panel, r, register, rs, table, with_panel
 from crosstide.catalog.metric_ops import CHAIN, report
 from crosstide.catalog.rolling_ops import KEYS, frame
 from crosstide.functions import rolling as ts
-from crosstide.operators import alignment, expressions, metrics
+from crosstide.operators import alignment, expressions, formulas, metrics
 from crosstide.operators.lookups import with_row
 from crosstide.session import cut_lineage, scratch_path, shuffle_width
 from crosstide.sources import libraries, stores
@@ -259,6 +259,46 @@ register("s10_value_store", s10, with_panel(" UNION ALL ".join(
     for i, e in enumerate(list(STORE)[1:]))))
 
 
+# name: (formula text, its SQL over the panel with ``m5``, the five-row mean of close)
+TEXTS = {
+    "trend": ("TS_MEAN($return, 5) / TS_STD($return, 20)", f"avg(ret) {frame(5)} / nullif(stddev_samp(ret) {frame(20)}, 0)"),
+    "place": (
+        "($close - TS_MIN($low, 10)) / (TS_MAX($high, 10) - TS_MIN($low, 10) + 1e-12)",
+        f"(close - min(low) {frame(10)}) / nullif(max(high) {frame(10)} - min(low) {frame(10)} + 1e-12, 0)",
+    ),
+    "turn": (
+        "$close > DELAY($close, 1) ? $volume : -$volume / 2.5",
+        "CASE WHEN close > lag(close) OVER (PARTITION BY instrument ORDER BY datetime) THEN volume ELSE -volume / 2.5 END",
+    ),
+    "gate": (
+        "WHERE($close > TS_MEAN($close, 5) && $volume != 30, LOG($volume), SQRT($close))",
+        "CASE WHEN close > m5 AND volume <> 30 THEN ln(volume + 1) ELSE sqrt(close) END",
+    ),
+    "step": ("DELTA(TS_MEAN($close, 5), 2)", "m5 - lag(m5, 2) OVER (PARTITION BY instrument ORDER BY datetime)"),
+    "rank": (
+        "RANK($volume) - 0.5",
+        "(rank() OVER (PARTITION BY datetime ORDER BY volume) + (count(*) OVER (PARTITION BY datetime, volume) - 1) / 2.0)"
+        " / count(volume) OVER (PARTITION BY datetime) - 0.5",
+    ),
+    "score": (
+        "ZSCORE(TS_MEAN($close, 5))",
+        "(m5 - avg(m5) OVER (PARTITION BY datetime)) / nullif(stddev_samp(m5) OVER (PARTITION BY datetime), 0)",
+    ),
+    "rises": ("COUNT($return > 0, 10) + ($close >= $open)", f"sum(CAST(coalesce(ret > 0, false) AS INT)) {frame(10)} + CAST(close >= open AS INT)"),
+}
+register(
+    "s14_formula_values",
+    lambda spark, sf: formulas.with_values(panel(spark, sf), {n: text for n, (text, _) in TEXTS.items()}).select(
+        *KEYS, *[r(n, 5).alias(n) for n in TEXTS]
+    ),
+    with_panel(
+        "SELECT datetime, instrument, " + ", ".join(f"{rs(sql, 5)} AS {n}" for n, (_, sql) in TEXTS.items()) + " FROM means",
+        f"means AS (SELECT *, avg(close) {frame(5)} AS m5 FROM panel)",
+    ),
+)
+
+
+
 def s11(spark, sf):
     path = scratch_path(spark, "report")
     stores.write_report(metrics.with_cumulative(report(spark, sf)), path)

@@ -82,6 +82,12 @@ def _split(text: str, mark: str, times: int = -1) -> list[str]:
     return [*parts, text[start:]]
 
 
+def host_text(text: str) -> str:
+    """An expression in the host language's form; inputs ``$x`` are called ``_v_x``."""
+    host = re.sub(r"\$(\w+)", r"_v_\1", text).replace("&&", " and ").replace("||", " or ")
+    return _conditionals(host).strip()
+
+
 def subtrees(text: str) -> list[tuple[str, str, int]]:
     """(canonical text, kind, node count) of every subtree; empty when malformed."""
     found: list[tuple[str, str, int]] = []
@@ -120,9 +126,8 @@ def subtrees(text: str) -> list[tuple[str, str, int]]:
             result = operation(_OPS[type(op)], result, walk(item))
         return result
 
-    host = re.sub(r"\$(\w+)", r"_v_\1", text).replace("&&", " and ").replace("||", " or ")
     try:
-        walk(ast.parse(_conditionals(host).strip(), mode="eval").body)
+        walk(ast.parse(host_text(text), mode="eval").body)
     except (SyntaxError, KeyError, AttributeError, ValueError, RecursionError):
         return []
     return found

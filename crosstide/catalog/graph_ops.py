@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -247,13 +249,20 @@ def g10(spark, sf):
     base = vecs(spark, sf)
     found = vectors.clustering(base, 120)
     sizes = found.members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
-    near = found.centres.groupBy().agg(F.collect_list(F.struct("cluster", "centre")).alias("centres"))  # as many as clusters
-    dot = lambda c: F.aggregate(F.zip_with("embedding", c["centre"], lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    close = with_row(base.join(found.members, "id").join(F.broadcast(sizes), "cluster"), near)
-    close = close.withColumn("dots", F.transform("centres", lambda c: F.struct(c["cluster"].alias("cluster"), dot(c).alias("dot"))))
-    own = F.element_at(F.filter("dots", lambda d: d["cluster"] == F.col("cluster")), 1)["dot"]
-    best = F.array_max(F.transform("dots", lambda d: d["dot"]))
-    return close.select("id", (own >= best - 1e-9).alias("nearest"), (F.col("members") < 120).alias("below_limit"))
+    rows = found.centres.orderBy("cluster").collect()  # as many as clusters
+    names, middle = np.array([c["cluster"] for c in rows]), np.array([c["centre"] for c in rows])
+
+    @F.pandas_udf("boolean")
+    def nearest(embedding: pd.Series, cluster: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(embedding), vectors.NEAREST_ROWS):
+            x, c = embedding.iloc[at : at + vectors.NEAREST_ROWS], cluster.iloc[at : at + vectors.NEAREST_ROWS]
+            dots = np.vstack(x.to_list()).astype(float) @ middle.T
+            out.append(dots[np.arange(len(x)), np.searchsorted(names, c)] >= dots.max(axis=1) - 1e-9)
+        return pd.Series(np.concatenate(out) if out else [], dtype=bool)
+
+    close = base.join(found.members.where(F.col("cluster").isNotNull()), "id").join(F.broadcast(sizes), "cluster")
+    return close.select("id", nearest("embedding", "cluster").alias("nearest"), (F.col("members") < 120).alias("below_limit"))
 
 
 register("g10_spherical_kmeans", g10, "SELECT vec_id AS id, true AS nearest, true AS below_limit FROM embeddings")

@@ -7,16 +7,14 @@ the shuffle that merges them moves k rows per query and task.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.session import cut_lineage
@@ -24,6 +22,9 @@ from crosstide.session import cut_lineage
 MAX_QUERIES = 4096
 BLOCK_ROWS = 50_000
 OUT = "query_id {q}, id {v}, similarity double"
+CENTRES = "cluster int, centre array<double>"
+#: Vectors in one matrix product against the centres, moves of the centres between two splits, and in all.
+NEAREST_ROWS, MOVES, MOST_MOVES = 2_000, 3, 100
 
 
 def _unit(rows) -> np.ndarray:
@@ -168,56 +169,127 @@ class Clustering(NamedTuple):
     centres: DataFrame
 
 
+def _nearest(centres: np.ndarray) -> Callable[[Column], Column]:
+    """The place of the most similar centre, found for a batch of unit vectors at a time by one matrix product."""
+
+    @F.pandas_udf("int")
+    def of(units: pd.Series) -> pd.Series:
+        out = np.zeros(len(units), dtype=np.int32)
+        for at in range(0, len(units), NEAREST_ROWS):
+            out[at : at + NEAREST_ROWS] = np.argmax(np.vstack(units.iloc[at : at + NEAREST_ROWS].to_list()) @ centres.T, axis=1)
+        return pd.Series(out)
+
+    return of
+
+
 def clustering(vectors: DataFrame, limit: int, most_clusters: int | None = None, seed: int = 42) -> Clustering:
     """Spherical k-means with so many clusters that each has fewer than ``limit`` vectors.
 
-    k starts at the number that even sizes would need.  While a cluster is too
-    large the step above the last k doubles; then the gap between the largest k
-    that failed and the smallest that did not is bisected, so the number of
-    fits grows with the logarithm of k.  The k returned passes and k - 1 does
-    not (or is too small to).  NULL and zero vectors belong to no cluster.
-    Raises ValueError when no tried k up to ``most_clusters``, or up to the
-    number of vectors, achieves it.
+    k starts at the number that even sizes would need, with members drawn by a
+    digest of their id as first centres.  Each round moves the centres a few
+    times; then a cluster that is still too large gets as many further centres
+    as its size asks for, drawn from its own members.  So k grows only where it
+    must, all oversized clusters at once, and the rounds with the logarithm of
+    their sizes.  Once all are below the limit the centres go on moving while
+    they change and the limit holds.  k is not shown to be the smallest: that
+    takes a whole fit for every k tried.
+
+    A vector is in the cluster of its most similar centre among all.  A round
+    is a pass of matrix products and one aggregation; the driver holds the
+    centres, a row per cluster.  NULL and zero vectors belong to no cluster.
+    Raises ValueError when no clustering into up to ``most_clusters``, or up to
+    the number of vectors, is found; copies cannot be told apart, so ``limit``
+    of them have none.
     """
     wide = F.col("embedding").cast("array<double>")
     length = F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x)
-    able = cut_lineage(vectors.where(length > 0).select("id", array_to_vector(wide).alias("features")))
+    unit = F.transform(wide, lambda x: x / F.sqrt(length))
+    found = vectors.where(length > 0).select("id", unit.alias("unit"), F.xxhash64("id", F.lit(seed)).alias("draw"))
+    able = cut_lineage(found.withColumn("features", array_to_vector("unit")))
     lost = vectors.where(~F.coalesce(length > 0, F.lit(False))).select("id", F.lit(None).cast("int").alias("cluster"))
     spark, total = vectors.sparkSession, able.count()
     most = min(total, most_clusters or total)
-
-    def fit(k: int) -> tuple[DataFrame, list[list[float]], int]:
-        if k == 1:
-            mean = able.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"] if total else None
-            return able.select("id", F.lit(0).alias("cluster")), [] if mean is None else [list(map(float, mean))], total
-        model = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=100).fit(able)
-        found = model.transform(able).select("id", F.col("prediction").alias("cluster"))
-        return found, [list(map(float, c)) for c in model.clusterCenters()], max(model.summary.clusterSizes)
-
-    failed = max(1, -(-total // max(1, limit - 1))) - 1  # fewer clusters cannot all be small enough
-    k, step, best = failed + 1, 1, None
+    if total == 0:
+        return Clustering(able.select("id", F.lit(0).alias("cluster")).unionByName(lost), spark.createDataFrame([], CENTRES))
+
+    def drawn(asked: dict[int, int], members: DataFrame) -> np.ndarray:
+        """So many members of each cluster of ``asked``, no two equal."""
+        sizes = spark.createDataFrame(list(asked.items()), "cluster int, asked int")
+        slots = members.join(F.broadcast(sizes), "cluster").withColumn("slot", F.pmod("draw", "asked"))
+        picked = slots.groupBy("cluster", "slot").agg(F.min_by("unit", F.struct("draw", "id")).alias("unit"))
+        return np.array([r["unit"] for r in picked.orderBy("cluster", "slot").collect()])
+
+    def distinct(rows: np.ndarray) -> np.ndarray:
+        _, first = np.unique(np.round(rows, 12), axis=0, return_index=True)
+        return rows[np.sort(first)]
+
+    def placed(at: np.ndarray) -> DataFrame:
+        return able.withColumn("cluster", _nearest(at)("unit"))
+
+    def facts(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each cluster's size and the direction of its mean; where there is none the centre stays."""
+        sizes, middle = np.zeros(len(at), dtype=np.int64), at.copy()
+        sums = placed(at).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("features")).alias("s"))
+        for r in sums.toLocalIterator():
+            sizes[r["cluster"]], s = r["n"], r["s"].toArray()
+            if (norm := np.linalg.norm(s)) > 1e-12:
+                middle[r["cluster"]] = s / norm
+        return sizes, middle
+
+    def fail() -> ValueError:
+        return ValueError(f"no clustering into up to {most} clusters has all of them below {limit}")
+
+    k = -(-total // max(1, limit - 1))  # fewer clusters cannot all be small enough
+    if k > most:
+        raise fail()
+    at = distinct(drawn({0: k}, able.withColumn("cluster", F.lit(0))))
+    moves, best = 0, None
+    sizes, middle = facts(at)
     while best is None:
-        if k > most and (failed >= most or total == 0):
-            if total == 0:
-                best = fit(1)
+        for _ in range(MOVES):
+            if sizes.max() < limit or moves >= MOST_MOVES or np.allclose(at, middle):
                 break
-            raise ValueError(f"no clustering into up to {most} clusters has all of them below {limit}")
-        k = min(k, most)
-        made = fit(k)
-        if made[2] < limit:
-            best, passed = made, k
-        else:
-            failed, k, step = k, k + step, step * 2
-    while best is not None and total and passed - failed > 1:
-        middle = (passed + failed) // 2
-        made = fit(middle)
-        if made[2] < limit:
-            best, passed = made, middle
-        else:
-            failed = middle
-    rows = [(i, [x / math.sqrt(sum(y * y for y in c)) for x in c] if any(c) else c) for i, c in enumerate(best[1])]
-    centres = spark.createDataFrame(rows, "cluster int, centre array<double>")
-    return Clustering(best[0].unionByName(lost), centres)
+            at, moves = middle[sizes > 0], moves + 1
+            sizes, middle = facts(at)
+        if sizes.max() < limit:
+            best = at, sizes, middle
+            break
+        room, asked = most - len(at), {}
+        for c in np.argsort(-sizes, kind="stable").tolist():
+            extra = min(room, -(-int(sizes[c]) // max(1, limit - 1)) - 1)
+            if sizes[c] >= limit and extra > 0:
+                asked[c], room = extra, room - extra
+        more = drawn(asked, placed(at)) if asked else np.zeros((0, at.shape[1]))
+        wider = distinct(np.vstack([at, more]))
+        if len(wider) == len(at):  # no room, or what is drawn equals its centre
+            asked = {c: 2 * n + 2 for c, n in asked.items()}
+            wider = wider if not asked else distinct(np.vstack([at, _others(placed(at), at, asked, most - len(at))]))
+            if len(wider) == len(at):
+                raise fail()
+        at = wider
+        sizes, middle = facts(at)
+    while moves < MOST_MOVES and not np.allclose(best[0], best[2]):
+        at, moves = best[2][best[1] > 0], moves + 1
+        sizes, middle = facts(at)
+        if sizes.max() >= limit:
+            break
+        best = at, sizes, middle
+    at = best[0][best[1] > 0]
+    centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(at)], CENTRES)
+    return Clustering(placed(at).select("id", "cluster").unionByName(lost), centres)
+
+
+def _others(placed: DataFrame, at: np.ndarray, clusters: Iterable[int], most: int) -> np.ndarray:
+    """Of each of ``clusters`` the member least like its centre, if it is no copy of it; at most ``most``."""
+
+    @F.pandas_udf("double")
+    def likeness(units: pd.Series, cluster: pd.Series) -> pd.Series:
+        return pd.Series((np.vstack(units.to_list()) * at[cluster.to_numpy()]).sum(axis=1)) if len(units) else pd.Series([], dtype=float)
+
+    near = placed.where(F.col("cluster").isin(list(clusters))).withColumn("likeness", likeness("unit", "cluster"))
+    far = near.groupBy("cluster").agg(F.min_by("unit", F.struct("likeness", "draw", "id")).alias("unit"), F.min("likeness").alias("least"))
+    rows = far.where(F.col("least") < 1 - 1e-12).orderBy("least", "cluster").limit(max(0, most)).collect()
+    return np.array([r["unit"] for r in rows]).reshape(len(rows), at.shape[1])
 
 
 def cluster(vectors: DataFrame, limit: int, most_clusters: int | None = None, seed: int = 42) -> DataFrame:

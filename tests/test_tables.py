@@ -361,3 +361,22 @@ def test_correlation_of_many_columns(spark):
         else:
             assert abs(c - np.corrcoef(u[both], v[both])[0, 1]) < 1e-9
     assert metrics.correlation_pairs(df.limit(0), names[:3]).where("corr IS NOT NULL").count() == 0
+
+
+def test_clusters_of_many_vectors_need_no_fit_for_every_k(spark):
+    # a crowd that one centre cannot keep, copies beside it, and as many copies as no clustering can part
+    rng = np.random.default_rng(8)
+    crowd = rng.normal(size=8) + rng.normal(size=(900, 8)) / 40
+    rows = [*enumerate([*crowd.tolist(), *[rng.normal(size=8).tolist()] * 15, *rng.normal(size=(600, 8)).tolist()])]
+    v = spark.createDataFrame(rows, "id int, embedding array<double>")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = jobs()
+    members, centres = vectors.clustering(v, 20)
+    middle, found = {r.cluster: np.array(r.centre) for r in centres.collect()}, {r.id: r.cluster for r in members.collect()}
+    assert jobs() - before < 400 and len(found) == len(rows)
+    assert max(np.bincount(list(found.values()))) < 20 and set(found.values()) == set(middle)
+    whole = np.vstack([middle[c] for c in sorted(middle)])
+    for i, x in rows:
+        assert float(np.dot(x, middle[found[i]])) >= float((whole @ np.array(x)).max()) - 1e-9
+    with pytest.raises(ValueError):
+        vectors.cluster(v.where("id BETWEEN 890 AND 920"), 15)

@@ -380,3 +380,29 @@ def test_clusters_of_many_vectors_need_no_fit_for_every_k(spark):
         assert float(np.dot(x, middle[found[i]])) >= float((whole @ np.array(x)).max()) - 1e-9
     with pytest.raises(ValueError):
         vectors.cluster(v.where("id BETWEEN 890 AND 920"), 15)
+
+
+def test_walk_is_stored_once_for_seeds_with_the_same_neighbours(spark, monkeypatch):
+    # 200 seeds at one hub: the pairs of seeds belong to the result, not to what the hops write down
+    links = [(f"s{i:03}", "hub") for i in range(200)] + [("hub", "top"), ("top", "s000"), ("s001", "s002"), ("alone", "alone")]
+    edges = graph.both_ways(spark.createDataFrame(links, "src string, dst string"))
+    seeds = spark.createDataFrame([(f"s{i:03}",) for i in range(200)] + [("alone",), ("nowhere",)], "node string")
+    stored, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: (lambda kept: (stored.append(kept.count()), kept)[1])(cut(df)))
+    got = {(r.seed, r.node): r.distance for r in graph.within_steps(edges, seeds, 3).collect()}
+    assert max(stored) < 5_000
+    nbrs = {}
+    for a, c in links:
+        nbrs.setdefault(a, set()).add(c)
+        nbrs.setdefault(c, set()).add(a)
+    want = {}
+    for s in (f"s{i:03}" for i in range(200)):
+        seen, layer = {s}, {s}
+        for d in range(1, 4):
+            layer = {m for x in layer for m in nbrs[x]} - seen
+            seen |= layer
+            want.update({(s, m): d for m in layer})
+    assert got == want
+    monkeypatch.setattr(lookups, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lookups, "is_small", lambda *a, **o: False)
+    assert {(r.seed, r.node): r.distance for r in graph.within_steps(edges, seeds, 3).collect()} == want

@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crosstide.llm.common import matched, written
+from crosstide.operators.ranking import numbered
+
 #: Score at which a document is accepted.
 ACCEPT = 0.7
-#: Labelled documents that a fit reads at most, and preference pairs it forms.
-SAMPLE, PAIRS = 20_000, 40_000
+#: Preference pairs that a fit forms at least, if the labels give so many.
+PAIRS = 40_000
 
 #: Character classes whose shares are features; fixed values.
 CLASSES = {
@@ -90,46 +97,73 @@ class Ranker:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
 
 
+Sums = tuple[float, np.ndarray, np.ndarray]
+
+
+def pair_sums(d: np.ndarray, w: np.ndarray) -> Sums:
+    """Loss, slope and curve of the weights, summed over feature differences (preferred minus other row)."""
+    z = d @ w
+    p = 1.0 / (1.0 + np.exp(np.clip(z, -700, 700)))
+    return float(np.logaddexp(0, -z).sum()), -(d.T @ p), (d * (p * (1 - p))[:, None]).T @ d
+
+
+def _minimised(sums: Callable[[np.ndarray], Sums], n: int, k: int, ridge: float, steps: int) -> np.ndarray:
+    """The weights of least mean loss plus ridge, by Newton steps; ``sums`` is asked once a step if none has to be shortened."""
+
+    def at(w: np.ndarray) -> Sums:
+        loss, slope, curve = sums(w)
+        return loss / n + ridge * w @ w / 2, slope / n + ridge * w, curve / n + ridge * np.eye(k)
+
+    w = np.zeros(k)
+    loss, slope, curve = at(w)
+    for _ in range(steps):
+        step, size = np.linalg.solve(curve, slope), 1.0
+        new = at(w - step)
+        while new[0] > loss and size > 1e-4:
+            size /= 2
+            new = at(w - size * step)
+        w = w - size * step
+        loss, slope, curve = new
+        if float(np.abs(size * step).max()) < 1e-6:
+            break
+    return w
+
+
+def pair_count(good: int, bad: int, pairs: int = PAIRS) -> int:
+    """How many pairs a fit forms: two for each row, ``pairs`` at least, but no pair twice."""
+    return min(max(pairs, 2 * (good + bad)), good * bad)
+
+
 def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, steps: int = 50) -> Ranker:
     """Bradley-Terry scores from feature rows ``x`` and labels ``y`` (1 preferred to 0).
 
-    Pairs of a preferred and another row are dealt evenly over both sides; the
-    logistic loss on their feature differences is minimised by Newton steps.
-    The cut is the score quantile at the share of the other rows.  Without both
-    labels there is no pair: every text then scores exactly ``ACCEPT``.
+    Pairs of a preferred and another row are dealt evenly over both sides, every
+    row in one at least; the logistic loss on their feature differences is
+    minimised by Newton steps.  The cut is the score quantile at the share of
+    the other rows.  Without both labels there is no pair: every text then
+    scores exactly ``ACCEPT``.  ``fit`` does the same over a table.
     """
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
-        k = len(NAMES)
-        return Ranker(np.zeros(k), np.ones(k), np.zeros(k), 0.0)
+        return _nothing_learnt()
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale < 1e-9, 1.0, scale)
     z = (x - mean) / scale
-    n = min(pairs, len(good) * len(bad))
     draw = np.random.default_rng(7)
-    i = np.resize(draw.permutation(good), n)
-    j = draw.permutation(np.resize(bad, n))
-    d = z[i] - z[j]
-    w = np.zeros(d.shape[1])
-
-    def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, -d @ w).mean() + ridge * w @ w / 2)
-
-    for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(np.clip(d @ w, -700, 700)))
-        slope = ridge * w - d.T @ p / n
-        curve = (d * (p * (1 - p))[:, None]).T @ d / n + ridge * np.eye(len(w))
-        step, size, at = np.linalg.solve(curve, slope), 1.0, loss(w)
-        while size > 1e-4 and loss(w - size * step) > at:
-            size /= 2
-        w = w - size * step
-        if float(np.abs(size * step).max()) < 1e-6:
-            break
+    good, bad = draw.permutation(good), draw.permutation(bad)
+    t = np.arange(pair_count(len(good), len(bad), pairs))
+    d = z[good[t % len(good)]] - z[bad[(t + t // math.lcm(len(good), len(bad))) % len(bad)]]
+    w = _minimised(lambda w: pair_sums(d, w), len(d), len(NAMES), ridge, steps)
     raw = np.sort(z @ w)
     at = len(bad)  # as many rows fall below the cut as are labelled 0
     return Ranker(mean, scale, w, float((raw[at - 1] + raw[at]) / 2))
 
 
+def _nothing_learnt() -> Ranker:
+    k = len(NAMES)
+    return Ranker(np.zeros(k), np.ones(k), np.zeros(k), 0.0)
+
+
 def held_out(key: Column) -> Column:
     """The rows no fit may see: crc32 of the key as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -143,21 +177,92 @@ def _feature_column(text: Column) -> Column:
     return of(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Ranker:
-    """A ranker from at most ``sample`` labelled documents that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int | None = None) -> Ranker:
+    """A ranker from all labelled documents that are not held out; with ``sample`` from so many of them.
 
     Several labels of one document count by their mean; NULL keys and labels
-    are left out.  The documents with the smallest key hashes are taken, so the
-    choice does not depend on the tables' layout.  At most ``sample`` keys are
-    broadcast and at most ``sample`` short vectors reach the driver.
+    are left out.  Each labelled text becomes a short vector, numbered by label
+    and hash.  The pairs of ``fit_pairs`` follow from the numbers, meet by two
+    joins and are stored; a Newton step is a pass in which each task adds up
+    its pairs, and the cut is searched in passes that count.  The driver holds
+    no row, only sums of a task and bars of a histogram.
     """
     votes = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
     votes = votes.groupBy(F.col(key).alias("k")).agg(F.avg(F.col(label).cast("double")).alias("vote"))
-    chosen = votes.orderBy(F.xxhash64("k"), "k").limit(sample)
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("x")).join(F.broadcast(chosen), "k")
-    rows = texts.select(F.xxhash64("k", "x").alias("h"), _feature_column(F.col("x")).alias("f"), "vote").orderBy("h", "f").limit(sample).collect()
-    x = np.array([r["f"] for r in rows], dtype=float).reshape(len(rows), len(NAMES))
-    return fit_pairs(x, np.array([int(r["vote"] >= 0.5) for r in rows]))
+    if sample is not None:
+        votes = votes.orderBy(F.xxhash64("k"), "k").limit(sample)
+    texts = matched(docs.select(F.col(key).alias("k"), F.col(text).alias("x")), written(votes, "votes"), "k")
+    found = texts.select((F.col("vote") >= 0.5).cast("int").alias("y"), F.xxhash64("k", "x").alias("h"), _feature_column(F.col("x")).alias("f"))
+    rows = written(numbered(written(found, "features"), "place", F.col("y"), F.col("h"), F.col("f")).select("y", "place", "f"), "labelled")
+    n, good = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    bad = n - good
+    if not good or not bad:
+        return _nothing_learnt()
+    facts = rows.select(Summarizer.metrics("mean", "std").summary(array_to_vector("f")).alias("s")).first()
+    # Sums of tasks differ in their last digits with the order they come in; rounded, a layout no longer shows.
+    mean, scale = np.round(facts["s"]["mean"].toArray(), 12), np.round(facts["s"]["std"].toArray() * math.sqrt((n - 1) / n), 12)
+    scale = np.where(scale < 1e-9, 1.0, scale)
+    weights = np.round(_minimised(_task_sums(_dealt(rows, good, bad), scale), pair_count(good, bad), len(NAMES), 1e-3, 50), 9)
+    rank = Ranker(mean, scale, weights, 0.0)
+    raw = written(rows.select(_raw_column(rank)(F.col("f")).alias("raw")), "raw")
+    low, high = (value_at(raw, "raw", at) for at in (bad - 1, bad))
+    return Ranker(mean, scale, weights, (low + high) / 2)
+
+
+def _dealt(rows: DataFrame, good: int, bad: int) -> DataFrame:
+    """The stored feature differences ``d`` of all pairs; the numbers of the rows labelled 0 go before."""
+    t, turn = F.col("id"), math.lcm(good, bad)
+    pairs = rows.sparkSession.range(pair_count(good, bad)).select(
+        (bad + 1 + t % good).alias("i"), (1 + (t + F.floor(t / turn)) % bad).alias("j")
+    )
+    one = rows.where("y = 1").select(F.col("place").alias("i"), F.col("f").alias("a"))
+    other = rows.where("y = 0").select(F.col("place").alias("j"), F.col("f").alias("b"))
+    return written(pairs.join(one, "i").join(other, "j").select(F.zip_with("a", "b", lambda x, y: x - y).alias("d")), "pairs")
+
+
+def _task_sums(pairs: DataFrame, scale: np.ndarray) -> Callable[[np.ndarray], Sums]:
+    """``pair_sums`` over a table of differences: a row of sums from each task."""
+    k = len(NAMES)
+
+    def sums(w: np.ndarray) -> Sums:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, slope, curve = 0.0, np.zeros(k), np.zeros((k, k))
+            for batch in batches:
+                one = pair_sums(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k) / scale, w)
+                loss, slope, curve = loss + one[0], slope + one[1], curve + one[2]
+            yield pa.RecordBatch.from_arrays([pa.array([[loss, *slope, *curve.ravel()]])], ["sums"])
+
+        whole = np.sum([r["sums"] for r in pairs.mapInArrow(add, "sums array<double>").toLocalIterator()], axis=0)
+        return float(whole[0]), whole[1 : k + 1], whole[k + 1 :].reshape(k, k)
+
+    return sums
+
+
+def _raw_column(ranker: Ranker) -> Callable[[Column], Column]:
+    @F.pandas_udf("double")
+    def of(rows: pd.Series) -> pd.Series:
+        return pd.Series([float(ranker.raw(f)) for f in rows])
+
+    return of
+
+
+def value_at(df: DataFrame, value: str, place: int, bars: int = 1024) -> float:
+    """The value at ``place`` (from 0) of the ascending order, exactly.
+
+    A pass counts the values of the range left in equal bars and goes on with
+    the one that holds the place, until its least and greatest value are one.
+    """
+    x = F.col(value)
+    low, high = df.agg(F.min(x), F.max(x)).first()
+    while low < high:
+        bar = F.least(F.floor((x - low) / (high - low) * bars), F.lit(bars - 1)).alias("bar")
+        inside = df.where(x.between(low, high))
+        for r in inside.groupBy(bar).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).orderBy("bar").collect():
+            if place < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            place -= r["n"]
+    return float(low)
 
 
 def scored(docs: DataFrame, ranker: Ranker, text: str = "text", out: str = "score") -> DataFrame:

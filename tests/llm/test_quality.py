@@ -54,3 +54,28 @@ def test_cut_is_the_quantile():
     ranker = quality.fit_pairs(x, y)
     assert (ranker.score(x) < quality.ACCEPT).sum() == (y == 0).sum()
     assert ranker.weights[0] == max(ranker.weights)
+
+
+def test_every_label_counts(spark):
+    # more labels than the 20,000 that a fit once stopped at; the fit equals one in memory over all of them
+    draw = np.random.default_rng(4)
+    rows = [(i, "plain words " * int(draw.integers(1, 5)) + ("!! " if i % 37 == 0 else ""), int(i % 37 != 0 and draw.random() < 0.8)) for i in range(27_500)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    seen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    x, y = np.array([quality.features(r[1]) for r in seen]), np.array([r[2] for r in seen])
+    assert len(seen) > 20_000
+    ranker = quality.fit(docs, labels)
+    assert ranker.mean == pytest.approx(x.mean(axis=0), abs=1e-9)
+    assert ranker.scale == pytest.approx(np.where(x.std(axis=0) < 1e-9, 1, x.std(axis=0)), abs=1e-9)
+    raw = np.sort(ranker.raw(x))
+    assert ranker.cut == pytest.approx((raw[(y == 0).sum() - 1] + raw[(y == 0).sum()]) / 2, abs=1e-9)
+    assert np.corrcoef(ranker.raw(x), quality.fit_pairs(x, y).raw(x))[0, 1] > 0.99
+    again = quality.fit(docs.repartition(2), labels.repartition(3))
+    assert again.weights == pytest.approx(ranker.weights, abs=1e-8) and again.cut == pytest.approx(ranker.cut, abs=1e-8)
+
+
+def test_value_at_every_place(spark):
+    values = sorted([0.0] * 5 + [1e-9, 2.5, 2.5, 1e6, -3.0, -3.0])
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [quality.value_at(df, "v", i, bars=3) for i in range(len(values))] == values

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from crosstide.llm.common import discard, written
 
-#: Words of the lexicon at most, the longest word (bytes) it takes, and the rows (about) it is chosen from.
-LEXICON_WORDS, LEXICON_BYTES, LEXICON_ROWS = 200_000, 48, 20_000
+#: Words of the lexicon at most, and the longest word (bytes) it takes.
+LEXICON_WORDS, LEXICON_BYTES = 200_000, 48
 #: Characters encoded at a time, and words a worker remembers between chunks.
 CHUNK_CHARS, REMEMBERED = 500_000, 1_000_000
 #: Distinct words a counting task holds before it passes them on.
@@ -305,8 +305,8 @@ def _shipped(spark: SparkSession, path: str) -> str:
     return os.path.basename(path)
 
 
-def sampled(docs: DataFrame, rows: int = LEXICON_ROWS) -> DataFrame:
-    """About ``rows`` rows of ``docs`` drawn at random, all of them if there are no more."""
+def sampled(docs: DataFrame, rows: int = 20_000) -> DataFrame:
+    """About ``rows`` rows of ``docs`` drawn at random, all of them if there are no more; for a quick look at ``word_counts``."""
     total = docs.count()
     return docs if total <= rows else docs.sample(rows / total, seed=8)
 
@@ -377,14 +377,13 @@ def encoded(docs: DataFrame, key: str, tokenizer: str, text: str = "text", lexic
     repeated ones give equal results, an empty table an empty one.  Other
     columns are ignored.
 
-    The words of about ``LEXICON_ROWS`` rows are counted; the frequent ones, at
-    most ``lexicon_words``, are compiled on the driver and mapped into each
+    The words of all texts are counted; the frequent ones, at most
+    ``lexicon_words``, are compiled on the driver and mapped into each
     executor's memory.  Then all texts are encoded without a shuffle.  The
-    lexicon only saves merging: any choice of words gives the same ids, so the
-    sample decides nothing but time.
+    lexicon only saves merging: any choice of words gives the same ids.
     """
     spark = docs.sparkSession
-    counts = written(word_counts(sampled(docs.select(text)), tokenizer, text), "words")
+    counts = written(word_counts(docs, tokenizer, text), "words")
     lexicon, name = ship_lexicon(spark, tokenizer, frequent_words(counts, lexicon_words)), os.path.basename(tokenizer)
     discard(counts)
 

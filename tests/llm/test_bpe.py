@@ -87,3 +87,12 @@ def test_a_lexicon_of_a_few_rows_gives_the_same_ids(spark, library, monkeypatch)
 
 def test_empty_table(spark):
     assert bpe.encoded(spark.createDataFrame([], "doc_id long, text string"), "doc_id", PATH).count() == 0
+
+
+def test_the_lexicon_knows_the_words_of_all_rows(spark, monkeypatch):
+    # one frequent word in the first 30,000 rows and another in a part a draw of 20,000 of them would thin out
+    df = spark.range(0, 30_000, 1, 3).selectExpr("id AS doc_id", "if(id % 10000 = 7, 'rareword', 'often') AS text")
+    counted, words = [], bpe.frequent_words
+    monkeypatch.setattr(bpe, "frequent_words", lambda counts, most: (counted.append({r["word"]: r["n"] for r in counts.collect()}), words(counts, most))[1])
+    assert bpe.encoded(df, "doc_id", PATH).count() == 30_000
+    assert counted == [{"often": 29_997, "rareword": 3}]

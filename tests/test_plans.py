@@ -63,3 +63,13 @@ def test_no_plan_uses_a_cartesian_product(spark, stored):
     df = panels.load_panel(spark, stored, fields=["close", "volume"])
     out = cross_section.with_neutralised(df, "n", "close", "volume").withColumn("m", ts.mean("n", 3))
     assert "CartesianProduct" not in plan(out.where(F.col("m") > 0))
+
+
+def test_a_factor_set_moves_structs_in_few_layers_and_shows_them_without_decimals(spark):
+    from crosstide.catalog import factor_sets  # registers the queries
+    from crosstide.catalog.common import QUERIES
+
+    assert factor_sets
+    text = plan(QUERIES["f02_alpha158"](spark, SF))
+    assert len(re.findall(r"\) Window\n", text)) <= 7
+    assert not re.search(r"round\(\(", text)

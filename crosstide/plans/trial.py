@@ -18,13 +18,14 @@ def signal(
     """(datetime, instrument, score, label) on the test segment.
 
     Fitted on ranks of the train segment, stopped early on valid; the label
-    given back is the plain forward return.  The factor matrix is written once.
+    given back is the plain forward return.  The factor matrix is written once,
+    and so are its ranks, which the fit and the scores read five times.
     """
     names = list(factors.factors)
     matrix = cut_lineage(
         feature_sets.factor_matrix(panel.withColumn("label", feature_sets.label()), factors, ["label"])
     )
-    ready = panels.with_segment(dataset.prepare(matrix, names, "label"), segments)
+    ready = cut_lineage(panels.with_segment(dataset.prepare(matrix, names, "label"), segments))
     scores = modelling.boosted_signal(ready, names, "label")
     return scores.join(matrix.select("datetime", "instrument", "label"), ["datetime", "instrument"])
 

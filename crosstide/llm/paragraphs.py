@@ -12,12 +12,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import components, discard, matched, runs, settled
+from crosstide.llm.common import components, discard, matched, settled, whole
+from crosstide.llm.words import ranges, stretch, sums, words
 
 #: Words of a shingle, similarity of a repeat, words of a passage.
 WIDTH, ALIKE, PASSAGE = 5, 0.8, 50
 #: Paragraphs of a band key that are compared in one block.
 BLOCK = 500
+#: Fewer paragraphs are compared one by one; of more, all at once, so many cells of a matrix at a time.
+FEW, HELD = 8, 4_000_000
 #: A paragraph inside a line ends at one word in CUT, and has SHORT words at least.
 CUT, SHORT = 16, 8
 LINE = re.compile(r"[^\r\n]+")
@@ -40,8 +43,8 @@ def shingles(words: list[str], width: int = WIDTH) -> set[str]:
 
 
 def jaccard(a: str, b: str, width: int = WIDTH) -> float:
-    """Exact similarity of the shingle sets of two normalised paragraphs."""
-    x, y = shingles(a.split(" "), width), shingles(b.split(" "), width)
+    """Exact similarity of the shingle sets of two paragraphs."""
+    x, y = shingles(a.lower().split(), width), shingles(b.lower().split(), width)
     return len(x & y) / len(x | y)
 
 
@@ -94,7 +97,7 @@ def _numbered(text: str | None, width: int) -> Iterator[tuple]:
         yield *part, 0, p
 
 
-def _split(width: int, bands: int, rows: int, parts=_numbered):
+def _split(width: int, bands: int, rows: int):
     """Paragraphs of each text: place, words, hash of the normalised paragraph, that paragraph, band keys."""
     deal = np.random.default_rng(23)
     mix = deal.integers(1, 1 << 63, size=bands * rows, dtype=np.uint64) | np.uint64(1)
@@ -130,7 +133,7 @@ def _split(width: int, bands: int, rows: int, parts=_numbered):
             size = 0
             for key, row, text in zip(*(batch.column(i) for i in range(3)), strict=True):
                 key, row = key.as_py(), row.as_py()
-                for start, end, words, own, w, p in parts(text.as_py(), width):
+                for start, end, words, own, w, p in _numbered(text.as_py(), width):
                     line = " ".join(words)
                     h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 7)
                     held.append((key, row, p, w, start, end, len(words), h - (1 << 64) if h >> 63 else h, line))
@@ -145,10 +148,28 @@ def _split(width: int, bands: int, rows: int, parts=_numbered):
     return run
 
 
+def _sets(lines: list[str], width: int) -> list[set[int]]:
+    """The hashes of the distinct shingles of each paragraph."""
+    found = words(lines)
+    run = sums(found.hashes)
+    n = np.diff(found.first)
+    counts = np.maximum(n - width + 1, 1)
+    a = ranges(found.first[:-1], counts)
+    g = stretch(run, a, a + np.repeat(np.minimum(n, width), counts)).tolist()
+    ends = np.cumsum(counts).tolist()
+    return [set(g[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)] if lines else []
+
+
 def _alike(a: Column, b: Column, width: int, least: float) -> Column:
     @F.pandas_udf("boolean")
     def of(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y, width) >= least for x, y in zip(left, right, strict=True)], dtype=bool)
+        sets = _sets([*left, *right], width)
+        out = []
+        for x, y in zip(sets[: len(left)], sets[len(left) :], strict=True):
+            small, large = sorted((len(x), len(y)))
+            both = len(x & y) if small / large >= least else 0
+            out.append(both / (small + large - both) >= least)
+        return pd.Series(out, dtype=bool)
 
     return of(a, b)
 
@@ -161,6 +182,7 @@ def similar(lines: DataFrame, width: int = WIDTH, alike: float = ALIKE) -> DataF
     are all in one group is done, the others compare across their groups only,
     in blocks of BLOCK paragraphs that return one link per group joined.  So no
     step lists the pairs of a key, and no task holds more than two blocks.
+    Paragraphs that one row alone has are no repeat of each other and not linked.
     """
     keyed = lines.select("h", "row", F.explode("bands").alias("key"))
     met = [F.min("h").alias("m"), F.max("h").alias("x"), F.min("row").alias("low"), F.max("row").alias("high"), F.count(F.lit(1)).alias("n")]
@@ -171,13 +193,15 @@ def similar(lines: DataFrame, width: int = WIDTH, alike: float = ALIKE) -> DataF
     two = buckets.where("n = 2").select("key", F.explode(F.array("m", "x")).alias("h"), "m")
     more = matched(keyed, buckets.where("n > 2").select("key", "m"), "key").select("key", "h", "m").distinct()
     hits = settled(two.unionAll(more), "hits")
-    texts = matched(lines.select("h", "line"), hits.select("h").distinct(), "h").groupBy("h").agg(F.any_value("line").alias("line"))
-    texts = settled(texts, "texts")
+    texts = matched(lines.select("h", "row", "line"), hits.select("h").distinct(), "h")
+    texts = texts.groupBy("h").agg(F.any_value("line").alias("line"), F.min("row").alias("low"), F.max("row").alias("high"))
+    # The row of a paragraph that no other row has.
+    texts = settled(texts.select("h", "line", F.expr("if(low = high, low, NULL)").alias("only")), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("h").alias("u"), F.col("line").alias("a"))
-        right = texts.select(F.col("h").alias("v"), F.col("line").alias("b"))
-        both = pairs.join(left, "u").join(right, "v")
+        left = texts.select(F.col("h").alias("u"), F.col("line").alias("a"), F.col("only").alias("i"))
+        right = texts.select(F.col("h").alias("v"), F.col("line").alias("b"), F.col("only").alias("j"))
+        both = pairs.join(left, "u").join(right, "v").where("NOT coalesce(i = j, false)")
         return both.where(_alike(F.col("a"), F.col("b"), width, alike)).select("u", "v")
 
     stars = hits.where("h <> m").select(F.col("h").alias("u"), F.col("m").alias("v")).distinct()
@@ -191,7 +215,7 @@ def similar(lines: DataFrame, width: int = WIDTH, alike: float = ALIKE) -> DataF
     dealt = open_.join(crowded, "key", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
     paired = dealt.select("key", "h", "g", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     paired = paired.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "h", "g")
-    blocks = paired.join(texts, "h").select("key", "low", "high", "part", "h", "g", "line")
+    blocks = paired.join(texts, "h").select("key", "low", "high", "part", "h", "g", F.coalesce("only", F.lit(-1)).alias("only"), "line")
     met = blocks.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "h").mapInArrow(_met(width, alike), "u long, v long")
     out = settled(components(settled(near.unionAll(met), "links")).select(F.col("node").alias("h"), F.col("component").alias("cluster")), "clusters")
     for done in (buckets, hits, texts, near, labelled, open_):
@@ -199,33 +223,63 @@ def similar(lines: DataFrame, width: int = WIDTH, alike: float = ALIKE) -> DataF
     return out
 
 
+def _common(sets: list[set[int]]) -> np.ndarray:
+    """How many elements every two sets have in common."""
+    n = len(sets)
+    name, column = np.unique(np.fromiter((x for one in sets for x in one), dtype=np.uint64), return_inverse=True)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    often = np.bincount(column, minlength=len(name)) > 1
+    column = np.where(often, np.cumsum(often) - 1, -1)[column]
+    out = np.zeros((n, n), dtype=np.float32)
+    many = int(often.sum())
+    wide = max(1, min(HELD // n, many))
+    for a in range(0, many, wide):
+        some = (column >= a) & (column < a + wide)
+        has = np.zeros((n, wide), dtype=np.float32)
+        has[owner[some], column[some] - a] = 1
+        out += has @ has.T
+    return out.astype(np.int64)
+
+
 def _met(width: int, least: float):
     """Links between paragraphs of one or two blocks of a band key, as a forest over their groups."""
 
+    def links(low: int, high: int, part: list, h: list, group: list, only: list, sets: list[set[int]]) -> Iterator[tuple[int, int]]:
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
+        if len(sets) < FEW:
+            pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+        else:
+            both, sizes = _common(sets), np.array([len(x) for x in sets])
+            i, j = np.nonzero(np.tril(both / (sizes[:, None] + sizes - both) >= least, -1))
+            pairs = zip(i.tolist(), j.tolist(), strict=True)
+        for i, j in pairs:
+            if low != high and part[i] == part[j] or only[i] == only[j] >= 0 or (a := top(group[i])) == (b := top(group[j])):
+                continue
+            if len(sets) < FEW:
+                small, large = sorted((len(sets[i]), len(sets[j])))
+                if small / large < least:
+                    continue
+                both = len(sets[i] & sets[j])
+                if both / (small + large - both) < least:
+                    continue
+            above[max(a, b)] = min(a, b)
+            yield h[i], h[j]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches, 3):
-            low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
-            part, h, group = (rows[c].to_pylist() for c in ("part", "h", "g"))
-            sets = [shingles(x.split(" "), width) for x in rows["line"].to_pylist()]
-            above: dict[int, int] = {}
-
-            def top(x: int) -> int:
-                while x in above:
-                    x = above[x]
-                return x
-
-            order = sorted(range(len(h)), key=lambda i: len(sets[i]))
-            found: list[tuple[int, int]] = []
-            for at, i in enumerate(order):
-                for j in order[at + 1 :]:
-                    if len(sets[i]) / len(sets[j]) < least:
-                        break  # all that follow are too large
-                    if low != high and part[i] == part[j] or (a := top(group[i])) == (b := top(group[j])):
-                        continue
-                    both = len(sets[i] & sets[j])
-                    if both / (len(sets[i]) + len(sets[j]) - both) >= least:
-                        found.append((h[i], h[j]))
-                        above[max(a, b)] = min(a, b)
+        for rows in whole(batches, 3):
+            keys = [rows[c].to_numpy() for c in ("key", "low", "high")]
+            new = np.ones(rows.num_rows + 1, dtype=bool)
+            new[1:-1] = np.any([x[1:] != x[:-1] for x in keys], axis=0)
+            edge = np.flatnonzero(new).tolist()
+            low, high, part, h, group, only = (rows[c].to_pylist() for c in ("low", "high", "part", "h", "g", "only"))
+            sets = _sets(rows["line"].to_pylist(), width)
+            found = [x for a, b in zip(edge[:-1], edge[1:], strict=True) for x in links(low[a], high[a], *(y[a:b] for y in (part, h, group, only, sets)))]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
 
     return run
@@ -257,12 +311,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     return out.select(F.col("k").alias(key), "start", "end", "n_words", "cluster", F.col("first.k").alias("kept_in"), (~F.col("stays")).alias("removed"))
 
 
-def _shared(numbered: DataFrame, width: int, alike: float, parts=_numbered) -> DataFrame:
+def _shared(numbered: DataFrame, width: int, alike: float, split=_split) -> DataFrame:
     """Every place of a paragraph that repeats in another row, with its cluster ``c`` and the first place of that."""
     bands, rows = tuned(alike)
     kind = dict(numbered.dtypes)["k"]
     schema = f"k {kind}, row long, p int, w int, start int, end int, n int, h long, line string, bands array<long>"
-    lines = settled(numbered.mapInArrow(_split(width, bands, rows, parts), schema), "paragraphs")
+    lines = settled(numbered.mapInArrow(split(width, bands, rows), schema), "paragraphs")
     near = similar(lines.select("h", "row", "line", "bands"), width, alike)
 
     seen = lines.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high"))

@@ -5,65 +5,41 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import discard, matched, runs, settled
-from crosstide.llm.paragraphs import ALIKE, LINE, PASSAGE, WIDTH, WORD, _cut, _runs, _shared
+from crosstide.llm.common import discard, matched, runs, settled, whole
+from crosstide.llm.paragraphs import ALIKE, CUT, PASSAGE, SHORT, WIDTH, _runs, _shared
+from crosstide.llm.words import ODD, Words, grams, least, ranges, stretch, sums, taken, words
 
 #: Rows with candidate places that are broadcast to the texts; more are joined by a shuffle.
 SENT = 200_000
-#: Windows whose smallest hash is looked up in one step.
-STEP = 100_000
 #: Number from which parts of lines are counted; no text has as many lines.
 PARTS = 1 << 30
-ODD = 0x9E3779B97F4A7C15
-INVERSE = pow(ODD, -1, 1 << 64)
 
 
-def hashed(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-
-
-def grams(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every ``width`` words in a row."""
-    n = len(hashes)
-    if n < width:
-        return np.empty(0, dtype=np.uint64)
-    up, down = np.full(n, ODD, dtype=np.uint64), np.full(n, INVERSE, dtype=np.uint64)
-    up[0] = down[0] = 1
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(hashes * np.multiply.accumulate(down), out=sums[1:])
-    out = (sums[width:] - sums[:-width]) * np.multiply.accumulate(up)[: n - width + 1]
-    out ^= out >> np.uint64(32)
-    out *= np.uint64(0xC2B2AE3D27D4EB4F)
-    return out ^ (out >> np.uint64(29))
-
-
-def chosen(hashes: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes): of each ``passage`` words in a row, the half as long gram with the smallest hash.
+def chosen(found: Words, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(running sums, text, first word, chosen word) of every ``passage`` words in a row: there begins the half as long gram with the smallest hash.
 
     Equal passages choose equal grams, whatever stands round them.
     """
-    g = grams(hashes, max(1, passage // 2))
-    span = passage - max(1, passage // 2) + 1
-    if len(g) < span:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    view = sliding_window_view(g, span)
-    at = np.unique(np.concatenate([view[i : i + STEP].argmin(axis=1) + np.arange(i, min(i + STEP, len(view))) for i in range(0, len(view), STEP)]))
-    return at, g[at]
+    half = max(1, passage // 2)
+    run = sums(found.hashes)
+    at = least(grams(run, half), passage - half + 1)
+    counts = np.maximum(np.diff(found.first) - passage + 1, 0)
+    begin = ranges(found.first[:-1], counts)
+    return run, np.repeat(np.arange(len(counts)), counts), begin, at[begin]
 
 
 def _batches(made: Iterator[list], names: list[str], types: list, size: int = 50_000) -> Iterator[pa.RecordBatch]:
     """Record batches of at least ``size`` rows (the last may be smaller) from lists of columns."""
     held, n = [], 0
     for columns in made:
-        held.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names))
+        held.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names))
         n += held[-1].num_rows
         if n >= size:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -75,12 +51,12 @@ def _batches(made: Iterator[list], names: list[str], types: list, size: int = 50
 def _prints(passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made():
-            for batch in batches:
-                for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    words = (text.as_py() or "").lower().split()
-                    if len(words) >= passage:
-                        at, f = chosen(hashed(words), passage)
-                        yield np.full(len(at), row), at, f.view(np.int64)
+            for batch, texts in taken(batches, 1):
+                found = words(texts)
+                run, text, _, at = chosen(found, passage)
+                new = np.flatnonzero(np.diff(at, prepend=-1))
+                text, at = text[new], at[new]
+                yield batch.column(0).to_numpy()[text], at - found.first[text], stretch(run, at, at + max(1, passage // 2)).view(np.int64)
 
         yield from _batches(made(), ["row", "at", "f"], [pa.int64(), pa.int32(), pa.int64()])
 
@@ -88,24 +64,31 @@ def _prints(passage: int):
 
 
 def _windows(passage: int):
-    """Every ``passage`` words that hold one of the row's given grams: first word, hash, place in the text."""
+    """Every ``passage`` words whose chosen gram is one of the row's given ones, those with one gram in a row: the gram, a hash
+    of all words and of where the gram stands in them, first word; of each window, hash and place in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made():
-            for batch in batches:
-                place, texts, spots = (batch.column(i) for i in range(3))
-                for at, text, ats in zip(place.to_pylist(), texts, spots.to_pylist(), strict=True):
-                    x = text.as_py()
-                    g = grams(hashed(x.lower().split()), passage)
-                    edge = np.zeros(len(g) + 1, dtype=np.int64)
-                    ats = np.array(ats)
-                    np.add.at(edge, np.maximum(0, ats - (passage - max(1, passage // 2))), 1)
-                    np.add.at(edge, np.minimum(ats + 1, len(g)), -1)
-                    i = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-                    spans = np.array([m.span() for m in WORD.finditer(x)], dtype=np.int64)
-                    yield np.full(len(i), at), i, g[i].view(np.int64), spans[i, 0], spans[i + passage - 1, 1]
-
-        yield from _batches(made(), ["place", "w", "g", "start", "end"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()])
+            for batch, texts in taken(batches, 1):
+                found = words(texts)
+                run, text, w, at = chosen(found, passage)
+                given = np.zeros(len(found.hashes) + 1, dtype=bool)
+                spots = batch.column(2)
+                given[np.repeat(found.first[:-1], spots.value_lengths().to_numpy()) + spots.flatten().to_numpy()] = True
+                i = np.flatnonzero(given[at])
+                text, w, at = text[i], w[i], at[i]
+                begin = found.begin[text]
+                g = stretch(run, w, w + passage).view(np.int64)
+                new = np.flatnonzero(np.diff(at, prepend=-1))
+                offsets = pa.array(np.append(new, len(at)), pa.int32())
+                first, last, at, text = w[new], w[np.append(new[1:], len(at))[: len(new)] - 1], at[new], text[new]
+                f = stretch(run, at, at + max(1, passage // 2))
+                every = stretch(run, first, last + passage) + f * np.uint64(ODD) + (at - first).astype(np.uint64)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((g, pa.int64()), (found.start[w] - begin, pa.int32()), (found.end[w + passage - 1] - begin, pa.int32()))]
+                yield batch.column(0).to_numpy()[text], first - found.first[text], f.view(np.int64), every.view(np.int64), *lists
+
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 2]
+        yield from _batches(made(), ["place", "w", "f", "every", "g", "start", "end"], types, 10_000)
 
     return run
 
@@ -115,19 +98,22 @@ def _spans(passage: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made():
-            for rows in runs(batches, 1):
-                place = rows["place"][0].as_py()
-                seen: set[int] = set()
-                out: list[list] = []
-                for w, g, start, end, low in zip(*(rows[c].to_pylist() for c in ("w", "g", "start", "end", "low")), strict=True):
-                    if out and w < out[-1][1] + out[-1][2]:
-                        out[-1][2], out[-1][4] = w + passage - out[-1][1], end
-                    else:
-                        out.append([place, w, passage, start, end, g, low, []])
-                    if low == place and g not in seen:
-                        seen.add(g)
-                        out[-1][7].append(w)
-                yield list(zip(*out, strict=True))
+            for rows in whole(batches, 1):
+                place, w, n, cluster, start, end, low = (rows[c].to_numpy() for c in ("place", "w", "n", "cluster", "start", "end", "low"))
+                new = np.ones(len(place), dtype=bool)
+                new[1:] = (place[1:] != place[:-1]) | (w[1:] >= w[:-1] + n[:-1] - 1 + passage)
+                a = np.flatnonzero(new)
+                b = np.append(a[1:], len(place)) - 1
+                own = np.flatnonzero(low == place)
+                lists = rows["g"].combine_chunks().take(pa.array(own))
+                g, own, at = lists.flatten().to_numpy(), np.repeat(own, n[own]), ranges(w[own].astype(np.int64), n[own])
+                # A window that stands twice in its first place counts once there.
+                order = np.lexsort((at, g, place[own]))
+                once = np.ones(len(order), dtype=bool)
+                once[1:] = (g[order[1:]] != g[order[:-1]]) | (place[own[order[1:]]] != place[own[order[:-1]]])
+                kept = np.sort(order[once])
+                firsts = pa.ListArray.from_arrays(pa.array(np.searchsorted(own[kept], np.append(a, len(place))), pa.int32()), pa.array(at[kept], pa.int32()))
+                yield place[a], w[a], w[b] + n[b] - 1 + passage - w[a], start[a], end[b], cluster[a], low[a], firsts
 
         names = ["place", "w", "n_words", "start", "end", "cluster", "low", "firsts"]
         yield from _batches(made(), names, [pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.list_(pa.int32())], 10_000)
@@ -153,46 +139,163 @@ def verbatim(numbered: DataFrame, passage: int = PASSAGE) -> DataFrame:
     # Numbers in the order of the keys, so the smallest is the first place.
     places = settled(keys.orderBy("k", "row").withColumn("place", F.monotonically_increasing_id()), "places")
     asked = matched(numbered.select("row", "x"), spots.join(places.select("row", "place"), "row"), "row", sent=SENT)
-    windows = settled(asked.select("place", "x", "spots").mapInArrow(_windows(passage), "place long, w int, g long, start int, end int"), "windows")
-    shared = windows.groupBy("g").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high").select("g", "low")
+    kinds = "place long, w int, f long, every long, g array<long>, start array<int>, end array<int>"
+    windows = settled(asked.select("place", "x", "spots").mapInArrow(_windows(passage), kinds), "windows")
+    # Where all windows round a gram are the same in every place they are shared as one; else each is looked up.
+    around = [F.min("place").alias("low"), F.max("place").alias("high"), F.min("every").alias("least"), F.max("every").alias("most")]
+    around = settled(windows.groupBy("f").agg(*around).select("f", F.expr("if(least = most, low, NULL)").alias("low")), "windows-around")
+    windows_of = matched(windows.drop("every"), around, "f")
+    single = windows_of.where("low IS NULL").select("place", F.posexplode(F.arrays_zip("g", "start", "end")).alias("i", "x"), "w")
+    single = settled(single.select("place", (F.col("w") + F.col("i")).alias("w"), "x.*"), "windows-single")
+    shared = single.groupBy("g").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high").select("g", "low")
     shared = settled(shared, "windows-shared")
-    met = matched(windows, shared, "g").select("place", "w", "g", "start", "end", "low")
-    met = met.repartition("place").sortWithinPartitions("place", "w")
+    own = "if(low = place, {}, NULL) AS g"
+    alone = matched(single, shared, "g").selectExpr("place", "w", "1 AS n", "g AS cluster", "start", "end", "low", own.format("array(g)"))
+    together = windows_of.where("low IS NOT NULL").selectExpr("place", "w", "size(g) AS n", "g[0] AS cluster", "start[0] AS start", "end[size(end) - 1] AS end", "low", own.format("g"))
+    met = alone.unionAll(together).repartition("place").sortWithinPartitions("place", "w")
     spans = met.mapInArrow(_spans(passage), "place long, w int, n_words int, start int, end int, cluster long, low long, firsts array<int>")
     spans = settled(spans, "spans")
-    for done in (windows, shared, spots):
+    for done in (windows, around, single, shared, spots):
         discard(done)
     spans = matched(spans, places, "place")
     spans = matched(spans, places.select(F.col("place").alias("low"), F.col("k").alias("kept_in")), "low")
     return spans.select("row", "k", "w", "n_words", "start", "end", "cluster", "kept_in", "firsts")
 
 
-def units(text: str | None, width: int, passage: int = PASSAGE) -> Iterator[tuple]:
-    """(start, end, words, shingle hashes, first word, number): the lines of a text, numbered from 0, and parts of them, numbered from PARTS, so that of a row's places the line is the first.
+class Units(NamedTuple):
+    """Lines and parts of lines: text, number, first word of it and the one after the last, place in the text, and the segments (of ``least``) they are made of: from, to (the last)."""
 
-    A part begins where a paragraph of ``paragraphs.paragraphs`` does and ends
-    with the first paragraph that makes it ``passage`` words long, so parts overlap.
+    text: np.ndarray
+    p: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
+
+
+def units(found: Words, width: int, passage: int = PASSAGE) -> tuple[Units, np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of texts, numbered from 0, and parts of them, numbered from PARTS, so that of a row's places the line is the first; running sums, and the segments between content cuts: first word, the one after the last.
+
+    A line is cut where the hash of the ``width`` words before is a multiple of
+    CUT, at least SHORT words after the last cut and before the line's end.  A
+    part begins at a cut or with the line, and ends at the first cut or line end
+    that makes it ``passage`` words long, so parts overlap.  Lines of fewer than ``width`` words have no segment.
+    """
+    run = sums(found.hashes)
+    ends_line = np.ones(len(found.codes) + 2, dtype=bool)
+    ends_line[1:-1] = (found.codes == 10) | (found.codes == 13)
+    edge = np.flatnonzero(ends_line[1:] != ends_line[:-1])
+    opens, closes = edge[::2], edge[1::2]
+    line = np.searchsorted(opens, found.start, "right") - 1
+    a = np.flatnonzero(np.diff(line, prepend=-1))
+    b = np.append(a[1:], len(line))[: len(a)]
+    line = line[a]
+    text = np.searchsorted(found.begin, opens[line], "right") - 1
+    p = line - np.searchsorted(opens, found.begin)[text]
+
+    # The cuts, among one word in CUT.
+    short = max(SHORT, width)
+    likely = np.flatnonzero(grams(run, width) % np.uint64(CUT) == 0) + width
+    owner = np.searchsorted(a, likely - width, "right") - 1
+    fits = (likely - a[owner] >= short) & (b[owner] - likely >= short)
+    cuts, kept, last, stands = [], [], -1, 0
+    for at, i in zip(likely[fits].tolist(), owner[fits].tolist(), strict=True):
+        if i != last or at - stands >= short:
+            cuts.append(at)
+            kept.append(i)
+            last, stands = i, at
+    cut, of = np.array(cuts, dtype=np.int64), np.array(kept, dtype=np.int64)
+
+    long = np.flatnonzero(b - a >= width)
+    begins = np.sort(np.concatenate([a[long], cut]))
+    begins_of = np.searchsorted(a, begins, "right") - 1
+    ends = np.sort(np.concatenate([cut, b[long]]))
+    # A part takes the segments from its own to the first that ends late enough, if that is of the same line.
+    head = np.arange(len(begins))
+    tail = np.searchsorted(ends, begins + passage)
+    some = tail < len(ends)
+    some[some] = (begins_of[tail[some]] == begins_of[some]) & (ends[tail[some]] - begins[some] < (b - a)[begins_of[some]])
+    head, tail = head[some], tail[some]
+    part_text = text[begins_of[head]]
+    number = np.arange(len(head)) - np.searchsorted(part_text, part_text) + 1
+
+    none = np.full(len(a), -1)
+    line_head, line_tail = none.copy(), none
+    line_head[long] = np.searchsorted(begins, a[long])
+    line_tail[long] = np.searchsorted(ends, b[long])
+    out = Units(
+        np.concatenate([text, part_text]),
+        np.concatenate([p, PARTS + number]),
+        np.concatenate([a, begins[head]]),
+        np.concatenate([b, ends[tail]]),
+        np.concatenate([opens[line], found.start[begins[head]]]),
+        np.concatenate([closes[line], found.end[ends[tail] - 1]]),
+        np.concatenate([line_head, head]),
+        np.concatenate([line_tail, tail]),
+    )
+    return out, run, begins, ends
+
+
+def _split(width: int, bands: int, rows: int, passage: int):
+    """``units`` of each text: place, words, hash, text, band keys.
+
+    The smallest hashes are taken over each segment once, whole and without the
+    shingles that reach into the next; a unit's are the smallest of its segments'.
     """
-    at = parts = 0
-    for p, m in enumerate(LINE.finditer(text or "")):
-        words = m[0].lower().split()
-        if not words:
-            continue
-        hashes, cuts = _cut(words, width)
-        n, k = len(words), min(width, len(words))
-        yield m.start(), m.end(), words, hashes, at, p
-        spans = [w.span() for w in WORD.finditer(m[0])] if len(cuts) > 1 and n > passage else []
-        ends, last = [*cuts[1:], n], 0
-        for a in cuts if spans else []:
-            while last < len(ends) and ends[last] - a < passage:
-                last += 1
-            if last == len(ends):
-                break
-            b = ends[last]
-            if b - a < n:
-                parts += 1
-                yield m.start() + spans[a][0], m.start() + spans[b - 1][1], words[a:b], hashes[a : b - k + 1], at + a, PARTS + parts
-        at += n
+    deal = np.random.default_rng(23)
+    mix = deal.integers(1, 1 << 63, size=bands * rows, dtype=np.uint64) | np.uint64(1)
+    names = ["k", "row", "p", "w", "start", "end", "n", "h", "line", "bands"]
+
+    def smallest(g: np.ndarray, u: Units, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """By unit with a segment and hash function."""
+        pairs = np.stack([begins, ends - width + 1], axis=1).reshape(-1)
+        pairs = np.minimum(pairs, len(g))  # the last segment may end with the hashes
+        g = np.append(g, np.uint64(0))
+        low = np.empty((2 * len(begins), len(mix)), dtype=np.uint64)
+        x = np.empty_like(g)
+        for i, m in enumerate(mix):
+            np.multiply(g, m, out=x)
+            by = np.minimum.reduceat(x, pairs)
+            low[0::2, i] = np.minimum(by[0::2], by[1::2]) if width > 1 else by[0::2]
+            low[1::2, i] = by[0::2]
+        # All segments but the last whole: even rows, then the odd one of the last.
+        lengths = u.tail - u.head + 1
+        at = 2 * ranges(u.head, lengths)
+        at[np.cumsum(lengths) - 1] += 1
+        return np.minimum.reduceat(low[at], np.cumsum(lengths) - lengths, axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in taken(batches, 2):
+            found = words(texts)
+            u, run, begins, ends = units(found, width, passage)
+            if not len(u.text):
+                continue
+            several = u.b - u.a > width  # one shingle has no similar one but its equal
+            keys = np.empty((int(several.sum()), bands), dtype=np.uint64)
+            if len(keys):
+                low = smallest(grams(run, width), Units(*(x[several] for x in u)), begins, ends)
+                for b in range(bands):
+                    key = np.full(len(keys), b + 1, dtype=np.uint64)
+                    for r in range(rows):
+                        key = (key ^ low[:, b * rows + r]) * np.uint64(0xC2B2AE3D27D4EB4F)
+                        key ^= key >> np.uint64(29)
+                    keys[:, b] = key
+            offsets = pa.array(np.concatenate([[0], np.cumsum(several * bands)]).astype(np.int32))
+            begin = found.begin[u.text]
+            start, end = u.start - begin, u.end - begin
+            columns = [
+                batch.column(0).take(pa.array(u.text)),
+                batch.column(1).take(pa.array(u.text)),
+                *(pa.array(x.astype(np.int32)) for x in (u.p, u.a - found.first[u.text], start, end, u.b - u.a)),
+                pa.array(stretch(run, u.a, u.b).view(np.int64)),
+                pa.array([texts[t][a:b] for t, a, b in zip(u.text.tolist(), start.tolist(), end.tolist(), strict=True)], pa.string()),
+                pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
 
 
 def _shingles(width: int):
@@ -200,15 +303,18 @@ def _shingles(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made():
-            for batch in batches:
-                row, texts, places = (batch.column(i) for i in range(3))
-                for at, text, members in zip(row.to_pylist(), texts, places.to_pylist(), strict=True):
-                    x = text.as_py()
-                    g = grams(hashed(x.lower().split()), width).view(np.int64)
-                    spans = np.array([m.span() for m in WORD.finditer(x)], dtype=np.int64)
-                    for m in members:
-                        i = np.arange(m["w"], m["w"] + m["n"] - width + 1)
-                        yield np.full(len(i), at), np.full(len(i), m["p"]), np.full(len(i), m["c"]), i, g[i], spans[i, 0], spans[i + width - 1, 1]
+            for batch, texts in taken(batches, 1):
+                found = words(texts)
+                run = sums(found.hashes)
+                places = batch.column(2)
+                text = np.repeat(np.arange(len(texts)), places.value_lengths().to_numpy())
+                p, c, w, n = (places.flatten().field(x).to_numpy() for x in ("p", "c", "w", "n"))
+                counts = n.astype(np.int64) - width + 1
+                i = ranges(found.first[text] + w, counts)
+                text, p, c = (np.repeat(x, counts) for x in (text, p, c))
+                begin = found.begin[text]
+                s = stretch(run, i, i + width).view(np.int64)
+                yield batch.column(0).to_numpy()[text], p, c, i - found.first[text], s, found.start[i] - begin, found.end[i + width - 1] - begin
 
         names = ["row", "p", "c", "w", "s", "start", "end"]
         yield from _batches(made(), names, [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()])
@@ -303,7 +409,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     numbered = docs.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("x"))
     numbered = settled(numbered, "texts")
     exact = verbatim(numbered, passage).withColumn("stays", F.lit(False)).withColumn("n_words", F.col("n_words").cast("long"))
-    marked = settled(_shared(numbered, width, alike, partial(units, passage=passage)), "units")
+    marked = settled(_shared(numbered, width, alike, partial(_split, passage=passage)), "units")
     parts = _parts(numbered, marked, exact, width).withColumn("stays", F.struct("k", "row", "p").eqNullSafe(F.col("first"))).drop("p")
     near = _runs(marked.where(F.col("p") < PARTS)).unionByName(parts).where(F.col("n_words") >= passage)
     near = near.withColumn("kept_in", F.col("first.k")).withColumn("firsts", F.lit(None).cast("array<int>")).drop("first")

@@ -3,7 +3,11 @@
 import random
 from collections import defaultdict
 
-from crosstide.llm import passages
+import numpy as np
+import pyarrow as pa
+
+from crosstide.llm import paragraphs, passages
+from crosstide.llm import words as arrays
 
 draw = random.Random(31)
 
@@ -85,3 +89,49 @@ def test_shorter_notices_stay(spark):
         docs += [(100 * n + i, "\n".join([" ".join(words(30)), notice, " ".join(words(30))]) if i % 2 else " ".join([*words(20), notice, *words(20)])) for i in range(40)]
     got = found(spark, docs)
     assert sorted(r["doc_id"] for r in got) == list(range(5000, 5040)) and sum(not r["removed"] for r in got) == 1
+
+
+def test_windows_round_a_gram_are_one_row():
+    text = " ".join(words(2_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["row", "x"])
+    prints = pa.Table.from_batches(passages._prints(50)(iter([batch])))
+    spots = pa.array([prints["at"].to_pylist()], pa.list_(pa.int32()))
+    out = pa.Table.from_batches(passages._windows(50)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), spots], ["place", "x", "spots"])])))
+    assert out.num_rows < 2_000 / 5 and sum(len(g) for g in out["g"].to_pylist()) == 1_951
+
+
+def test_words_of_several_texts_are_those_of_split():
+    texts = ["", "İx ab ΣΣ\u0085c\xa0D \U0001f600", "\n \r\n", "ab x\u3000AB", *(" ".join(words(40)) for _ in range(20))]
+    got = arrays.words(texts)
+    seen = {}
+    for i, text in enumerate(texts):
+        at = range(got.first[i], got.first[i + 1])
+        assert [text[got.start[j] - got.begin[i] : got.end[j] - got.begin[i]] for j in at] == text.split()
+        assert all(seen.setdefault(x, got.hashes[j]) == got.hashes[j] for x, j in zip(text.lower().split(), at, strict=True))
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_a_parts_smallest_hashes_are_those_of_its_own_shingles():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([" ".join(words(3_000))])], ["k", "row", "x"])
+    parts = [x for x in pa.Table.from_batches(passages._split(5, 7, 3, 50)(iter([batch]))).to_pylist() if x["p"] >= passages.PARTS]
+    alone = pa.RecordBatch.from_arrays([*[pa.array(range(len(parts)))] * 2, pa.array([x["line"] for x in parts])], ["k", "row", "x"])
+    lines = {x["row"]: x for x in pa.Table.from_batches(passages._split(5, 7, 3, 50)(iter([alone]))).to_pylist() if x["p"] < passages.PARTS}
+    assert len(parts) > 30 and all(lines[i]["bands"] == x["bands"] and lines[i]["h"] == x["h"] for i, x in enumerate(parts))
+
+
+def test_common_shingles_in_any_number_of_columns(monkeypatch):
+    sets = paragraphs._sets([" ".join(draw.choice("abcd") for _ in range(draw.randint(1, 40))) for _ in range(60)], 5)
+    for held in (4_000_000, 300):
+        monkeypatch.setattr(paragraphs, "HELD", held)
+        both = paragraphs._common(sets)
+        assert all(both[i, j] == len(sets[i] & sets[j]) for i in range(60) for j in range(i))
+    assert np.all(both >= 0)
+
+
+def test_overlapping_parts_of_one_text_are_no_link(spark):
+    line = words(60)
+    rows = [(1, 10, " ".join(line), [5]), (2, 10, " ".join(line[1:]), [5]), (3, 20, " ".join(words(60)), [5])]
+    lines = spark.createDataFrame(rows, "h long, row long, line string, bands array<long>")
+    assert paragraphs.similar(lines).count() == 0
+    again = lines.unionAll(spark.createDataFrame([(2, 30, " ".join(line[1:]), [5])], lines.schema))
+    assert sorted(r["h"] for r in paragraphs.similar(again).collect()) == [1, 2]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.llm.common import components, discard, matched, settled, whole
-from crosstide.llm.words import ranges, stretch, sums, words
+from crosstide.llm.words import TAKEN, ranges, stretch, sums, words
 
 #: Words of a shingle, similarity of a repeat, words of a passage.
 WIDTH, ALIKE, PASSAGE = 5, 0.8, 50
@@ -150,14 +151,18 @@ def _split(width: int, bands: int, rows: int):
 
 def _sets(lines: list[str], width: int) -> list[set[int]]:
     """The hashes of the distinct shingles of each paragraph."""
-    found = words(lines)
-    run = sums(found.hashes)
-    n = np.diff(found.first)
-    counts = np.maximum(n - width + 1, 1)
-    a = ranges(found.first[:-1], counts)
-    g = stretch(run, a, a + np.repeat(np.minimum(n, width), counts)).tolist()
-    ends = np.cumsum(counts).tolist()
-    return [set(g[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)] if lines else []
+    out: list[set[int]] = []
+    sizes = np.cumsum([len(x) for x in lines]) // TAKEN
+    for a, b in pairwise([*np.flatnonzero(np.diff(sizes, prepend=-1)).tolist(), len(lines)]):
+        found = words(lines[a:b])
+        run = sums(found.hashes)
+        n = np.diff(found.first)
+        counts = np.maximum(n - width + 1, 1)
+        at = ranges(found.first[:-1], counts)
+        g = stretch(run, at, at + np.repeat(np.minimum(n, width), counts)).tolist()
+        ends = np.cumsum(counts).tolist()
+        out += [set(g[i:j]) for i, j in pairwise([0, *ends])]
+    return out
 
 
 def _alike(a: Column, b: Column, width: int, least: float) -> Column:

@@ -7,7 +7,6 @@ import json
 import os
 import tempfile
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,13 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstide.llm.common import discard, written
+from crosstide.llm.words import ranges, taken
 
 #: Words of the lexicon at most, and the longest word (bytes) it takes.
 LEXICON_WORDS, LEXICON_BYTES = 200_000, 48
 #: Characters encoded at a time, and words a worker remembers between chunks.
-CHUNK_CHARS, REMEMBERED = 500_000, 1_000_000
+CHUNK_CHARS, REMEMBERED = 1_000_000, 400_000
 #: Distinct words a counting task holds before it passes them on.
 COUNTED = 400_000
+#: The split pattern whose words ``Merges.tokens`` finds by arrays, and the classes of its characters.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+OTHER, SPACE, LETTER, DIGIT, SPECIAL = range(5)
 
 
 def byte_letters() -> list[str]:
@@ -36,6 +39,30 @@ def byte_letters() -> list[str]:
     return [chr(moved.get(b, b)) for b in range(256)]
 
 
+def _classes() -> np.ndarray:
+    """The class of every code point."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.full(len(every), OTHER, dtype=np.uint8)
+    for kind, members in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+")):
+        for run in regex.finditer(members, every):
+            out[run.start() : run.end()] = kind
+    return out
+
+
+def _shortened(codes: np.ndarray, kind: np.ndarray, start: np.ndarray) -> None:
+    """Sets the starts of 's, 't, 're, 've, 'm, 'll, 'd, and of what follows them: an apostrophe that begins a word takes these letters."""
+    at = np.flatnonzero((codes == ord("'")) & start & (kind == OTHER))
+    at = at[kind[at + 1] == LETTER]
+    a, b = codes[at + 1], codes[at + 2]
+    one = np.isin(a, [ord(c) for c in "stmd"])
+    two = np.zeros(len(at), dtype=bool)
+    for x, y in ("re", "ve", "ll"):
+        two |= (a == ord(x)) & (b == ord(y))
+    start[at[one | two] + 1] = False
+    after = np.concatenate([at[one] + 2, at[two] + 3])
+    start[after] |= kind[after] == LETTER
+
+
 class Merges:
     """A word-end BPE vocabulary: words to ids by merging, ids to text.
 
@@ -61,23 +88,59 @@ class Merges:
             self.rank[vocab[a], vocab[b]] = len(self.merged)
             self.merged.append(vocab[a + b])
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.classes = _classes() if self.pattern.pattern == SPLIT else None
         self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def words(self, text: str | None) -> list[str]:
         """A text's words in order; a special token's string stays one word, in its own case."""
-        if not text:
-            return []
-        if self.apart and any(s in text for s in self.special):
-            out = []
-            for i, part in enumerate(self.apart.split(text)):
-                out += [part] if i % 2 else self._plain(part)
-            return out
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[str]:
+        out = []
+        for i, part in enumerate(self._parts(text or "")):
+            out += [part] if i % 2 else self.pattern.findall(self._normal(part))
+        return out
+
+    def _parts(self, text: str) -> list[str]:
+        """Plain text and special tokens in turn."""
+        return self.apart.split(text) if self.apart and any(s in text for s in self.special) else [text]
+
+    def _normal(self, text: str) -> str:
         # Lower case goes letter by letter: a sigma's form does not depend on its place.
-        text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.pattern.findall(text)
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def tokens(self, texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+        """The ``words`` of all texts as one array, and where each text's begin in it (and the last's end)."""
+        if self.classes is None:
+            found = [self.words(x) for x in texts]
+            return pa.array([w for one in found for w in one], pa.string()), np.cumsum([0, *map(len, found)])
+        parts, begin, marks, at = [], [], [], 0
+        for text in texts:
+            begin.append(at)
+            for i, part in enumerate(self._parts(text)):
+                if i % 2:
+                    marks.append(slice(at, at + len(part)))
+                else:
+                    part = self._normal(part)
+                parts.append(part)
+                at += len(part) + 1
+        parts.append("")
+        joined = "\n".join(parts)  # a line end after each part keeps its words from the next one's
+        data = np.frombuffer(joined.encode("utf-8"), dtype=np.uint8)
+        codes = data if len(data) == len(joined) else np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        kind = self.classes[codes]
+        for mark in marks:
+            kind[mark] = SPECIAL
+        keep = kind != SPACE
+        start = keep.copy()
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        _shortened(codes, kind, start)
+        cuts = np.searchsorted(np.flatnonzero(start), [*begin, at])
+        if codes is data:
+            first, kept = np.flatnonzero(start[keep]), data[keep]
+        else:
+            width = (codes > 0x7F).astype(np.uint8) + (codes > 0x7FF) + (codes > 0xFFFF) + np.uint8(1)
+            kept, width = data[np.repeat(keep, width)], width[keep]
+            first = (np.cumsum(width, dtype=np.int64) - width)[start[keep]]
+        ends = np.append(first, len(kept)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(kept)), cuts
 
     def merge(self, word: str) -> tuple[int, ...]:
         """The ids of one word: the adjacent pair of lowest rank, leftmost first, until none is left."""
@@ -195,7 +258,7 @@ class Lexicon:
 
     @staticmethod
     def open(path: str) -> Lexicon:
-        whole = np.memmap(path, dtype=np.uint8, mode="r")
+        whole = np.memmap(path, dtype=np.uint8, mode="r").view(np.ndarray)
         sizes = dict(zip(Lexicon.FIELDS, whole[: 8 * len(Lexicon.FIELDS)].view(np.int64).tolist(), strict=True))
         at, parts = 8 * len(Lexicon.FIELDS), {}
         for k in sorted(Lexicon.FIELDS, key=lambda k: -np.dtype(Lexicon.FIELDS[k]).itemsize):
@@ -250,32 +313,38 @@ class Encoder:
     def learn(self, new: list[str]) -> None:
         if not new:
             return
-        ranks = self.lexicon.ranks([w.encode("utf-8", "surrogatepass") for w in new]).tolist()
-        found = [self.lexicon.ids_of(rank) if rank >= 0 else self.merges.merge(word) for word, rank in zip(new, ranks, strict=True)]
+        ranks = self.lexicon.ranks([w.encode("utf-8", "surrogatepass") for w in new])
+        hit, miss = np.flatnonzero(ranks >= 0), np.flatnonzero(ranks < 0)
+        merged = [self.merges.merge(new[i]) for i in miss.tolist()]
         n, known = len(new), len(self.number)
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=n)
+        source = self.lexicon.start[ranks[hit] + 1]
+        lengths = np.zeros(n, dtype=np.int64)
+        lengths[hit] = self.lexicon.start[ranks[hit] + 2] - source
+        lengths[miss] = list(map(len, merged))
         at = int(self.start[known])
-        end = at + int(lengths.sum())
+        ends = at + np.cumsum(lengths)
         while len(self.start) <= known + n:
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        while len(self.ids) < end:
+        while len(self.ids) < ends[-1]:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[at:end] = np.fromiter((i for one in found for i in one), dtype=np.int32, count=end - at)
-        self.start[known + 1 : known + n + 1] = at + np.cumsum(lengths)
+        first = ends - lengths
+        self.ids[ranges(first[hit], lengths[hit])] = self.lexicon.ids[ranges(source, lengths[hit])]
+        self.ids[ranges(first[miss], lengths[miss])] = [i for one in merged for i in one]
+        self.start[known + 1 : known + n + 1] = ends
         self.number.update(zip(new, range(known, known + n), strict=True))
 
-    def encode(self, texts: list[list[str]]) -> pa.ListArray:
-        """Ids of texts given as word lists."""
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """Ids of texts; each different word is looked up once."""
         if len(self.number) > REMEMBERED:
             self.forget()
-        words = [w for one in texts for w in one]
-        self.learn(list(set(words) - self.number.keys()))
-        number = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+        tokens, cuts = self.merges.tokens(texts)
+        coded = tokens.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.learn([w for w in words if w not in self.number])
+        number = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))[coded.indices.to_numpy()]
         first, lengths = self.start[number], self.start[number + 1] - self.start[number]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        place = np.repeat(first - ends[:-1], lengths) + np.arange(ends[-1])
-        cuts = np.cumsum([0, *map(len, texts)])
-        return pa.ListArray.from_arrays(pa.array(ends[cuts].astype(np.int32)), pa.array(self.ids[place]))
+        return pa.ListArray.from_arrays(pa.array(ends[cuts].astype(np.int32)), pa.array(self.ids[ranges(first, lengths)]))
 
     def decode(self, ids: pa.ListArray) -> pa.StringArray:
         """Texts of id lists, whatever made them."""
@@ -311,26 +380,30 @@ def sampled(docs: DataFrame, rows: int = 20_000) -> DataFrame:
     return docs if total <= rows else docs.sample(rows / total, seed=8)
 
 
+def _added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """One row per word from batches of (word, n)."""
+    if not held:
+        return []
+    table = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return table.select(["word", "n_sum"]).rename_columns(["word", "n"]).combine_chunks().to_batches(max_chunksize=50_000)
+
+
 def word_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """(word, n) over the texts of ``docs``; summed in each task before the shuffle, in bounded memory."""
     name = _shipped(docs.sparkSession, tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, seen = _merges(name), Counter()
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            words = list(seen)
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[w] for w in part], pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for one in batch.column(0):
-                seen.update(merges.words(one.as_py()))
-                if len(seen) > COUNTED:
-                    yield from rows()
-                    seen.clear()
-        yield from rows()
+        merges, held, rows = _merges(name), [], 0
+        for _, texts in taken(batches, 0, CHUNK_CHARS):
+            held.append(pa.RecordBatch.from_arrays(merges.tokens(texts)[0].value_counts().flatten(), ["word", "n"]))
+            rows += held[-1].num_rows
+            if rows > 2 * COUNTED:
+                held = _added(held)
+                rows = sum(x.num_rows for x in held)
+                if rows > COUNTED:
+                    yield from held
+                    held, rows = [], 0
+        yield from _added(held)
 
     partial = docs.select(F.col(text).cast("string").alias("x")).mapInArrow(count, "word string, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
@@ -389,17 +462,9 @@ def encoded(docs: DataFrame, key: str, tokenizer: str, text: str = "text", lexic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, lexicon)
-        for batch in batches:
-            start = chars = 0
-            words: list[list[str]] = []
-            for i, one in enumerate(batch.column(1)):
-                text = one.as_py() or ""
-                words.append(encoder.merges.words(text))
-                chars += len(text)
-                if chars >= CHUNK_CHARS or i == batch.num_rows - 1:
-                    ids = encoder.encode(words)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), ids, encoder.decode(ids)], ["key", "ids", "decoded"])
-                    start, chars, words = i + 1, 0, []
+        for batch, texts in taken(batches, 1, CHUNK_CHARS):
+            ids = encoder.encode(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, encoder.decode(ids)], ["key", "ids", "decoded"])
 
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("x"))

@@ -103,15 +103,15 @@ def words(texts: list[str]) -> Words:
     return Words(codes, begin, np.searchsorted(start, begin), stretch(sums(letters), a, b), start, end)
 
 
-def taken(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with about TAKEN characters of column ``text``, and these texts."""
+def taken(batches: Iterator[pa.RecordBatch], text: int, chars: int = TAKEN) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with about ``chars`` characters of column ``text``, and these texts."""
     for batch in batches:
         held: list[str] = []
         at = size = 0
         for x in batch.column(text):
             held.append(x.as_py() or "")
             size += len(held[-1])
-            if size >= TAKEN:
+            if size >= chars:
                 yield batch.slice(at, len(held)), held
                 at, held, size = at + len(held), [], 0
         if held:

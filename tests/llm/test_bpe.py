@@ -96,3 +96,42 @@ def test_the_lexicon_knows_the_words_of_all_rows(spark, monkeypatch):
     monkeypatch.setattr(bpe, "frequent_words", lambda counts, most: (counted.append({r["word"]: r["n"] for r in counts.collect()}), words(counts, most))[1])
     assert bpe.encoded(df, "doc_id", PATH).count() == 30_000
     assert counted == [{"often": 29_997, "rareword": 3}]
+
+
+def test_tokens_by_arrays_are_the_words_of_the_pattern(monkeypatch):
+    merges = bpe.Merges(PATH)
+    draw = random.Random(5)
+    short = ["'", "'s", "'S", "'t", "'re", "'rE", "'r", "'ve", "'m", "'ll", "'l", "'d", "é", "e\u0301", "a", "s", "7", "½", "-", " ", "\n", "\x1c", "\u200b", "\u0345", "İ", "ΑΣ", "😀", "中", "<|endoftext|>", "<|endoftext", "|>"]
+    texts = ["", *fixture()[1:], *["".join(draw.choice(short) for _ in range(draw.randint(1, 12))) for _ in range(5_000)], ""]
+    monkeypatch.setattr(merges, "words", lambda text: 1 / 0)  # the arrays do not go through the pattern
+    tokens, cuts = merges.tokens(texts)
+    monkeypatch.undo()
+    words = tokens.to_pylist()
+    assert cuts[0] == 0 and cuts[-1] == len(words)
+    for i, text in enumerate(texts):
+        assert words[cuts[i] : cuts[i + 1]] == merges.words(text), repr(text)
+    for texts in ([], ["", " "], ["plain text's", "3 a"]):
+        tokens, cuts = merges.tokens(texts)
+        assert tokens.to_pylist() == [w for x in texts for w in merges.words(x)] and len(cuts) == len(texts) + 1
+
+
+def test_every_code_point_is_split_as_by_the_pattern():
+    merges = bpe.Merges(PATH)
+    text = " ".join(f"a{chr(c)}b{chr(c)}{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    texts = [text[i : i + 600_000] for i in range(0, len(text), 600_000)]
+    tokens, cuts = merges.tokens(texts)
+    words = tokens.to_pylist()
+    assert all(words[a:b] == merges.words(x) for a, b, x in zip(cuts, cuts[1:], texts))
+
+
+def test_a_counting_task_holds_few_words(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "COUNTED", 50)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 100)
+    texts = [t for t in fixture()] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    merges = bpe.Merges(PATH)
+    counts = {}
+    for t in texts:
+        for w in merges.words(t):
+            counts[w] = counts.get(w, 0) + 1
+    assert {r["word"]: r["n"] for r in bpe.word_counts(df, PATH).collect()} == counts

@@ -23,7 +23,7 @@ from crosstide.llm.words import ranges, taken
 
 #: Words of the lexicon at most, and the longest word (bytes) it takes.
 LEXICON_WORDS, LEXICON_BYTES = 200_000, 48
-#: Characters encoded at a time, and words a worker remembers between chunks.
+#: Characters encoded at a time, and words a task remembers between chunks.
 CHUNK_CHARS, REMEMBERED = 1_000_000, 400_000
 #: Distinct words a counting task holds before it passes them on.
 COUNTED = 400_000
@@ -462,9 +462,13 @@ def encoded(docs: DataFrame, key: str, tokenizer: str, text: str = "text", lexic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, lexicon)
-        for batch, texts in taken(batches, 1, CHUNK_CHARS):
-            ids = encoder.encode(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, encoder.decode(ids)], ["key", "ids", "decoded"])
+        try:
+            for batch, texts in taken(batches, 1, CHUNK_CHARS):
+                ids = encoder.encode(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, encoder.decode(ids)], ["key", "ids", "decoded"])
+        finally:  # idle workers outlive the stage, and all of an executor's share its memory
+            encoder.forget()
+            pa.default_memory_pool().release_unused()
 
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("x"))

@@ -135,3 +135,22 @@ def test_a_counting_task_holds_few_words(spark, monkeypatch):
         for w in merges.words(t):
             counts[w] = counts.get(w, 0) + 1
     assert {r["word"]: r["n"] for r in bpe.word_counts(df, PATH).collect()} == counts
+
+
+def test_idle_workers_hold_no_words(spark):
+    df = spark.range(0, 4_000, 1, 8).selectExpr("id AS doc_id", "concat('word', translate(id, '0123456789', 'abcdefghij'), ' again') AS text")
+    assert bpe.encoded(df, "doc_id", PATH).count() == 4_000
+
+    def held(batches):
+        import time
+
+        import pyarrow as pa
+
+        from crosstide.llm import bpe
+
+        time.sleep(0.3)  # so that all workers have a task
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(isinstance(x, bpe.Encoder) for x in bpe._OPEN.values())]), pa.array([sum(len(x.number) for x in bpe._OPEN.values() if isinstance(x, bpe.Encoder))])], ["encoders", "words"])
+
+    found = spark.range(0, 16, 1, 16).mapInArrow(held, "encoders long, words long").collect()
+    assert sum(r["encoders"] for r in found) and not sum(r["words"] for r in found)

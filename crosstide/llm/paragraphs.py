@@ -198,7 +198,8 @@ def similar(lines: DataFrame, width: int = WIDTH, alike: float = ALIKE) -> DataF
     two = buckets.where("n = 2").select("key", F.explode(F.array("m", "x")).alias("h"), "m")
     more = matched(keyed, buckets.where("n > 2").select("key", "m"), "key").select("key", "h", "m").distinct()
     hits = settled(two.unionAll(more), "hits")
-    texts = matched(lines.select("h", "row", "line"), hits.select("h").distinct(), "h")
+    asked = settled(hits.select("h").distinct(), "asked")
+    texts = matched(lines.select("h", "row", "line"), asked, "h")
     texts = texts.groupBy("h").agg(F.any_value("line").alias("line"), F.min("row").alias("low"), F.max("row").alias("high"))
     # The row of a paragraph that no other row has.
     texts = settled(texts.select("h", "line", F.expr("if(low = high, low, NULL)").alias("only")), "texts")
@@ -223,7 +224,7 @@ def similar(lines: DataFrame, width: int = WIDTH, alike: float = ALIKE) -> DataF
     blocks = paired.join(texts, "h").select("key", "low", "high", "part", "h", "g", F.coalesce("only", F.lit(-1)).alias("only"), "line")
     met = blocks.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "h").mapInArrow(_met(width, alike), "u long, v long")
     out = settled(components(settled(near.unionAll(met), "links")).select(F.col("node").alias("h"), F.col("component").alias("cluster")), "clusters")
-    for done in (buckets, hits, texts, near, labelled, open_):
+    for done in (buckets, hits, asked, texts, near, labelled, open_):
         discard(done)
     return out
 
@@ -332,7 +333,7 @@ def _shared(numbered: DataFrame, width: int, alike: float, split=_split) -> Data
     marked = settled(matched(lines.select("k", "row", "p", "w", "start", "end", "n", "h"), shared, "h").drop("h"), "marked")
     for done in (lines, near, held, shared):
         discard(done)
-    return matched(marked, marked.groupBy("c").agg(F.min(F.struct("k", "row", "p")).alias("first")), "c")
+    return matched(marked, settled(marked.groupBy("c").agg(F.min(F.struct("k", "row", "p")).alias("first")), "firsts"), "c")
 
 
 def _runs(marked: DataFrame) -> DataFrame:

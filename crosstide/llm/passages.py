@@ -5,14 +5,16 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm.common import discard, matched, runs, settled, whole
+from crosstide.llm.common import discard, matched, settled, whole
 from crosstide.llm.paragraphs import ALIKE, CUT, PASSAGE, SHORT, WIDTH, _runs, _shared
 from crosstide.llm.words import ODD, Words, grams, least, ranges, stretch, sums, taken, words
 
@@ -348,35 +350,60 @@ def _merged(passage: int):
         types: list = []
 
         def made():
-            for rows in runs(batches, 1):
+            for rows in whole(batches, 1):
                 types[:] = types or [rows[c].type for c in ("k", "start", "end", "n_words", "cluster", "kept_in")] + [pa.bool_()]
-                items = rows.to_pylist()
-                begins, reach = [], []
-                for x in items:
-                    if x["firsts"] is None:
-                        begins.append(x["w"])
-                        reach.append(max(x["w"] + x["n_words"], reach[-1] if reach else 0))
-                exact = [(x["w"], x["w"] + x["n_words"], x["firsts"]) for x in items if x["firsts"] is not None]
-                out: list[list] = []
-                last = 0
-                for x in items:
-                    stays = x["stays"]
-                    if stays:  # all words of this first near copy may stand verbatim in earlier places
-                        a, b = x["w"], x["w"] + x["n_words"]
-                        i = bisect_right(exact, a, key=lambda e: e[0]) - 1
-                        stays = i < 0 or exact[i][1] < b or any(a <= w <= b - passage for w in exact[i][2])
-                    for w in x["firsts"] or []:
-                        i = bisect_right(begins, w)
-                        stays = stays or not i or reach[i - 1] < w + passage
-                    end = x["w"] + x["n_words"]
-                    if out and x["w"] < last:
-                        if end > last:
-                            out[-1][2], out[-1][3], last = x["end"], out[-1][3] + end - last, end
-                        out[-1][6] = out[-1][6] and not stays
-                    else:
-                        out.append([x["k"], x["start"], x["end"], x["n_words"], x["cluster"], x["kept_in"], not stays])
-                        last = end
-                yield list(zip(*out, strict=True))
+                row = rows["row"].to_numpy()
+                edge = np.flatnonzero(np.diff(row, prepend=row[0] - 1, append=row[-1] - 1)).tolist()
+                w, n = rows["w"].to_numpy(), rows["n_words"].to_numpy()
+                ends, w = (w + n).tolist(), w.tolist()
+                stays = rows["stays"].to_pylist()
+                firsts = rows["firsts"].combine_chunks()
+                near = firsts.is_null().to_numpy(zero_copy_only=False).tolist()
+                some = pc.fill_null(pc.list_value_length(firsts), 0).to_numpy()
+                upto = np.cumsum(some)
+                first, last, windows = (upto - some).tolist(), upto.tolist(), firsts.flatten().to_numpy()
+                opens: list[int] = []  # of each merged span, its first row, the row it ends with, its words, and whether it stays
+                closes: list[int] = []
+                sizes: list[int] = []
+                kept: list[bool] = []
+                for a, b in pairwise(edge):
+                    begins, reach, exact = [], [], []
+                    for x in range(a, b):
+                        if near[x]:
+                            begins.append(w[x])
+                            reach.append(max(ends[x], reach[-1] if reach else 0))
+                        else:
+                            exact.append(x)
+                    starts = [w[x] for x in exact]
+                    covered = np.array([0, *reach])
+                    at = 0
+                    for x in range(a, b):
+                        left = stays[x]
+                        if left:  # all words of this first near copy may stand verbatim in earlier places
+                            i = bisect_right(starts, w[x]) - 1
+                            if i >= 0 and ends[exact[i]] >= ends[x]:
+                                own = windows[first[exact[i]] : last[exact[i]]]
+                                left = bool(((own >= w[x]) & (own <= ends[x] - passage)).any())
+                        if not left and last[x] > first[x]:
+                            if begins:
+                                own = windows[first[x] : last[x]]
+                                before = np.searchsorted(begins, own, "right")
+                                left = bool(((before == 0) | (covered[before] < own + passage)).any())
+                            else:
+                                left = True
+                        if x > a and w[x] < at:
+                            if ends[x] > at:
+                                closes[-1], sizes[-1], at = x, sizes[-1] + ends[x] - at, ends[x]
+                            kept[-1] = kept[-1] or left
+                        else:
+                            opens.append(x)
+                            closes.append(x)
+                            sizes.append(ends[x] - w[x])
+                            kept.append(left)
+                            at = ends[x]
+                of, to = pa.array(opens, pa.int64()), pa.array(closes, pa.int64())
+                k, start, cluster, kept_in = (rows[c].combine_chunks().take(of) for c in ("k", "start", "cluster", "kept_in"))
+                yield k, start, rows["end"].combine_chunks().take(to), sizes, cluster, kept_in, [not x for x in kept]
 
         yield from _batches(made(), ["k", "start", "end", "n_words", "cluster", "kept_in", "removed"], types, 10_000)
 

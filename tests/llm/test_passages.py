@@ -135,3 +135,44 @@ def test_overlapping_parts_of_one_text_are_no_link(spark):
     assert paragraphs.similar(lines).count() == 0
     again = lines.unionAll(spark.createDataFrame([(2, 30, " ".join(line[1:]), [5])], lines.schema))
     assert sorted(r["h"] for r in paragraphs.similar(again).collect()) == [1, 2]
+
+
+def plainly_merged(items, passage):
+    """The spans of one row, (w, n_words, firsts or None, stays), merged one by one: first span, last span, words, removed."""
+    near = [(w, w + n) for w, n, firsts, _ in items if firsts is None]
+    exact = [(w, w + n, firsts) for w, n, firsts, _ in items if firsts is not None]
+    out = []
+    for x, (w, n, firsts, stays) in enumerate(items):
+        if stays:
+            over = [e for e in exact if e[0] <= w][-1:]
+            stays = not over or over[0][1] < w + n or any(w <= f <= w + n - passage for f in over[0][2])
+        stays = stays or any(not any(a <= f and f + passage <= b for a, b in near) for f in firsts or [])
+        if out and w < out[-1][4]:
+            if w + n > out[-1][4]:
+                out[-1][1], out[-1][2], out[-1][4] = x, out[-1][2] + w + n - out[-1][4], w + n
+            out[-1][3] = out[-1][3] and not stays
+        else:
+            out.append([x, x, n, not stays, w + n])
+    return [tuple(x[:4]) for x in out]
+
+
+def test_spans_of_many_rows_merge_together(monkeypatch):
+    rows, want = [], []
+    for row in range(3_000):
+        items = []
+        for _ in range(draw.randint(1, 6)):
+            w, n = draw.randint(0, 60), draw.randint(5, 30)
+            exact = draw.random() < 0.6
+            items.append((w, n, sorted(draw.sample(range(w, w + n - 4), draw.randint(0, min(3, n - 4)))) if exact else None, not exact and draw.random() < 0.5))
+        items.sort(key=lambda x: (x[0], -x[1]))
+        rows += [(row, -row, w, n, 10 * w, 10 * (w + n), 7, 1, firsts, stays) for w, n, firsts, stays in items]
+        want += [(-row, 10 * items[a][0], 10 * sum(items[b][:2]), n, 7, 1, removed) for a, b, n, removed in plainly_merged(items, 5)]
+    names = ["row", "k", "w", "n_words", "start", "end", "cluster", "kept_in", "firsts", "stays"]
+    i, q = pa.int32(), pa.int64()
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [q, q, i, q, i, i, q, q, pa.list_(i), pa.bool_()], strict=True)]
+    batches = pa.Table.from_arrays(columns, names).to_batches(max_chunksize=2_500)
+    made = []
+    monkeypatch.setattr(pa, "Table", type("Table", (), {"from_batches": staticmethod(lambda x, f=pa.Table.from_batches: (made.append(1), f(x))[1])}))
+    got = [tuple(r.values()) for b in passages._merged(5)(iter(batches)) for r in b.to_pylist()]
+    assert got == want
+    assert len(made) < 20  # tables of many rows, not one for each

@@ -254,9 +254,9 @@ def g10(spark, sf):
 
     @F.pandas_udf("boolean")
     def nearest(embedding: pd.Series, cluster: pd.Series) -> pd.Series:
-        out = []
-        for at in range(0, len(embedding), vectors.NEAREST_ROWS):
-            x, c = embedding.iloc[at : at + vectors.NEAREST_ROWS], cluster.iloc[at : at + vectors.NEAREST_ROWS]
+        out, step = [], vectors.product_rows(len(middle))
+        for at in range(0, len(embedding), step):
+            x, c = embedding.iloc[at : at + step], cluster.iloc[at : at + step]
             dots = np.vstack(x.to_list()).astype(float) @ middle.T
             out.append(dots[np.arange(len(x)), np.searchsorted(names, c)] >= dots.max(axis=1) - 1e-9)
         return pd.Series(np.concatenate(out) if out else [], dtype=bool)

@@ -12,8 +12,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ OUT = "query_id {q}, id {v}, similarity double"
 CENTRES = "cluster int, centre array<double>"
 #: Vectors in one matrix product against the centres, moves of the centres between two splits, and in all.
 NEAREST_ROWS, MOVES, MOST_MOVES = 2_000, 3, 100
+#: Cells of such a product, centres whose sums are added up together, tasks of a pass per core.
+PRODUCT_CELLS, PIECE, TASKS_PER_CORE = 8_000_000, 64, 2
 
 
 def _unit(rows) -> np.ndarray:
@@ -169,33 +172,140 @@ class Clustering(NamedTuple):
     centres: DataFrame
 
 
+def _by_rows(units: pd.Series | pa.ListArray) -> np.ndarray:
+    """A batch of vectors as the rows of a matrix; an Arrow column is not copied."""
+    if isinstance(units, pd.Series):
+        return np.vstack(units.to_list())
+    lengths = pc.list_value_length(units).to_numpy(zero_copy_only=False)
+    if len(set(lengths.tolist())) > 1:
+        raise ValueError("vectors differ in length")
+    return units.flatten().to_numpy(zero_copy_only=False).reshape(len(units), -1)
+
+
+def product_rows(centres: int) -> int:
+    """Vectors in one matrix product against so many centres."""
+    return max(1, min(NEAREST_ROWS, PRODUCT_CELLS // max(1, centres)))
+
+
+class _Centres:
+    """Centres of length one, and the place of the most similar one for unit vectors.
+
+    Products are taken in single precision; where the second best comes so close
+    that rounding may have decided, they are taken again in double precision, so
+    the place is that of the double products.
+    """
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, self.narrow = rows, np.ascontiguousarray(rows.T, dtype=np.float32)
+        self.doubt = (rows.shape[1] + 2) * 2.0**-22  # at least twice what rounding can do to two products
+
+    def places(self, units: np.ndarray) -> np.ndarray:
+        out, step = np.zeros(len(units), dtype=np.int32), product_rows(len(self.rows))
+        for first in range(0, len(units), step):
+            x = units[first : first + step]
+            likeness, every = x.astype(np.float32) @ self.narrow, np.arange(len(x))
+            best = likeness.argmax(axis=1)
+            top = likeness[every, best].copy()
+            likeness[every, best] = -np.inf
+            close = np.nonzero(likeness.max(axis=1) >= top - self.doubt)[0]
+            if len(close):
+                best[close] = np.argmax(x[close] @ self.rows.T, axis=1)
+            out[first : first + step] = best
+        return out
+
+
 def _nearest(centres: np.ndarray) -> Callable[[Column], Column]:
-    """The place of the most similar centre, found for a batch of unit vectors at a time by one matrix product."""
+    """The place of the most similar centre of a unit vector."""
+    known = _Centres(centres)
 
     @F.pandas_udf("int")
     def of(units: pd.Series) -> pd.Series:
-        out = np.zeros(len(units), dtype=np.int32)
-        for at in range(0, len(units), NEAREST_ROWS):
-            out[at : at + NEAREST_ROWS] = np.argmax(np.vstack(units.iloc[at : at + NEAREST_ROWS].to_list()) @ centres.T, axis=1)
-        return pd.Series(out)
+        return pd.Series(known.places(_by_rows(units)) if len(units) else [], dtype="int32")
 
     return of
 
 
+def _summed(label: np.ndarray, rows: np.ndarray, n: np.ndarray, s: np.ndarray) -> None:
+    """Add the rows of each label to its sum in ``s``, their number to ``n``."""
+    order = np.argsort(label, kind="stable")
+    found, first, count = np.unique(label[order], return_index=True, return_counts=True)
+    n[found] += count
+    s[found] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def _sums(units: DataFrame, at: np.ndarray, seeds: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and sum of the unit vectors at each centre, then of those at each seed.
+
+    A vector belongs to its most similar centre; if that centre owns seeds (``owner``
+    in order), to the most similar of them instead.  A task hands on one sum for each
+    place it has met, in pieces, and the pieces of all tasks are added up.
+    """
+    known, k, every = _Centres(at), len(at), len(at) + len(seeds)
+    split, begin, many = np.unique(owner, return_index=True, return_counts=True)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s = np.zeros(every, dtype=np.int64), np.zeros((every, at.shape[1]))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _by_rows(batch.column("unit"))
+            label = known.places(x)
+            inside = np.nonzero(np.isin(label, split))[0]
+            if len(inside):
+                inside = inside[np.argsort(label[inside], kind="stable")]
+                own, first, count = np.unique(label[inside], return_index=True, return_counts=True)
+                for c, i, j in zip(np.searchsorted(split, own), first, count):
+                    rows = inside[i : i + j]
+                    label[rows] = k + begin[c] + np.argmax(x[rows] @ seeds[begin[c] : begin[c] + many[c]].T, axis=1)
+            _summed(label, x, n, s)
+        met = np.nonzero(n)[0]
+        if len(met):
+            cuts = [p for p in np.split(met, np.nonzero(np.diff(met // PIECE))[0] + 1)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(p[0]) // PIECE for p in cuts], pa.int32()),
+                    pa.array([TaskContext.get().partitionId()] * len(cuts), pa.int32()),
+                    pa.array([p.tobytes() for p in cuts], pa.binary()),
+                    pa.array([n[p].tobytes() for p in cuts], pa.binary()),
+                    pa.array([s[p].tobytes() for p in cuts], pa.binary()),
+                ],
+                ["piece", "task", "places", "n", "s"],
+            )
+
+    def merged(found: pd.DataFrame) -> pd.DataFrame:
+        base = int(found["piece"].iloc[0]) * PIECE
+        n, s = np.zeros(PIECE, dtype=np.int64), np.zeros((PIECE, at.shape[1]))
+        for r in found.sort_values("task").itertuples():  # always in the same order: sums of doubles depend on it
+            places = np.frombuffer(r.places, dtype=np.int64) - base
+            n[places] += np.frombuffer(r.n, dtype=np.int64)
+            s[places] += np.frombuffer(r.s).reshape(len(places), -1)
+        return pd.DataFrame({"piece": [base // PIECE], "n": [n.tobytes()], "s": [s.tobytes()]})
+
+    parts = units.select("unit").mapInArrow(scan, "piece int, task int, places binary, n binary, s binary")
+    whole = parts.groupBy("piece").applyInPandas(merged, "piece int, n binary, s binary").collect()  # a row for PIECE centres
+    n, s = np.zeros(every + PIECE, dtype=np.int64), np.zeros((every + PIECE, at.shape[1]))
+    for r in whole:
+        here = slice(r["piece"] * PIECE, (r["piece"] + 1) * PIECE)
+        n[here], s[here] = np.frombuffer(r["n"], dtype=np.int64), np.frombuffer(r["s"]).reshape(PIECE, -1)
+    return n[:every], s[:every]
+
+
 def clustering(vectors: DataFrame, limit: int, most_clusters: int | None = None, seed: int = 42) -> Clustering:
     """Spherical k-means with so many clusters that each has fewer than ``limit`` vectors.
 
     k starts at the number that even sizes would need, with members drawn by a
     digest of their id as first centres.  Each round moves the centres a few
-    times; then a cluster that is still too large gets as many further centres
-    as its size asks for, drawn from its own members.  So k grows only where it
+    times; then a cluster that is still too large is parted into as many pieces
+    as its size asks for: members drawn from it part the others among them, and
+    the means of the pieces take its centre's place.  (A drawn member alone would
+    hardly keep another vector, and sizes would fall by one a round.)  So k grows only where it
     must, all oversized clusters at once, and the rounds with the logarithm of
     their sizes.  Once all are below the limit the centres go on moving while
     they change and the limit holds.  k is not shown to be the smallest: that
     takes a whole fit for every k tried.
 
     A vector is in the cluster of its most similar centre among all.  A round
-    is a pass of matrix products and one aggregation; the driver holds the
+    is a few passes of matrix products whose sums are added up; the driver holds the
     centres, a row per cluster.  NULL and zero vectors belong to no cluster.
     Raises ValueError when no clustering into up to ``most_clusters``, or up to
     the number of vectors, is found; copies cannot be told apart, so ``limit``
@@ -204,20 +314,23 @@ def clustering(vectors: DataFrame, limit: int, most_clusters: int | None = None,
     wide = F.col("embedding").cast("array<double>")
     length = F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x)
     unit = F.transform(wide, lambda x: x / F.sqrt(length))
+    spark = vectors.sparkSession
     found = vectors.where(length > 0).select("id", unit.alias("unit"), F.xxhash64("id", F.lit(seed)).alias("draw"))
-    able = cut_lineage(found.withColumn("features", array_to_vector("unit")))
+    # dealt evenly: the work is in the products, not in the bytes
+    able = cut_lineage(found.repartition(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, "id"))
     lost = vectors.where(~F.coalesce(length > 0, F.lit(False))).select("id", F.lit(None).cast("int").alias("cluster"))
-    spark, total = vectors.sparkSession, able.count()
+    total = able.count()
     most = min(total, most_clusters or total)
     if total == 0:
         return Clustering(able.select("id", F.lit(0).alias("cluster")).unionByName(lost), spark.createDataFrame([], CENTRES))
 
-    def drawn(asked: dict[int, int], members: DataFrame) -> np.ndarray:
-        """So many members of each cluster of ``asked``, no two equal."""
+    def drawn(asked: dict[int, int], members: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """So many members of each cluster of ``asked``, and their clusters, in order."""
         sizes = spark.createDataFrame(list(asked.items()), "cluster int, asked int")
         slots = members.join(F.broadcast(sizes), "cluster").withColumn("slot", F.pmod("draw", "asked"))
         picked = slots.groupBy("cluster", "slot").agg(F.min_by("unit", F.struct("draw", "id")).alias("unit"))
-        return np.array([r["unit"] for r in picked.orderBy("cluster", "slot").collect()])
+        rows = picked.orderBy("cluster", "slot").collect()
+        return np.array([r["unit"] for r in rows]), np.array([r["cluster"] for r in rows], dtype=np.int64)
 
     def distinct(rows: np.ndarray) -> np.ndarray:
         _, first = np.unique(np.round(rows, 12), axis=0, return_index=True)
@@ -226,15 +339,21 @@ def clustering(vectors: DataFrame, limit: int, most_clusters: int | None = None,
     def placed(at: np.ndarray) -> DataFrame:
         return able.withColumn("cluster", _nearest(at)("unit"))
 
+    def directions(sums: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        return np.where(norms > 1e-12, sums / np.maximum(norms, 1e-12), otherwise)
+
     def facts(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each cluster's size and the direction of its mean; where there is none the centre stays."""
-        sizes, middle = np.zeros(len(at), dtype=np.int64), at.copy()
-        sums = placed(at).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("features")).alias("s"))
-        for r in sums.toLocalIterator():
-            sizes[r["cluster"]], s = r["n"], r["s"].toArray()
-            if (norm := np.linalg.norm(s)) > 1e-12:
-                middle[r["cluster"]] = s / norm
-        return sizes, middle
+        sizes, sums = _sums(able, at, at[:0], np.zeros(0, dtype=np.int64))
+        return sizes, directions(sums, at)
+
+    def pieces(asked: dict[int, int], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The directions of the pieces into which drawn members part each cluster of ``asked``, and their clusters."""
+        seeds, owner = drawn(asked, placed(at))
+        sizes, sums = _sums(able, at, seeds, owner)
+        taken = np.nonzero(sizes[len(at) :])[0]
+        return directions(sums[len(at) :], seeds)[taken], owner[taken]
 
     def fail() -> ValueError:
         return ValueError(f"no clustering into up to {most} clusters has all of them below {limit}")
@@ -242,7 +361,7 @@ def clustering(vectors: DataFrame, limit: int, most_clusters: int | None = None,
     k = -(-total // max(1, limit - 1))  # fewer clusters cannot all be small enough
     if k > most:
         raise fail()
-    at = distinct(drawn({0: k}, able.withColumn("cluster", F.lit(0))))
+    at = distinct(drawn({0: k}, able.withColumn("cluster", F.lit(0)))[0])
     moves, best = 0, None
     sizes, middle = facts(at)
     while best is None:
@@ -259,11 +378,15 @@ def clustering(vectors: DataFrame, limit: int, most_clusters: int | None = None,
             extra = min(room, -(-int(sizes[c]) // max(1, limit - 1)) - 1)
             if sizes[c] >= limit and extra > 0:
                 asked[c], room = extra, room - extra
-        more = drawn(asked, placed(at)) if asked else np.zeros((0, at.shape[1]))
-        wider = distinct(np.vstack([at, more]))
-        if len(wider) == len(at):  # no room, or what is drawn equals its centre
+        if not asked:
+            raise fail()
+        made, owner = pieces({c: n + 1 for c, n in asked.items()}, at)
+        # what has one piece, because all drawn are alike, keeps its centre
+        whole = np.isin(np.arange(len(at)), owner[np.isin(owner, np.nonzero(np.bincount(owner) > 1)[0])], invert=True)
+        wider = distinct(np.vstack([at[whole], made[~whole[owner]]]))
+        if len(wider) <= len(at):
             asked = {c: 2 * n + 2 for c, n in asked.items()}
-            wider = wider if not asked else distinct(np.vstack([at, _others(placed(at), at, asked, most - len(at))]))
+            wider = distinct(np.vstack([at, _others(placed(at), at, asked, most - len(at))]))
             if len(wider) == len(at):
                 raise fail()
         at = wider
@@ -276,7 +399,7 @@ def clustering(vectors: DataFrame, limit: int, most_clusters: int | None = None,
         best = at, sizes, middle
     at = best[0][best[1] > 0]
     centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(at)], CENTRES)
-    return Clustering(placed(at).select("id", "cluster").unionByName(lost), centres)
+    return Clustering(cut_lineage(placed(at).select("id", "cluster")).unionByName(lost), centres)
 
 
 def _others(placed: DataFrame, at: np.ndarray, clusters: Iterable[int], most: int) -> np.ndarray:

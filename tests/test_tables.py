@@ -406,3 +406,30 @@ def test_walk_is_stored_once_for_seeds_with_the_same_neighbours(spark, monkeypat
     monkeypatch.setattr(lookups, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(lookups, "is_small", lambda *a, **o: False)
     assert {(r.seed, r.node): r.distance for r in graph.within_steps(edges, seeds, 3).collect()} == want
+
+
+def test_clusters_just_over_the_limit_are_parted_not_peeled(spark):
+    # vectors in all directions beside a crowd: a drawn member takes few others along, so sizes fell by little a round
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    rows = np.vstack([unit(rng.normal(size=(1500, 64))), unit(rng.normal(size=64)) + rng.normal(size=(300, 64)) / 80])
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "id int, embedding array<double>")
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    members, centres = vectors.clustering(v, 60)
+    jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+    middle, found = {r.cluster: np.array(r.centre) for r in centres.collect()}, {r.id: r.cluster for r in members.collect()}
+    assert len(jobs) < 150 and len(found) == len(rows)
+    assert max(np.bincount(list(found.values()))) < 60 and set(found.values()) == set(middle)
+    whole = np.vstack([middle[c] for c in sorted(middle)])
+    dots = rows @ whole.T
+    at = np.searchsorted(sorted(middle), [found[i] for i in range(len(rows))])
+    assert (dots[np.arange(len(rows)), at] >= dots.max(axis=1) - 1e-9).all()
+
+
+def test_products_in_single_precision_decide_as_in_double():
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    spots = unit(rng.normal(size=(40, 16)))
+    centres = unit(np.vstack([spots, spots + rng.normal(size=spots.shape) * 1e-8]))  # pairs that single precision cannot part
+    x = unit(np.repeat(centres, 30, axis=0) + rng.normal(size=(2400, 16)) / 10)
+    assert vectors._Centres(centres).places(x).tolist() == np.argmax(x @ centres.T, axis=1).tolist()

@@ -73,3 +73,18 @@ def test_a_factor_set_moves_structs_in_few_layers_and_shows_them_without_decimal
     text = plan(QUERIES["f02_alpha158"](spark, SF))
     assert len(re.findall(r"\) Window\n", text)) <= 7
     assert not re.search(r"round\(\(", text)
+
+
+def test_a_factor_set_shuffles_and_sorts_its_order_lines_once(spark):
+    from crosstide.catalog import factor_sets  # registers the queries
+    from crosstide.catalog.common import QUERIES
+
+    assert factor_sets
+    text = plan(QUERIES["f02_alpha158"](spark, SF))
+    assert len(re.findall(r"\) Exchange\n", text)) == 1 and len(re.findall(r"\) Sort\n", text)) == 1
+    lines = table(spark, SF, "lineitem")
+    once, twice = panels.weekly_panel(lines, at_once=True), panels.weekly_panel(lines)
+    rows = lambda df: {r[:2]: r[2:] for r in df.collect()}
+    got, wanted = rows(once), rows(twice)
+    assert once.columns == twice.columns and got.keys() == wanted.keys()
+    assert all(a[:5] == b[:5] and a[5] == pytest.approx(b[5]) for a, b in ((got[k], wanted[k]) for k in got))

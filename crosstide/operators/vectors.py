@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosstide.functions.basics import let
 from crosstide.session import cut_lineage
 
 MAX_QUERIES = 4096
@@ -313,7 +314,7 @@ def clustering(vectors: DataFrame, limit: int, most_clusters: int | None = None,
     """
     wide = F.col("embedding").cast("array<double>")
     length = F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x)
-    unit = F.transform(wide, lambda x: x / F.sqrt(length))
+    unit = let(F.sqrt(length), lambda norm: F.transform(wide, lambda x: x / norm))
     spark = vectors.sparkSession
     found = vectors.where(length > 0).select("id", unit.alias("unit"), F.xxhash64("id", F.lit(seed)).alias("draw"))
     # dealt evenly: the work is in the products, not in the bytes
